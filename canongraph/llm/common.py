@@ -166,3 +166,23 @@ def shingles_of(word: np.ndarray, row: np.ndarray, k: int):
         order = np.argsort(at, kind="stable")
         h, full = h[order], at[order]
     return mix(h), row[full], full
+
+
+_LETTER: np.ndarray | None = None
+
+
+def letter_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of lower-cased texts with each run of other characters as one 0, and the row of each.
+
+    Every row begins and ends with a 0, so n-grams over the result show where words begin and end.
+    """
+    global _LETTER
+    if _LETTER is None:
+        _LETTER = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    low = [f"\n{(x or '').lower()}\n" for x in texts]
+    codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(low)), [len(x) for x in low])
+    codes = np.where(_LETTER[codes], codes, 0)
+    keep = np.ones(len(codes), bool)
+    keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0) | (row[1:] != row[:-1])
+    return codes[keep], row[keep]

@@ -6,14 +6,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canongraph.llm import chunkstore, packing
-from canongraph.llm.common import fresh_dir
+from canongraph.llm import chunkstore, extract, langid, packing, toxicity
+from canongraph.llm.common import fresh_dir, remainder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").filter(remainder("doc_id", 3) != 1).select("doc_id", "toxic")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(remainder("doc_id", 4) != 2))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     path = fresh_dir(spark, "token-store")
     chunkstore.write_store(_table(spark, sf_dir, "documents"), path, tokenizer or public_tokenizers.path("word_bpe_49k.json"))
@@ -26,6 +44,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | Non
 
 def queries():
     return {
+        "op4_toxicity": op4_toxicity,
+        "op5_language_id": op5_language_id,
+        "op6_html_extraction": op6_html_extraction,
         "op9_token_store": op9_token_store,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
