@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canongraph.llm import chunkstore, extract, langid, packing, toxicity
+from canongraph.llm import chunkstore, extract, langid, ngramjoin, packing, toxicity
 from canongraph.llm.common import fresh_dir, remainder
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").filter(remainder("doc_id", 3) != 1).select("doc_id", "toxic")
@@ -44,6 +48,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | Non
 
 def queries():
     return {
+        "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_toxicity": op4_toxicity,
         "op5_language_id": op5_language_id,
         "op6_html_extraction": op6_html_extraction,
