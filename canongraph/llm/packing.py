@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import random
 import zlib
-from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
@@ -58,90 +57,108 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: in
 
 
 class _Shard:
-    """The packings of one shard."""
+    """The packings of one shard: lists of (fill, pieces) bins."""
 
     def __init__(self, sizes: list[int], capacity: int, seed: int):
         self.sizes, self.capacity, self.rng = sizes, capacity, random.Random(seed)
         self.bound = -(-sum(sizes) // capacity)
 
-    def place(self, items, bins, room):
-        sizes, free = self.sizes, sorted((r, i) for i, r in enumerate(room) if r)
-        for x in sorted(items, key=lambda i: (-sizes[i], i)):
+    def place(self, items, bins):
+        """Best fit: pieces, largest first, each into the bin with the least room that it fits."""
+        sizes, capacity = self.sizes, self.capacity
+        # bins by the room they have left; a bit is set for each room that some bin has
+        by_room: dict[int, list] = {}
+        mask = 0
+        done = []
+        for fill, c in bins:
+            if fill < capacity:
+                by_room.setdefault(capacity - fill, []).append(c)
+                mask |= 1 << (capacity - fill)
+            else:
+                done.append((fill, c))
+        for x in sorted(items, key=sizes.__getitem__, reverse=True):
             size = sizes[x]
-            at = bisect_left(free, (size, -1))
-            if at < len(free):
-                r, b = free.pop(at)
+            fits = mask >> size
+            if fits:
+                room = size + (fits & -fits).bit_length() - 1
+                own = by_room[room]
+                c = own.pop()
+                if not own:
+                    mask ^= 1 << room
+            else:
+                room, c = capacity, []
+            c.append(x)
+            room -= size
+            if room:
+                own = by_room.setdefault(room, [])
+                if not own:
+                    mask |= 1 << room
+                own.append(c)
             else:
-                r, b = self.capacity, len(bins)
-                bins.append([])
-                room.append(r)
-            bins[b].append(x)
-            room[b] = r - size
-            if room[b]:
-                insort(free, (room[b], b))
+                done.append((capacity, c))
+        return done + [(capacity - room, c) for room, own in by_room.items() for c in own]
 
     def start(self, shuffled: bool):
         """A first packing: best fit by falling size, or over bins seeded with random pieces."""
-        bins, room, rest = [], [], list(range(len(self.sizes)))
+        bins, rest = [], list(range(len(self.sizes)))
         if shuffled and len(rest) > 4:
             seeds = set(self.rng.sample(rest, len(rest) // 8))
-            for x in seeds:
-                bins.append([x])
-                room.append(self.capacity - self.sizes[x])
+            bins = [(self.sizes[x], [x]) for x in sorted(seeds)]
             rest = [x for x in rest if x not in seeds]
-        self.place(rest, bins, room)
-        return bins
-
-    def fill(self, bin_):
-        return sum(self.sizes[x] for x in bin_)
+        return self.place(rest, bins)
 
     def fitness(self, bins) -> tuple[int, float]:
         """Fewer bins first, then fuller ones: the sum of squared fills."""
-        return len(bins), -sum((self.fill(b) / self.capacity) ** 2 for b in bins)
+        return len(bins), -sum(f * f for f, _ in bins) / self.capacity**2
 
     def cross(self, a, b):
         """A child of ``a`` into which well-filled bins of ``b`` are injected whole."""
-        good = sorted(b, key=self.fill, reverse=True)[: max(1, len(b) // 2)]
+        good = sorted(b, key=lambda c: c[0], reverse=True)[: max(1, len(b) // 2)]
         injected = self.rng.sample(good, max(1, len(good) // 2))
-        taken = {x for c in injected for x in c}
-        bins, loose = [list(c) for c in injected], []
+        taken = {x for _, c in injected for x in c}
+        bins, loose = [(f, list(c)) for f, c in injected], []
         # bins of a that would hold a piece twice go; so do some of its worst-filled ones (mutation)
-        worst = set(map(id, sorted(a, key=self.fill)[: max(1, len(a) // 20)]))
-        for c in a:
-            if id(c) in worst or not taken.isdisjoint(c):
+        worst = sorted(f for f, _ in a)[max(1, len(a) // 20) - 1]
+        for f, c in a:
+            if f <= worst or not taken.isdisjoint(c):
                 loose += [x for x in c if x not in taken]
             else:
-                bins.append(list(c))
-        self.place(loose, bins, [self.capacity - self.fill(c) for c in bins])
-        return bins
+                bins.append((f, list(c)))
+        return self.place(loose, bins)
 
     def evolve(self, population, generations: int, size: int):
-        population = sorted(population, key=self.fitness)[:size]
-        while len(population) < size and len(population[0]) > self.bound if population else True:
-            population.append(self.start(shuffled=bool(population)))
-        population.sort(key=self.fitness)
+        ranked = sorted(((self.fitness(p), i, p) for i, p in enumerate(population)))[:size]
+        n = len(population)
+        while len(ranked) < size and (not ranked or ranked[0][0][0] > self.bound):
+            p = self.start(shuffled=bool(ranked))
+            ranked.append((self.fitness(p), n, p))
+            n += 1
+        ranked.sort()
         for _ in range(generations):
-            if len(population[0]) <= self.bound or len(population) < 2:
+            if ranked[0][0][0] <= self.bound or len(ranked) < 2:
                 break
             children = []
             for _ in range(size):
-                a, b = self.rng.sample(range(len(population)), 2)
-                children.append(self.cross(population[min(a, b)], population[max(a, b)]))
-            population = sorted(population + children, key=self.fitness)[:size]
-        return population
+                a, b = sorted(self.rng.sample(range(len(ranked)), 2))
+                p = self.cross(ranked[a][2], ranked[b][2])
+                children.append((self.fitness(p), n, p))
+                n += 1
+            ranked = sorted(ranked + children)[:size]
+        return [p for _, _, p in ranked]
 
 
 def _flat(bins, n: int) -> bytes:
     out = np.empty(n, "<i4")
-    for i, c in enumerate(bins):
+    for i, (_, c) in enumerate(bins):
         out[c] = i
     return out.tobytes()
 
 
-def _bins(raw: bytes) -> list[list[int]]:
-    of = np.frombuffer(raw, "<i4")
-    order = np.argsort(of, kind="stable")
-    return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(of[order])) + 1)] if len(of) else []
+def _bins(raw: bytes, sizes: list[int]) -> list[tuple[int, list[int]]]:
+    bins: dict[int, list[int]] = {}
+    for x, i in enumerate(np.frombuffer(raw, "<i4").tolist()):
+        bins.setdefault(i, []).append(x)
+    return [(sum(sizes[x] for x in c), c) for c in bins.values()]
 
 
 def _evolve_islands(shards: DataFrame, capacity: int, islands: int, rounds: int, generations: int, population: int, seed: int) -> DataFrame:
@@ -153,7 +170,7 @@ def _evolve_islands(shards: DataFrame, capacity: int, islands: int, rounds: int,
             out = []
             for shard, island, sizes, guests, turn in zip(f["shard"], f["island"], f["sizes"], f["guests"], f["turn"]):
                 s = _Shard([int(x) for x in sizes], capacity, hash((seed, int(shard), int(island), int(turn))))
-                known = [_bins(g) for g in guests]
+                known = [_bins(g, s.sizes) for g in guests]
                 for rank, p in enumerate(s.evolve(known, generations, population)):
                     n, fit = s.fitness(p)
                     out.append((shard, island, rank, _flat(p, len(s.sizes)), n, fit, sizes))
