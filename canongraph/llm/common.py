@@ -186,3 +186,10 @@ def letter_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0) | (row[1:] != row[:-1])
     return codes[keep], row[keep]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a Parquet table to the shared folder, and read from there."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

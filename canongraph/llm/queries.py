@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canongraph.llm import chunkstore, extract, langid, ngramjoin, packing, toxicity
+from canongraph.llm import chunkstore, extract, langid, ngramjoin, packing, suffixdedup, toxicity
 from canongraph.llm.common import fresh_dir, remainder
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | Non
 
 def queries():
     return {
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_toxicity": op4_toxicity,
         "op5_language_id": op5_language_id,

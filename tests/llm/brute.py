@@ -41,3 +41,18 @@ def jaccard_components(texts):
                     shared[j] = shared.get(j, 0) + 1
         links |= {(i, j) for j, n in shared.items() if 100 * n >= 75 * (len(s) + len(sets[j]) - n)}
     return [len(s) for s in sets], union(len(texts), links)
+
+
+def repeated(texts, length):
+    """Removed flags of each text's bytes."""
+    data = [(t or "").encode() for t in texts]
+    seen = {}
+    for i, d in enumerate(data):
+        for p in range(len(d) - length + 1):
+            seen.setdefault(hash(d[p : p + length]), []).append((i, p))
+    gone = [bytearray(len(d)) for d in data]
+    for places in seen.values():
+        if len(places) > 1:
+            for i, p in places:
+                gone[i][p : p + length] = b"\1" * length
+    return data, gone
