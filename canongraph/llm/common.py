@@ -119,13 +119,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words_of(data: np.ndarray, at: np.ndarray):
+#: Everything in ASCII that is neither letter nor digit parts words, for readers that overlook punctuation.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
+def words_of(data: np.ndarray, at: np.ndarray, space: np.ndarray = _SPACE):
     """Of lower-cased (A-Z) words: their hash, row, start and end byte; ``at`` as from raw_bytes, from 0."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none
     data = _LOWER[data]
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at[:-1]] = edge[-1] = True
     first = inside.copy()

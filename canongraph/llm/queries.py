@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canongraph.llm import chunkstore, extract, langid, ngramjoin, packing, suffixdedup, toxicity
+from canongraph.llm import chunkstore, decontam, extract, langid, ngramjoin, packing, suffixdedup, toxicity
 from canongraph.llm.common import fresh_dir, remainder
 
 
@@ -40,6 +40,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     path = fresh_dir(spark, "token-store")
     chunkstore.write_store(_table(spark, sf_dir, "documents"), path, tokenizer or public_tokenizers.path("word_bpe_49k.json"))
@@ -57,6 +61,7 @@ def queries():
         "op4_toxicity": op4_toxicity,
         "op5_language_id": op5_language_id,
         "op6_html_extraction": op6_html_extraction,
+        "op8_decontamination": op8_decontamination,
         "op9_token_store": op9_token_store,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
