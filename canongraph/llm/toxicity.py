@@ -180,7 +180,7 @@ class Evidence:
                 if stem[:k] in self.rates:
                     r = self.rates[stem[:k]]
                     break
-            self.rates[f] = (a + pull * r) / (a + b + pull)
+            self.rates[f] = min(max((a + pull * r) / (a + b + pull), 1e-6), 1 - 1e-6)
 
     def __call__(self, word: str) -> float:
         rates = self.rates
