@@ -197,3 +197,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """``df`` of narrow rows (an id or two), broadcast if it has at most ``most`` of them and left to a shuffle otherwise."""
+    return F.broadcast(df) if df.count() <= most else df

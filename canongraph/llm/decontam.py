@@ -40,9 +40,10 @@ def grams(word: np.ndarray, row: np.ndarray, n: int):
 
 
 class Items:
-    """Word hashes of items, and their n-grams."""
+    """Word hashes of items, and their n-grams of ``seed`` words, one of ``stretch`` places to become a seed."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
+    def __init__(self, ids: list[int], texts: list[str | None], seed: int = SEED, stretch: int = STRETCH):
+        self.seed, self.stretch = seed, stretch
         data, at = raw_bytes(pa.array(texts, pa.string()))
         word, row, _, _ = words_of(data, at, PUNCTUATION)
         edges = np.searchsorted(row, np.arange(len(texts) + 1))
@@ -50,7 +51,7 @@ class Items:
         self.lengths = np.diff(edges)
         gram, item, place = [], [], []
         for i, w in enumerate(self.words):
-            n = min(SEED, len(w))
+            n = min(seed, len(w))
             if n:
                 h, a = grams(w, np.zeros(len(w), np.int64), n)
                 gram.append(h)
@@ -59,14 +60,14 @@ class Items:
         none = np.zeros(0, np.int64)
         self.gram, self.item, self.place = (np.concatenate(x) if x else none for x in (gram, item, place))
         self.gram = self.gram.astype(np.uint64)
-        self.sizes = sorted({min(SEED, int(n)) for n in self.lengths if n})
+        self.sizes = sorted({min(seed, int(n)) for n in self.lengths if n})
 
     def seeds(self, known: np.ndarray, df: np.ndarray):
         """(hash, item, place), sorted by hash: the rarest n-gram of each stretch of words (ties: the first)."""
         if not len(self.gram):
             return self.gram, self.item, self.place
         rare = df[np.searchsorted(known, self.gram)]
-        part = self.place // STRETCH
+        part = self.place // self.stretch
         order = np.lexsort((self.place, rare, part, self.item))
         i, p = self.item[order], part[order]
         first = order[np.r_[True, (i[1:] != i[:-1]) | (p[1:] != p[:-1])]]
@@ -129,13 +130,14 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, id_col:
     return out
 
 
-def _search(docs: DataFrame, items: Items, least: float) -> DataFrame:
+def rare_seeds(docs: DataFrame, items: Items):
+    """The items' seeds, by document frequencies counted over all ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     known = np.unique(items.gram)
-    grams_ = spark.sparkContext.broadcast((known, items.sizes))
+    shared = spark.sparkContext.broadcast((known, items.sizes))  # n-grams of one slice of items
 
     def count(batches):
-        known, sizes = grams_.value
+        known, sizes = shared.value
         df = np.zeros(len(known), np.int64)
         for batch in batches:
             for _, word, row in _document_words(batch.column(1)):
@@ -150,51 +152,64 @@ def _search(docs: DataFrame, items: Items, least: float) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(df[at])], names=["gram", "n"])
 
     df = np.zeros(len(known), np.int64)
-    for r in docs.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # n-grams of one slice
+    for r in docs.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         df[r.gram] = r.n
-    shared = spark.sparkContext.broadcast((items, items.seeds(known, df)))
+    return items.seeds(known, df)
+
+
+def passages(column: pa.Array, items: Items, seeds):
+    """For blocks of rows: lists of (row, item, place of the passage in the row's words) and of the passages' words."""
+    seed, of, place = seeds
+    for first, word, row in _document_words(column):
+        if not len(row) or not len(seed):
+            continue
+        edges = np.searchsorted(row, np.arange(int(row[-1]) + 2))
+        hits = []
+        for n in items.sizes:
+            h, at = grams(word, row, n)
+            k = np.minimum(np.searchsorted(seed, h), len(seed) - 1)
+            some = np.flatnonzero(seed[k] == h)
+            at, lo = at[some], k[some]
+            k = np.searchsorted(seed, h[some], "right") - lo
+            which = np.repeat(lo, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            at = np.repeat(at, k)
+            right = np.minimum(items.lengths[of[which]], items.seed) == n  # seeds of this size
+            hits.append((row[at[right]], of[which[right]], at[right] - place[which[right]]))
+        d, i, diagonal = (np.concatenate(c) for c in zip(*hits))
+        if not len(d):
+            continue
+        order = np.lexsort((diagonal, i, d))
+        d, i, diagonal = d[order], i[order], diagonal[order]
+        slack = items.lengths[i] // 4 + 5
+        new = np.r_[True, (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (diagonal[1:] - diagonal[:-1] > slack[1:])]
+        start = np.flatnonzero(new)
+        stop = np.r_[start[1:], len(d)] - 1
+        where, words = [], []
+        for a, b in zip(start, stop):
+            doc, item, s = int(d[a]), int(i[a]), int(slack[a])
+            x = max(int(edges[doc]), int(diagonal[a]) - s)
+            y = min(int(edges[doc + 1]), int(diagonal[b]) + int(items.lengths[item]) + s)
+            where.append((first + doc, item, x - int(edges[doc])))
+            words.append(word[x:y])
+        yield where, words
+
+
+def _search(docs: DataFrame, items: Items, least: float) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((items, rare_seeds(docs, items)))
 
     def search(batches):
-        items, (seed, of, place) = shared.value
+        items, seeds = shared.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows = []
-            for first, word, row in _document_words(batch.column(1)):
-                edges = np.searchsorted(row, np.arange(int(row[-1]) + 2)) if len(row) else np.zeros(1, np.int64)
-                hits = []
-                for n in items.sizes:
-                    h, at = grams(word, row, n)
-                    lo, hi = np.searchsorted(seed, h, "left"), np.searchsorted(seed, h, "right")
-                    k = hi - lo
-                    some = np.flatnonzero(k)
-                    k, lo, at = k[some], lo[some], at[some]
-                    which = np.repeat(lo, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                    at = np.repeat(at, k)
-                    right = np.minimum(items.lengths[of[which]], SEED) == n  # seeds of this size
-                    hits.append((row[at[right]], of[which[right]], at[right] - place[which[right]]))
-                d, i, diagonal = (np.concatenate(c) for c in zip(*hits)) if hits else (np.zeros(0, np.int64),) * 3
-                if not len(d):
-                    continue
-                order = np.lexsort((diagonal, i, d))
-                d, i, diagonal = d[order], i[order], diagonal[order]
-                slack = items.lengths[i] // 4 + 5
-                new = np.r_[True, (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (diagonal[1:] - diagonal[:-1] > slack[1:])]
-                start = np.flatnonzero(new)
-                stop = np.r_[start[1:], len(d)] - 1
-                where, pairs = [], []
-                for a, b in zip(start, stop):
-                    doc, item, s = int(d[a]), int(i[a]), int(slack[a])
-                    x = max(int(edges[doc]), int(diagonal[a]) - s)
-                    y = min(int(edges[doc + 1]), int(diagonal[b]) + int(items.lengths[item]) + s)
-                    where.append((doc, item, x - int(edges[doc])))
-                    pairs.append((items.words[item], word[x:y]))
-                score, end = align(pairs)
+            for where, words in passages(batch.column(1), items, seeds):
+                score, end = align([(items.words[i], w) for (_, i, _), w in zip(where, words)])
                 best: dict[tuple[int, int], tuple[float, int]] = {}
                 for (doc, item, x), v, e in zip(where, score.tolist(), end.tolist()):
-                    v /= 2 * items.lengths[item]
+                    v /= 2 * int(items.lengths[item])
                     if v >= least and v > best.get((doc, item), (0.0, 0))[0]:
                         best[doc, item] = (v, x + e)
-                rows += [(ids[first + doc], int(items.ids[item]), v, e) for (doc, item), (v, e) in best.items()]
+                rows += [(ids[doc], int(items.ids[item]), v, e) for (doc, item), (v, e) in best.items()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["doc_id", "item_id", "score", "matched_end"])
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canongraph.llm import chunkstore, decontam, extract, langid, ngramjoin, packing, suffixdedup, toxicity
+from canongraph.llm import chunkstore, decontam, embdedup, extract, langid, licenses, ngramjoin, packing, suffixdedup, toxicity
 from canongraph.llm.common import fresh_dir, remainder
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.digests(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -56,11 +64,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | Non
 
 def queries():
     return {
+        "op1_embedding_dedup": op1_embedding_dedup,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_toxicity": op4_toxicity,
         "op5_language_id": op5_language_id,
         "op6_html_extraction": op6_html_extraction,
+        "op7_license_scan": op7_license_scan,
         "op8_decontamination": op8_decontamination,
         "op9_token_store": op9_token_store,
         "op10_best_fit_packing": op10_best_fit_packing,
