@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Odd multiplier of the polynomial hashes (mod 2**64); any odd number with mixed bits will do.
 BASE = 0x9E3779B97F4A7C15
 #: Bytes of text that are hashed at once; a longer single text makes a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
