@@ -29,9 +29,9 @@ from pyspark.sql import types as T
 from canongraph.llm.common import BASE, blocks, mix, prefix_hash, raw_bytes, shuffle_partitions, stored
 
 #: Windows looked at together (positions must fit PLACE bits).
-SEGMENT, PLACE = 1 << 21, 22
+SEGMENT, PLACE = 1 << 20, 22
 #: Spans or windows a task gathers before it settles its own repeats and sends the rest.
-FLUSH = 1_500_000
+FLUSH = 600_000
 #: Bytes of text a range of anchors stands for, about; suffixes in a bucket, about.
 PER_RANGE, PER_BUCKET = 1 << 20, 1 << 18
 #: Rows of requests or spans up to which they are broadcast (a few dozen bytes each); more go by a shuffle join.
@@ -316,11 +316,14 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
 
     def join(batches):
         for batch in batches:
-            out = []
-            for x in batch.column(1).to_pylist():
-                s, e, _ = merged(np.array([i["start"] for i in x], np.int64), np.array([i["stop"] for i in x], np.int64))
-                out.append([{"start": int(a), "stop": int(b)} for a, b in zip(s, e)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], names=["rid", "spans"])
+            lists = batch.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            inner = lists.flatten()
+            start, stop = (inner.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            s, e, g = merged(start, stop, np.repeat(np.arange(len(sizes)), sizes))
+            offsets = np.searchsorted(g, np.arange(len(sizes) + 1)).astype(np.int32)
+            runs = pa.StructArray.from_arrays([pa.array(s), pa.array(e)], names=["start", "stop"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), runs)], names=["rid", "spans"])
 
     return stored(both.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("x")).mapInArrow(join, "rid long, spans array<struct<start: long, stop: long>>"), "merged")
 
