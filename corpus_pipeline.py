@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canongraph.llm import decontam, ngramjoin, packing, suffixdedup, toxicity
 from canongraph.llm.common import remainder, small, stored
@@ -36,15 +38,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("text", _valid("kept")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-def _valid(column: str):
+@F.pandas_udf(T.StringType())
+def _valid(kept: pd.Series) -> pd.Series:
     """UTF-8 text of bytes, without bytes that a cut has left of a letter."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def valid(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda x: bytes(x).decode("utf-8", "ignore"))
-
-    return valid(F.col(column))
+    return kept.map(lambda x: bytes(x).decode("utf-8", "ignore"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
