@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from canongraph.llm.common import cut, stored
 from canongraph.llm.components import components, forest
 
-#: Vectors in a block, about; rows of a tile that are multiplied at once; vectors that blocks are formed around.
+#: Vectors in a block, about; rows of a tile that are multiplied at once; vectors that blocks are formed around, at most.
 BLOCK, STRIP, PIVOTS = 4096, 512, 64
 #: Slack for rounding in bounds that are computed in floating point.
 EPS = 1e-6
@@ -80,7 +80,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     good = every.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite)
     pivots: dict[int, np.ndarray] = {}
-    for r in good.orderBy(F.xxhash64("vec_id", F.lit("pivot"))).limit(PIVOTS).collect():
+    wanted = min(PIVOTS, -(-good.count() // BLOCK))  # more cells than blocks would only make small tiles
+    for r in good.orderBy(F.xxhash64("vec_id", F.lit("pivot"))).limit(max(1, wanted)).collect():
         pivots.setdefault(len(r.v), []).append(r.v)
     pivots = {n: unit(p) for n, p in pivots.items()}
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
