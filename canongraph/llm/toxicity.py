@@ -237,13 +237,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, chars: C
 
     def count(batches):
         read = Reader(lm.value)
+        sums: dict[str, list[int]] = {}
+
+        def out():
+            columns = [pa.array(list(sums), pa.string()), *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(4))]
+            sums.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["part", "b0", "a0", "b1", "a1"])
+
         for batch in batches:
-            sums: dict[str, list[int]] = {}
-            for text, y, half in zip(*(c.to_pylist() for c in batch.columns)):
-                for w in read(text)[0]:
+            for text, y, half in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                for w in read(text.as_py())[0]:
                     for f in parts(w):
                         sums.setdefault(f, [0, 0, 0, 0])[2 * half + (y > 0)] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(4))], names=["part", "b0", "a0", "b1", "a1"])
+                if len(sums) > 100_000:
+                    yield out()
+        if sums:
+            yield out()
 
     table = cut(texts.mapInArrow(count, "part string, b0 long, a0 long, b1 long, a1 long").groupBy("part").agg(*[F.sum(c).alias(c) for c in ("b0", "a0", "b1", "a1")]))
     sums = table.filter(F.col("part").endswith("$")).agg(*[F.sum(c).alias(c) for c in ("b0", "a0", "b1", "a1")]).first().asDict()
@@ -259,15 +268,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, chars: C
             keep = [any(p in roots.value for p in (*(f[:k] for k in range(3, len(f) + 1)),)) for f in batch.column(0).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    counts = table.mapInArrow(under, table.schema).collect()
-    evidence = {k: Evidence({r.part: ({"0": r.a0, "1": r.a1, "all": r.a0 + r.a1}[k], {"0": r.b0, "1": r.b1, "all": r.b0 + r.b1}[k]) for r in counts}, rates[k]) for k in models}
+    counts = table.mapInArrow(under, table.schema).toPandas()
+    pick = {"0": (counts.a0, counts.b0), "1": (counts.a1, counts.b1), "all": (counts.a0 + counts.a1, counts.b0 + counts.b1)}
+    evidence = {k: Evidence(dict(zip(counts.part, zip(a.tolist(), b.tolist()))), rates[k]) for k, (a, b) in pick.items()}
     halves = spark.sparkContext.broadcast((evidence["0"], evidence["1"]))
 
     def look(batches):
         # each half is judged by what the other half taught
         readers = [Reader(lm.value, halves.value[1 - h]) for h in (0, 1)]
         for batch in batches:
-            x = [features(*readers[half](text)) for text, half in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            x = [features(*readers[half](text.as_py())) for text, half in zip(batch.column(0), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
     seen = texts.mapInArrow(look, "x array<double>, y int").toPandas()
@@ -289,7 +299,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             if m.evidence is None:
                 s = np.full(batch.num_rows, m.share)
             else:
-                x = np.array([features(*read(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]).reshape(-1, 6)
+                x = np.array([features(*read(t.as_py())) for t in batch.column(batch.num_columns - 1)]).reshape(-1, 6)
                 s = 1 / (1 + np.exp(-np.clip(x @ m.weights, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64())], names=[*cols, "score"])
 
