@@ -77,5 +77,21 @@ def queries():
     }
 
 
+_OP1 = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) >= 0.9 * a.n * b.n),
+walk AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT walk.a, links.b FROM walk JOIN links ON walk.b = links.a)
+SELECT w.a AS vec_id, (SELECT count(*) FROM links WHERE links.a = w.a) AS n_links, min(w.b) AS component_id, w.a = min(w.b) AS kept FROM walk w GROUP BY w.a"""
+
+_OP3 = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(list_slice(words, i, i + 4), ' '))) AS shingle FROM w WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+walk AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT walk.a, links.b FROM walk JOIN links ON walk.b = links.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM w JOIN (SELECT a, min(b) AS component_id FROM walk GROUP BY a) c ON c.a = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express on whole tables; the others are tested against plain versions."""
+    return {"op1_embedding_dedup": _OP1, "op3_ngram_jaccard": _OP3}
