@@ -158,6 +158,7 @@ class Reader:
                 out.update(got)
         for m in _SPACED.findall(low):
             words = restore(m, self.model).split()
+            words.append("".join(words))  # spaced-out letters of one long word may have been parted
             out.update(words if self.of is None else ((w, v) for w in words if (v := self.of(w)) > 0))
         return out, len(tokens)
 
