@@ -35,6 +35,8 @@ LEADERS = 3
 FREQUENT = 1 << 20
 #: Documents to verify up to which their ids are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Added to the size of a set whose first shingles have equal codes among them.
+LOOSE = 1 << 31
 
 
 def sets_of(column: pa.Array, k: int):
@@ -132,7 +134,10 @@ def _ranges(batches, types):
 
 
 def buckets(docs: DataFrame, k: int, bits: int, frequent, num: int, den: int) -> DataFrame:
-    """(bucket, node, n, place, size): nodes that share a first shingle, for all such shingles of two nodes or more."""
+    """(bucket, node, n, place, loose, size): nodes that share a first shingle, for all such shingles of two nodes or more.
+
+    ``loose`` nodes have first shingles of equal code, so their rows do not count their first shingles.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def deal(batches):
@@ -164,7 +169,8 @@ def buckets(docs: DataFrame, k: int, bits: int, frequent, num: int, den: int) ->
                 first = code[: n - -(-num * n // den) + 1].copy()
                 # each shingle's place, in 255ths of the set and rounded down
                 place = (np.arange(len(first)) * 255 // n).astype(np.uint8)
-                held.append((first, np.full(len(first), key, np.int64), np.full(len(first), n, np.uint32), place))
+                loose = LOOSE if len(np.unique(first)) < len(first) else 0
+                held.append((first, np.full(len(first), key, np.int64), np.full(len(first), n | loose, np.uint32), place))
                 size += len(first)
                 if size > 500_000:
                     yield out()
@@ -192,11 +198,11 @@ def buckets(docs: DataFrame, k: int, bits: int, frequent, num: int, den: int) ->
             many = size[of] > 1 if len(low) else np.zeros(0, bool)
             if not many.any():
                 continue
-            columns = [(np.int64(r) << 32) | low.astype(np.int64), node, n.astype(np.int64), place.astype(np.int32), size[of]]
-            yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in columns], names=["bucket", "node", "n", "place", "size"])
+            columns = [(np.int64(r) << 32) | low.astype(np.int64), node, (n & np.uint32(LOOSE - 1)).astype(np.int64), place.astype(np.int32), n >= LOOSE, size[of]]
+            yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in columns], names=["bucket", "node", "n", "place", "loose", "size"])
 
     dealt = docs.mapInArrow(deal, "range long, low binary, node binary, n binary, place binary").repartition(shuffle_partitions(docs.sparkSession), "range").sortWithinPartitions("range")
-    return dealt.mapInArrow(gather, "bucket long, node long, n long, place int, size long")
+    return dealt.mapInArrow(gather, "bucket long, node long, n long, place int, loose boolean, size long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, described: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -244,13 +250,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     bits = max(10, int(np.ceil(np.log2(max(1, total / PER_RANGE)))))
     frequent = frequent_shingles(docs, k, bits, max(16, -(-total // FREQUENT)))
     found = stored(buckets(docs, k, bits, frequent, num, den), "buckets")
-    # a node's first shingles that no other node has first cannot be shared: what is left bounds its overlaps
+    # of two nodes, the one whose first shingles end earlier in the order shares those only with first ones of the other, so
+    # only with w of them: n - firsts + w of either node, whichever is more, bounds the overlap
     weight = found.groupBy("node").agg(F.count("*").alias("w"))
     firsts = F.col("n") - F.ceil(num * F.col("n") / den) + 1
-    found = found.join(weight, "node").withColumn("most", F.col("n") - firsts + F.col("w"))
+    found = found.join(weight, "node").withColumn("most", F.when(F.col("loose"), F.col("n")).otherwise(F.col("n") - firsts + F.col("w"))).drop("loose")
 
     def fits(n, m, most, most2):
-        return (F.least(n, m) * den >= num * F.greatest(n, m)) & (F.least(most, most2) * (num + den) >= num * (n + m))
+        return (F.least(n, m) * den >= num * F.greatest(n, m)) & (F.greatest(most, most2) * (num + den) >= num * (n + m))
 
     def early(n, m, place, place2):
         # a pair of such sizes that links has its first common shingle among so many first ones of both

@@ -31,6 +31,19 @@ def test_chains_of_near_copies(spark):
     check(spark, texts)
 
 
+def test_longer_and_shorter_copies(spark):
+    rng = random.Random(7)
+    texts = []
+    for t, percent in enumerate((15, 18, 20, 22, 25, 30)):
+        base = [f"w{t}_{i}" for i in range(124 + t)]
+        more = [f"m{t}_{i}" for i in range(len(base) * percent // 100)]
+        texts += [" ".join(base)] * 20 + [" ".join(base + more), " ".join(base[: len(base) - len(more)])]
+        base = [f"v{t}_{i}" for i in range(13)]  # 9 shingles beside 12, no copies
+        texts += [" ".join(base), " ".join(base + [f"n{t}_{i}" for i in range(3)])]
+    rng.shuffle(texts)
+    check(spark, texts)
+
+
 def test_empty_and_odd(spark, docs):
     assert ngramjoin.jaccard_components(docs.limit(0)).count() == 0
     check(spark, TEXTS)
