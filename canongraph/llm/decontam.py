@@ -1,18 +1,23 @@
 """Operator 8. Benchmark decontamination: documents that hold test items, also edited or paraphrased.
 
-Method: rare n-gram seeds. The document frequency of every n-gram of the items is counted over all documents; of each
-stretch of an item its rarest n-gram becomes a seed, so seeds cover the whole item and common phrases are passed over.
-A document's passage around a seed is aligned with the item by Smith-Waterman over words (match +2, other -1); the
-score is the best local alignment over twice the item's words, 1 for a whole copy.
+Method: rare seeds. An item's seeds are its rarest words, by frequencies counted over all documents. A document's passage around a seed is aligned with the item by Smith-Waterman over words (match +2,
+other -1); the score is the best local alignment over twice the item's words, 1 for a whole copy.
+
+Nothing that reaches the score is passed over. It takes M = ceil(least * L) matches among the item's L words, so of its
+L - M + k rarest words k match or more, however the others were edited: passages with fewer seeds are not looked at. The
+errors are 2 * L * (1 - least) at most, and passages reach as far on both sides. Passages with less than M words of the item,
+repeats counted, are not aligned.
 
 Words are runs of letters and digits (any non-ASCII byte counts as a letter), A-Z lower-cased, compared by 64-bit hash.
-Items with fewer words than an n-gram are searched by all their words in a row; items without words match nothing. Null
+Items of one or two words are searched by all their words in a row; items without words match nothing. Null
 and empty texts hold nothing. Repeated rows give a row each. Items go to the tasks in slices of bounded size, so any number
 of items works; with more than one slice the documents are read once a slice.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,10 +27,10 @@ from canongraph.llm.common import BASE, PUNCTUATION, blocks, mix, raw_bytes, wor
 
 #: Items in a slice at most: bounds what is broadcast.
 SLICE = 100_000
-#: Words of a seed; words of an item that share one seed.
-SEED, STRETCH = 3, 5
-#: Aligned together.
-TOGETHER = 512
+#: Items up to so many words are searched by all of them in a row; seeds that a passage needs, if the item has as many to spare.
+SHORT, SEEDS = 2, 4
+#: Aligned together: pairs, and words of their passages with padding.
+TOGETHER, CELLS = 512, 1 << 18
 
 
 def grams(word: np.ndarray, row: np.ndarray, n: int):
@@ -40,39 +45,49 @@ def grams(word: np.ndarray, row: np.ndarray, n: int):
 
 
 class Items:
-    """Word hashes of items, and their n-grams of ``seed`` words, one of ``stretch`` places to become a seed."""
+    """Word hashes of items, of whose words a share of ``least`` or more must match."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], seed: int = SEED, stretch: int = STRETCH):
-        self.seed, self.stretch = seed, stretch
+    def __init__(self, ids: list[int], texts: list[str | None], least: float):
         data, at = raw_bytes(pa.array(texts, pa.string()))
         word, row, _, _ = words_of(data, at, PUNCTUATION)
         edges = np.searchsorted(row, np.arange(len(texts) + 1))
         self.ids, self.words = np.array(ids, np.int64), [word[a:b] for a, b in zip(edges, edges[1:])]
         self.lengths = np.diff(edges)
-        gram, item, place = [], [], []
+        self.needed = np.array([math.ceil(least * n - 1e-9) for n in self.lengths.tolist()], np.int64)
+        self.bags = [np.unique(w, return_counts=True) for w in self.words]
+        lengths = self.lengths.tolist()
+        self.least = np.array([max(1, min(SEEDS, m)) if n > SHORT else 1 for n, m in zip(lengths, self.needed.tolist())], np.int64)
+        self.rarest = [min(n, n - m + k) if n > SHORT else 0 for n, m, k in zip(lengths, self.needed.tolist(), self.least.tolist())]
+        self.sizes = sorted({n if n <= SHORT else 1 for n in lengths if n})
+
+    def singles(self) -> np.ndarray:
+        """Hashes, sorted, of all words of the items that have rarest words for seeds."""
+        some = [w for w, n in zip(self.words, self.rarest) if n]
+        return np.unique(grams(np.concatenate(some), np.zeros(sum(map(len, some)), np.int64), 1)[0]) if some else np.zeros(0, np.uint64)
+
+    def seeds(self, known: np.ndarray, count: np.ndarray):
+        """(hash, item, place), sorted by hash."""
+        gram, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, w in enumerate(self.words):
-            n = min(seed, len(w))
-            if n:
-                h, a = grams(w, np.zeros(len(w), np.int64), n)
-                gram.append(h)
-                item.append(np.full(len(h), i))
-                place.append(a)
-        none = np.zeros(0, np.int64)
-        self.gram, self.item, self.place = (np.concatenate(x) if x else none for x in (gram, item, place))
-        self.gram = self.gram.astype(np.uint64)
-        self.sizes = sorted({min(seed, int(n)) for n in self.lengths if n})
-
-    def seeds(self, known: np.ndarray, df: np.ndarray):
-        """(hash, item, place), sorted by hash: the rarest n-gram of each stretch of words (ties: the first)."""
-        if not len(self.gram):
-            return self.gram, self.item, self.place
-        rare = df[np.searchsorted(known, self.gram)]
-        part = self.place // self.stretch
-        order = np.lexsort((self.place, rare, part, self.item))
-        i, p = self.item[order], part[order]
-        first = order[np.r_[True, (i[1:] != i[:-1]) | (p[1:] != p[:-1])]]
-        first = first[np.argsort(self.gram[first], kind="stable")]
-        return self.gram[first], self.item[first], self.place[first]
+            row = np.zeros(len(w), np.int64)
+            if not len(w):
+                continue
+            h, a = grams(w, row, len(w) if len(w) <= SHORT else 1)
+            if self.rarest[i]:
+                few = np.argsort(count[np.searchsorted(known, h)], kind="stable")[: self.rarest[i]]
+                h, a = h[few], a[few]
+            gram.append(h)
+            item.append(np.full(len(h), i))
+            place.append(a)
+        gram, item, place = (np.concatenate(x) for x in (gram, item, place))
+        order = np.argsort(gram, kind="stable")
+        return gram[order], item[order], place[order]
+
+    def may_hold(self, i: int, passage: np.ndarray) -> bool:
+        """Whether a passage has as many words of an item as it takes, each as often as the item at most."""
+        word, times = self.bags[i]
+        k = np.minimum(np.searchsorted(word, passage), len(word) - 1)
+        return np.minimum(np.bincount(k[word[k] == passage], minlength=len(word)), times).sum() >= self.needed[i]
 
 
 def _document_words(column: pa.Array):
@@ -86,10 +101,12 @@ def _document_words(column: pa.Array):
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]):
     """Smith-Waterman scores of (item words, passage words) pairs, and the passage words after the best end."""
     score, end = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
-    order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][0]))
-    for x in range(0, len(order), TOGETHER):
-        some = order[x : x + TOGETHER]
-        wide = max(len(pairs[i][1]) for i in some)
+    order = sorted(range(len(pairs)), key=lambda i: (-len(pairs[i][1]), len(pairs[i][0])))
+    x = 0
+    while x < len(order):
+        wide = len(pairs[order[x]][1])
+        some = order[x : x + max(1, min(TOGETHER, CELLS // max(1, wide)))]
+        x += len(some)
         tall = max(len(pairs[i][0]) for i in some)
         passage, item = np.zeros((len(some), wide), np.uint64), np.full((len(some), tall), 1, np.uint64)
         for k, i in enumerate(some):
@@ -125,40 +142,41 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, id_col:
     out = None
     for s in range(slices):
         own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == s).orderBy("item_id").collect()  # about SLICE rows
-        got = _search(docs, Items([r.item_id for r in own], [r.text for r in own]), least)
+        got = _search(docs, Items([r.item_id for r in own], [r.text for r in own], least), least)
         out = got if out is None else out.unionByName(got)
     return out
 
 
 def rare_seeds(docs: DataFrame, items: Items):
-    """The items' seeds, by document frequencies counted over all ``docs`` (doc_id, text)."""
+    """The items' seeds, by frequencies of words counted over all ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    known = np.unique(items.gram)
-    shared = spark.sparkContext.broadcast((known, items.sizes))  # n-grams of one slice of items
+    known = items.singles()
+    if not len(known):
+        return items.seeds(known, np.zeros(0, np.int64))
+    shared = spark.sparkContext.broadcast(known)  # words of one slice of items
 
     def count(batches):
-        known, sizes = shared.value
-        df = np.zeros(len(known), np.int64)
+        known = shared.value
+        n = np.zeros(len(known), np.int64)
         for batch in batches:
             for _, word, row in _document_words(batch.column(1)):
-                for n in sizes:
-                    h, at = grams(word, row, n)
-                    if len(h) and len(known):
-                        k = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                        hit = known[k] == h
-                        pairs = np.unique(np.stack([k[hit], row[at[hit]]]), axis=1)
-                        df += np.bincount(pairs[0], minlength=len(known))
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(df[at])], names=["gram", "n"])
-
-    df = np.zeros(len(known), np.int64)
+                h, _ = grams(word, row, 1)
+                k = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                n += np.bincount(k[known[k] == h], minlength=len(known))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(n[at])], names=["gram", "n"])
+
+    n = np.zeros(len(known), np.int64)
     for r in docs.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        df[r.gram] = r.n
-    return items.seeds(known, df)
+        n[r.gram] = r.n
+    return items.seeds(known, n)
 
 
-def passages(column: pa.Array, items: Items, seeds):
-    """For blocks of rows: lists of (row, item, place of the passage in the row's words) and of the passages' words."""
+def passages(column: pa.Array, items: Items, seeds, reach: np.ndarray):
+    """For blocks of rows: lists of (row, item, place of the passage in the row's words) and of the passages' words.
+
+    Passages go ``reach`` words, given for each item, beyond where its seeds place it.
+    """
     seed, of, place = seeds
     for first, word, row in _document_words(column):
         if not len(row) or not len(seed):
@@ -173,24 +191,26 @@ def passages(column: pa.Array, items: Items, seeds):
             k = np.searchsorted(seed, h[some], "right") - lo
             which = np.repeat(lo, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
             at = np.repeat(at, k)
-            right = np.minimum(items.lengths[of[which]], items.seed) == n  # seeds of this size
-            hits.append((row[at[right]], of[which[right]], at[right] - place[which[right]]))
+            hits.append((row[at], of[which], at - place[which]))
         d, i, diagonal = (np.concatenate(c) for c in zip(*hits))
         if not len(d):
             continue
         order = np.lexsort((diagonal, i, d))
         d, i, diagonal = d[order], i[order], diagonal[order]
-        slack = items.lengths[i] // 4 + 5
+        slack = reach[i]
         new = np.r_[True, (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (diagonal[1:] - diagonal[:-1] > slack[1:])]
         start = np.flatnonzero(new)
         stop = np.r_[start[1:], len(d)] - 1
+        enough = stop - start + 1 >= items.least[i[start]]
+        start, stop = start[enough], stop[enough]
         where, words = [], []
         for a, b in zip(start, stop):
             doc, item, s = int(d[a]), int(i[a]), int(slack[a])
             x = max(int(edges[doc]), int(diagonal[a]) - s)
             y = min(int(edges[doc + 1]), int(diagonal[b]) + int(items.lengths[item]) + s)
-            where.append((first + doc, item, x - int(edges[doc])))
-            words.append(word[x:y])
+            if items.may_hold(item, word[x:y]):
+                where.append((first + doc, item, x - int(edges[doc])))
+                words.append(word[x:y])
         yield where, words
 
 
@@ -199,10 +219,11 @@ def _search(docs: DataFrame, items: Items, least: float) -> DataFrame:
 
     def search(batches):
         items, seeds = shared.value
+        reach = np.array([math.ceil(2 * n * (1 - least)) + 1 for n in items.lengths.tolist()], np.int64)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows = []
-            for where, words in passages(batch.column(1), items, seeds):
+            for where, words in passages(batch.column(1), items, seeds, reach):
                 score, end = align([(items.words[i], w) for (_, i, _), w in zip(where, words)])
                 best: dict[tuple[int, int], tuple[float, int]] = {}
                 for (doc, item, x), v, e in zip(where, score.tolist(), end.tolist()):

@@ -3,7 +3,8 @@
 Method: words that occur once in a passage and once in a template are anchors; the longest increasing subsequence of
 their places orders them, and the gaps between anchors are aligned the same way (where no such word is left, by the
 longest common subsequence of the gap). The share of a template's words that are matched is its coverage. Passages are
-the surroundings of the templates' rarest word pairs, with document frequencies counted over all documents.
+the surroundings of the templates' rarest words, by frequencies counted over all documents: as many that a template covered
+to ``least`` holds several.
 
 Words are runs of letters and digits, A-Z lower-cased. Null and empty texts hold no licence. A document may hold several;
 of several passages for one template the best counts. Repeated rows give rows each.
@@ -101,7 +102,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     """(doc_id, license, coverage, first_word, last_word) of templates covered to ``least`` or more."""
     templates = TEMPLATES if templates is None else templates
     names = sorted(templates)
-    items = Items(list(range(len(names))), [templates[n] for n in names], seed=2, stretch=3)
+    items = Items(list(range(len(names))), [templates[n] for n in names], least)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast((items, rare_seeds(docs, items), names))
 
@@ -112,7 +113,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
             ids = batch.column(0).to_pylist()
             best: dict[tuple[int, int], tuple] = {}
             memo: dict[tuple[int, bytes], list] = {}
-            for where, words in passages(batch.column(1), items, seeds):
+            for where, words in passages(batch.column(1), items, seeds, items.lengths // 4 + 5):
                 for (doc, item, x), w in zip(where, words):
                     key = (item, w.tobytes())
                     if key not in memo:

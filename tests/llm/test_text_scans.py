@@ -90,6 +90,24 @@ def test_alignment_scores():
     assert decontam.align(pairs)[0].tolist() == [smith_waterman(a.tolist(), b.tolist()) for a, b in pairs]
 
 
+def test_contaminated_equals_brute_force(spark):
+    rng = random.Random(11)
+    items = [(i, [f"i{i}n{j}" if j % 3 else f"common{j % 7}" for j in range(n)]) for i, n in enumerate((10, 12, 25, 40, 59))]
+    texts = []
+    for i, w in items:
+        edited = [w, w[:5] + ["x"] + w[6:], w[:6] + ["x"] + w[7:], [y for j, x in enumerate(w) for y in ([x] if j == len(w) - 1 else [x, f"y{j}"])]]
+        for step in (3, 4, 5, 7):
+            edited += [[f"z{j}" if j % step == at else x for j, x in enumerate(w)] for at in (0, step - 1)]  # other words
+            edited += [[y for j, x in enumerate(w) for y in ([x, f"y{j}"] if j % step == 1 else [x])], [x for j, x in enumerate(w) if j % step != 1]]
+        for e in edited:
+            texts.append([f"b{rng.randrange(300)}" for _ in range(rng.randrange(60))] + e + [f"common{rng.randrange(7)}" for _ in range(rng.randrange(60))])
+    frame = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    names = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    want = {(d, i): smith_waterman(w, t) / (2 * len(w)) for d, t in enumerate(texts) for i, w in items}
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(frame, names).collect()}
+    assert got == {k: v for k, v in want.items() if v >= 0.5} and len(got) > 80
+
+
 def test_licenses(spark, docs):
     assert licenses.patience(list("abcdxe"), list("abxcde")) in ([(0, 0), (1, 1), (2, 3), (3, 4), (5, 5)], [(0, 0), (1, 1), (4, 2), (5, 5)])
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
@@ -103,3 +121,9 @@ def test_licenses(spark, docs):
         if i in got:
             assert "licen" in flat
     assert licenses.scan(docs).count() == 0 and licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_edited_licenses(spark):
+    short = licenses.TEMPLATES["Apache-2.0"].split()
+    edited = [(0, " ".join(short[:3] + ["a"] + short[4:])), (1, " so ".join(licenses.TEMPLATES["MIT"].split())), (2, " ".join(short))]
+    assert {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(edited, "doc_id long, text string")).collect()} == {(0, "Apache-2.0"), (1, "MIT"), (2, "Apache-2.0")}
