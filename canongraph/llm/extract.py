@@ -73,6 +73,10 @@ class _Lines(HTMLParser):
             if top == tag:
                 return
 
+    def parse_marked_section(self, i, report=1):
+        # as browsers do; the parser's own reading stops at malformed ones
+        return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self.flush()
@@ -127,11 +131,8 @@ class _Lines(HTMLParser):
 
 def lines_of(html: str):
     p = _Lines()
-    try:
-        p.feed(html)
-        p.close()
-    except AssertionError:  # the parser's own complaint about a malformed declaration: keep what came before
-        pass
+    p.feed(html)
+    p.close()
     p.flush()
     return p.lines
 

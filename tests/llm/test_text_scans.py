@@ -53,6 +53,11 @@ def test_main_text(spark):
         assert extract.main_text(r.html) == want
 
 
+def test_main_text_after_odd_declarations():
+    for odd in ("<![foo[", "<![ x", "<![if !IE]", "<![endif]--", "<![CDATA[x]]", "<![", "<![" + "]" * 3):
+        assert extract.main_text(f"<article><p>one two {odd}><p>three four</p></article><p>end").startswith("one two three four")
+
+
 def test_contaminated(spark, docs):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8)))
