@@ -3,7 +3,7 @@
 Method: the standard library's streaming parser turns a page into lines (blocks of text). Each line has a text-to-tag
 ratio: its characters outside links over the tags in it. A Gaussian smooths the ratios along the page, and clustering
 them in two groups gives the threshold above which a line belongs to a content region. What the markup itself says goes
-in as evidence before clustering: lines inside ``article`` or ``main`` gain, lines of menus, headers, footers, sidebars,
+in as evidence before clustering: lines inside ``article`` or ``main`` gain by the share of the text there, lines of menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments are out.
 
 Null or empty html gives an empty text. Pages of any length are parsed whole; broken nesting and pages that end early
@@ -172,13 +172,13 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     ratio = smooth([math.log1p(max(0, len(t) - linked) / max(1, tags)) for t, tags, linked, _ in lines])
-    score = [r + (INSIDE if inside else 0.0) for r, (_, _, _, inside) in zip(ratio, lines)]
-    if any(line[3] for line in lines):
-        # the regions that the markup names are one cluster, all else the other
-        score = [max(s, INSIDE) if line[3] else s for s, line in zip(score, lines)]
-        at = INSIDE
-    else:
-        at = threshold(score)
+    own = [max(0, len(t) - linked) for t, _, linked, _ in lines]
+    within = sum(n for n, line in zip(own, lines) if line[3])
+    # the markup counts by the share of the text that it names
+    gain = INSIDE * within / max(1, sum(own))
+    score = [r + (gain if line[3] else 0.0) for r, line in zip(ratio, lines)]
+    # where it names some, an empty line stands for what is outside: short lines of an article alone are not the other cluster
+    at = threshold([*score, 0.0] if within else score)
     return " ".join(line[0] for s, line in zip(score, lines) if s >= at)
 
 

@@ -53,6 +53,14 @@ def test_main_text(spark):
         assert extract.main_text(r.html) == want
 
 
+def test_main_text_beside_small_article():
+    body = [f"{w} sentence of real words that goes on for a while here. " * 4 for w in ("first", "second", "third", "fourth")]
+    for teaser in ("<article><h3>Also read this</h3></article>", "<main><article><p>A short teaser of another story.</p></article></main>"):
+        for page in (teaser + "".join(f"<p>{b}</p>" for b in body), "".join(f"<div>{b}</div>" for b in body) + teaser):
+            text = extract.main_text("<body><div><a href=a>home</a> <a href=b>news</a></div>" + page + "<div><a href=c>x</a><a href=d>y</a></div></body>")
+            assert all(b.strip() in text for b in body) and "home" not in text
+
+
 def test_main_text_after_odd_declarations():
     for odd in ("<![foo[", "<![ x", "<![if !IE]", "<![endif]--", "<![CDATA[x]]", "<![", "<![" + "]" * 3):
         assert extract.main_text(f"<article><p>one two {odd}><p>three four</p></article><p>end").startswith("one two three four")
