@@ -5,8 +5,9 @@ packing into another, removes the bins that would hold a piece twice, and best-f
 dealt by a hash of their id into shards of bounded size; each shard evolves on several islands, and after each round
 every island sends its elite to the next one. The worst-filled bins of all shards then meet in fewer, new shards.
 
-Nulls and empty texts are documents of the end id alone. Ties and repeated rows need no care: pieces are told apart by
-(id, piece), and rows that repeat a whole document get places of their own. An empty table gives an empty result.
+Nulls and empty texts are documents of the end id alone; a very long text becomes many full pieces. Every row is packed:
+repeated rows, equal and null doc_ids get places of their own, as pieces carry a row number. Ties between packings go by
+island and rank, so equal input packs equally. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canongraph.llm.common import cut
-from canongraph.llm.tokens import encoder, text_groups
+from canongraph.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -35,20 +36,22 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: in
     arrow = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + ([("ids", pa.binary())] if with_ids else []))
 
     def run(batches):
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc = encoder(tokenizer)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_groups(texts):
-                rows = []
-                for doc, raw in zip(ids[a:b], enc.encode(texts[a:b])):
-                    raw += end
-                    n = len(raw) // 4
-                    first = n % capacity or capacity
-                    edges = [0, *range(first, n + 1, capacity)]
-                    for i, (x, y) in enumerate(zip(edges, edges[1:])):
-                        part = raw[4 * x : 4 * y]
-                        rows.append((doc, i, x, y - x, zlib.crc32(part), *((part,) if with_ids else ())))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)
+            docs = batch.column(0)
+            for (a, _), ids, edges in enc.encode_column(batch.column(1), end_id):
+                n = np.diff(edges)
+                pieces = -(-n // capacity)
+                row = np.repeat(np.arange(len(n)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                first = (n - (pieces - 1) * capacity)[row]  # the first piece may be shorter
+                start = np.where(piece == 0, 0, first + (piece - 1) * capacity)
+                length = np.where(piece == 0, first, capacity)
+                raw, at = memoryview(ids.astype("<u4").tobytes()), 4 * (edges[row] + start)
+                parts = [raw[x : x + y] for x, y in zip(at.tolist(), (4 * length).tolist())]
+                columns = [docs.take(pa.array(a + row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array([bytes(x) for x in parts], pa.binary())] if with_ids else []), schema=arrow)
+        enc.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -188,16 +191,13 @@ def _evolve_islands(shards: DataFrame, capacity: int, islands: int, rounds: int,
 
 
 def pack(pieces: DataFrame, capacity: int = 1024, shard_size: int = 4096, islands: int = 2, rounds: int = 2, generations: int = 3, population: int = 4, seed: int = 7) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces (as cut_pieces returns them).
+    """Adds ``sequence_id`` and ``offset`` to pieces (as cut_pieces returns them); further columns are left out.
 
     ``shard_size``: pieces a shard holds on average; it bounds what one task sees. Full pieces make sequences of their
     own; all others are packed. The sequences with most room left in each shard (one in 50, one at least) are opened
     and packed again together with those of other shards.
     """
-    extra = [c for c in pieces.columns if c not in ("doc_id", "piece", "start", "length", "ids_crc32")]
-    if extra:
-        raise ValueError(f"pack() takes pieces without further columns: {extra}")
-    pieces = cut(pieces.withColumn("row_id", F.monotonically_increasing_id()))
+    pieces = cut(pieces.select("doc_id", "piece", "start", "length", "ids_crc32").withColumn("row_id", F.monotonically_increasing_id()))
     full = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.col("row_id")).withColumn("offset", F.lit(0).cast("long"))
     loose = pieces.filter(F.col("length") < capacity)
     n = loose.count()

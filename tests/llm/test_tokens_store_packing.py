@@ -1,8 +1,10 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from canongraph.llm import chunkstore, packing
@@ -15,16 +17,48 @@ WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path
 
 def whole(path, texts, end=2):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [np.array([*x.ids, end], "<u4") for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_parts_give_the_ids_of_the_whole(path, spark):
-    texts = TEXTS + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    odd = ["<|endoftext|> is text", "a<|startoftext|>b <|ENDOFTEXT|>", "'s don't 'LL 're\"'s  't \n's", "a  b\n\n c\t", "1234 x12", "é×÷Ⱥ ŉ", "<| |>", "\x1c\x7f\x85\xa0 x", "e\u0301 İ ſ", "  ", "_a_ 'tis"]
+    texts = odd + TEXTS + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert Encoder(path).encode(texts) == [x[:-1].tobytes() for x in whole(path, texts)]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_any_mixture_of_characters(path):
+    rng, encoder = random.Random(3), Encoder(path)
+    some = ["'s", "'ll", "'RE", "'", "''", " ", "  ", "\n", "\t", "a", "Bc", "é", "É", "×", "÷", "Ⱥ", "ß", "12", "3", "_", "<", "|", "<|endoftext|>", ".", "İ", "漢", "\u0301", "½", "\x85", "\xa0", "ǅ", "\x1c", "ª"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(14))) for _ in range(4000)]
+    assert encoder.encode(texts) == [x[:-1].tobytes() for x in whole(path, texts)]
+
+
+def test_chunks_depend_on_the_document_alone():
+    rng = np.random.default_rng(1)
+    streams = [rng.integers(0, 40_000, n).astype(np.uint32) for n in (1, 15, 16, 64, 65, 3000, 20_000)]
+    streams.append(np.zeros(10_000, np.uint32))
+    edges = np.append(0, np.cumsum([len(x) for x in streams]))
+    together = chunkstore.chunk_edges(np.concatenate(streams), edges)
+    for x, own in zip(streams, together):
+        assert own == chunkstore.chunk_edges(x, np.array([0, len(x)]))[0]
+        sizes = np.diff([0, *own])
+        assert own[-1] == len(x) and sizes.max() <= chunkstore.MOST and (sizes[:-1] >= chunkstore.LEAST).all()
+
+
+def test_damage_is_found(spark, docs, monkeypatch):
+    path = fresh_dir(spark, "store")
+    monkeypatch.setattr(chunkstore, "FANOUT", 4)
+    chunkstore.write_store(docs, path, WORD)
+    told = spark.read.parquet(f"{path}/manifest")
+    assert {(r.level, r.number): r.n_docs for r in told.collect()} == {(0, 0): 4, (0, 1): 4, (0, 2): 3, (1, 0): 11}
+    bad = told.withColumn("root", F.when(F.expr("level = 0 and number = 1"), F.unhex(F.lit("00"))).otherwise(F.col("root")))
+    monkeypatch.setattr(chunkstore, "_stored_manifest", lambda *_: bad)
+    got = {r.doc_id: r.verified for r in chunkstore.read_digests(spark, path).collect()}
+    assert got == {i: not 4 <= i < 8 for i in range(11)}
+
+
 def test_store_gives_back_all_ids(spark, docs):
     path = fresh_dir(spark, "store")
     chunkstore.write_store(docs, path, WORD)
