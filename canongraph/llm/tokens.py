@@ -12,7 +12,7 @@ import json
 import os
 import unicodedata
 from array import array
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from canongraph.llm.common import blocks, raw_bytes
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pre-tokens a worker keeps with their ids at most; all are forgotten then. Bytes of text that are looked at together.
-MEMO, TOGETHER = 600_000, 1 << 22
+MEMO, TOGETHER = 600_000, 1 << 23
 #: The two files' own patterns for pre-tokens.
 _BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_PATTERN = r"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -43,6 +43,7 @@ def _classes() -> np.ndarray:
 
 
 _KIND = _classes()
+_LOWER = np.array([i + 32 if 65 <= i < 91 else i for i in range(256)], np.uint8)
 
 
 def _alphabet() -> dict[int, str]:
@@ -71,7 +72,7 @@ def _contractions(d: np.ndarray, c: np.ndarray, at: np.ndarray, folds: bool) ->
 def segments(d: np.ndarray, c: np.ndarray, at: np.ndarray, folds: bool) -> np.ndarray:
     """Where the pre-tokens of texts d[at[i]:at[i+1]] start; c: the bytes' classes.
 
-    White space that a pattern drops (``folds``) goes with the pre-token after it.
+    White space that a pattern drops (``folds``) goes with the pre-token after it, or makes the last one.
     """
     edge = np.zeros(len(d) + 1, bool)
     edge[at] = True
@@ -114,14 +115,14 @@ class Encoder:
         self.ids, self.first, self.size = array("I"), array("q"), array("q")
 
     def _learn(self, parts: list[bytes]) -> None:
-        """Puts new parts into the memo."""
+        """Puts new parts into the memo, numbered on."""
         keys = parts
-        if self.folds:
-            parts = b"\xff".join([x.lstrip(b" \t\n\v\f\r") for x in parts]).decode("utf-8", "surrogateescape").lower().encode("utf-8", "surrogateescape").split(b"\xff")
         # byte 0xFF is in no UTF-8 text, and its letter stands for itself
+        if self.folds:
+            parts = b"\xff".join(parts).decode("utf-8", "surrogateescape").lower().encode("utf-8", "surrogateescape").split(b"\xff")
         written = b"\xff".join(parts).decode("latin-1").translate(self.letters).split("\xff")
         tokenize = self.tokenize
-        ids = [[t.id for t in tokenize(x)] if x else () for x in written]
+        ids = [[t.id for t in tokenize(x)] for x in written]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         first = np.cumsum(size) - size + len(self.ids)
         self.memo.update(zip(keys, range(len(self.size), len(self.size) + len(keys))))
@@ -133,21 +134,33 @@ class Encoder:
         """Numbers of distinct parts in the memo."""
         if len(self.memo) + len(parts) > MEMO:
             self.forget()
-        new = [x for x in parts if x not in self.memo]
-        if new:
-            self._learn(new)
-        return np.fromiter(map(self.memo.__getitem__, parts), np.int64, len(parts))
+        found = np.fromiter(map(self.memo.get, parts, repeat(-1)), np.int64, len(parts))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = np.arange(len(new)) + len(self.size)
+            self._learn([parts[i] for i in new.tolist()])
+        return found
 
     def _gather(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a row of parts, and how many each part has."""
         coded = parts.dictionary_encode()
-        number = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        first, size = np.frombuffer(self.first, np.int64)[number], np.frombuffer(self.size, np.int64)[number]
+        number, code = self._places(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+        first, size = np.frombuffer(self.first, np.int64)[number][code], np.frombuffer(self.size, np.int64)[number][code]
         ends = np.cumsum(size)
-        return np.frombuffer(self.ids, np.uint32)[np.repeat(first - ends + size, size) + np.arange(ends[-1])], size
+        at = np.repeat(first - ends + size, size)
+        at += np.arange(len(at))
+        return np.frombuffer(self.ids, np.uint32)[at], size
 
     def _plain(self, d: np.ndarray, c: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s = segments(d, c, at, self.folds)
+        if self.folds:  # white space has no ids, and neither has it a part in what is equal
+            kept = c != SPACE
+            place = np.append(0, np.cumsum(kept))
+            d, s, at = _LOWER[d[kept]], place[s], place[at]
+            whole = np.append(s[1:], len(d)) > s
+            s = s[whole]
+            if not len(s):
+                return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
         offsets = np.append(s, len(d)).astype(np.int32)
         ids, size = self._gather(pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(d))]))
         return ids, np.append(0, np.cumsum(size))[np.searchsorted(s, at)]
