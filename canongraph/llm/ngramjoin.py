@@ -1,42 +1,47 @@
 """Operator 3. N-gram Jaccard join: groups of documents by shared word shingles.
 
-Method: vertical partitioning. All shingles have one global order (frequent ones last, then by hash), and its hash side
-is cut into ranges. Two sets whose Jaccard similarity reaches the threshold share a shingle among the first of either
-(prefix filter; with both sizes known, among fewer still), so only those first shingles are dealt out, range by range, to find
-candidate pairs. A candidate's
-overlap is then counted fragment by fragment: each set is cut at the same fragment bounds, the parts of a pair are
-intersected separately, and the partial overlaps are summed per pair.
-
-Equal sets are one node. Within a bucket (documents that share a first shingle) every node is first compared with a few
-leaders, one a round; only nodes of a bucket that this leaves in different components are compared with each other. So groups of
-near copies cost a number of comparisons in proportion to their size, and no link between components is lost.
-
-Sets: distinct 5-word shingles of words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; fewer words make one shingle.
-Null, empty and wordless texts have empty sets and are linked with nothing; a null doc_id takes part like any other and
-cannot name a component. Shingles are 64-bit hashes. Tasks hold one range of first shingles at a time, whose number
-grows with the input.
+Method: vertical partitioning. All shingles have one global order, which is cut into fragments.
+
+1. The first fragment (``FIRST`` of the hash order) of every set is dealt out by ranges. A shingle that no other set holds is
+   lost to every overlap, so a set that counts more of those than its size times one less the threshold links with nothing and goes; equal
+   sets are one node from here on.
+2. The sets that are left are dealt out whole. Ranges count in how many sets each shingle is, and give the shared ones
+   back to their sets: now each set knows its shingles in the global order (rare ones first, then by hash). Two sets that
+   link share a shingle among the first n - ceil(n * threshold) + 1 of either, so these make the buckets.
+3. Candidates of a bucket pass exact bounds on their overlap (sizes, the place of the bucket's shingle in both sets,
+   parity bitmaps) and are verified fragment by fragment: sets are cut at the same bounds of the order, the parts of a pair are
+   intersected separately, and the partial overlaps are summed per pair.
+
+Every bucket first compares its nodes with a leader, a few times; then only nodes of a bucket that are still in different
+components are compared with each other. So a group of near copies costs a number of comparisons in proportion to its size,
+and no link between components is lost.
+
+Sets: distinct 5-word shingles of words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; fewer words make one shingle. Very
+long texts are read whole. Null, empty and wordless texts have empty sets and are linked with nothing; a null doc_id takes part like any other and
+cannot name a component. Repeated rows, equal texts and equal doc_ids with other texts are rows of their own, linked as their sets are; ties name
+the smallest doc_id. An empty table gives an empty result. Further columns are ignored, whatever their names. Shingles
+are 64-bit hashes. Tasks hold one range of shingles at a time, whose number grows with the input; shingles of more sets
+than a range should hold (a bounded number of them) are counted before and never gathered.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canongraph.llm.common import blocks, cut, mix, raw_bytes, shingles_of, shuffle_partitions, stored, words_of
+from canongraph.llm.common import blocks, cut, mix, raw_bytes, shingles_of, shuffle_partitions, small, stored, words_of
 from canongraph.llm.components import components
 
-#: Fragments that verification cuts the order into; shingles of a range that a task holds, about.
-FRAGMENTS, PER_RANGE = 4, 1 << 18
+#: Fragments that verification cuts the order into; share of the order that makes the first one.
+FRAGMENTS, FIRST = 4, 3 / 8
+#: Shingles of a range that a task holds, about; shingles that a task gathers before it sends them.
+PER_RANGE, FLUSH = 1 << 18, 1 << 20
 #: Rounds in which a bucket's nodes are compared with one leader, before all that are still apart are compared.
 LEADERS = 3
-#: Frequent shingles known to every task at most: the count threshold rises with the input to keep this.
-FREQUENT = 1 << 20
-#: Documents to verify up to which their ids are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-#: Added to the size of a set whose first shingles have equal codes among them.
-LOOSE = 1 << 31
+#: Shingles known to every task at most (those of most sets: the count that makes one rises with the input), and the least such count.
+FREQUENT, OFTEN = 1 << 20, 1000
 
 
 def sets_of(column: pa.Array, k: int):
@@ -56,178 +61,310 @@ def set_key(u: np.ndarray) -> int:
     return int(mix(np.array([x.sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(mix(x)) ^ np.uint64(len(u))], np.uint64)).view(np.int64)[0]) if len(u) else 0
 
 
-def describe_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, node)."""
+def _columns(rows, types: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(types), types.values())], names=list(types))
+
+
+def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of runs of equal values."""
+    start = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.zeros(0, np.int64)
+    return start, np.diff(np.r_[start, len(sorted_)])
+
+
+def _by_range(h: np.ndarray, bits: int, *more: np.ndarray):
+    """Splits arrays sorted by hash into (range, bytes, ...) rows."""
+    r = (h >> np.uint64(64 - bits)).astype(np.int64)
+    start, n = _runs(r)
+    return [(int(r[a]), *(x[a : a + k].tobytes() for x in more)) for a, k in zip(start.tolist(), n.tolist())]
+
+
+def _dealt(batches, types):
+    """Of rows (range, kind, arrays, ...) sorted by kind and range: ("row", batch) of kind 0, then (range, arrays)."""
+    now, held = None, []
+
+    def out():
+        return now, [np.concatenate([np.frombuffer(x, t) for x in c]) for c, t in zip(zip(*held), types)]
+
+    for batch in batches:
+        n = int(np.searchsorted(batch.column(1).to_numpy(), 1))
+        if n:
+            yield "row", batch.slice(0, n)
+        rest = batch.slice(n)
+        for row in zip(*(rest.column(i).to_pylist() for i in (0, *range(2, 2 + len(types))))):
+            if row[0] != now:
+                if held:
+                    yield out()
+                now, held = row[0], []
+            held.append(row[1:])
+    if held:
+        yield out()
+
+
+def free(n, num: int, den: int):
+    """How many shingles of a set of n a linked set may lack."""
+    return n + -num * n // den
+
+
+def first_fragment(docs: DataFrame, k: int, bits: int) -> DataFrame:
+    """(kind, doc_id, n, node): kind 0 each document's set size and node; kind 1 shingles of the first fragment that only this node holds."""
+    bound = np.uint64(int(FIRST * 2**64))
+
+    def deal(batches):
+        held, size, seen, count = [], 0, set(), 0
+        types = {"range": pa.int64(), "kind": pa.int32(), "low": pa.binary(), "nodes": pa.binary(), "doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64()}
+
+        def out():
+            h, node = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(h, kind="stable")
+            h, node = h[order], node[order]
+            start, n = _runs(h)
+            # one entry for each shingle; 0 where it is shared
+            h, node = h[start], np.where(n > 1, 0, node[start])
+            low = (h >> np.uint64(32 - bits)).astype(np.uint32)
+            return _columns([(r, 1, x, y, None, None, None) for r, x, y in _by_range(h, bits, low, node)], types)
 
-    def run(batches):
         for batch in batches:
-            n, key = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            ids, rows = batch.column(0).to_pylist(), []
             for i, u in sets_of(batch.column(1), k):
-                n[i], key[i] = len(u), set_key(u)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(key)], names=["doc_id", "n_shingles", "node"])
+                key = set_key(u)
+                count += 1
+                where = (key ^ count * 0x9E3779B97F4A7C15) >> 7 & (1 << bits) - 1  # anywhere
+                rows.append((where, 0, None, None, ids[i], len(u), key))
+                if not len(u) or key in seen:
+                    continue
+                if len(seen) > 300_000:
+                    seen.clear()
+                seen.add(key)
+                u = u[: np.searchsorted(u, bound)]
+                held.append((u, np.full(len(u), key, np.int64)))
+                size += len(u)
+                if size > FLUSH:
+                    yield out()
+                    held, size = [], 0
+            yield _columns(rows, types)
+        if size:
+            yield out()
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
+    def gather(batches):
+        types = {"kind": pa.int32(), "doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64()}
+        held, size = [], 0
 
+        def out():
+            node, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(node), np.int32)), pa.nulls(len(node), pa.int64()), pa.array(n.astype(np.int64)), pa.array(node)], names=list(types))
+
+        for where, found in _dealt(batches, (np.uint32, np.int64)):
+            if where == "row":
+                yield pa.RecordBatch.from_arrays([found.column(i) for i in (1, 4, 5, 6)], names=list(types))
+                continue
+            low, node = found
+            order = np.argsort(low, kind="stable")
+            low, node = low[order], node[order]
+            start, _ = _runs(low)
+            least = np.minimum.reduceat(node, start)
+            own = least[(least == np.maximum.reduceat(node, start)) & (least != 0)]
+            held.append(own)
+            size += len(own)
+            if size > FLUSH:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    types = "range long, kind int, low binary, nodes binary, doc_id long, n long, node long"
+    dealt = docs.mapInArrow(deal, types).repartition(shuffle_partitions(docs.sparkSession), "range").sortWithinPartitions("kind", "range")
+    return dealt.mapInArrow(gather, "kind int, doc_id long, n long, node long")
 
-def _codes(h: np.ndarray, bits: int) -> np.ndarray:
-    """The leading bits + 32 bits of hashes: range number and place in it."""
-    return h >> np.uint64(32 - bits)
 
+def whole_sets(docs: DataFrame, k: int) -> DataFrame:
+    """(node, n, b0 to b3, parts): each distinct set, its parity bitmap, and its hashes by fragment."""
+    step = (1 << 64) // FRAGMENTS
+    cuts = np.array([i * step for i in range(1, FRAGMENTS)], np.uint64)
+    types = {"node": pa.int64(), "n": pa.int64(), **{f"b{i}": pa.int64() for i in range(4)}, "parts": pa.list_(pa.binary())}
+
+    def run(batches):
+        for batch in batches:
+            rows, size = [], 0
+            for _, u in sets_of(batch.column(1), k):
+                if len(u):
+                    odd = np.packbits(np.bincount((u & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1)
+                    rows.append((set_key(u), len(u), *odd.view(np.int64).tolist(), [x.tobytes() for x in np.split(u, np.searchsorted(u, cuts))]))
+                    size += len(u)
+                if size > FLUSH:
+                    yield _columns(rows, types)
+                    rows, size = [], 0
+            yield _columns(rows, types)
+
+    def once(batches):
+        last = None
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            new = np.r_[len(node) > 0 and node[0] != last, node[1:] != node[:-1]] if len(node) else np.zeros(0, bool)
+            if len(node):
+                last = node[-1]
+            yield batch.filter(pa.array(new))
 
-def _by_range(code: np.ndarray, *more: np.ndarray):
-    """Splits sorted-by-code arrays into (range, low part, ...) rows of bytes."""
-    r = (code >> np.uint64(32)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(r)) + 1
-    starts, ends = np.r_[0, cuts], np.r_[cuts, len(code)]
-    low = code.astype(np.uint32)
-    rows = [(int(r[a]), low[a:b].tobytes(), *(x[a:b].tobytes() for x in more)) for a, b in zip(starts, ends)] if len(code) else []
-    return rows
+    schema = "node long, n long, b0 long, b1 long, b2 long, b3 long, parts array<binary>"
+    return docs.select("doc_id", "text").mapInArrow(run, schema).repartition(shuffle_partitions(docs.sparkSession), "node").sortWithinPartitions("node").mapInArrow(once, schema)
 
 
-def frequent_shingles(docs: DataFrame, k: int, bits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and document counts of shingles in ``least`` documents or more, counted over all documents."""
+def _hashes(parts) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), np.uint64)
+
+
+def frequent_shingles(sets: DataFrame, bits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in ``least`` sets or more, sorted, and in how many: at most the sum of all sizes over ``least``."""
 
     def deal(batches):
         held, size = [], 0
 
         def out():
-            rows = _by_range(np.sort(np.concatenate(held)))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary())], names=["range", "low"])
+            h = np.sort(np.concatenate(held))
+            start, n = _runs(h)
+            return _columns([(r, 1, x, y) for r, x, y in _by_range(h[start], bits, h[start], n.astype(np.uint32))], {"range": pa.int64(), "kind": pa.int32(), "h": pa.binary(), "n": pa.binary()})
 
         for batch in batches:
-            for _, u in sets_of(batch.column(1), k):
-                held.append(_codes(u, bits))
-                size += len(u)
-                if size > 1_500_000:
+            for parts in batch.column(0).to_pylist():
+                held.append(_hashes(parts))
+                size += len(held[-1])
+                if size > FLUSH:
                     yield out()
                     held, size = [], 0
         if size:
             yield out()
 
     def count(batches):
-        for r, (low,) in _ranges(batches, (np.uint32,)):
-            low = np.sort(low)
-            start = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-            n = np.diff(np.r_[start, len(low)])
-            hot = n >= least
+        for _, (h, n) in _dealt(batches, (np.uint64, np.uint32)):
+            order = np.argsort(h, kind="stable")
+            h, n = h[order], n[order].astype(np.int64)
+            start, _ = _runs(h)
+            total = np.add.reduceat(n, start)
+            hot = total >= least
             if hot.any():
-                yield pa.RecordBatch.from_arrays([pa.array((np.int64(r) << 32) | low[start[hot]].astype(np.int64)), pa.array(n[hot])], names=["code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[start[hot]].view(np.int64)), pa.array(total[hot])], names=["h", "n"])
 
-    dealt = docs.mapInArrow(deal, "range long, low binary").repartition(shuffle_partitions(docs.sparkSession), "range").sortWithinPartitions("range")
-    found = dealt.mapInArrow(count, "code long, n long").toPandas().sort_values("code")  # at most FREQUENT rows
-    return found["code"].to_numpy(np.int64).astype(np.uint64), found["n"].to_numpy(np.int64)
-
-
-def _ranges(batches, types):
-    """(range, arrays) of rows sorted by range."""
-    now, held = None, []
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = [c[i].as_py() for c in batch.columns]
-            if row[0] != now:
-                if held:
-                    yield now, [np.concatenate([np.frombuffer(x, t) for x in c]) for c, t in zip(zip(*held), types)]
-                now, held = row[0], []
-            held.append(row[1:])
-    if held:
-        yield now, [np.concatenate([np.frombuffer(x, t) for x in c]) for c, t in zip(zip(*held), types)]
+    dealt = sets.select("parts").mapInArrow(deal, "range long, kind int, h binary, n binary").repartition(shuffle_partitions(sets.sparkSession), "range").sortWithinPartitions("range")
+    found = dealt.mapInArrow(count, "h long, n long").toPandas()  # FREQUENT rows at most
+    h, n = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
-def buckets(docs: DataFrame, k: int, bits: int, frequent, num: int, den: int) -> DataFrame:
-    """(bucket, node, n, place, loose, size): nodes that share a first shingle, for all such shingles of two nodes or more.
+def buckets(sets: DataFrame, bits: int, num: int, den: int) -> DataFrame:
+    """(bucket, node, n, place, w, b0 to b3): the first shingles of each set that other sets hold too.
 
-    ``loose`` nodes have first shingles of equal code, so their rows do not count their first shingles.
+    ``place`` is the shingle's number in the set's order, ``w`` how many such rows the node has.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    shared = sets.sparkSession.sparkContext.broadcast(frequent_shingles(sets, bits, max(OFTEN, -(-total // FREQUENT))))
+    own = {"node": pa.int64(), "n": pa.int64(), **{f"b{i}": pa.int64() for i in range(4)}, "h": pa.binary(), "df": pa.binary()}
 
     def deal(batches):
-        codes, counts = shared.value
-        held, size, seen = [], 0, set()
+        known, count = shared.value
+        types = {"range": pa.int64(), "kind": pa.int32(), "hashes": pa.binary(), "nodes": pa.binary(), **own}
+        held, size = [], 0
 
         def out():
-            code, node, n, place = (np.concatenate(c) for c in zip(*held))
-            order = np.argsort(code, kind="stable")
-            rows = _by_range(code[order], node[order], n[order], place[order])
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), *(pa.array([x[i] for x in rows], pa.binary()) for i in (1, 2, 3, 4))], names=["range", "low", "node", "n", "place"])
+            h, node = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(h, kind="stable")
+            h, node = h[order], node[order]
+            return _columns([(r, 1, x, y, *[None] * len(own)) for r, x, y in _by_range(h, bits, h, node)], types)
 
         for batch in batches:
-            for _, u in sets_of(batch.column(1), k):
-                if not len(u):
-                    continue
-                key = set_key(u)
-                if key in seen:
-                    continue
-                if len(seen) > 300_000:
-                    seen.clear()
-                seen.add(key)
-                code = _codes(u, bits)
-                if len(codes):
-                    at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                    df = np.where(codes[at] == code, counts[at], 0)
-                    code = code[np.argsort(df, kind="stable")]
-                n = len(u)
-                first = code[: n - -(-num * n // den) + 1].copy()
-                # each shingle's place, in 255ths of the set and rounded down
-                place = (np.arange(len(first)) * 255 // n).astype(np.uint8)
-                loose = LOOSE if len(np.unique(first)) < len(first) else 0
-                held.append((first, np.full(len(first), key, np.int64), np.full(len(first), n | loose, np.uint32), place))
-                size += len(first)
-                if size > 500_000:
+            rows = []
+            for *head, parts in zip(*(c.to_pylist() for c in batch.columns)):
+                u = _hashes(parts)
+                hot, df = np.zeros(len(u), bool), np.zeros(0, np.int64)
+                if len(known):
+                    k = np.minimum(np.searchsorted(known, u), len(known) - 1)
+                    hot = known[k] == u
+                    df = count[k[hot]]
+                rows.append((head[0] >> 7 & (1 << bits) - 1, 0, None, None, *head, u[hot].tobytes(), df.tobytes()))
+                held.append((u[~hot], np.full(len(u) - len(df), head[0], np.int64)))
+                size += len(held[-1][0])
+                if size > FLUSH:
                     yield out()
                     held, size = [], 0
+            yield _columns(rows, types)
         if size:
             yield out()
 
     def gather(batches):
-        for r, (low, node, n, place) in _ranges(batches, (np.uint32, np.int64, np.uint32, np.uint8)):
-            order = np.argsort(low, kind="stable")
-            twice = low[order]
-            same = np.zeros(len(low), bool)
-            same[1:] |= twice[1:] == twice[:-1]
-            same[:-1] |= twice[1:] == twice[:-1]
-            order = order[same]  # shingles that only one node has go first
-            low, node, n, place = low[order], node[order], n[order], place[order]
-            order = np.lexsort((node, n, low))
-            low, node, n, place = low[order], node[order], n[order], place[order]
-            keep = np.ones(len(low), bool)
-            keep[1:] = (low[1:] != low[:-1]) | (node[1:] != node[:-1])
-            low, node, n, place = low[keep], node[keep], n[keep], place[keep]
-            start = np.flatnonzero(np.r_[True, low[1:] != low[:-1]]) if len(low) else np.zeros(0, np.int64)
-            size = np.diff(np.r_[start, len(low)])
-            of = np.repeat(np.arange(len(start)), size)
-            many = size[of] > 1 if len(low) else np.zeros(0, bool)
-            if not many.any():
+        held, size = [], 0
+
+        def out():
+            node, h, df = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(node, kind="stable")
+            node, h, df = node[order], h[order], df[order]
+            start, n = _runs(node)
+            return _columns([(int(node[a]), *[None] * 5, h[a : a + k].tobytes(), df[a : a + k].tobytes()) for a, k in zip(start.tolist(), n.tolist())], own)
+
+        for where, found in _dealt(batches, (np.uint64, np.int64)):
+            if where == "row":
+                yield found.select(list(own))
                 continue
-            columns = [(np.int64(r) << 32) | low.astype(np.int64), node, (n & np.uint32(LOOSE - 1)).astype(np.int64), place.astype(np.int32), n >= LOOSE, size[of]]
-            yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in columns], names=["bucket", "node", "n", "place", "loose", "size"])
+            h, node = found
+            order = np.argsort(h, kind="stable")
+            h, node = h[order], node[order]
+            _, n = _runs(h)
+            df = np.repeat(n, n)
+            many = df > 1
+            held.append((node[many], h[many], df[many]))
+            size += int(many.sum())
+            if size > FLUSH:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
 
-    dealt = docs.mapInArrow(deal, "range long, low binary, node binary, n binary, place binary").repartition(shuffle_partitions(docs.sparkSession), "range").sortWithinPartitions("range")
-    return dealt.mapInArrow(gather, "bucket long, node long, n long, place int, loose boolean, size long")
+    def prefix(batches):
+        """Rows sorted by node; of a node's rows one has its size."""
+        rows: list[list] = []
+        now, held = None, []
+
+        def close():
+            head = next(x for x in held if x[1] is not None)
+            n = head[1]
+            h = np.frombuffer(b"".join(x[6] for x in held), np.uint64)
+            df = np.frombuffer(b"".join(x[7] for x in held), np.int64)
+            alone = n - len(h)
+            first = free(n, num, den) + 1 - alone
+            if first > 0 and len(h):
+                order = np.lexsort((h, df))[:first]
+                rows.append((h[order].view(np.int64), head, alone, len(order)))
 
+        def out():
+            size = [x[3] for x in rows]
+            head = [np.repeat(np.array([x[1][i] for x in rows], np.int64), size) for i in range(6)]
+            place = np.concatenate([x[2] + np.arange(x[3]) for x in rows])
+            columns = [np.concatenate([x[0] for x in rows]), head[0], head[1], place, np.repeat(np.array(size), size), *head[2:]]
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["bucket", "node", "n", "place", "w", "b0", "b1", "b2", "b3"])
 
-def verify(pairs: DataFrame, docs: DataFrame, described: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose similarity is num / den or more; overlaps are summed over fragments."""
-    spark = docs.sparkSession
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = cut(described.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")))
-    ids = one.select("doc_id")
-    ids = F.broadcast(ids) if one.count() <= BROADCAST_IDS else ids
-
-    def fragment(batches):
-        step = (1 << 64) // FRAGMENTS
         for batch in batches:
-            rows = []
-            for _, u in sets_of(batch.column(1), k):
-                if len(u):
-                    key, cuts = set_key(u), np.searchsorted(u, np.array([i * step for i in range(1, FRAGMENTS)], np.uint64))
-                    rows += [(key, i, len(u), x.tobytes()) for i, x in enumerate(np.split(u, cuts)) if len(x)]
-                if len(rows) > 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["node", "fragment", "n", "part"])
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["node", "fragment", "n", "part"])
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] != now:
+                    if held:
+                        close()
+                    now, held = row[0], []
+                held.append(row)
+            if len(rows) > 2000:
+                yield out()
+        if held:
+            close()
+        if rows:
+            yield out()
 
-    fragments = cut(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(fragment, "node long, fragment int, n long, part binary").dropDuplicates(["node", "fragment"]))
+    n = shuffle_partitions(sets.sparkSession)
+    more = ", ".join(f"{c} {'binary' if c in ('h', 'df') else 'long'}" for c in own)
+    dealt = sets.mapInArrow(deal, f"range long, kind int, hashes binary, nodes binary, {more}").repartition(n, "range").sortWithinPartitions("kind", "range")
+    back = dealt.mapInArrow(gather, more).repartition(n, "node").sortWithinPartitions("node")
+    return back.mapInArrow(prefix, "bucket long, node long, n long, place long, w long, b0 long, b1 long, b2 long, b3 long")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose similarity is num / den or more; overlaps are summed over fragments."""
+    fragments = sets.select("node", "n", F.posexplode("parts").alias("fragment", "part"))
 
     def overlap(batches):
         for batch in batches:
@@ -242,61 +379,68 @@ def verify(pairs: DataFrame, docs: DataFrame, described: DataFrame, k: int, num:
     return sums.filter(F.col("n") * den >= num * (F.col("both") - F.col("n"))).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each document; similarity threshold num / den."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = cut(describe_sets(docs, k))
-    total = described.agg(F.sum("n_shingles")).first()[0] or 0
-    bits = max(10, int(np.ceil(np.log2(max(1, total / PER_RANGE)))))
-    frequent = frequent_shingles(docs, k, bits, max(16, -(-total // FREQUENT)))
-    found = stored(buckets(docs, k, bits, frequent, num, den), "buckets")
-    # of two nodes, the one whose first shingles end earlier in the order shares those only with first ones of the other, so
-    # only with w of them: n - firsts + w of either node, whichever is more, bounds the overlap
-    weight = found.groupBy("node").agg(F.count("*").alias("w"))
-    firsts = F.col("n") - F.ceil(num * F.col("n") / den) + 1
-    found = found.join(weight, "node").withColumn("most", F.when(F.col("loose"), F.col("n")).otherwise(F.col("n") - firsts + F.col("w"))).drop("loose")
-
-    def fits(n, m, most, most2):
-        return (F.least(n, m) * den >= num * F.greatest(n, m)) & (F.greatest(most, most2) * (num + den) >= num * (n + m))
-
-    def early(n, m, place, place2):
-        # a pair of such sizes that links has its first common shingle among so many first ones of both
-        both = F.ceil(num * (n + m) / (num + den))
-        return (place * n <= 255 * (n - both)) & (place2 * m <= 255 * (m - both))
-
-    # buckets of two nodes are pairs; in larger ones, nodes with most shared first shingles lead: an original leads its copies
-    side = F.struct("node", "n", "most", "place")
-    two = found.filter("size = 2").groupBy("bucket").agg(F.min(side).alias("x"), F.max(side).alias("y"))
-    two = two.filter(fits(F.col("x.n"), F.col("y.n"), F.col("x.most"), F.col("y.most")) & early(F.col("x.n"), F.col("y.n"), F.col("x.place"), F.col("y.place"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("w"), "node"))
-    open_ = stored(found.filter("size > 2").drop("size").withColumn("rank", rank).drop("w").withColumn("c", F.col("node")), "open")
-    tested, links = None, None
+def links_of(sets: DataFrame, bits: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between the nodes of ``sets`` that connect all that a link connects."""
+    open_ = stored(buckets(sets, bits, num, den), "buckets")
+    several = open_.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket")
+    open_ = stored(open_.join(several, "bucket", "left_semi").withColumn("c", F.col("node")).withColumn("led", F.lit(False)), "open")
+
+    def may(x: str, y: str):
+        """Exact bounds: a pair that fails one has too small an overlap."""
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+        need = F.ceil(num * (n + m) / (num + den) - 1e-9)
+        differ = sum((F.bit_count(F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}"))) for i in range(1, 4)), F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))))
+        return (F.col(f"{x}.c") != F.col(f"{y}.c")) & (F.least(n, m) * den >= num * F.greatest(n, m)) & (differ <= n + m - 2 * need)
+
+    tested = links = None
     for turn in range(LEADERS + 1):
-        x, y = open_.alias("x"), open_.alias("y")
-        apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")) & fits(F.col("x.n"), F.col("y.n"), F.col("x.most"), F.col("y.most"))
         if turn < LEADERS:
-            found_ = x.filter(F.col("rank") == turn + 1).join(y.filter(F.col("rank") != turn + 1), apart)
-        else:
-            found_ = x.join(y, apart & (F.col("x.node") < F.col("y.node")) & early(F.col("x.n"), F.col("y.n"), F.col("x.place"), F.col("y.place")))
-        pairs = found_.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        if turn == 0:
-            pairs = pairs.unionByName(two).distinct()
+            # an original shares most first shingles: it leads its copies
+            side = F.struct("node", "n", "c", *(f"b{i}" for i in range(4)))
+            lead = open_.filter("not led").groupBy("bucket").agg(F.max_by(side, F.struct("w", "node")).alias("y"))
+            met = open_.select("bucket", F.struct("node", "n", "c", *(f"b{i}" for i in range(4))).alias("x")).join(lead, "bucket").filter(may("x", "y"))
         else:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        new = stored(verify(pairs, docs, described, k, num, den), "links")
+            x, y = open_.alias("x"), open_.alias("y")
+            n, m = F.col("x.n"), F.col("y.n")
+            need = F.ceil(num * (n + m) / (num + den) - 1e-9)
+            # it is enough to meet at the first common shingle: all of the overlap lies from there on in both sets
+            first = (n - F.col("x.place") >= need) & (m - F.col("y.place") >= need)
+            met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & first & may("x", "y"))
+        pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        new = stored(verify(pairs, sets, num, den), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
+        if turn == LEADERS:
+            break
+        # only buckets that still span several components, and have a node that no leader is linked with, go on
         label = components(links)
-        if turn < LEADERS:
-            # only buckets that still span several components go on
-            placed = open_.drop("c").join(label, "node", "left").withColumn("c", F.coalesce("component_id", "node")).drop("component_id")
-            span = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("bucket")
-            open_ = stored(placed.join(span, "bucket", "left_semi"), "open")
-    label = cut(label)
+        placed = open_.drop("c").join(label, "node", "left").withColumn("c", F.coalesce("component_id", "node")).drop("component_id")
+        led = lead.select("bucket", F.col("y.node").alias("node"))
+        led = led.join(label, "node", "left").select("bucket", F.coalesce("component_id", "node").alias("lead_c"))
+        placed = placed.join(led, "bucket", "left").withColumn("led", F.col("led") | F.coalesce(F.col("c") == F.col("lead_c"), F.lit(False))).drop("lead_c")
+        span = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("bucket")
+        open_ = stored(placed.join(span, "bucket", "left_semi"), "open")
+        if not open_.limit(1).count():
+            break
+    return links
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each document; similarity threshold num / den."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    bits = max(12, int(np.ceil(np.log2(max(1, words / PER_RANGE)))))
+    found = stored(first_fragment(docs, k, bits), "fragment")
+    described = found.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node")
+    nodes = cut(described.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n")))
+    alone = found.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("alone"))
+    left = nodes.join(alone, "node", "left").filter(F.coalesce("alone", F.lit(0)) <= F.col("n") - F.ceil(num * F.col("n") / den - 1e-9))
+    ids = cut(left.select(F.col("least").alias("id")).distinct())
+    sets = stored(whole_sets(docs.join(small(ids), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"), k), "sets")
+    label = cut(components(links_of(sets, bits, num, den)))
     # a component is named by its smallest doc_id
-    least = described.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = least.join(label, "node", "left").withColumn("c", F.coalesce("component_id", "node")).select("node", "least", "c")
+    named = nodes.join(label, "node", "left").withColumn("c", F.coalesce("component_id", "node")).select("node", "least", "c")
     names = named.groupBy("c").agg(F.min("least").alias("component_id"))
     named = cut(named.join(names, "c").select("node", "component_id"))
     out = described.join(named, "node", "left")
