@@ -2,12 +2,14 @@
 
 Method: the standard library's streaming parser turns a page into lines (blocks of text). Each line has a text-to-tag
 ratio: its characters outside links over the tags in it. A Gaussian smooths the ratios along the page, and clustering
-them in two groups gives the threshold above which a line belongs to a content region. What the markup itself says goes
-in as evidence before clustering: lines inside ``article`` or ``main`` gain by the share of the text there, lines of menus, headers, footers, sidebars,
+them in two groups gives the threshold above which a line belongs to a content region; a region takes in the few short lines
+between its lines and the headings right before them. What the markup itself says goes in as evidence before clustering:
+lines inside ``article`` or ``main`` gain by the share of the text there, lines of menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments are out.
 
-Null or empty html gives an empty text. Pages of any length are parsed whole; broken nesting and pages that end early
-are read as far as they go. Further columns of the input are ignored.
+Null or empty html gives an empty text, and an empty table an empty result. Repeated rows and page_ids give a row each, and a
+null page_id or url stays null. Pages of any length are parsed whole; broken nesting and pages that end early are read as far
+as they go. Ratios that tie with the threshold are in. Further columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,24 +27,36 @@ BLOCKS = frozenset("address article aside blockquote body br caption center dd d
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold main text.
 OUT = frozenset("head title nav header footer aside form script style noscript template iframe object svg math button select textarea dialog menu canvas audio video map datalist search".split())
-#: Words of class, id or role that mark what is not main text.
-OUT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus disclaimer dialog footer header masthead menu menubar modal nav navbar navigation newsletter notice notices pagination popup popups promo promotion promotions related search share sharing sidebar sidenav skyscraper social sponsor sponsored subscribe subscription toolbar widget".split())
-_TOKEN = re.compile(r"[a-z]+")
+#: Of those, the ones that a page may forget to close before its article.
+LEFT_OPEN = frozenset("nav header footer menu".split())
+#: Words of class, id or role that mark what is not main text: by themselves, or with no words but each other and NEUTRAL ones.
+OUT_WORDS = frozenset("advert adverts advertisement advertising adsense breadcrumb breadcrumbs commentlist complementary consent contentinfo cookie cookies disqus masthead menubar modal nav navbar navigation newsletter pagination popup popups promo sidebar sidenav skyscraper sponsored subscribe toolbar".split())
+WITH_OTHERS = frozenset("ad ads adv banner comment comments dialog disclaimer footer header menu notice notices promotion promotions related search share sharing social sponsor subscription widget".split())
+NEUTRAL = frozenset("area article articles bar block body bottom box btn button buttons container content form global group has icon icons inner is item items js left line links list main media page pages panel post posts reader right row section sections site slot text thread title top unit user users wrap wrapper".split())
+_TOKEN = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Ending tags that a start tag of the key implies, within the same parent.
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 #: Weights of the evidence, in units of the natural log of the ratio.
 INSIDE, WIDTH = 12.0, 1.0
+#: Short lines in a row that a region takes in.
+GAP = 3
 
 
-def _is_out(tag: str, attrs) -> bool:
-    if tag in OUT:
+def _marks_out(name: str) -> bool:
+    words = {w.lower() for w in _TOKEN.findall(name)}
+    if not OUT_WORDS.isdisjoint(words):
         return True
+    return not WITH_OTHERS.isdisjoint(words) and all(w in WITH_OTHERS or w in NEUTRAL or len(w) == 1 for w in words)
+
+
+def _is_out(tag: str, attrs) -> bool:
     for name, value in attrs:
         if name in ("class", "id", "role"):
             # a page's or article's own wrapper may carry such words; only lesser elements are judged by them
-            if value and tag not in ("html", "body", "main") and not OUT_WORDS.isdisjoint(_TOKEN.findall(value.lower())):
+            if value and tag not in ("html", "body", "main") and any(map(_marks_out, value.split())):
                 return True
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
             return True
@@ -52,17 +66,18 @@ def _is_out(tag: str, attrs) -> bool:
 class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []  # text, tags, characters in links, inside article or main
+        self.lines: list[tuple[str, int, int, bool, bool]] = []  # text, tags, characters in links, inside article or main, heading
         self.parts: list[str] = []
         self.tags = self.linked = 0
-        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, out, inside, link
-        self.out = self.inside = self.link = False
+        self.stack: list[tuple[str, str, bool, bool]] = []  # tag, what put it out, inside, link
+        self.out, self.inside, self.link = "", False, False
 
     def flush(self):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, self.tags, self.linked, self.inside))
+                heading = any(x[0] in HEADINGS for x in self.stack[-3:])
+                self.lines.append((text, self.tags, self.linked, self.inside, heading))
             self.parts = []
         self.tags = self.linked = 0
 
@@ -99,11 +114,13 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         self.stack.append((tag, self.out, self.inside, self.link))
-        if not self.out and (tag in OUT or attrs and _is_out(tag, attrs)):
-            self.out = True
         if tag == "article" or tag == "main":
             self.inside = True
-        elif tag == "a":
+            if self.out in LEFT_OPEN:
+                self.out = ""
+        if not self.out:
+            self.out = tag if tag in OUT else "marked" if attrs and _is_out(tag, attrs) else ""
+        if tag == "a":
             self.link = True
 
     def handle_startendtag(self, tag, attrs):
@@ -167,19 +184,37 @@ def threshold(x: list[float]) -> float:
     return (low + high) / 2
 
 
-def main_text(html: str | None) -> str:
+def filled(chosen: list[bool], lines) -> list[bool]:
+    """With the lines of a region that are too short by themselves: up to GAP between two chosen ones, and headings before one."""
+    out, last = list(chosen), None
+    for i, line in enumerate(lines):
+        if not chosen[i]:
+            continue
+        if last is not None and i - last - 1 <= GAP and all(2 * x[2] < len(x[0]) and x[3] == line[3] for x in lines[last + 1 : i]):
+            out[last + 1 : i] = [True] * (i - last - 1)
+        k = i - 1
+        while k >= 0 and not out[k] and lines[k][4] and lines[k][2] == 0:
+            out[k] = True
+            k -= 1
+        last = i
+    return out
+
+
+def main_text(html: str | None, smoothed: bool = True) -> str:
+    """``smoothed``: False leaves the Gaussian out, to see what it does."""
     lines = lines_of(html or "")
     if not lines:
         return ""
-    ratio = smooth([math.log1p(max(0, len(t) - linked) / max(1, tags)) for t, tags, linked, _ in lines])
-    own = [max(0, len(t) - linked) for t, _, linked, _ in lines]
+    ratio = [math.log1p(max(0, len(t) - linked) / max(1, tags)) for t, tags, linked, _, _ in lines]
+    ratio = smooth(ratio) if smoothed else ratio
+    own = [max(0, len(t) - linked) for t, _, linked, _, _ in lines]
     within = sum(n for n, line in zip(own, lines) if line[3])
     # the markup counts by the share of the text that it names
     gain = INSIDE * within / max(1, sum(own))
     score = [r + (gain if line[3] else 0.0) for r, line in zip(ratio, lines)]
     # where it names some, an empty line stands for what is outside: short lines of an article alone are not the other cluster
     at = threshold([*score, 0.0] if within else score)
-    return " ".join(line[0] for s, line in zip(score, lines) if s >= at)
+    return " ".join(line[0] for x, line in zip(filled([s >= at for s in score], lines), lines) if x)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

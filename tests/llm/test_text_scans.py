@@ -61,6 +61,44 @@ def test_main_text_beside_small_article():
             assert all(b.strip() in text for b in body) and "home" not in text
 
 
+LONG = [f"{w} paragraph with many plain words in it, as an article has them, and then some more of the same. " * 3 for w in ("one", "two", "three", "four")]
+
+
+def page_of(*blocks):
+    menu = "<div><a href=a>home</a> <a href=b>news</a> <a href=c>sport</a></div>"
+    return "<body>" + menu + "".join(blocks) + menu + "</body>"
+
+
+def test_main_text_without_article():
+    inner = ["<h2>Heading</h2>", f"<p>{LONG[0]}", f"<div>{LONG[1]}</div>", "<p>Short.</p>", f"<p>{LONG[2]}</p>", "<h3>Another</h3>", f"<p>{LONG[3]}</p>"]
+    want = f"Heading {LONG[0]}{LONG[1]}Short. {LONG[2]}Another {LONG[3]}".strip()
+    assert extract.main_text(page_of(*inner)) == want
+    assert extract.main_text(page_of("<section id=social-history>", *inner, "</section>")) == want
+    assert extract.main_text(page_of(*inner, "<div class='socialShare'>" + LONG[0] + "</div>", "<p class='site-footer ad-slot'>" + LONG[1])) == want
+
+
+def test_main_text_with_elements_left_open():
+    for odd in ("<nav><a href=x>menu</a>", "<header><p>Site", "<nav><ul><li><a href=x>m</a>"):
+        assert extract.main_text(f"<body>{odd}<article><p>{LONG[0]}</p><p>Short.</p></article></body>") == f"{LONG[0]}Short."
+    assert extract.main_text(f"<article><p>{LONG[0]}</p><div class=comments><article>{LONG[1]}</article></div></article>") == LONG[0].strip()
+
+
+def test_smoothing_decides():
+    # a lone long line among links is no region; short lines within a region are
+    links = "".join(f"<li><a href=x{i}>link {i}</a>" for i in range(4))
+    stray = "<ul>" + links + "<li>" + "offer of the day " * 12 + links + "</ul>"
+    page = page_of(stray, *(f"<p>{x}</p>" for x in LONG))
+    assert extract.main_text(page) != extract.main_text(page, smoothed=False)
+    assert extract.main_text(page) == "".join(LONG).strip()
+
+
+def test_main_text_of_odd_tables(spark):
+    frame = spark.createDataFrame([(1, "u", "<p>a", "x"), (1, "u", "<p>a", "y"), (None, None, "<p>a", None)], "page_id long, url string, html string, text string")
+    assert [(r.page_id, r.url, r.text, r.n_chars) for r in extract.extract(frame).collect()] == [(1, "u", "a", 1)] * 2 + [(None, None, "a", 1)]
+    assert extract.extract(frame.limit(0)).count() == 0
+    assert extract.main_text("<article><p>" + "word " * 500_000) == ("word " * 500_000).strip()
+
+
 def test_main_text_after_odd_declarations():
     for odd in ("<![foo[", "<![ x", "<![if !IE]", "<![endif]--", "<![CDATA[x]]", "<![", "<![" + "]" * 3):
         assert extract.main_text(f"<article><p>one two {odd}><p>three four</p></article><p>end").startswith("one two three four")
