@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from canongraph.llm import embdedup
 from tests.llm import brute
@@ -24,6 +25,26 @@ def test_table_and_odd_vectors(spark):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("undecided", [0, 8192])
+def test_many_small_blocks(spark, monkeypatch, undecided):
+    monkeypatch.setattr(embdedup, "BLOCK", 16)
+    monkeypatch.setattr(embdedup, "UNDECIDED", undecided)  # 0: every tile with an open pair is computed again whole
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).tolist(), 0) for i in range(150)]
+    centre = rng.normal(size=8)
+    rows += [(200 + i, (centre + rng.normal(size=8) * 0.02).tolist(), 0) for i in range(120)]  # a dense cell
+    rows += [(400 + i, (centre + rng.normal(size=8) * 0.45).tolist(), 0) for i in range(120)]  # many at the threshold
+    rows += [(600 + i, rows[i % 3][1], 0) for i in range(60)] + [(700 + i, (np.array(rows[i][1]) * 3).tolist(), 0) for i in range(20)]
+    check(spark, rows)
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "b"), (2, [0.0, 1.0], "c"), (2, [1.0, 0.1], "d"), (None, [1.0, 0.0], "e"), (None, None, "f"), (3, [1.0, 0.05], "g")]
+    frame = spark.createDataFrame([(*r, 0, 0) for r in rows], "vec_id long, embedding array<double>, node string, n_links int, kept int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embdedup.near_duplicates(frame).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), None: (0, None, False)}
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     x = embdedup.unit(rng.normal(size=(300, 48)) ** 3)
