@@ -8,25 +8,29 @@ equal windows pick equal anchors at equal places. Consecutive windows of one anc
 by their anchor. A span that occurs twice has all its windows repeated; an anchor that occurs once has none. (2) What
 is left are windows of anchors that recur in different surroundings, mostly at the ends of repeated passages. Each is
 the start of a suffix: sampled splitters range-partition these suffixes by their leading bytes, and buckets sort them
-key by key (leading bytes first, ties by a fingerprint of all ``length`` bytes) and compare neighbours. Splitters are
-compared with whole keys, so equal suffixes share a bucket and none has to be compared across bounds.
+locally by multikey quicksort, eight bytes at a time (sixteen bytes of text, then a fingerprint of all ``length`` bytes), and
+compare neighbours. A run of equal leading bytes may be cut by a splitter: such cuts go by the fingerprint too, so that equal
+suffixes are never on two sides of a bound.
 
 Repeats inside a task are settled there and only one copy travels, so a passage that fills a third of all rows costs each
-bucket one entry a task. Null texts count as empty; texts shorter than ``length`` lose nothing; repeated rows are
-elsewhere to each other. Hashes have 64 bits.
+bucket one entry a task. Spans are equal if the hash of the anchor (32 bits and the range's) and that of the span (64 bits)
+are; suffixes if sixteen bytes and a 64-bit fingerprint are. Rows are told apart by a 64-bit hash of id and text, and
+hashes that two different rows share are drawn again.
+
+Null texts count as empty; texts shorter than ``length`` lose nothing; very long texts are cut into segments that overlap.
+Repeated rows, also those of one doc_id, are elsewhere to each other, so all of their windows go. An empty table gives an empty
+result. Of columns asked for with ``keep``, those called like a column of the result give way to it; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canongraph.llm.common import BASE, blocks, mix, prefix_hash, raw_bytes, shuffle_partitions, stored
+from canongraph.llm.common import BASE, blocks, cut, mix, prefix_hash, raw_bytes, shuffle_partitions, stored
 
 #: Windows looked at together (positions must fit PLACE bits).
 SEGMENT, PLACE = 1 << 20, 22
@@ -220,51 +224,60 @@ def compare_suffixes(docs: DataFrame, asked: DataFrame, length: int) -> DataFram
     n_buckets = max(shuffle_partitions(spark), -(-n // PER_BUCKET))
 
     def suffixes(batch):
-        """(row, place, key, fingerprint) of a batch's windows; a key is the first four bytes and half the fingerprint."""
+        """(row, place, first eight bytes, next eight, fingerprint of ``length`` bytes) of a batch's windows."""
         data, at = raw_bytes(batch.column(1))
         starts, stops = batch.column(2), batch.column(3)
         for i in range(batch.num_rows):
             d = data[at[i] : at[i + 1]]
             a, b = starts[i].values.to_numpy(), stops[i].values.to_numpy()
             k = b - a
-            p = np.repeat(a, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            every = np.repeat(a, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
             sums, down = prefix_hash(d)
-            print_ = mix((sums[p + length] - sums[p]) * down[p])
-            lead = d.astype(np.uint64)
-            lead = (lead[p] << np.uint64(24)) | (lead[p + 1] << np.uint64(16)) | (lead[p + 2] << np.uint64(8)) | lead[p + 3]
-            yield i, p, (lead << np.uint64(32)) | (print_ >> np.uint64(32)), print_.astype(np.uint32)
+            for first in range(0, len(every), FLUSH):
+                p = every[first : first + FLUSH]
+                print_ = mix((sums[p + length] - sums[p]) * down[p])
+                yield i, p, *leading(d, p, length), print_
 
     def sampled(batches):
         for batch in batches:
-            for _, _, key, _ in suffixes(batch):
-                some = key[:: 64].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(some)], names=["key"])
+            for _, _, lead, _, print_ in suffixes(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(x[::64].view(np.int64)) for x in (lead, print_)], names=["lead", "print"])
 
     # a sample for the splitters: balance depends on it, results do not
-    part = texts.filter(F.pmod(F.xxhash64("rid"), F.lit(16)) == 0).mapInArrow(sampled, "key long").limit(50_000).toPandas()["key"].to_numpy(np.int64).view(np.uint64)
-    splitters = np.unique(np.sort(part)[np.linspace(0, len(part) - 1, n_buckets + 1).astype(int)[1:-1]]) if len(part) else np.zeros(0, np.uint64)
+    part = texts.filter(F.pmod(F.xxhash64("rid"), F.lit(16)) == 0).mapInArrow(sampled, "lead long, print long").limit(50_000).toPandas()
+    split, split_print = (part[c].to_numpy(np.int64).view(np.uint64) for c in ("lead", "print"))
+    order = np.lexsort((split_print, split))
+    order = order[np.unique(np.linspace(0, len(order) - 1, n_buckets + 1).astype(int)[1:-1])] if len(order) else order
+    split, split_print = split[order], split_print[order]
 
     def deal(batches):
         held, size = [], 0
 
         def out():
-            rid, p, key, rest = (np.concatenate(c) for c in zip(*held))
-            order = np.lexsort((rest, key))
-            rid, p, key, rest = rid[order], p[order], key[order], rest[order]
-            first, count = _runs(key, rest)
+            rid, p, lead, more, print_ = (np.concatenate(c) for c in zip(*held))
+            # splitters are sorted in: a suffix belongs behind those that do not exceed it
+            is_split = np.r_[np.zeros(len(lead), np.int8), np.ones(len(split), np.int8)]
+            order = np.lexsort((-is_split, np.r_[print_, split_print], np.r_[lead, split]))
+            where = np.cumsum(is_split[order])[is_split[order] == 0]
+            order = order[is_split[order] == 0]
+            rid, p, lead, more, print_ = rid[order], p[order], lead[order], more[order], print_[order]
+            # equal ones are neighbours but for an accident of the fingerprint, which the bucket settles
+            first, count = _runs(lead, print_, more)
             twice = np.repeat(count > 1, count)
             rows = _intervals(rid[twice], p[twice], p[twice] + length, n_buckets)
             flag = (count > 1).astype(np.uint8)
-            rid, p, key, rest = rid[first], p[first], key[first], rest[first]
-            where = np.searchsorted(splitters, key, "right")
+            rid, p, lead, more, print_, where = rid[first], p[first], lead[first], more[first], print_[first], where[first]
             a, k = _runs(where)
-            rows += [(int(where[x]), 1, key[x : x + y].tobytes(), rest[x : x + y].tobytes(), rid[x : x + y].tobytes(), p[x : x + y].astype(np.uint32).tobytes(), flag[x : x + y].tobytes()) for x, y in zip(a, k)]
+            for x, y in zip(a, k):
+                own = slice(x, x + y)
+                words = lead[own].tobytes() + more[own].tobytes()
+                rows.append((int(where[x]), 1, words, print_[own].tobytes(), rid[own].tobytes(), p[own].astype(np.uint32).tobytes(), flag[own].tobytes()))
             return _dealt(rows)
 
         for batch in batches:
             rids = batch.column(0).to_numpy()
-            for i, p, key, rest in suffixes(batch):
-                held.append((np.full(len(p), rids[i], np.int64), p, key, rest))
+            for i, p, *words in suffixes(batch):
+                held.append((np.full(len(p), rids[i], np.int64), p, *words))
                 size += len(p)
                 if size > FLUSH:
                     yield out()
@@ -277,10 +290,12 @@ def compare_suffixes(docs: DataFrame, asked: DataFrame, length: int) -> DataFram
             if where is None:
                 yield held
                 continue
-            key, rest, rid, p, flag = _columns(held, (np.uint64, np.uint32, np.int64, np.uint32, np.uint8))
-            order = sorted_keys(key, rest)
-            key, rest, rid, p, flag = key[order], rest[order], rid[order], p[order].astype(np.int64), flag[order]
-            first, count = _runs(key, rest)
+            lead = np.concatenate([np.frombuffer(x[0], np.uint64)[: len(x[0]) // 16] for x in held])
+            more = np.concatenate([np.frombuffer(x[0], np.uint64)[len(x[0]) // 16 :] for x in held])
+            print_, rid, p, flag = _columns([x[1:] for x in held], (np.uint64, np.int64, np.uint32, np.uint8))
+            order = multikey_quicksort(lead, more, print_)
+            lead, more, print_, rid, p, flag = lead[order], more[order], print_[order], rid[order], p[order].astype(np.int64), flag[order]
+            first, count = _runs(lead, more, print_)
             many = np.repeat((count > 1) | (np.add.reduceat(flag.astype(np.int64), first) > 0), count)
             start, stop, own = merged(p[many], p[many] + length, rid[many])
             yield _found(0, own, start, stop)
@@ -289,19 +304,43 @@ def compare_suffixes(docs: DataFrame, asked: DataFrame, length: int) -> DataFram
     return dealt.mapInArrow(gather, _FOUND)
 
 
-def sorted_keys(*keys: np.ndarray) -> np.ndarray:
-    """Order by several keys, multikey-quicksort fashion: by the first, then each run of ties by the next."""
-    order = np.argsort(keys[0], kind="quicksort")
-    for depth in range(1, len(keys)):
-        ordered = [k[order] for k in keys[:depth]]
-        first, count = _runs(*ordered)
-        ties = np.repeat(count > 1, count)
-        at = np.flatnonzero(ties)
-        if not len(at):
-            break
-        group = np.repeat(np.arange(len(first)), count)[at]
-        inner = np.lexsort((keys[depth][order[at]], group))
-        order[at] = order[at][inner]
+def leading(d: np.ndarray, p: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes 0 to 7 and 8 to 15 of the windows at p as numbers in byte order; 0 where a window is too short for a word."""
+    out = []
+    for k in (0, 8):
+        if length < k + 8:
+            out.append(np.zeros(len(p), np.uint64))
+        else:
+            out.append(np.lib.stride_tricks.sliding_window_view(d, 8)[p + k].copy().view(">u8").ravel().astype(np.uint64))
+    return out[0], out[1]
+
+
+def multikey_quicksort(*words: np.ndarray, few: int = 2048) -> np.ndarray:
+    """The order of strings whose successive words are given, by ternary partitioning on one word at a time.
+
+    Strings that are below, equal to and above a pivot in a word part; equal ones go on to the next word. Runs of up
+    to ``few`` strings are sorted at once.
+    """
+    order = np.arange(len(words[0]))
+    todo = [(0, len(order), 0)]
+    while todo:
+        a, b, depth = todo.pop()
+        own = order[a:b]
+        if b - a <= few:
+            order[a:b] = own[np.lexsort([w[own] for w in words[:depth:-1]] + [words[depth][own]])]
+            continue
+        w = words[depth][own]
+        pivot = np.sort(w[:: max(1, len(w) // 31)])[min(15, (len(w) - 1) // 2)]
+        low, high = w < pivot, w > pivot
+        same = ~(low | high)
+        order[a:b] = np.concatenate([own[low], own[same], own[high]])
+        x, y = a + int(low.sum()), b - int(high.sum())
+        if x > a:
+            todo.append((a, x, depth))
+        if y < b:
+            todo.append((y, b, depth))
+        if depth + 1 < len(words) and y - x > 1:
+            todo.append((x, y, depth + 1))
     return order
 
 
@@ -328,13 +367,30 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     return stored(both.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("x")).mapInArrow(join, "rid long, spans array<struct<start: long, stop: long>>"), "merged")
 
 
+def _row_ids(source: DataFrame, id_col: str) -> DataFrame:
+    """Adds ``__rid``, a 64-bit name of id and text that different rows never share."""
+    out = source
+    for turn in range(8):
+        rid = F.xxhash64(F.lit(turn), F.col(id_col), "__text")
+        out = out.withColumn("__rid", rid if turn == 0 else F.when(F.col("__again"), rid).otherwise(F.col("__rid"))).drop("__again")
+        other = F.xxhash64(F.lit("other"), F.col(id_col), "__text")
+        shared = out.select("__rid", other.alias("o")).groupBy("__rid").agg(F.min("o").alias("low"), F.max("o").alias("high")).filter("low <> high").select("__rid")
+        shared = cut(shared)  # one in 2^65 pairs of rows: a handful even for 10^11 rows
+        if not shared.limit(1).count():
+            return out
+        out = out.join(F.broadcast(shared.withColumn("__again", F.lit(True))), "__rid", "left").withColumn("__again", F.coalesce("__again", F.lit(False)))
+    raise RuntimeError("hashes of rows keep colliding")
+
+
 def deduplicate(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, spans, kept binary) of each row: removed runs and the remaining bytes; ``keep`` names columns to carry instead of the id."""
-    cols = keep or [id_col]
-    source = docs.select(*cols, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).withColumn("rid", F.xxhash64(F.col(id_col), "__text"))
-    spans_ = repeated_spans(source.select("rid", F.col("__text").alias("text")), length)
+    """(doc_id, spans, kept binary, n_bytes) of each row: removed runs and the remaining bytes; ``keep`` names columns to carry instead of the id."""
+    cols = [c for c in keep or [id_col] if c not in ("spans", "kept", "n_bytes")]
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    source = _row_ids(docs.select(*cols, F.col(id_col).alias("__id"), text.alias("__text")), "__id").drop("__id")
+    spans_ = repeated_spans(source.select(F.col("__rid").alias("rid"), F.col("__text").alias("text")), length)
     n = spans_.agg(F.sum(F.size("spans")).alias("n")).first().n or 0
-    joined = source.join(F.broadcast(spans_) if n <= BROADCAST_ROWS else spans_, "rid", "left").drop("rid")
+    spans_ = spans_.select(F.col("rid").alias("__rid"), F.col("spans").alias("__spans"))
+    joined = source.join(F.broadcast(spans_) if n <= BROADCAST_ROWS else spans_, "__rid", "left").select(*cols, "__text", "__spans")
     schema = docs.select(*cols).schema.add("spans", T.ArrayType(T.StructType().add("start", "long").add("stop", "long"))).add("kept", "binary").add("n_bytes", "long")
 
     def run(batches):
@@ -354,6 +410,6 @@ def deduplicate(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text
 
 def digests(docs: DataFrame, length: int = 200, **how) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
-    out = deduplicate(docs, length, **how)
+    out = deduplicate(docs, length, **how).withColumnRenamed(how.get("id_col", "doc_id"), "doc_id")
     n = F.coalesce(F.size("spans"), F.lit(0))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.when(F.col("spans").isNull(), 0).otherwise(n).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
