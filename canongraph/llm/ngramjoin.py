@@ -106,7 +106,8 @@ def free(n, num: int, den: int):
 
 
 def first_fragment(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    """(kind, doc_id, n, node): kind 0 each document's set size and node; kind 1 shingles of the first fragment that only this node holds."""
+    """Rows of kind 0 (doc_id, n, node), each document's set size and node, and of kind 1 (range, nodes, counts): how many
+    shingles of the first fragment only this node holds, for ranges of nodes."""
     bound = np.uint64(int(FIRST * 2**64))
 
     def deal(batches):
@@ -146,16 +147,17 @@ def first_fragment(docs: DataFrame, k: int, bits: int) -> DataFrame:
             yield out()
 
     def gather(batches):
-        types = {"kind": pa.int32(), "doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64()}
+        types = {"kind": pa.int32(), "doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "range": pa.int64(), "nodes": pa.binary(), "counts": pa.binary()}
         held, size = [], 0
 
         def out():
-            node, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(node), np.int32)), pa.nulls(len(node), pa.int64()), pa.array(n.astype(np.int64)), pa.array(node)], names=list(types))
+            node, n = np.unique(np.concatenate(held).view(np.uint64), return_counts=True)
+            return _columns([(1, None, None, None, g, x, y) for g, x, y in _by_range(node, bits, node, n.astype(np.int64))], types)
 
         for where, found in _dealt(batches, (np.uint32, np.int64)):
             if where == "row":
-                yield pa.RecordBatch.from_arrays([found.column(i) for i in (1, 4, 5, 6)], names=list(types))
+                none = [pa.nulls(found.num_rows, t) for t in (pa.int64(), pa.binary(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(found.column(i) for i in (1, 4, 5, 6)), *none], names=list(types))
                 continue
             low, node = found
             order = np.argsort(low, kind="stable")
@@ -173,7 +175,19 @@ def first_fragment(docs: DataFrame, k: int, bits: int) -> DataFrame:
 
     types = "range long, kind int, low binary, nodes binary, doc_id long, n long, node long"
     dealt = docs.mapInArrow(deal, types).repartition(shuffle_partitions(docs.sparkSession), "range").sortWithinPartitions("kind", "range")
-    return dealt.mapInArrow(gather, "kind int, doc_id long, n long, node long")
+    return dealt.mapInArrow(gather, "kind int, doc_id long, n long, node long, range long, nodes binary, counts binary")
+
+
+def alone(found: DataFrame) -> DataFrame:
+    """(node, alone): sums of a first fragment's counts, a range of nodes at a time."""
+
+    def add(batches):
+        for _, (node, n) in _dealt(batches, (np.int64, np.int64)):
+            node, at = np.unique(node, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.bincount(at, n, len(node)).astype(np.int64))], names=["node", "alone"])
+
+    rows = found.filter("kind = 1").select("range", "kind", "nodes", "counts")
+    return rows.repartition(shuffle_partitions(found.sparkSession), "range").sortWithinPartitions("kind", "range").mapInArrow(add, "node long, alone long")
 
 
 def whole_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -257,57 +271,66 @@ def buckets(sets: DataFrame, bits: int, num: int, den: int) -> DataFrame:
     """
     total = sets.agg(F.sum("n")).first()[0] or 0
     shared = sets.sparkSession.sparkContext.broadcast(frequent_shingles(sets, bits, max(OFTEN, -(-total // FREQUENT))))
-    own = {"node": pa.int64(), "n": pa.int64(), **{f"b{i}": pa.int64() for i in range(4)}, "h": pa.binary(), "df": pa.binary()}
+    groups = max(8, int(np.ceil(np.log2(max(1, total / PER_RANGE)))))  # ranges of nodes, in bits
+    types = {"range": pa.int64(), "kind": pa.int32(), "x": pa.binary(), "y": pa.binary(), "z": pa.binary()}
+    HEAD, ENTRY = 0, 1  # within a range of nodes: their sizes and bitmaps; their shared shingles with frequencies
+
+    def by_node(node, *more):
+        """Rows for ranges of nodes."""
+        key = node.view(np.uint64)
+        order = np.argsort(key, kind="stable")
+        return _by_range(key[order], groups, *(x[order] for x in (node, *more)))
 
     def deal(batches):
         known, count = shared.value
-        types = {"range": pa.int64(), "kind": pa.int32(), "hashes": pa.binary(), "nodes": pa.binary(), **own}
-        held, size = [], 0
+        held, hot, heads, size = [], [], [], 0
 
         def out():
+            head = np.array(heads, np.int64)
+            rows = [(g, 0, x, y, None) for g, x, y in by_node(head[:, 0].copy(), head)]
+            if hot:
+                rows += [(g, 0, x, y, z) for g, x, y, z in by_node(*(np.concatenate(c) for c in zip(*hot)))]
             h, node = (np.concatenate(c) for c in zip(*held))
             order = np.argsort(h, kind="stable")
             h, node = h[order], node[order]
-            return _columns([(r, 1, x, y, *[None] * len(own)) for r, x, y in _by_range(h, bits, h, node)], types)
+            rows += [(r, 1, x, y, None) for r, x, y in _by_range(h, bits, h, node)]
+            for c in (held, hot, heads):
+                c.clear()
+            return _columns(rows, types)
 
         for batch in batches:
-            rows = []
             for *head, parts in zip(*(c.to_pylist() for c in batch.columns)):
                 u = _hashes(parts)
-                hot, df = np.zeros(len(u), bool), np.zeros(0, np.int64)
+                heads.append(head)
                 if len(known):
                     k = np.minimum(np.searchsorted(known, u), len(known) - 1)
-                    hot = known[k] == u
-                    df = count[k[hot]]
-                rows.append((head[0] >> 7 & (1 << bits) - 1, 0, None, None, *head, u[hot].tobytes(), df.tobytes()))
-                held.append((u[~hot], np.full(len(u) - len(df), head[0], np.int64)))
-                size += len(held[-1][0])
+                    often = known[k] == u
+                    hot.append((np.full(int(often.sum()), head[0], np.int64), u[often], count[k[often]]))
+                    u = u[~often]
+                held.append((u, np.full(len(u), head[0], np.int64)))
+                size += len(u) + 8
                 if size > FLUSH:
                     yield out()
-                    held, size = [], 0
-            yield _columns(rows, types)
-        if size:
+                    size = 0
+        if heads:
             yield out()
 
     def gather(batches):
         held, size = [], 0
 
         def out():
-            node, h, df = (np.concatenate(c) for c in zip(*held))
-            order = np.argsort(node, kind="stable")
-            node, h, df = node[order], h[order], df[order]
-            start, n = _runs(node)
-            return _columns([(int(node[a]), *[None] * 5, h[a : a + k].tobytes(), df[a : a + k].tobytes()) for a, k in zip(start.tolist(), n.tolist())], own)
+            return _columns([(g, ENTRY, x, y, z) for g, x, y, z in by_node(*(np.concatenate(c) for c in zip(*held)))], types)
 
         for where, found in _dealt(batches, (np.uint64, np.int64)):
             if where == "row":
-                yield found.select(list(own))
+                kind = np.where(found.column(4).is_null().to_numpy(zero_copy_only=False), HEAD, ENTRY).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([found.column(0), pa.array(kind), *(found.column(i) for i in (2, 3, 4))], names=list(types))
                 continue
             h, node = found
             order = np.argsort(h, kind="stable")
             h, node = h[order], node[order]
             _, n = _runs(h)
-            df = np.repeat(n, n)
+            df = np.repeat(n, n).astype(np.int64)
             many = df > 1
             held.append((node[many], h[many], df[many]))
             size += int(many.sum())
@@ -317,48 +340,47 @@ def buckets(sets: DataFrame, bits: int, num: int, den: int) -> DataFrame:
         if size:
             yield out()
 
+    def first_shingles(head, entries):
+        """Of a range of nodes: the rows of their first shingles."""
+        head = head[np.argsort(head[:, 0], kind="stable")]
+        node, h, df = entries
+        order = np.lexsort((h, df, node))
+        node, h = node[order], h[order]
+        at = np.searchsorted(head[:, 0], node)
+        start = np.searchsorted(node, head[:, 0])
+        lone = head[:, 1] - (np.searchsorted(node, head[:, 0], "right") - start)
+        place = lone[at] + np.arange(len(node)) - start[at]
+        first = place <= free(head[:, 1], num, den)[at]
+        at, place = at[first], place[first]
+        w = np.bincount(at, minlength=len(head))[at]
+        columns = [h[first].view(np.int64), *head[at, :2].T, place, w, *head[at, 2:].T]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(np.int64)) for c in columns], names=["bucket", "node", "n", "place", "w", "b0", "b1", "b2", "b3"])
+
     def prefix(batches):
-        """Rows sorted by node; of a node's rows one has its size."""
-        rows: list[list] = []
-        now, held = None, []
-
-        def close():
-            head = next(x for x in held if x[1] is not None)
-            n = head[1]
-            h = np.frombuffer(b"".join(x[6] for x in held), np.uint64)
-            df = np.frombuffer(b"".join(x[7] for x in held), np.int64)
-            alone = n - len(h)
-            first = free(n, num, den) + 1 - alone
-            if first > 0 and len(h):
-                order = np.lexsort((h, df))[:first]
-                rows.append((h[order].view(np.int64), head, alone, len(order)))
+        """Rows sorted by range and kind."""
+        now, head, entries = None, [], []
+        none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
         def out():
-            size = [x[3] for x in rows]
-            head = [np.repeat(np.array([x[1][i] for x in rows], np.int64), size) for i in range(6)]
-            place = np.concatenate([x[2] + np.arange(x[3]) for x in rows])
-            columns = [np.concatenate([x[0] for x in rows]), head[0], head[1], place, np.repeat(np.array(size), size), *head[2:]]
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["bucket", "node", "n", "place", "w", "b0", "b1", "b2", "b3"])
+            return first_shingles(np.concatenate(head), [np.concatenate(c) for c in zip(none, *entries)])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != now:
-                    if held:
-                        close()
-                    now, held = row[0], []
-                held.append(row)
-            if len(rows) > 2000:
-                yield out()
-        if held:
-            close()
-        if rows:
+            for g, kind, x, y, z in zip(*(c.to_pylist() for c in batch.columns)):
+                if g != now:
+                    if head:
+                        yield out()
+                    now, head, entries = g, [], []
+                if kind == HEAD:
+                    head.append(np.frombuffer(y, np.int64).reshape(-1, 6))
+                else:
+                    entries.append((np.frombuffer(x, np.int64), np.frombuffer(y, np.uint64), np.frombuffer(z, np.int64)))
+        if head:
             yield out()
 
     n = shuffle_partitions(sets.sparkSession)
-    more = ", ".join(f"{c} {'binary' if c in ('h', 'df') else 'long'}" for c in own)
-    dealt = sets.mapInArrow(deal, f"range long, kind int, hashes binary, nodes binary, {more}").repartition(n, "range").sortWithinPartitions("kind", "range")
-    back = dealt.mapInArrow(gather, more).repartition(n, "node").sortWithinPartitions("node")
+    rows = "range long, kind int, x binary, y binary, z binary"
+    dealt = sets.mapInArrow(deal, rows).repartition(n, "range").sortWithinPartitions("kind", "range")
+    back = dealt.mapInArrow(gather, rows).repartition(n, "range").sortWithinPartitions("range", "kind")
     return back.mapInArrow(prefix, "bucket long, node long, n long, place long, w long, b0 long, b1 long, b2 long, b3 long")
 
 
@@ -434,8 +456,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     found = stored(first_fragment(docs, k, bits), "fragment")
     described = found.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node")
     nodes = cut(described.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n")))
-    alone = found.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("alone"))
-    left = nodes.join(alone, "node", "left").filter(F.coalesce("alone", F.lit(0)) <= F.col("n") - F.ceil(num * F.col("n") / den - 1e-9))
+    left = nodes.join(alone(found), "node", "left").filter(F.coalesce("alone", F.lit(0)) <= F.col("n") - F.ceil(num * F.col("n") / den - 1e-9))
     ids = cut(left.select(F.col("least").alias("id")).distinct())
     sets = stored(whole_sets(docs.join(small(ids), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"), k), "sets")
     label = cut(components(links_of(sets, bits, num, den)))
