@@ -10,7 +10,9 @@ repeats counted, are not aligned.
 
 Words are runs of letters and digits (any non-ASCII byte counts as a letter), A-Z lower-cased, compared by 64-bit hash.
 Items of one or two words are searched by all their words in a row; items without words match nothing. Null
-and empty texts hold nothing. Repeated rows give a row each. Items go to the tasks in slices of bounded size, so any number
+and empty texts hold nothing; very long texts are searched whole, long passages in overlapping windows. Repeated rows and
+doc_ids, null ones too, give rows each, as do items of one item_id or of a null one; of alignments that tie, the first counts. Empty tables
+give an empty result. Further columns are ignored, whatever their names. Items go to the tasks in slices of bounded size, so any number
 of items works; with more than one slice the documents are read once a slice.
 """
 
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from canongraph.llm.common import BASE, PUNCTUATION, blocks, mix, raw_bytes, words_of
 
-#: Items in a slice at most: bounds what is broadcast.
-SLICE = 100_000
+#: Items in a slice, and bytes of their texts, at most: bounds what is broadcast.
+SLICE, SLICE_BYTES = 100_000, 1 << 25
 #: Items up to so many words are searched by all of them in a row; seeds that a passage needs, if the item has as many to spare.
 SHORT, SEEDS = 2, 4
 #: Aligned together: pairs, and words of their passages with padding.
@@ -51,7 +53,7 @@ class Items:
         data, at = raw_bytes(pa.array(texts, pa.string()))
         word, row, _, _ = words_of(data, at, PUNCTUATION)
         edges = np.searchsorted(row, np.arange(len(texts) + 1))
-        self.ids, self.words = np.array(ids, np.int64), [word[a:b] for a, b in zip(edges, edges[1:])]
+        self.ids, self.words = list(ids), [word[a:b] for a, b in zip(edges, edges[1:])]
         self.lengths = np.diff(edges)
         self.needed = np.array([math.ceil(least * n - 1e-9) for n in self.lengths.tolist()], np.int64)
         self.bags = [np.unique(w, return_counts=True) for w in self.words]
@@ -137,11 +139,12 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, id_col:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("item_id is not null")
-    slices = max(1, -(-items.count() // SLICE))
+    items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
+    n, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    slices = max(1, -(-n // SLICE), -(-(size or 0) // SLICE_BYTES))
     out = None
     for s in range(slices):
-        own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == s).orderBy("item_id").collect()  # about SLICE rows
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == s).orderBy("item_id", "text").collect()  # about SLICE rows
         got = _search(docs, Items([r.item_id for r in own], [r.text for r in own], least), least)
         out = got if out is None else out.unionByName(got)
     return out
@@ -208,9 +211,13 @@ def passages(column: pa.Array, items: Items, seeds, reach: np.ndarray):
             doc, item, s = int(d[a]), int(i[a]), int(slack[a])
             x = max(int(edges[doc]), int(diagonal[a]) - s)
             y = min(int(edges[doc + 1]), int(diagonal[b]) + int(items.lengths[item]) + s)
-            if items.may_hold(item, word[x:y]):
-                where.append((first + doc, item, x - int(edges[doc])))
-                words.append(word[x:y])
+            # seeds close together make one passage; a long one is read in windows that overlap by what an item takes
+            step = int(items.lengths[item]) + 2 * s
+            for z in range(x, max(x + 1, y - step), step):
+                part = word[z : min(z + 2 * step, y)]
+                if items.may_hold(item, part):
+                    where.append((first + doc, item, z - int(edges[doc])))
+                    words.append(part)
         yield where, words
 
 
@@ -230,7 +237,7 @@ def _search(docs: DataFrame, items: Items, least: float) -> DataFrame:
                     v /= 2 * int(items.lengths[item])
                     if v >= least and v > best.get((doc, item), (0.0, 0))[0]:
                         best[doc, item] = (v, x + e)
-                rows += [(ids[doc], int(items.ids[item]), v, e) for (doc, item), (v, e) in best.items()]
+                rows += [(ids[doc], items.ids[item], v, e) for (doc, item), (v, e) in best.items()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["doc_id", "item_id", "score", "matched_end"])
 

@@ -1,15 +1,18 @@
 """Operator 4. Toxicity by noisy-channel restoration and learned word evidence.
 
 Method: obfuscated spellings (leetspeak, letters spaced out, letters repeated) are read as the output of a noisy channel.
-For each such token a lattice of possible characters is decoded by Viterbi under a character trigram language model that
-is counted over all texts. The restored words, with the plain ones, are then scored: each word's toxic rate is estimated
+For each such token a lattice of possible characters is decoded by Viterbi (exactly: the state is the last two characters)
+under a character trigram language model that is counted over all texts. The restored words, with the plain ones, are then scored: each word's toxic rate is estimated
 from labelled texts, backing off from the whole word over its beginnings to the overall rate, and a logistic regression
 over a text's strongest words gives its score.
 
-The language model covers every text. Labels are learned from a sample of the labelled learning rows that is bounded by
+The language model covers every text and holds every trigram of letters found, with its exact count; it grows with the
+letters in use, not with the rows. Labels are learned from a sample of the labelled learning rows that is bounded by
 ``max_labelled``; its words and the model are bounded with it. Labels that are null are ignored; of repeated labels of
-one document the largest counts. Null, empty and wordless texts get the score of a text without evidence. Repeated rows
-are scored each. With no labelled rows of both kinds, every score is the share of toxic ones (0 if there are none).
+one document the largest counts. Null, empty and wordless texts get the score of a text without evidence. Very long texts and
+tokens are read whole, in time that grows with their length. Repeated rows are scored each, and equal texts equally; of readings that tie the first found counts.
+With no labelled rows of both kinds, every score is the share of toxic ones (0 if there are none). An empty table gives an
+empty result. Further columns are ignored; of those asked for with ``keep``, one called ``score`` gives way.
 """
 
 from __future__ import annotations
@@ -25,8 +28,6 @@ from pyspark.sql import functions as F
 from canongraph.llm.common import cut, letter_codes
 from canongraph.llm.tokens import text_groups
 
-#: Buckets of the hashed character model.
-TRI, BI = 1 << 19, 1 << 17
 #: What a written character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c", "<": "c", "¡": "i", "£": "l", "§": "s"}
 GAPS = " .-_*·"
@@ -36,89 +37,130 @@ _RUN = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*·][\w@$!|+€]){3,}(?!\w)")
 
 
-def _tri(a, b, c):
-    return ((a * 961 + b * 31 + c) * 2654435761 >> 9) & (TRI - 1)
+#: Letters of a block up to which trigrams are counted in a dense table; lookups that a worker remembers.
+DENSE, REMEMBERED = 128, 300_000
 
 
-def _bi(a, b):
-    return ((a * 31 + b) * 2654435761 >> 9) & (BI - 1)
+class CharModel:
+    """log P(character | two before it) from counts; 0 stands for a word's edge."""
 
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        """keys: trigrams as (a << 42 | b << 21 | c), sorted."""
+        self.keys, self.counts = keys, counts
+        first = np.flatnonzero(np.r_[True, keys[1:] >> 21 != keys[:-1] >> 21]) if len(keys) else np.zeros(0, np.int64)
+        self.pairs, self.pair_counts = keys[first] >> 21, np.add.reduceat(counts, first) if len(keys) else counts
+        self.memo: dict[int, float] = {}
 
-class CharModel:
-    """log P(character | two before it), from hashed counts; 0 stands for a word's edge."""
+    def __reduce__(self):
+        return CharModel, (self.keys, self.counts)
 
-    def __init__(self, tri: np.ndarray, bi: np.ndarray):
-        self.tri, self.bi = tri, bi
+    @staticmethod
+    def _count(keys, counts, key: int) -> int:
+        i = int(np.searchsorted(keys, key))
+        return int(counts[i]) if i < len(keys) and keys[i] == key else 0
 
     def __call__(self, a: int, b: int, c: int) -> float:
-        return math.log((float(self.tri[_tri(a, b, c)]) + 0.05) / (float(self.bi[_bi(a, b)]) + 5.0))
+        key = a << 42 | b << 21 | c
+        p = self.memo.get(key)
+        if p is None:
+            if len(self.memo) > REMEMBERED:
+                self.memo.clear()
+            p = self.memo[key] = math.log((self._count(self.keys, self.counts, key) + 0.05) / (self._count(self.pairs, self.pair_counts, key >> 21) + 5.0))
+        return p
+
+
+def trigrams(c: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigram keys and counts of texts as letter_codes gives them; nothing is seen across a word's edge."""
+    if not len(c):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    c, row = np.insert(c, start, 0), np.insert(row, start, row[start])  # a text's first word begins like the others
+    ok = (row[2:] == row[:-2]) & ((c[1:-1] != 0) | (c[2:] != 0))
+    present = np.flatnonzero(np.bincount(c))
+    if len(present) > DENSE:
+        first = np.where(c[1:-1] == 0, 0, c[:-2])
+        return np.unique((first << 42 | c[1:-1] << 21 | c[2:])[ok], return_counts=True)
+    # few letters: count in a dense table over their ranks; the edge has rank 0
+    present = np.union1d(present, [0])
+    rank = np.zeros(int(present[-1]) + 1, np.int64)
+    rank[present] = np.arange(len(present))
+    c, n = rank[c], len(present)
+    first = np.where(c[1:-1] == 0, 0, c[:-2])
+    table = np.bincount(((first * n + c[1:-1]) * n + c[2:])[ok], minlength=1)
+    at = np.flatnonzero(table)
+    return present[at // (n * n)] << 42 | present[at // n % n] << 21 | present[at % n], table[at]
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = (np.concatenate(x) for x in zip(*parts))
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(at, counts, len(keys)).astype(np.int64)
 
 
 def char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
-    """Counts trigrams over all texts; Spark sums the tasks' counts, and what reaches the driver is bounded by TRI + BI."""
+    """Counts trigrams over all texts; tasks sum theirs, Spark sums the tasks'. The driver gets a row for each trigram of letters in use."""
 
     def count(batches):
-        tri, bi = np.zeros(TRI, np.int64), np.zeros(BI, np.int64)
+        held, size = [], 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in text_groups(texts, 1_000_000):
                 c, row = letter_codes(texts[a:b])
-                if len(c) < 3:
-                    continue
-                ok = (row[2:] == row[:-2]) & ((c[1:-1] != 0) | (c[2:] != 0))
-                first = np.where(c[1:-1] == 0, 0, c[:-2])  # nothing is seen across a word's edge
-                tri += np.bincount(_tri(first[ok], c[1:-1][ok], c[2:][ok]), minlength=TRI)
-                bi += np.bincount(_bi(first[ok], c[1:-1][ok]), minlength=BI)
-        for kind, x in ((0, tri), (1, bi)):
-            at = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(x[at])], names=["kind", "at", "n"])
-
-    sums = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "kind int, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toPandas()
-    tri, bi = np.zeros(TRI, np.float32), np.zeros(BI, np.float32)
-    for kind, x in ((0, tri), (1, bi)):
-        own = sums[sums["kind"] == kind]
-        x[own["at"].to_numpy()] = own["n"].to_numpy()
-    return CharModel(tri, bi)
-
-
-def restore(token: str, model: CharModel, beam: int = 24) -> str:
+                held.append(trigrams(c, row))
+                size += len(held[-1][0])
+                if size > 2_000_000:
+                    held = [_summed(held)]
+                    size = 0
+                    if len(held[0][0]) > 1_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["key", "n"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(held)], names=["key", "n"])
+
+    sums = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
+    return CharModel(sums["key"].to_numpy(np.int64), sums["n"].to_numpy(np.int64))
+
+
+def ways_of(x: str, last: str) -> list[tuple[str, float]]:
+    """What a written character may stand for, with log weights; "" if nothing was meant, " " for a word's edge."""
+    if x in GAPS:
+        return [("", -0.4), (" ", -1.2)]
+    ways = [(x, -0.02)] if x.isalpha() else []
+    ways += [(c, -0.7) for c in LEET.get(x, "")]
+    if x == last:
+        ways.append(("", -0.3))
+    if not ways or x not in LEET and not x.isalpha():
+        ways.append((" ", -3.0))
+    elif not x.isalpha():
+        ways.append((" ", -4.0))
+    return ways
+
+
+def restore(token: str, model) -> str:
     """The likeliest reading of a written token (Viterbi over its lattice); may hold spaces where gaps part words."""
-    # state: last two characters; value: (log probability, text)
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # state: last two characters; value: log probability, and the characters read as (last, (one before, ...))
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     last = ""
     for x in token:
-        ways: list[tuple[str, float]] = []  # ("" : nothing was meant)
-        if x in GAPS:
-            ways = [("", -0.4), (" ", -1.2)]
-        else:
-            if x.isalpha():
-                ways.append((x, -0.02))
-            ways += [(c, -0.7) for c in LEET.get(x, "")]
-            if x == last:
-                ways.append(("", -0.3))
-            if not ways or x not in LEET and not x.isalpha():
-                ways.append((" ", -3.0))
-            elif not x.isalpha():
-                ways.append((" ", -4.0))
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (p, text) in states.items():
-            for c, q in ways:
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for c, q in ways_of(x, last):
+            o = ord(c) if c else 0
+            for (a, b), (p, read) in states.items():
                 if c == "":
-                    key, value = (a, b), (p + q, text)
+                    key, p, read = (a, b), p + q, read
                 elif c == " ":
-                    if b == 0:
-                        key, value = (0, 0), (p + q, text)
-                    else:
-                        key, value = (0, 0), (p + q + model(a, b, 0), text + " ")
+                    key = (0, 0)
+                    p, read = (p + q, read) if b == 0 else (p + q + model(a, b, 0), (c, read))
                 else:
-                    o = ord(c)
-                    key, value = (b, o), (p + q + model(a if b else 0, b, o), text + c)
-                if key not in new or new[key] < value:
-                    new[key] = value
-        if len(new) > beam:
-            new = dict(sorted(new.items(), key=lambda i: i[1], reverse=True)[:beam])
+                    key, p, read = (b, o), p + q + model(a if b else 0, b, o), (c, read)
+                if key not in new or new[key][0] < p:
+                    new[key] = p, read
         states, last = new, x
-    return max((p + (model(a, b, 0) if b else 0.0), text) for (a, b), (p, text) in states.items())[1].strip()
+    read = max(((p + (model(a, b, 0) if b else 0.0), i, read) for i, ((a, b), (p, read)) in enumerate(states.items())), key=lambda x: (x[0], -x[1]))[2]
+    out = []
+    while read is not None:
+        out.append(read[0])
+        read = read[1]
+    return "".join(out[::-1]).strip()
 
 
 def words_of_token(token: str, model: CharModel) -> set[str]:
@@ -289,7 +331,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, chars: C
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(doc_id, score) of each text, or the columns ``keep`` with a column ``score`` added."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    cols = keep or [id_col]
+    cols = [c for c in keep or [id_col] if c != "score"]
     source = docs.select(*[F.col(c) for c in cols], F.col(text_col).cast("string").alias("__text"))
     schema = docs.select(*cols).schema.add("score", "double")
 

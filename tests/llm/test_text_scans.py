@@ -28,6 +28,144 @@ def test_noisy_channel(spark, docs):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
 
 
+def plain_restore(token, model):
+    """All readings of a token, one by one."""
+    best = (-1e9, "")
+    stack = [(0, "", 0.0, "")]  # place, reading, log probability, character before
+    while stack:
+        i, read, p, last = stack.pop()
+        edge = read[-1:] in ("", " ")
+        a, b = (0, 0) if edge else (ord(read[-2]) if len(read) > 1 and read[-2] != " " else 0, ord(read[-1]))
+        if i == len(token):
+            p += 0.0 if edge else model(a, b, 0)
+            best = max(best, (p, read.strip()))
+            continue
+        for c, q in toxicity.ways_of(token[i], last):
+            if c == "":
+                stack.append((i + 1, read, p + q, token[i]))
+            elif c == " ":
+                stack.append((i + 1, read if edge else read + " ", p + q + (0.0 if edge else model(a, b, 0)), token[i]))
+            else:
+                stack.append((i + 1, read + c, p + q + model(a, b, ord(c)), token[i]))
+    return best
+
+
+def test_viterbi_equals_all_readings(spark):
+    text = "you are an idiot and a moron said the clown with the worthless trash all is lost in glass " * 20
+    chars = toxicity.char_model(spark.createDataFrame([(text,)], "text string"))
+    rng = random.Random(8)
+    for _ in range(150):
+        token = "".join(rng.choice("aliost1!0$5@. ee6+") for _ in range(rng.randrange(1, 9)))
+        want, reading = plain_restore(token, chars)
+        got = toxicity.restore(token, chars)
+        assert got == reading or abs(plain_score(token, got, chars) - want) < 1e-9, token
+
+
+def plain_score(token, reading, model):
+    """The best log probability with which a token is read so."""
+    only = {}
+
+    def go(i, read, last):
+        key = (i, read, last)
+        if key not in only:
+            edge = read[-1:] in ("", " ")
+            a, b = (0, 0) if edge else (ord(read[-2]) if len(read) > 1 and read[-2] != " " else 0, ord(read[-1]))
+            if i == len(token):
+                only[key] = (0.0 if edge else model(a, b, 0)) if read.strip() == reading else -1e9
+            else:
+                steps = []
+                for c, q in toxicity.ways_of(token[i], last):
+                    if c == "" or c == " " and edge:
+                        steps.append(q + go(i + 1, read, token[i]))
+                    else:
+                        steps.append(q + model(a, b, ord(c) if c != " " else 0) + go(i + 1, read + c, token[i]))
+                only[key] = max(steps)
+        return only[key]
+
+    return go(0, "", "")
+
+
+def test_trigram_counts(spark):
+    texts = ["Ab, abc é abc!", None, "", "x", "漢字かな ab" * 3, "".join(chr(0x4E00 + i) for i in range(300))]
+    want = {}
+    for t in texts:
+        for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            c = [0, 0, *map(ord, w), 0]
+            for i in range(2, len(c)):
+                key = (c[i - 2] if i > 2 else 0, c[i - 1], c[i])
+                want[key] = want.get(key, 0) + 1
+    model = toxicity.char_model(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    got = {(int(k) >> 42, int(k) >> 21 & (1 << 21) - 1, int(k) & (1 << 21) - 1): int(n) for k, n in zip(model.keys, model.counts)}
+    assert got == want
+    pairs = {}
+    for (a, b, _), n in want.items():
+        pairs[a, b] = pairs.get((a, b), 0) + n
+    assert all(abs(model(*k) - np.log((n + 0.05) / (pairs[k[:2]] + 5))) < 1e-12 for k, n in want.items())
+
+
+def test_toxicity_equals_a_plain_version_and_odd_rows(spark):
+    rows = [(i, t, "x", 0.5) for i, t in enumerate(["you idiot", "you 1d10t", "nice day", "nice day", None, "", "1 2 3", "a1" * 40_000, "id.io.t " * 3000])]
+    frame = spark.createDataFrame(rows + rows[:2] + [(None, "nice day", "x", 0.5)], "doc_id long, text string, score string, __n double")
+    evidence = {"idiot$": 3.0}.get
+    model = toxicity.Model(toxicity.char_model(frame), Evidence(), np.array([-2.0, 1.0, 0.5, 0.2, 0.1, -0.1]), 0.5)
+
+    def plain(text):
+        low = (text or "").lower()
+        words = {w for t in low.split() for w in toxicity.words_of_token(t, model.chars)}
+        for m in toxicity._SPACED.findall(low):
+            read = toxicity.restore(m, model.chars).split()
+            words |= {*read, "".join(read)}
+        hit = "idiot" in words
+        z = -2.0 + (3.0 if hit else 0.0) - 0.1 * np.log1p(len(set(low.split())))
+        return 1 / (1 + np.exp(-z))
+
+    out = toxicity.score(frame, model, keep=["doc_id", "text", "score"])
+    assert out.columns == ["doc_id", "text", "score"] and out.count() == len(rows) + 3
+    for r in out.collect():
+        assert abs(r.score - plain(r.text)) < 1e-12
+
+
+class Evidence:
+    def __call__(self, word):
+        return 3.0 if word == "idiot" else 0.0
+
+
+def test_languages_equal_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs)
+    rows = docs.select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for r in rows[:80]:
+        letters = [c for c in (r.text or "").lower()]
+        codes = [0]
+        for c in letters:
+            x = ord(c) if c.isalpha() else 0
+            if x or codes[-1]:
+                codes.append(x)
+        if codes[-1]:
+            codes.append(0)
+        counts = np.zeros(langid.DIMS)
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            if b or c and a:
+                counts[((a * 961 + b * 31 + c) * 2654435761 >> 7) & (langid.DIMS - 1)] += 1
+        v = np.log1p(counts) * model.idf
+        if not v.any():
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        cos = [(v @ c) / np.linalg.norm(v) for c in model.centers]
+        assert got[r.doc_id].lang_pred == model.langs[int(np.argmax(cos))] and abs(got[r.doc_id].score - max(cos)) < 1e-5
+
+
+def test_languages_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat", "en", 1), (1, "the cat sat on the mat", "en", 2), (2, "der hund und die katze", "de", 3), (None, "das ist ein haus", "de", 4), (3, None, "en", 5), (4, "123 !", "de", 6), (5, "cat " * 300_000, None, 7)], "doc_id long, text string, lang string, lang_pred int")
+    model = langid.fit(docs)
+    got = sorted((r.doc_id or -1, r.lang_pred) for r in langid.predict(docs, model).collect())
+    assert got == [(-1, "de"), (1, "en"), (1, "en"), (2, "de"), (3, "und"), (4, "und"), (5, "en")]
+    empty = docs.limit(0)
+    assert langid.predict(empty, model).count() == 0 and langid.fit(empty) is None
+    assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
+
+
 def test_language_held_out_and_odd(spark, docs):
     got = op5_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
     assert (got.lang_pred == got.lang).mean() > 0.97
@@ -174,6 +312,65 @@ def test_licenses(spark, docs):
     assert licenses.scan(docs).count() == 0 and licenses.scan(docs.limit(0)).count() == 0
 
 
+def longest_common(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            keep = best[j + 1]
+            best[j + 1] = last + 1 if x == y else max(best[j + 1], best[j])
+            last = keep
+    return best[-1]
+
+
+def plain_words(text):
+    return re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+
+
+def test_licenses_equal_plain_alignment(spark):
+    """Whole documents are aligned with whole licences, without seeds and passages."""
+    rng = random.Random(12)
+    names = ["MIT text", "BSD-3-Clause text", "GPL notice", "Apache-2.0", "zlib text"]
+    texts = []
+    for i in range(30):
+        words = plain_words(licenses.TEMPLATES[names[i % len(names)]])
+        for _ in range(i * len(words) // 90):  # up to a third is edited
+            k = rng.randrange(len(words))
+            words[k : k + 1] = rng.choice([[], [f"e{rng.randrange(99)}"], [words[k], "so"]])
+        texts.append(" ".join([f"a{rng.randrange(500)}" for _ in range(rng.randrange(50))] + words + [f"a{rng.randrange(500)}" for _ in range(rng.randrange(50))]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.license): r.coverage for r in licenses.scan(frame).collect()}
+    for name in names:
+        template = plain_words(licenses.TEMPLATES[name])
+        for d, t in enumerate(texts):
+            best = longest_common(plain_words(t), template) / len(template)
+            found = got.get((d, name), 0.0)
+            assert found <= best + 1e-9
+            if best >= 0.9 or names[d % len(names)] == name and best >= 0.8:  # patience may match a little less than the longest
+                assert found >= best - 0.05 or best - 0.05 < 0.8, (d, name, best, found)
+
+
+def test_licenses_in_odd_rows(spark):
+    line = licenses.TEMPLATES["MIT"]
+    notice = licenses.TEMPLATES["GPL notice"]
+    rows = [(1, line, "a"), (1, line, "b"), (None, line, "c"), (2, (notice + " ") * 400, "d"), (3, "word " * 300_000 + notice + " word" * 300_000, "e"), (4, None, "f"), (5, "", "g")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, license string")
+    got = sorted((r.doc_id or -1, r.license, r.coverage) for r in licenses.scan(frame).collect())
+    assert got == sorted([(1, "MIT", 1.0), (1, "MIT", 1.0), (-1, "MIT", 1.0), (2, "GPL notice", 1.0), (3, "GPL notice", 1.0)])
+    assert licenses.scan(frame, {}).count() == 0
+
+
+def test_contaminated_odd_rows(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, item, "a"), (1, item, "b"), (None, "x " + item, "c"), (2, (item + " ") * 300, "d"), (3, "z " * 200_000 + item, "e"), (4, None, "f")], "doc_id long, text string, item_id string")
+    items = spark.createDataFrame([(7, item, 0), (7, item, 0), (None, "q " + item, 0), (8, None, 0)], "item_id long, text string, doc_id int")
+    got = sorted((r.doc_id or -1, r.item_id or -1, round(r.score, 3)) for r in decontam.contaminated(docs, items).collect())
+    of_item, of_null = [(d, 7, 1.0) for d in (1, 1, -1, 2, 3)] * 2, [(d, -1, round(30 / 31, 3)) for d in (1, 1, -1, 2, 3)]
+    assert got == sorted(of_item + of_null)
+    both = decontam.contaminated(docs, items)
+    assert both.columns == ["doc_id", "item_id", "score", "matched_end"]
+
+
 def test_edited_licenses(spark):
     short = licenses.TEMPLATES["Apache-2.0"].split()
     edited = [(0, " ".join(short[:3] + ["a"] + short[4:])), (1, " so ".join(licenses.TEMPLATES["MIT"].split())), (2, " ".join(short))]
