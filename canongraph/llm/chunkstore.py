@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from canongraph.llm.common import BASE, cut, mix, shuffle_partitions, small
+from canongraph.llm.common import BASE, bound_batches, cut, mix, shuffle_partitions, small
 from canongraph.llm.tokens import encoder
 
 #: Ids under the rolling hash; least, usual and most ids of a chunk.
@@ -144,6 +144,7 @@ def _once(batches):
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes each text, appends ``end_id`` and writes the store to ``path``, a folder that all executors share."""
     spark = docs.sparkSession
+    bound_batches(spark)
     types = "kind string, address binary, n int, ids binary, doc_id long, n_tokens long, addresses array<binary>"
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_split(tokenizer, end_id), types)
     n = shuffle_partitions(spark)

@@ -13,7 +13,20 @@ from pyspark.sql import functions as F
 #: Odd multiplier of the polynomial hashes (mod 2**64); any odd number with mixed bits will do.
 BASE = 0x9E3779B97F4A7C15
 #: Bytes of text that are hashed at once; a longer single text makes a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+#: Bytes that travel between Spark and a Python worker at once, about.
+BATCH_BYTES = 1 << 22
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Has rows go to Python workers in batches of BATCH_BYTES, if the session allows larger ones.
+
+    Spark counts rows by default (and 64 MB): with texts of megabytes that is more than a worker should hold.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int((spark.conf.get(key, None) or "0").rstrip("bB") or 0)
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canongraph.llm.common import BASE, PUNCTUATION, blocks, mix, raw_bytes, words_of
+from canongraph.llm.common import BASE, PUNCTUATION, blocks, bound_batches, mix, raw_bytes, words_of
 
 #: Items in a slice, and bytes of their texts, at most: bounds what is broadcast.
 SLICE, SLICE_BYTES = 100_000, 1 << 25
@@ -137,7 +137,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, id_col:
 
     ``matched_end`` is the number of document words up to where the alignment ends.
     """
-    spark = docs.sparkSession
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
     n, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canongraph.llm.common import cut, stored
+from canongraph.llm.common import bound_batches, cut, stored
 from canongraph.llm.components import components, forest
 
 #: Vectors in a block, about; rows of a tile that are multiplied at once.
@@ -112,6 +112,7 @@ _FOUND = "kind int, a long, b long"
 def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each vector."""
     spark = vectors.sparkSession
+    bound_batches(spark)
     kind = dict(vectors.dtypes)[vector_col]
     value = F.col(vector_col) if kind in ("array<float>", "array<double>") else F.col(vector_col).cast("array<double>")
     every = vectors.groupBy(F.col(id_col).cast("long").alias("vec_id")).agg(F.max(value).alias("v"))

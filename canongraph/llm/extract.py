@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canongraph.llm.common import bound_batches
+
 #: Elements that part blocks.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -220,6 +222,8 @@ def main_text(html: str | None, smoothed: bool = True) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of each page; n_chars counts code points."""
 
+    bound_batches(pages.sparkSession)
+
     def run(batches):
         for batch in batches:
             texts = [main_text(x) for x in batch.column(2).to_pylist()]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canongraph.llm.common import letter_codes
+from canongraph.llm.common import bound_batches, letter_codes
 from canongraph.llm.tokens import text_groups
 
 DIMS = 4096
@@ -88,6 +88,7 @@ class Model:
 
 def fit(docs: DataFrame, clusters: int = 4, per_language: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Learns from all rows with a non-null language; clusters from about ``per_language`` rows of each at most."""
+    bound_batches(docs.sparkSession)
     known = docs.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     n, df = document_frequencies(known)
@@ -129,6 +130,7 @@ def fit(docs: DataFrame, clusters: int = 4, per_language: int = 500, id_col: str
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, rejected): score is the cosine to the nearest centroid."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # centroids: languages x clusters x DIMS floats
 
     def run(batches):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canongraph.llm.common import blocks, cut, mix, raw_bytes, shingles_of, shuffle_partitions, small, stored, words_of
+from canongraph.llm.common import blocks, bound_batches, cut, mix, raw_bytes, shingles_of, shuffle_partitions, small, stored, words_of
 from canongraph.llm.components import components
 
 #: Fragments that verification cuts the order into; share of the order that makes the first one.
@@ -450,6 +450,7 @@ def links_of(sets: DataFrame, bits: int, num: int, den: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document; similarity threshold num / den."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     bits = max(12, int(np.ceil(np.log2(max(1, words / PER_RANGE)))))

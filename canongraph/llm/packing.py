@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canongraph.llm.common import cut
+from canongraph.llm.common import bound_batches, cut
 from canongraph.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -32,6 +32,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: in
 
     ``with_ids`` adds each piece's ids as little-endian uint32 bytes.
     """
+    bound_batches(docs.sparkSession)
     schema = PIECES + (", ids binary" if with_ids else "")
     arrow = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + ([("ids", pa.binary())] if with_ids else []))
 

@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canongraph.llm.common import BASE, blocks, cut, mix, prefix_hash, raw_bytes, shuffle_partitions, stored
+from canongraph.llm.common import BASE, blocks, bound_batches, cut, mix, prefix_hash, raw_bytes, shuffle_partitions, stored
 
 #: Windows looked at together (positions must fit PLACE bits).
-SEGMENT, PLACE = 1 << 20, 22
+SEGMENT, PLACE = 1 << 19, 22
 #: Spans or windows a task gathers before it settles its own repeats and sends the rest.
 FLUSH = 600_000
 #: Bytes of text a range of anchors stands for, about; suffixes in a bucket, about.
@@ -384,6 +384,7 @@ def _row_ids(source: DataFrame, id_col: str) -> DataFrame:
 
 def deduplicate(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(doc_id, spans, kept binary, n_bytes) of each row: removed runs and the remaining bytes; ``keep`` names columns to carry instead of the id."""
+    bound_batches(docs.sparkSession)
     cols = [c for c in keep or [id_col] if c not in ("spans", "kept", "n_bytes")]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = _row_ids(docs.select(*cols, F.col(id_col).alias("__id"), text.alias("__text")), "__id").drop("__id")

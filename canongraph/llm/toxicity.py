@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canongraph.llm.common import cut, letter_codes
+from canongraph.llm.common import bound_batches, cut, letter_codes
 from canongraph.llm.tokens import text_groups
 
 #: What a written character may stand for.
@@ -179,7 +179,7 @@ def words_of_token(token: str, model: CharModel) -> set[str]:
 class Reader:
     """Words of texts with a memo of tokens; keeps only words that ``of`` gives a value."""
 
-    def __init__(self, model: CharModel, of=None, most: int = 200_000):
+    def __init__(self, model: CharModel, of=None, most: int = 120_000):
         self.model, self.of, self.most, self.memo = model, of, most, {}
 
     def _token(self, t: str):
@@ -263,6 +263,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, chars: CharModel | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """docs: all texts (for the language model). labels: the learning rows only."""
     spark = docs.sparkSession
+    bound_batches(spark)
     chars = chars or char_model(docs, text_col)
     rows = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     n = rows.count()
@@ -330,6 +331,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, chars: C
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(doc_id, score) of each text, or the columns ``keep`` with a column ``score`` added."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cols = [c for c in keep or [id_col] if c != "score"]
     source = docs.select(*[F.col(c) for c in cols], F.col(text_col).cast("string").alias("__text"))
