@@ -33,15 +33,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     for name in args.files:
         began = time.time()
         try:
-            raw = gfa.read_lines(spark, name)
-            segments, links, errors = gfa.parse(raw)
-            found = gfa.first_errors(errors).collect()
+            segments, links, errors = gfa.parse(gfa.read_lines(spark, name, numbered=False))
+            wrong = bool(errors.limit(1).count())
         except Exception as e:  # a missing or unreadable file
             print(f"Error opening GFA file {name}: {str(e).splitlines()[0]}", file=sys.stderr)
             return 1
-        if found:
-            print(found[0].message, file=sys.stderr)
-            return 1
+        if wrong:
+            return _fail(spark, name, mode)
         if args.benchmark:
             segments, links = segments.cache(), links.cache()
             s = statistics(segments, links).first()
@@ -60,11 +58,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif not segments.limit(1).count() and not links.limit(1).count():
             print(f"{spark.range(1).select(F.sha2(F.lit(''), 256)).first()[0]}  {name}")  # an empty graph has an empty text
         else:
-            bad = naming.errors(segments, links).collect()
-            print(bad[0].message if bad else "Invalid node identifiers for integer mode", file=sys.stderr)
-            return 1
+            return _fail(spark, name, mode)
     return 0
 
 
+def _fail(spark: SparkSession, name: str, mode: str) -> int:
+    """Prints the first error of a file; only now are its lines numbered."""
+    print(gfa.first_errors(gfa.read_lines(spark, name), mode == "integer").first().message, file=sys.stderr)
+    return 1
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -1,8 +1,8 @@
 """Digests over canonical text: the stable names of graphs.
 
 SHA-2 cannot be put together from partial digests. Many small graphs are aggregated in Catalyst (``listagg`` and
-``sha2``); graphs whose text is longer than ``stream_from`` bytes go through sorted partitions and a streaming hasher
-that holds one line at a time.
+``sha2``). The text of graphs that is longer than ``stream_from`` bytes is sorted by range, so one giant graph is sorted by
+all tasks; its sorted text then goes to one task a graph in chunks, which streams them through the hashers.
 """
 
 from __future__ import annotations
@@ -10,15 +10,19 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canongraph.functions.shared import cut
 from canongraph.operators.canonical import ORDER
 
 #: Name here, name in hashlib, bits for Spark's sha2 (None: hashlib only).
 ALGORITHMS = {"sha224": ("sha224", 224), "sha256": ("sha256", 256), "sha384": ("sha384", 384), "sha512": ("sha512", 512), "sha512_224": ("sha512_224", None), "sha512_256": ("sha512_256", None)}
 #: Bytes of text from which a graph is hashed as a stream.
 STREAM_FROM = 64 << 20
+#: Bytes of sorted text that travel to a hasher as one row.
+CHUNK = 1 << 20
 
 
 def digest_small(lines: DataFrame, algorithms: list[str]) -> DataFrame:
@@ -29,32 +33,45 @@ def digest_small(lines: DataFrame, algorithms: list[str]) -> DataFrame:
 
 
 def digest_stream(lines: DataFrame, algorithms: list[str]) -> DataFrame:
-    """The same by sorted partitions: a graph in one task, one line in memory, all algorithms in one pass."""
+    """The same by range-sorted text in chunks: one graph's chunks in one task, one chunk in memory, all algorithms in one pass."""
+    kind = lines.schema["graph_id"].dataType.simpleString()
+
+    def chunks(batches):
+        part, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ids, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows, held, size = [], [], 0
+            for i, (graph, line) in enumerate(zip(ids, text)):
+                held.append(line)
+                size += len(line)
+                if size >= CHUNK or i + 1 == len(ids) or ids[i + 1] != graph:
+                    rows.append((graph, part, number, b"".join(held)))
+                    number, held, size = number + 1, [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.binary()))], names=["graph_id", "part", "number", "chunk"])
 
     def hasher(batches):
-        now, hashes, started = None, [], False
-        out: list[tuple] = []
+        now, hashes, started, out = None, [], False, []
         for batch in batches:
-            for graph, line in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for graph, chunk in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if not started or graph != now:
-                    if started:
-                        out += [(now, a, h.hexdigest()) for a, h in zip(algorithms, hashes)]
+                    out += [(now, a, h.hexdigest()) for a, h in zip(algorithms, hashes)]
                     now, started = graph, True
                     hashes = [hashlib.new(ALGORITHMS[a][0]) for a in algorithms]
-                data = line.as_buffer()
+                data = chunk.as_buffer()
                 for h in hashes:
                     h.update(data)
             if out:
                 yield _batch(out, batch.schema.field(0).type)
                 out = []
         if started:
-            out += [(now, a, h.hexdigest()) for a, h in zip(algorithms, hashes)]
-            kind = batch.schema.field(0).type
-            yield _batch(out, kind)
+            yield _batch([(now, a, h.hexdigest()) for a, h in zip(algorithms, hashes)], batch.schema.field(0).type)
 
-    kind = lines.schema["graph_id"].dataType.simpleString()
-    ordered = lines.repartition("graph_id").sortWithinPartitions("graph_id", *ORDER)
-    return ordered.select("graph_id", F.col("line").cast("binary").alias("line")).mapInArrow(hasher, f"graph_id {kind}, algorithm string, digest string")
+    # partitions of a range sort are in order, so (part, number) places a chunk
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = lines.select("graph_id", *ORDER, F.col("line").cast("binary").alias("line")).repartitionByRange(n, "graph_id", *ORDER).sortWithinPartitions("graph_id", *ORDER)
+    sorted_ = ordered.select("graph_id", "line").mapInArrow(chunks, f"graph_id {kind}, part int, number long, chunk binary")
+    placed = sorted_.repartition("graph_id").sortWithinPartitions("graph_id", "part", "number")
+    return placed.select("graph_id", "chunk").mapInArrow(hasher, f"graph_id {kind}, algorithm string, digest string")
 
 
 def _batch(rows, kind):
@@ -62,11 +79,12 @@ def _batch(rows, kind):
 
 
 def digests(lines: DataFrame, algorithms: list[str] | None = None, stream_from: int = STREAM_FROM) -> DataFrame:
-    """(graph_id, algorithm, digest) of each graph, by its size."""
+    """(graph_id, algorithm, digest) of each graph, by its size. The lines are computed once and kept in the checkpoint folder."""
+    lines = cut(lines)
     algorithms = algorithms or ["sha256"]
     plain = [a for a in algorithms if ALGORITHMS[a][1]]
     other = [a for a in algorithms if not ALGORITHMS[a][1]]
-    large = lines.groupBy("graph_id").agg(F.sum(F.octet_length("line")).alias("n")).filter(F.col("n") >= stream_from).select("graph_id")
+    large = cut(lines.groupBy("graph_id").agg(F.sum(F.octet_length("line")).alias("n")).filter(F.col("n") >= stream_from).select("graph_id"))
     if not large.limit(1).count():
         out = [digest_small(lines, plain)] if plain else []
         out += [digest_stream(lines, other)] if other else []

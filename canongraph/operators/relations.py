@@ -6,11 +6,13 @@ Search runs level by level as joins of a frontier with the relations; each level
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canongraph.functions.shared import cut
+
 
 def union(*relations: DataFrame) -> DataFrame:
     """Distinct relations of several objects; names are not copied."""
@@ -41,13 +43,6 @@ def same_objects(names_a: DataFrame, relations_a: DataFrame, names_b: DataFrame,
     return not any(x.exceptAll(y).limit(1).count() or y.exceptAll(x).limit(1).count() for x, y in pairs)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
-    return df.checkpoint(eager=True)
-
-
 STEP = "struct<kind: int, node: string>"
 
 
@@ -55,26 +50,38 @@ def shortest_paths(relations: DataFrame, sources: DataFrame, kinds: tuple[int, .
     """(source, node, steps array<struct<kind, node>>) of all nodes reachable from ``sources`` (source), itself included.
 
     Among shortest paths the least sequence of steps wins (subgraph before translation, then by name), as a first-in
-    first-out search over sorted neighbours finds it. With ``targets`` (source, node) search ends when all are found.
+    first-out search over sorted neighbours finds it. With ``targets`` (source, node) only those are returned, and a source
+    is searched no further than its targets ask for. Each level is kept by itself: a level costs what it finds.
     """
-    edges = relations.filter(F.col("kind").isin(list(kinds))).select("kind", "src", "dst").distinct()
-    seen = _cut(sources.select("source").distinct().select("source", F.col("source").alias("node"), F.array().cast(f"array<{STEP}>").alias("steps")))
-    frontier = seen
-    while frontier.limit(1).count():
-        if targets is not None and not targets.join(seen, ["source", "node"], "left_anti").limit(1).count():
-            break
+    edges = cut(relations.filter(F.col("kind").isin(list(kinds))).select("kind", "src", "dst").distinct())
+    wanted = None if targets is None else cut(targets.select("source", "node").distinct())
+    frontier = cut(sources.select("source").distinct().select("source", F.col("source").alias("node"), F.array().cast(f"array<{STEP}>").alias("steps")))
+    levels = [frontier]
+    while True:
+        if wanted is not None:
+            wanted = cut(wanted.join(frontier, ["source", "node"], "left_anti"))
+            frontier = frontier.join(wanted.select("source").distinct(), "source", "left_semi")
         step = F.concat("steps", F.array(F.struct(F.col("kind").cast("int").alias("kind"), F.col("dst").alias("node"))))
         reached = frontier.join(edges, frontier["node"] == edges["src"]).select("source", F.col("dst").alias("node"), step.alias("steps"))
         new = reached.groupBy("source", "node").agg(F.min("steps").alias("steps"))
-        frontier = _cut(new.join(seen, ["source", "node"], "left_anti"))
-        seen = _cut(seen.unionByName(frontier))
-    return seen
+        seen = reduce(DataFrame.unionByName, [x.select("source", "node") for x in levels])
+        frontier = cut(new.join(seen, ["source", "node"], "left_anti"))
+        if not frontier.limit(1).count():
+            break
+        levels.append(frontier)
+    found = reduce(DataFrame.unionByName, levels)
+    return found if targets is None else found.join(targets.select("source", "node").distinct(), ["source", "node"], "left_semi")
+
+
+def _pairs_found(relations: DataFrame, pairs: DataFrame, kinds: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """(source, node, steps) for those of the pairs (src, dst) that have a path."""
+    targets = pairs.filter("src is not null and dst is not null").select(F.col("src").alias("source"), F.col("dst").alias("node"))
+    return shortest_paths(relations, targets.select("source"), kinds, targets)
 
 
 def reachable(relations: DataFrame, pairs: DataFrame, kinds: tuple[int, ...] = (0, 1)) -> DataFrame:
     """pairs: (src, dst), either may be null. Adds ``answer``: whether dst is reachable; true for a name itself, false for null."""
-    sources = pairs.filter("src is not null and dst is not null").select(F.col("src").alias("source"))
-    paths = shortest_paths(relations, sources, kinds).select(F.col("source").alias("src"), F.col("node").alias("dst"), F.lit(True).alias("found"))
+    paths = _pairs_found(relations, pairs, kinds).select(F.col("source").alias("src"), F.col("node").alias("dst"), F.lit(True).alias("found"))
     return pairs.join(paths, ["src", "dst"], "left").select("src", "dst", F.coalesce("found", F.lit(False)).alias("answer"))
 
 
@@ -91,8 +98,7 @@ def describe(relations: DataFrame, pairs: DataFrame, first: str, second: str, co
 
     With ``compat_path_tail`` the last name of a path is the first one again, as older tools print it.
     """
-    both = pairs.select(F.col("src").alias("source")).unionByName(pairs.select(F.col("dst").alias("source"))).filter("source is not null").distinct()
-    paths = shortest_paths(relations, both)
+    paths = _pairs_found(relations, pairs.select("src", "dst").unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
     ahead = paths.select(F.col("source").alias("src"), F.col("node").alias("dst"), F.col("steps").alias("ahead"))
     back = paths.select(F.col("source").alias("dst"), F.col("node").alias("src"), F.col("steps").alias("back"))
     x = pairs.join(ahead, ["src", "dst"], "left").join(back, ["src", "dst"], "left")

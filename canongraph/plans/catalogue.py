@@ -14,8 +14,10 @@ from canongraph.sources import adjacency, gfa, headers
 # -- the same fixtures in SQL ---------------------------------------------------------------------------------------
 
 
-def _base(key: str = "bigint", whole: bool = False) -> str:
-    """CTEs: links, seg, can (canonical edges), lines."""
+def _base(key: str = "bigint", whole: bool = False, prefix: str = "") -> str:
+    """CTEs: links, seg, can (canonical edges), lines. ``prefix``: put before the nodes' names."""
+    if prefix:
+        return _base(key, whole).replace("CAST(l_partkey + 1 AS VARCHAR)", f"'{prefix}' || CAST(l_partkey + 1 AS VARCHAR)")
     graph = "'all'" if whole else "l_orderkey"
     seq = "translate(substr(sha256(CAST(l_partkey AS VARCHAR)), 1, 12), '0123456789abcdef', 'ACGTACGTACGTACGT')"
     seg = f"SELECT DISTINCT 'all' AS graph_id, CAST(p_partkey + 1 AS {key}) AS name, {seq.replace('l_partkey', 'p_partkey')} AS sequence FROM part" if whole else f"SELECT DISTINCT l_orderkey AS graph_id, CAST(l_partkey + 1 AS {key}) AS name, {seq} AS sequence FROM lineitem"
@@ -38,7 +40,7 @@ _REL = """rel AS (SELECT 0 AS kind, 'n' || n_nationkey AS src, 'r' || n_regionke
 #: Objects: every supplier, named by itself, with the relations that leave it or its nation.
 _OBJ = f"""{_REL}, obj AS (SELECT 's' || s_suppkey AS obj_id, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 's' || s_suppkey END AS name, 'n' || s_nationkey AS nat FROM supplier),
 orel AS (SELECT obj_id, kind, src, dst FROM obj JOIN rel ON rel.src = obj.obj_id OR rel.src = obj.nat)"""
-_TAGS = f"""{_OBJ} SELECT obj_id, 'pggname' AS key, name AS value FROM obj WHERE name IS NOT NULL UNION ALL
+_TAGS = f"""{_OBJ} SELECT obj_id, 'name' AS key, name AS value FROM obj WHERE name IS NOT NULL UNION ALL
 SELECT obj_id, CASE kind WHEN 0 THEN 'subgraph' ELSE 'translation' END, string_agg(src || ',' || dst, ';' ORDER BY src, dst) FROM orel GROUP BY obj_id, kind"""
 _PAIRS = "SELECT a.n AS src, b.n AS dst FROM (SELECT 'n' || n_nationkey AS n FROM nation UNION ALL SELECT 'r' || r_regionkey FROM region) a, (SELECT 'r' || r_regionkey AS n FROM region) b"
 _PATHS = f"""WITH RECURSIVE {_REL}, src AS (SELECT 'n' || n_nationkey AS n FROM nation UNION ALL SELECT 'r' || r_regionkey FROM region),
@@ -113,6 +115,54 @@ def _names_auto(spark, sf):
     return naming.stable_names(X.order_segments(spark, sf, "string"), X.order_links(spark, sf, "string"))
 
 
+def _fallback(spark, sf):
+    """In every fifth order all names begin with a letter, so only strings will do there."""
+    name = lambda c: F.when(F.col("graph_id") % 5 == 0, F.concat(F.lit("x"), c)).otherwise(F.col(c)).alias(c)
+    s, e = X.order_segments(spark, sf, "string"), X.order_links(spark, sf, "string")
+    return naming.stable_names(s.select("graph_id", name("name"), "sequence"), e.select("graph_id", name("src"), "src_rev", name("dst"), "dst_rev"))
+
+
+#: Texts of eight kinds: the lines after a first good one, and the message that integer identifiers get.
+_FAULTS = [
+    (["S\t2\tC"], None),
+    (["S\t5"], "Error parsing GFA line 2: not enough fields for a segment"),
+    (["", "L\t1\t+\t1"], "Error parsing GFA line 3: not enough fields for a link"),
+    (["L\t1\t+\t1\t?\t*", "S\t1\tC"], "Error parsing GFA line 2: Invalid orientation: ?"),
+    (["S\tnode7\tA", "S\t5"], "Error parsing node name node7: invalid digit found in string"),
+    (["L\t0\t+\t1\t+\t*"], "Node identifier 0 is reserved for technical purposes"),
+    (["S\t1\tC", "S\t5"], "Node 1 already exists with a different sequence"),
+    (["L\t1\t+\t8\t+\t*", "L\t9\t-\t8\t-\t*"], "2 nodes required by the edges are missing"),
+]
+
+
+def _first_errors(spark, sf):
+    orders = X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("graph_id"))
+    texts = F.array(*[F.array(F.lit("S\t1\tA"), *[F.lit(x) for x in rest]) for rest, _ in _FAULTS])
+    lines = orders.select("graph_id", F.posexplode(F.get(texts, (F.col("graph_id") % 8).cast("int"))).alias("at", "value"))
+    return gfa.first_errors(lines.select("graph_id", (F.col("at") + 1).alias("line_no"), "value"), integer=True)
+
+
+def _odd_tags(spark, sf):
+    """Tags of suppliers; some hold a malformed relation."""
+    s = X.table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("obj_id"), (F.col("s_suppkey") % 4).cast("int").alias("m"))
+    rows = s.select("obj_id", F.explode(F.array(F.struct(F.lit("name").alias("key"), F.col("obj_id").alias("value")), F.struct(F.lit("subgraph").alias("key"), F.get(F.array(F.lit("a,b"), F.lit("a,b;"), F.lit("a,b;c,d"), F.lit("a")), F.col("m")).alias("value")), F.struct(F.lit("translation").alias("key"), F.when(F.col("m") == 0, "p,,q").otherwise("p,q").alias("value")))).alias("x"))
+    return rows.select("obj_id", "x.key", "x.value")
+
+
+def _odd_headers(spark, sf):
+    """Header lines of suppliers: two names each, and for some a malformed line."""
+    s = X.table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("obj_id"), (F.col("s_suppkey") % 4).cast("int").alias("m"))
+    last = F.get(F.array(F.lit("@RN\tlast"), F.lit("H\tbad"), F.lit("X\ty"), F.lit("@SG\tonly")), F.col("m"))
+    rows = s.select("obj_id", F.posexplode(F.array(F.concat(F.lit("H\tNM:Z:"), "obj_id"), F.lit("H\tVN:Z:1.1\tNM:Z:second"), last)).alias("at", "line"))
+    return headers.from_header_lines(rows.select("obj_id", (F.col("at") + 1).alias("line_no"), "line"))
+
+
+def _related(spark, sf):
+    """The relations of a first region after it becomes a subgraph of the second one, whose own it takes over."""
+    own, parents = X.relations(spark, sf).filter("src = 'r0'"), X.relations(spark, sf).filter("src = 'r1'")
+    return R.relate("r0", "r1", 0, own, parents)
+
+
 def _from_tags(spark, sf):
     return headers.from_tags(headers.to_tags(*_objects(spark, sf)))[1]
 
@@ -161,6 +211,13 @@ QUERIES = {
     "translates_to_pairs": lambda s, d: R.translates_to(X.relations(s, d), _pairs(s, d)),
     "shortest_paths": _paths,
     "describe_pairs": lambda s, d: R.describe(X.relations(s, d), _pairs(s, d), "first", "second"),
+    "stable_name_fallback": _fallback,
+    "first_errors_integer": _first_errors,
+    "tags_errors": lambda s, d: headers.from_tags(_odd_tags(s, d))[2],
+    "tags_lenient": lambda s, d: headers.from_tags(_odd_tags(s, d), lenient=True)[1],
+    "headers_errors": lambda s, d: _odd_headers(s, d)[2],
+    "headers_last_name": lambda s, d: _odd_headers(s, d)[0],
+    "relate_to_parent": _related,
 }
 
 _EDGES = "SELECT graph_id, src, src_rev, dst, dst_rev FROM "
@@ -176,7 +233,28 @@ def _headers(head: str) -> str:
     return f"WITH {_OBJ} {head}"
 
 
+def _report() -> str:
+    """The reports of all pairs: forward paths first, then backward ones."""
+    node = "substr(l[i], 2)"
+    return f"""{_PATHS}, found AS (SELECT w.source, w.node, w.depth AS n, string_split(trim(min(w.steps)), ' ') AS l FROM walk w JOIN best b ON w.source = b.source AND w.node = b.node AND w.depth = b.depth GROUP BY w.source, w.node, w.depth),
+pairs AS ({_PAIRS}), x AS (SELECT p.src, p.dst, f.n IS NOT NULL AS forward, coalesce(f.n, g.n) AS n, coalesce(f.l, g.l) AS l FROM pairs p LEFT JOIN found f ON f.source = p.src AND f.node = p.dst LEFT JOIN found g ON g.source = p.dst AND g.node = p.src),
+y AS (SELECT *, CASE WHEN forward THEN src ELSE dst END AS a, CASE WHEN forward THEN dst ELSE src END AS b, CASE WHEN forward THEN 'first' ELSE 'second' END AS one, CASE WHEN forward THEN 'second' ELSE 'first' END AS two FROM x)
+SELECT src, dst, 'Name 1 is for ' || one || chr(10) || CASE WHEN n IS NULL THEN 'Name 2 is for ' || two || chr(10) || 'With graph names:' || chr(10) || '1' || chr(9) || a || chr(10) || '2' || chr(9) || b || chr(10)
+  ELSE array_to_string(list_transform(range(1, n + 1), lambda i: 'Graph ' || i || CASE l[i][1] WHEN '1' THEN ' translates to' ELSE ' is a subgraph of' END || ' graph ' || (i + 1) || chr(10)), '') || 'Name ' || (n + 1) || ' is for ' || two || chr(10)
+  || 'With graph names:' || chr(10) || '1' || chr(9) || a || chr(10) || array_to_string(list_transform(range(1, n + 1), lambda i: (i + 1) || chr(9) || {node} || chr(10)), '') END AS report FROM y"""
+
+
+_ODD = "(SELECT 's' || s_suppkey AS obj_id, s_suppkey % 4 AS m FROM supplier)"
+
 ORACLES = {
+    "describe_pairs": _report(),
+    "stable_name_fallback": f"SELECT * FROM ({_base()}{_NAME}) WHERE graph_id % 5 <> 0 UNION ALL SELECT * FROM ({_base('VARCHAR', prefix='x')}{_NAME}) WHERE graph_id % 5 = 0",
+    "first_errors_integer": "SELECT o_orderkey AS graph_id, CASE o_orderkey % 8 " + " ".join(f"WHEN {i} THEN '{m}'" for i, (_, m) in enumerate(_FAULTS) if m) + " END AS message FROM orders WHERE o_orderkey % 8 <> 0",
+    "tags_errors": f"SELECT obj_id, CASE m WHEN 0 THEN 'Invalid translation relationship: p,,q' WHEN 1 THEN 'Invalid subgraph relationship: ' ELSE 'Invalid subgraph relationship: a' END AS message FROM {_ODD} WHERE m <> 2",
+    "tags_lenient": f"SELECT obj_id, k.kind, k.src, k.dst FROM {_ODD}, (VALUES (0, 'a', 'b'), (0, 'c', 'd'), (1, 'p', 'q')) k(kind, src, dst) WHERE m = 2",
+    "headers_errors": f"SELECT obj_id, CASE m WHEN 1 THEN 'Invalid GFA typed field: bad' WHEN 2 THEN 'Error parsing header line 3: unknown first field X' ELSE 'Invalid GAF subgraph header line: @SG' || chr(9) || 'only' END AS message FROM {_ODD} WHERE m <> 0",
+    "headers_last_name": f"SELECT obj_id, CASE m WHEN 0 THEN 'last' ELSE 'second' END AS name FROM {_ODD}",
+    "relate_to_parent": f"WITH {_REL} SELECT kind, src, dst FROM rel WHERE src IN ('r0', 'r1') UNION SELECT 0, 'r0', 'r1'",
     "edges_raw": _base() + _EDGES + "links",
     "edges_canonical_int": _base() + _EDGES + "can",
     "edges_canonical_str": _base("VARCHAR") + _EDGES + "can",

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canongraph.functions.keys import parse_id
+from canongraph.functions.shared import cut
 from canongraph.operators.canonical import canonical_edges, conflicts, lines, missing_nodes
 from canongraph.operators.digest import digests
 
@@ -25,7 +28,10 @@ def integer_failures(segments: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def errors(segments: DataFrame, links: DataFrame) -> DataFrame:
-    """(graph_id, message) for string identifiers: the conflict of the smallest node, else the count of missing nodes."""
+    """(graph_id, message) for string identifiers: the conflict of the smallest node, else the count of missing nodes.
+
+    Tables have no line order; gfa.first_errors() finds the first error of a text.
+    """
     c = conflicts(segments).groupBy("graph_id").agg(F.min("name").alias("name")).select("graph_id", F.lit(0).alias("rank"), F.concat(F.lit("Node "), F.col("name").cast("string"), F.lit(" already exists with a different sequence")).alias("message"))
     m = missing_nodes(segments, links).groupBy("graph_id").agg(F.count("*").alias("n")).select("graph_id", F.lit(1).alias("rank"), F.concat(F.col("n").cast("string"), F.lit(" nodes required by the edges are missing")).alias("message"))
     return c.unionByName(m).groupBy("graph_id").agg(F.min_by("message", "rank").alias("message"))
@@ -36,17 +42,21 @@ def stable_names(segments: DataFrame, links: DataFrame, node_ids: str = "auto",
     if node_ids not in ("auto", "integer", "string"):
         raise ValueError(f"node_ids: {node_ids}")
     parts = []
+    left = None  # graphs that string identifiers are for; None: all
     if node_ids != "string":
-        failed = integer_failures(segments, links)
-        s, e = with_integer_ids(segments.join(failed, "graph_id", "left_anti"), links.join(failed, "graph_id", "left_anti"))
-        parts.append(digests(lines(s, canonical_edges(e)), algorithms))
-    if node_ids != "integer":
-        if node_ids == "auto":
-            segments, links = segments.join(failed, "graph_id", "left_semi"), links.join(failed, "graph_id", "left_semi")
-        bad = errors(segments, links)
-        s, e = segments.join(bad, "graph_id", "left_anti"), links.join(bad, "graph_id", "left_anti")
+        failed = cut(integer_failures(segments, links))
+        s, e = (_without(x, failed) for x in (segments, links))
+        s, e = with_integer_ids(s, e)
         parts.append(digests(lines(s, canonical_edges(e)), algorithms))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        left = failed if node_ids == "auto" and failed.limit(1).count() else None
+    if node_ids == "string" or left is not None:
+        if left is not None:
+            segments, links = segments.join(left, "graph_id", "left_semi"), links.join(left, "graph_id", "left_semi")
+        bad = cut(errors(segments, links).select("graph_id"))
+        parts.append(digests(lines(_without(segments, bad), canonical_edges(_without(links, bad))), algorithms))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _without(table: DataFrame, graphs: DataFrame) -> DataFrame:
+    """``table`` without the rows of some graphs, a small computed table; mostly there are none."""
+    return table.join(graphs, "graph_id", "left_anti") if graphs.limit(1).count() else table

@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from canongraph.functions.keys import parse_sign
+from canongraph.functions.keys import parse_id, parse_sign
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(graph_id, line_no, value) of GFA files; graph_id is the file's path, line_no counts from 1."""
+def read_lines(spark: SparkSession, path: str | list[str], numbered: bool = True) -> DataFrame:
+    """(graph_id, line_no, value) of GFA files; graph_id is the file's path, line_no counts from 1.
+
+    Without ``numbered`` there is no line_no, and nothing is shuffled. Lines are numbered within the blocks in which Spark
+    reads a file, on top of what the blocks before hold (a row for each block).
+    """
     raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("graph_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
-    return raw.withColumn("line_no", F.row_number().over(Window.partitionBy("graph_id").orderBy("block", "at"))).select("graph_id", "line_no", "value")
+    if not numbered:
+        return raw.select("graph_id", "value")
+    before = Window.partitionBy("graph_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = raw.groupBy("graph_id", "block").agg(F.count("*").alias("n")).select("graph_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("graph_id", "block").orderBy("at"))
+    return raw.withColumn("inside", inside).join(blocks, ["graph_id", "block"]).select("graph_id", (F.col("before") + F.col("inside")).alias("line_no"), "value")
 
 
 def field(k: int):
@@ -26,20 +35,60 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     if "line_no" not in lines.columns:
         lines = lines.withColumn("line_no", F.lit(None).cast("int"))
+    s, e = _records(lines)
+    segments = s.filter("fields >= 3").select("graph_id", "name", "sequence")
+    links = e.filter("fields >= 5 and src_rev is not null and dst_rev is not null").select("graph_id", "src", "src_rev", "dst", "dst_rev")
+    return segments, links, _parse_errors(s, e).select("graph_id", "line_no", "message")
+
+
+def _records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segment and link lines with their number of fields and first fields."""
     tabs = F.octet_length("value") - F.octet_length(F.replace(F.col("value"), F.lit("\t"), F.lit("")))
-    kind = F.substring(F.col("value").cast("binary"), 1, 1)
-    rows = lines.filter(F.octet_length("value") > 0).withColumn("fields", tabs + 1).withColumn("kind", F.when(kind == F.lit("S").cast("binary"), "S").when(kind == F.lit("L").cast("binary"), "L"))
-    s, e = rows.filter("kind = 'S'"), rows.filter("kind = 'L'")
-    segments = s.filter("fields >= 3").select("graph_id", field(2).alias("name"), field(3).alias("sequence"))
-    whole = e.filter("fields >= 5").select("graph_id", "line_no", field(2).alias("src"), field(3).alias("a"), field(4).alias("dst"), field(5).alias("b"))
-    signed = whole.withColumn("src_rev", parse_sign(F.col("a"))).withColumn("dst_rev", parse_sign(F.col("b")))
-    links = signed.filter("src_rev is not null and dst_rev is not null").select("graph_id", "src", "src_rev", "dst", "dst_rev")
+    first = F.substring(F.col("value").cast("binary"), 1, 1)
+    rows = lines.filter(F.octet_length("value") > 0).withColumn("fields", tabs + 1)
+    of = lambda c: rows.filter(first == F.lit(c).cast("binary"))
+    s = of("S").select("graph_id", "line_no", "fields", field(2).alias("name"), field(3).alias("sequence"))
+    e = of("L").select("graph_id", "line_no", "fields", field(2).alias("src"), field(3).alias("a"), field(4).alias("dst"), field(5).alias("b"))
+    return s, e.withColumn("src_rev", parse_sign(F.col("a"))).withColumn("dst_rev", parse_sign(F.col("b")))
+
+
+def _parse_errors(s: DataFrame, e: DataFrame) -> DataFrame:
+    """(graph_id, line_no, rank, message); rank orders the errors of one line."""
     at = F.concat(F.lit("Error parsing GFA line "), F.coalesce(F.col("line_no").cast("string"), F.lit("?")), F.lit(": "))
-    short = lambda x, n, what: x.filter(f"fields < {n}").select("graph_id", "line_no", F.concat(at, F.lit(f"not enough fields for a {what}")).alias("message"))
-    wrong = signed.filter("src_rev is null or dst_rev is null").select("graph_id", "line_no", F.concat(at, F.lit("Invalid orientation: "), F.when(F.col("src_rev").isNull(), F.col("a")).otherwise(F.col("b"))).alias("message"))
-    return segments, links, short(s, 3, "segment").unionByName(short(e, 5, "link")).unionByName(wrong)
+    short = lambda x, n, what: x.filter(f"fields < {n}").select("graph_id", "line_no", F.lit(0).alias("rank"), F.concat(at, F.lit(f"not enough fields for a {what}")).alias("message"))
+    wrong = e.filter("fields >= 5 and (src_rev is null or dst_rev is null)").select("graph_id", "line_no", F.lit(1).alias("rank"), F.concat(at, F.lit("Invalid orientation: "), F.when(F.col("src_rev").isNull(), F.col("a")).otherwise(F.col("b"))).alias("message"))
+    return short(s, 3, "segment").unionByName(short(e, 5, "link")).unionByName(wrong)
+
+
+def _id_error(name, least: int):
+    """What is wrong with an integer identifier; null if nothing is."""
+    digits = F.regexp_replace(name, r"\A\+", "")
+    why = F.when(name == "", "cannot parse integer from empty string").when(~digits.rlike(r"\A[0-9]+\z"), "invalid digit found in string").otherwise("number too large to fit in target type")
+    text = F.concat(F.lit("Error parsing node name "), name, F.lit(": "), why)
+    return F.when(parse_id(name, 0).isNull(), text).when((parse_id(name, 0) == 0) & F.lit(least > 0), F.lit("Node identifier 0 is reserved for technical purposes"))
 
 
-def first_errors(errors: DataFrame) -> DataFrame:
-    """The first error of each graph, in the order of its lines."""
-    return errors.groupBy("graph_id").agg(F.min_by("message", "line_no").alias("message"))
+def first_errors(lines: DataFrame, integer: bool = False) -> DataFrame:
+    """(graph_id, message): the first error of each text of numbered lines (graph_id, line_no, value) that has one.
+
+    Errors count in the order of lines; within a line too few fields come before orientations, source and target identifiers
+    (``integer``), and a segment that differs from an earlier one of its node. Missing nodes are counted if there is no other error.
+    """
+    s, e = _records(lines)
+    found = _parse_errors(s, e)
+    s, e = s.filter("fields >= 3"), e.filter("fields >= 5 and src_rev is not null and dst_rev is not null")
+    nodes, ends = s.withColumn("key", F.col("name")), e.select("graph_id", F.explode(F.array("src", "dst")).alias("key"))
+    if integer:
+        wrong = lambda x, name, least, rank: x.withColumn("message", _id_error(F.col(name), least)).filter("message is not null").select("graph_id", "line_no", F.lit(rank).alias("rank"), "message")
+        found = found.unionByName(wrong(s, "name", 0, 2)).unionByName(wrong(e, "src", 1, 2)).unionByName(wrong(e, "dst", 1, 3))
+        nodes = nodes.withColumn("key", parse_id(F.col("name"), 0)).filter("key is not null")
+        ends = ends.withColumn("key", parse_id(F.col("key"))).filter("key is not null")
+    # each distinct sequence of a node by its first line: the second of them is the conflict
+    first = nodes.groupBy("graph_id", "key", "sequence").agg(F.min(F.struct("line_no", "name")).alias("at"))
+    of_node = Window.partitionBy("graph_id", "key").orderBy("at")
+    second = first.withColumn("k", F.row_number().over(of_node)).filter("k = 2")
+    found = found.unionByName(second.select("graph_id", F.col("at.line_no").alias("line_no"), F.lit(4).alias("rank"), F.concat(F.lit("Node "), "at.name", F.lit(" already exists with a different sequence")).alias("message")))
+    lost = ends.distinct().join(nodes.select("graph_id", "key"), ["graph_id", "key"], "left_anti").groupBy("graph_id").agg(F.count("*").alias("n"))
+    lost = lost.select("graph_id", F.lit(None).cast("long").alias("line_no"), F.lit(5).alias("rank"), F.concat(F.col("n").cast("string"), F.lit(" nodes required by the edges are missing")).alias("message"))
+    place = F.struct(F.col("line_no").isNull(), "line_no", "rank")
+    return found.withColumn("line_no", F.col("line_no").cast("long")).unionByName(lost).groupBy("graph_id").agg(F.min_by("message", place).alias("message"))

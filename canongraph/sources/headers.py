@@ -1,7 +1,8 @@
 """Names and relations of graphs as tags, GFA header lines and GAF header lines.
 
 Objects are rows: ``graph_names`` (obj_id, name, null if unnamed) and ``relations`` (obj_id, kind, src, dst), kind 0 for
-subgraph, 1 for translation. Readers return (graph_names, relations, errors (obj_id, message)).
+subgraph, 1 for translation. Readers return (graph_names, relations, errors (obj_id, message)). ``name_key`` is the tag that
+holds a graph's own name: give the one that the other programs use.
 """
 
 from __future__ import annotations
@@ -9,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Tag of a graph's own name, if callers name no other.
+NAME_KEY = "name"
 #: Fixed values of the formats.
-TAG_NAME, TAG_SUBGRAPH, TAG_TRANSLATION = "pggname", "subgraph", "translation"
+TAG_SUBGRAPH, TAG_TRANSLATION = "subgraph", "translation"
 GFA_NAME, GAF_NAME, SUBGRAPH, TRANSLATION = "NM", "RN", "SG", "TL"
 WHAT = {0: "subgraph", 1: "translation"}
 
@@ -20,10 +23,10 @@ def _pair(c):
     return (F.size(p) == 2) & (p[0] != "") & (F.get(p, F.lit(1)) != "")
 
 
-def from_tags(tags: DataFrame, lenient: bool = False):
+def from_tags(tags: DataFrame, lenient: bool = False, name_key: str = NAME_KEY):
     """tags: (obj_id, key, value). ``lenient``: an object with any malformed tag becomes empty instead of an error."""
     ids = tags.select("obj_id").distinct()
-    named = tags.filter(F.col("key") == TAG_NAME).groupBy("obj_id").agg(F.max("value").alias("name"))
+    named = tags.filter(F.col("key") == name_key).groupBy("obj_id").agg(F.max("value").alias("name"))
     kind = F.when(F.col("key") == TAG_SUBGRAPH, 0).when(F.col("key") == TAG_TRANSLATION, 1)
     rel = tags.withColumn("kind", kind).filter("kind is not null").select("obj_id", "kind", F.posexplode(F.split("value", ";", -1)).alias("at", "rel"))
     bad = rel.filter(~_pair(F.col("rel")))
@@ -34,20 +37,20 @@ def from_tags(tags: DataFrame, lenient: bool = False):
     return ids.join(named, "obj_id", "left"), relations, errors
 
 
-def to_tags(graph_names: DataFrame, relations: DataFrame) -> DataFrame:
+def to_tags(graph_names: DataFrame, relations: DataFrame, name_key: str = NAME_KEY) -> DataFrame:
     """(obj_id, key, value); keys without data are absent."""
-    name = graph_names.filter("name is not null").select("obj_id", F.lit(TAG_NAME).alias("key"), F.col("name").alias("value"))
+    name = graph_names.filter("name is not null").select("obj_id", F.lit(name_key).alias("key"), F.col("name").alias("value"))
     key = F.when(F.col("kind") == 0, TAG_SUBGRAPH).otherwise(TAG_TRANSLATION)
     rel = relations.distinct().withColumn("rel", F.concat("src", F.lit(","), "dst")).groupBy("obj_id", "kind").agg(F.expr("listagg(rel, ';') within group (order by src, dst)").alias("value"))
     return name.unionByName(rel.select("obj_id", key.alias("key"), "value"))
 
 
-def set_tags(tags: DataFrame, graph_names: DataFrame, relations: DataFrame) -> DataFrame:
+def set_tags(tags: DataFrame, graph_names: DataFrame, relations: DataFrame, name_key: str = NAME_KEY) -> DataFrame:
     """Tags with the three keys of the given objects replaced, or removed where there is no data; others stay."""
-    own = F.col("key").isin(TAG_NAME, TAG_SUBGRAPH, TAG_TRANSLATION)
+    own = F.col("key").isin(name_key, TAG_SUBGRAPH, TAG_TRANSLATION)
     mine = graph_names.select("obj_id").distinct().withColumn("mine", F.lit(True))
     kept = tags.join(mine, "obj_id", "left").filter(~own | F.col("mine").isNull()).drop("mine")
-    return kept.unionByName(to_tags(graph_names, relations))
+    return kept.unionByName(to_tags(graph_names, relations, name_key))
 
 
 def to_header_lines(graph_names: DataFrame, relations: DataFrame, form: str = "gfa") -> DataFrame:

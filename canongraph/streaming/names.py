@@ -13,13 +13,15 @@ from canongraph.sources import gfa
 
 
 def name_files(spark: SparkSession, folder: str, out: str, checkpoint: str, node_ids: str = "auto"):
-    """Starts a query that names every GFA file put into ``folder`` and appends (graph_id, algorithm, digest) to ``out``."""
+    """Starts a query that names every GFA file put into ``folder`` and adds (graph_id, algorithm, digest) to ``out``, a folder for each batch."""
     stream = spark.readStream.option("lineSep", "\n").format("text").load(folder).select(F.col("_metadata.file_path").alias("graph_id"), "value")
 
-    def batch(rows: DataFrame, _: int) -> None:
-        segments, links, errors = gfa.parse(rows)
+    def batch(rows: DataFrame, number: int) -> None:
+        segments, links, errors = gfa.parse(rows.persist())  # the batch is read for segments, links and errors
         bad = errors.select("graph_id").distinct()
         good = lambda x: x.join(bad, "graph_id", "left_anti")
-        stable_names(good(segments), good(links), node_ids).write.mode("append").parquet(out)
+        # a batch has a folder of its own, so one that is tried again replaces what it wrote
+        stable_names(good(segments), good(links), node_ids).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        rows.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

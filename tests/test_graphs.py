@@ -14,9 +14,13 @@ EXAMPLE = "H\tVN:Z:1.0\nS\t11\tACCTT\nS\t12\tTCAAGG\nS\t13\tCTTGATT\nL\t11\t+\t1
 NAME = "54b49d18354a34fbd1af9aaac279e1b3ee67b2f68f0ff79f5ebf6c50c8d922a5"
 
 
-def read(spark, texts):
+def numbered(spark, texts):
     rows = [(g, i + 1, line) for g, t in texts.items() for i, line in enumerate(t.split("\n")) if line or i < t.count("\n")]
-    return gfa.parse(spark.createDataFrame(rows, "graph_id string, line_no int, value string"))
+    return spark.createDataFrame(rows, "graph_id string, line_no int, value string")
+
+
+def read(spark, texts):
+    return gfa.parse(numbered(spark, texts))
 
 
 def names(spark, texts, mode="auto", algorithms=None):
@@ -90,13 +94,54 @@ def test_auto_mode(spark, text, mode):
 
 def test_errors(spark):
     texts = {"a": "S\t1", "b": "S\t1\tA\n\nL\t1\t+\t1\t+", "c": "S\t1\tA\nL\t1\tx\t1\ty\t*", "d": "L\t1\t+\t1", "e": "L\t1\t+\t1\t+\r"}
-    got = {r.graph_id: r.message for r in gfa.first_errors(read(spark, texts)[2]).collect()}
+    got = {r.graph_id: r.message for r in gfa.first_errors(numbered(spark, texts)).collect()}
     assert got == {"a": "Error parsing GFA line 1: not enough fields for a segment", "c": "Error parsing GFA line 2: Invalid orientation: x", "d": "Error parsing GFA line 1: not enough fields for a link", "e": "Error parsing GFA line 1: Invalid orientation: +\r"}
     s, e, _ = read(spark, {"m": "S\t1\tA\nL\t1\t+\t2\t+\t*\nL\t3\t+\t1\t+\t*", "k": "S\tq\tA\nS\tq\tC"})
     assert {r.graph_id: r.message for r in naming.errors(s, e).collect()} == {"m": "2 nodes required by the edges are missing", "k": "Node q already exists with a different sequence"}
     assert naming.stable_names(s, e).count() == 0
 
 
+def test_first_error_counts(spark):
+    node = "Error parsing node name "
+    cases = {
+        "S\tq\tA\nS\tq\tC\nS\tz": ("Node q already exists with a different sequence", node + "q: invalid digit found in string"),
+        "S\tz\nS\t1\tA\nS\t1\tC": ("Error parsing GFA line 1: not enough fields for a segment",) * 2,
+        "S\t1\tA\nS\t01\tC\nL\t1\t+\t2\t?\t*": ("Error parsing GFA line 3: Invalid orientation: ?", "Node 01 already exists with a different sequence"),
+        "L\tx\t+\t\t+\t*": ("2 nodes required by the edges are missing", node + "x: invalid digit found in string"),
+        "S\t1\tA\nL\t1\t+\t\t+\t*": ("1 nodes required by the edges are missing", node + ": cannot parse integer from empty string"),
+        "S\t0\tA\nL\t0\t+\t0\t+\t*": (None, "Node identifier 0 is reserved for technical purposes"),
+        "S\t18446744073709551616\tA": (None, node + "18446744073709551616: number too large to fit in target type"),
+        "S\t+\tA": (None, node + "+: invalid digit found in string"),
+        "S\t3\tA\nS\t3\tA\nS\t4\tC": (None, None),
+        "L\t5\t+\t6\t+\t*\nL\t5\t-\t6\t-\t*\nS\t6\tA": ("1 nodes required by the edges are missing",) * 2,
+    }
+    rows = numbered(spark, dict(zip(map(str, range(len(cases))), cases)))
+    for integer in (False, True):
+        got = {r.graph_id: r.message for r in gfa.first_errors(rows, integer).collect()}
+        assert [got.get(str(i)) for i in range(len(cases))] == [x[integer] for x in cases.values()]
+
+
+def test_line_numbers_over_blocks(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"{k}.gfa").write_text("".join(f"S\t{i}\tA\n" if i % 7 else "\n" for i in range(400)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        rows = gfa.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert len(rows) == 800 and all(r.value == (f"S\t{r.line_no - 1}\tA" if (r.line_no - 1) % 7 else "") for r in rows)
+
+
+def test_long_texts_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(digest, "CHUNK", 100)
+    text = "\n".join(f"S\t{i * 7 % 500}\t{'ACGT' * (i % 5)}" for i in range(500))
+    s, e, _ = read(spark, {"g": text, "h": EXAMPLE})
+    s, e = naming.with_integer_ids(s, e)
+    got = {r.graph_id: r.digest for r in digest.digests(canonical.lines(s, canonical.canonical_edges(e)), None, 10).collect()}
+    assert got == {"g": hashlib.sha256(plain(text, True).encode()).hexdigest(), "h": NAME}
+
+
 def test_self_loops_and_subgraph(spark):
     s, e, _ = read(spark, {"g": "S\t1\tA\nL\t1\t-\t1\t-\t*\nL\t1\t+\t1\t-\t*\nL\t1\t-\t1\t+\t*\nL\t1\t+\t1\t+\t*"})
     assert sorted((r.src_rev, r.dst_rev) for r in canonical.canonical_edges(e).collect()) == [(0, 0), (0, 1), (1, 0)]
@@ -116,6 +161,9 @@ def test_files_command_line_and_stream(spark, tmp_path, capsys):
     bad = tmp_path / "bad.gfa"
     bad.write_text("S\t1\tA\nL\t1\t?\t1\t+\t*\n")
     assert cli.main([str(bad)], spark) == 1 and "line 2: Invalid orientation: ?" in capsys.readouterr().err
+    bad.write_text("S\tx\tA\nS\tx\tC\nL\n")
+    assert cli.main(["-i", str(bad)], spark) == 1 and capsys.readouterr().err == "Error parsing node name x: invalid digit found in string\n"
+    assert cli.main([str(bad)], spark) == 1 and capsys.readouterr().err == "Node x already exists with a different sequence\n"
     query = name_files(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "check"))
     query.awaitTermination()
     assert [r.digest for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [NAME]

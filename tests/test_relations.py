@@ -44,6 +44,20 @@ def test_paths_are_those_of_a_queue(spark):
     assert got == {c: first_in_first_out(rows, c) for c in "abc"}
 
 
+def test_targets_bound_the_search(spark):
+    rows = [(0, f"n{i}", f"n{i + 1}") for i in range(6)] + [(1, "n0", "n3"), (0, "a", "b")]
+    targets = spark.createDataFrame([("n0", "n4"), ("n0", "n0"), ("a", "n1"), ("a", "b")], "source string, node string")
+    got = {(r.source, r.node): [(x.kind, x.node) for x in r.steps] for r in R.shortest_paths(frame(spark, rows), targets.select("source"), targets=targets).collect()}
+    assert got == {("n0", "n4"): [(1, "n3"), (0, "n4")], ("n0", "n0"): [], ("a", "b"): [(0, "b")]}
+
+
+def test_name_key(spark):
+    names = spark.createDataFrame([("o", "A")], "obj_id string, name string")
+    tags = H.to_tags(names, frame(spark).limit(0).withColumn("obj_id", F.lit("o")), name_key="my-name")
+    assert [tuple(r) for r in tags.collect()] == [("o", "my-name", "A")]
+    assert H.from_tags(tags)[0].first().name is None and H.from_tags(tags, name_key="my-name")[0].first().name == "A"
+
+
 def test_report(spark):
     pairs = spark.createDataFrame([("A", "D"), ("D", "A"), ("A", "X"), (None, "A")], "src string, dst string")
     got = {(r.src, r.dst): r.report for r in R.describe(frame(spark), pairs, "this", "that").collect()}
@@ -61,7 +75,7 @@ def test_tags_and_headers_round_trip(spark):
     names = spark.createDataFrame([("o", "A"), ("p", None)], "obj_id string, name string")
     rel = frame(spark).withColumn("obj_id", F.lit("o")).select("obj_id", "kind", "src", "dst")
     tags = H.to_tags(names, rel)
-    assert {(r.key, r.value) for r in tags.collect()} == {("pggname", "A"), ("subgraph", "A,B;C,D;D,E"), ("translation", "B,C;C,F")}
+    assert {(r.key, r.value) for r in tags.collect()} == {("name", "A"), ("subgraph", "A,B;C,D;D,E"), ("translation", "B,C;C,F")}
     n, r, errors = H.from_tags(tags)
     assert R.same_objects(n, r, names.filter("obj_id = 'o'"), rel) and not errors.count()
     for form in ("gfa", "gaf"):
@@ -71,12 +85,12 @@ def test_tags_and_headers_round_trip(spark):
         extra = spark.createDataFrame([("o", 1, "H\tVN:Z:1.1"), ("o", 2, "@HD\tVN:Z:1.0")], "obj_id string, line_no int, line string")
         n, r, errors = H.from_header_lines(extra.unionByName(lines.select("obj_id", F.lit(3).alias("line_no"), "line")))
         assert R.same_objects(n, r, names.filter("obj_id = 'o'"), rel) and not errors.count()
-    kept = H.set_tags(spark.createDataFrame([("p", "pggname", "old"), ("p", "source", "x")], "obj_id string, key string, value string"), names.filter("obj_id = 'p'"), rel.limit(0))
+    kept = H.set_tags(spark.createDataFrame([("p", "name", "old"), ("p", "source", "x")], "obj_id string, key string, value string"), names.filter("obj_id = 'p'"), rel.limit(0))
     assert [(x.key, x.value) for x in kept.collect()] == [("source", "x")]
 
 
 def test_malformed(spark):
-    tags = spark.createDataFrame([("a", "subgraph", "A,B;"), ("b", "translation", "A,B,C"), ("c", "pggname", "")], "obj_id string, key string, value string")
+    tags = spark.createDataFrame([("a", "subgraph", "A,B;"), ("b", "translation", "A,B,C"), ("c", "name", "")], "obj_id string, key string, value string")
     n, r, errors = H.from_tags(tags)
     assert {x.obj_id: x.message for x in errors.collect()} == {"a": "Invalid subgraph relationship: ", "b": "Invalid translation relationship: A,B,C"}
     n, r, _ = H.from_tags(tags, lenient=True)
