@@ -106,13 +106,13 @@ def free(n, num: int, den: int):
 
 
 def first_fragment(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    """Rows of kind 0 (doc_id, n, node), each document's set size and node, and of kind 1 (range, nodes, counts): how many
+    """Rows of kind 0 (doc_id, n, node, h), each document's set size and node, and of kind 1 (range, nodes, counts): how many
     shingles of the first fragment only this node holds, for ranges of nodes."""
     bound = np.uint64(int(FIRST * 2**64))
 
     def deal(batches):
         held, size, seen, count = [], 0, set(), 0
-        types = {"range": pa.int64(), "kind": pa.int32(), "low": pa.binary(), "nodes": pa.binary(), "doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64()}
+        types = {"range": pa.int64(), "kind": pa.int32(), "low": pa.binary(), "nodes": pa.binary(), "doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "h": pa.int64()}
 
         def out():
             h, node = (np.concatenate(c) for c in zip(*held))
@@ -122,15 +122,15 @@ def first_fragment(docs: DataFrame, k: int, bits: int) -> DataFrame:
             # one entry for each shingle; 0 where it is shared
             h, node = h[start], np.where(n > 1, 0, node[start])
             low = (h >> np.uint64(32 - bits)).astype(np.uint32)
-            return _columns([(r, 1, x, y, None, None, None) for r, x, y in _by_range(h, bits, low, node)], types)
+            return _columns([(r, 1, x, y, None, None, None, None) for r, x, y in _by_range(h, bits, low, node)], types)
 
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
+            ids, text_hashes, rows = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
             for i, u in sets_of(batch.column(1), k):
                 key = set_key(u)
                 count += 1
                 where = (key ^ count * 0x9E3779B97F4A7C15) >> 7 & (1 << bits) - 1  # anywhere
-                rows.append((where, 0, None, None, ids[i], len(u), key))
+                rows.append((where, 0, None, None, ids[i], len(u), key, text_hashes[i]))
                 if not len(u) or key in seen:
                     continue
                 if len(seen) > 300_000:
@@ -147,17 +147,17 @@ def first_fragment(docs: DataFrame, k: int, bits: int) -> DataFrame:
             yield out()
 
     def gather(batches):
-        types = {"kind": pa.int32(), "doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "range": pa.int64(), "nodes": pa.binary(), "counts": pa.binary()}
+        types = {"kind": pa.int32(), "doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "h": pa.int64(), "range": pa.int64(), "nodes": pa.binary(), "counts": pa.binary()}
         held, size = [], 0
 
         def out():
             node, n = np.unique(np.concatenate(held).view(np.uint64), return_counts=True)
-            return _columns([(1, None, None, None, g, x, y) for g, x, y in _by_range(node, bits, node, n.astype(np.int64))], types)
+            return _columns([(1, None, None, None, None, g, x, y) for g, x, y in _by_range(node, bits, node, n.astype(np.int64))], types)
 
         for where, found in _dealt(batches, (np.uint32, np.int64)):
             if where == "row":
                 none = [pa.nulls(found.num_rows, t) for t in (pa.int64(), pa.binary(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*(found.column(i) for i in (1, 4, 5, 6)), *none], names=list(types))
+                yield pa.RecordBatch.from_arrays([*(found.column(i) for i in (1, 4, 5, 6, 7)), *none], names=list(types))
                 continue
             low, node = found
             order = np.argsort(low, kind="stable")
@@ -173,9 +173,9 @@ def first_fragment(docs: DataFrame, k: int, bits: int) -> DataFrame:
         if size:
             yield out()
 
-    types = "range long, kind int, low binary, nodes binary, doc_id long, n long, node long"
+    types = "range long, kind int, low binary, nodes binary, doc_id long, n long, node long, h long"
     dealt = docs.mapInArrow(deal, types).repartition(shuffle_partitions(docs.sparkSession), "range").sortWithinPartitions("kind", "range")
-    return dealt.mapInArrow(gather, "kind int, doc_id long, n long, node long, range long, nodes binary, counts binary")
+    return dealt.mapInArrow(gather, "kind int, doc_id long, n long, node long, h long, range long, nodes binary, counts binary")
 
 
 def alone(found: DataFrame) -> DataFrame:
@@ -448,22 +448,49 @@ def links_of(sets: DataFrame, bits: int, num: int, den: int) -> DataFrame:
     return links
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each document; similarity threshold num / den."""
-    bound_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """docs: (doc_id, text, h), h a hash of the text.
+
+    Returns each row's (doc_id, n_shingles, node, h), and (node, least, first, c) of nodes with shingles: the smallest doc_id, the
+    first row as (none, doc_id, h), and the component.
+    """
     words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     bits = max(12, int(np.ceil(np.log2(max(1, words / PER_RANGE)))))
     found = stored(first_fragment(docs, k, bits), "fragment")
-    described = found.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node")
-    nodes = cut(described.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n")))
+    described = found.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node", "h")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
+    nodes = cut(described.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), first.alias("first")))
     left = nodes.join(alone(found), "node", "left").filter(F.coalesce("alone", F.lit(0)) <= F.col("n") - F.ceil(num * F.col("n") / den - 1e-9))
     ids = cut(left.select(F.col("least").alias("id")).distinct())
     sets = stored(whole_sets(docs.join(small(ids), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"), k), "sets")
     label = cut(components(links_of(sets, bits, num, den)))
+    return described, nodes.join(label, "node", "left").select("node", "least", "first", F.coalesce("component_id", "node").alias("c"))
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    bound_batches(docs.sparkSession)
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each document; similarity threshold num / den."""
+    described, named = _classes(_documents(docs, id_col, text_col), k, num, den)
     # a component is named by its smallest doc_id
-    named = nodes.join(label, "node", "left").withColumn("c", F.coalesce("component_id", "node")).select("node", "least", "c")
     names = named.groupBy("c").agg(F.min("least").alias("component_id"))
     named = cut(named.join(names, "c").select("node", "component_id"))
     out = described.join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def first_documents(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without all but one of each component: the one with the smallest doc_id stays (a null
+    one comes last), of equal ones that with the smallest hash of its text. Rows without words all stay."""
+    described, named = _classes(_documents(docs, id_col, text_col), k, num, den)
+    kept = stored(named.groupBy("c").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__kept"), F.col("first.h").alias("__text")), "kept")
+    has_words = F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__kept")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__text"))
+    out = docs.filter(has_words).join(small(kept), same, "left_semi")
+    if described.filter("n_shingles > 0").groupBy("doc_id", "h").count().filter("count > 1").limit(1).count():
+        out = out.dropDuplicates([id_col, text_col])  # rows that repeat an id and its text
+    return out.unionByName(docs.filter(~has_words))

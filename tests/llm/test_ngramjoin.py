@@ -96,6 +96,18 @@ def test_null_and_repeated_ids(spark):
     assert got == sorted([(-1, 36, 3), (7, 37, 3), (-1, 36, -1), (-1, 37, -1), (3, 36, 3), (3, 37, 3), (3, 36, 3), (9, 0, 9), (-1, 0, -1)])
 
 
+def test_first_documents(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(None, a), (7, a + " x"), (7, a + " x"), (9, a), (None, b), (None, b), (None, b + " y"), (3, None), (3, None), (3, " "), (5, "other words"), (5, "more words here")]
+    frame = spark.createDataFrame([(i, t, "c", 0) for i, t in rows], "doc_id long, text string, h string, n int")
+    out = ngramjoin.first_documents(frame)
+    assert out.columns == frame.columns
+    got = sorted((r.doc_id or -1, r.text or "") for r in out.collect())
+    assert [x for x in got if not x[1].startswith("b0")] == sorted([(7, a + " x"), (3, ""), (3, ""), (3, " "), (5, "other words"), (5, "more words here")])
+    assert len([x for x in got if x[1].startswith("b0")]) == 1
+    assert ngramjoin.first_documents(frame.limit(0)).count() == 0
+
+
 def test_empty_and_odd(spark, docs):
     assert ngramjoin.jaccard_components(docs.limit(0)).count() == 0
     check(spark, TEXTS)

@@ -1,7 +1,9 @@
+import zlib
+
 import corpus_pipeline
 import public_tokenizers
 
-from canongraph.llm import decontam
+from canongraph.llm import decontam, toxicity
 from tests.llm import brute
 from tests.llm.test_tokens_store_packing import BYTE, check_packing, whole
 
@@ -38,9 +40,49 @@ def test_stages_match_plain_versions(spark, tmp_path):
             check_packing([SimpleNamespace(**(r.asDict() | {"doc_id": back[r.doc_id]})) for r in rows], whole(BYTE, texts), 1024)
 
 
-def test_odd_rows_pass_through(spark, docs):
-    frame = docs.drop("ids").unionByName(docs.drop("ids").limit(3))
-    for name, stage in corpus_pipeline.STAGES[1:4]:
-        out = stage(spark, frame, "/root/testdata/sf0.001")
-        assert set(out.columns) == set(corpus_pipeline.COLUMNS)
-        assert out.count() > 0
+ROWS = [(None, "alpha beta gamma delta epsilon zeta"), (None, "quite another text with other words in it"), (1, None), (1, ""), (2, "same id one two three four"), (2, "same id but other words altogether here"), (3, "twice the very same row"), (3, "twice the very same row"), (4, "long " * 30_000)]
+
+
+def frame_of(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "z") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row string")
+
+
+def key(rows):
+    return sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in rows)
+
+
+def test_odd_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    stages, rows = dict(corpus_pipeline.STAGES), [(i if i is not None else -1, t or "") for i, t in ROWS]
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    frame = frame_of(spark, ROWS)
+    assert key(stages["toxicity"](spark, frame, sf).collect()) == sorted(rows)
+    want = list(rows)
+    want.remove((3, "twice the very same row"))
+    assert key(stages["near_copies"](spark, frame, sf).collect()) == sorted(want)
+    assert key(stages["repeats"](spark, frame, sf).collect()) == sorted((i, "" if t.startswith("long") else t) for i, t in rows)
+    dirty = frame_of(spark, [*ROWS, (None, "x " + item), (2, item), (2, item)])
+    assert key(stages["decontamination"](spark, dirty, sf).collect()) == sorted(rows)
+    for name in ("toxicity", "near_copies", "repeats", "decontamination"):
+        assert set(stages[name](spark, frame, sf).columns) == set(corpus_pipeline.COLUMNS)
+    packed = stages["packing"](spark, frame, sf).collect()
+    sizes = sorted(len(x) for x in whole(BYTE, [t for _, t in ROWS]))
+    starts = sorted(r.start for r in packed if r.piece == 0)
+    assert len(starts) == len(ROWS) and sum(r.length for r in packed) == sum(sizes)
+
+
+def test_empty_tables(spark):
+    empty = frame_of(spark, ROWS).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0, name
+
+
+def test_toxicity_is_the_operators(spark):
+    """A stage drops what a plain look at the operator's scores drops."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    learned = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    scores = toxicity.score(docs, toxicity.fit(docs.select("doc_id", "text"), learned)).collect()
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, sf).collect()}
+    assert kept == {r.doc_id for r in scores if r.score < 0.7} and 0 < len(kept) < len(scores)
