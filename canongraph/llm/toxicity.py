@@ -38,7 +38,7 @@ _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*·][\w@$!|+€]){3,}(?!\w)")
 
 
 #: Letters of a block up to which trigrams are counted in a dense table; lookups that a worker remembers.
-DENSE, REMEMBERED = 128, 300_000
+DENSE, REMEMBERED = 128, 100_000
 
 
 class CharModel:
