@@ -7,7 +7,9 @@ rejection). Document frequencies come from all learning rows; the clusters from
 parameter ``per_language``.
 
 Null texts, and texts without letters, are ``und`` with score 0. A single short word is classified like any text. With
-no learning rows every text is ``und``. Texts are read whole, in blocks of rows; extra columns are ignored.
+no learning rows every text is ``und``. Texts are read whole however long, in blocks of rows. Repeated rows, equal and null
+doc_ids are each learned from and predicted; equal texts get equal predictions, and of centroids that tie the first counts
+(languages in alphabetic order). An empty table gives an empty result. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

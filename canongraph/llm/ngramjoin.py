@@ -422,12 +422,17 @@ def links_of(sets: DataFrame, bits: int, num: int, den: int) -> DataFrame:
             lead = open_.filter("not led").groupBy("bucket").agg(F.max_by(side, F.struct("w", "node")).alias("y"))
             met = open_.select("bucket", F.struct("node", "n", "c", *(f"b{i}" for i in range(4))).alias("x")).join(lead, "bucket").filter(may("x", "y"))
         else:
-            x, y = open_.alias("x"), open_.alias("y")
+            # x is the larger set (or as large). It is enough to meet at the first common shingle: all of the overlap lies from
+            # there on in both sets, which leaves few sizes to meet; sizes are joined by classes
+            n, class_of = F.col("n"), lambda size: F.floor(F.log(size) / float(np.log(1.04))).cast("int")
+            least_, most = F.ceil(num * n / den - 1e-9), F.least(n, F.floor((n - F.col("place")) * (num + den) / num + 1e-9) - n)
+            x = open_.filter(most >= least_).withColumn("size", F.explode(F.sequence(class_of(least_), class_of(most)))).alias("x")
+            y = open_.filter((n - F.col("place")) * (num + den) >= 2 * num * n).withColumn("size", class_of(n)).alias("y")
             n, m = F.col("x.n"), F.col("y.n")
             need = F.ceil(num * (n + m) / (num + den) - 1e-9)
-            # it is enough to meet at the first common shingle: all of the overlap lies from there on in both sets
             first = (n - F.col("x.place") >= need) & (m - F.col("y.place") >= need)
-            met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & first & may("x", "y"))
+            larger = (n > m) | (n == m) & (F.col("x.node") < F.col("y.node"))
+            met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.size") == F.col("y.size")) & larger & first & may("x", "y"))
         pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         new = stored(verify(pairs, sets, num, den), "links")

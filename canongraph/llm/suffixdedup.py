@@ -382,8 +382,11 @@ def _row_ids(source: DataFrame, id_col: str) -> DataFrame:
     raise RuntimeError("hashes of rows keep colliding")
 
 
-def deduplicate(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, spans, kept binary, n_bytes) of each row: removed runs and the remaining bytes; ``keep`` names columns to carry instead of the id."""
+def deduplicate(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """(doc_id, spans, kept binary, n_bytes) of each row: removed runs and the remaining bytes; ``keep`` names columns to carry instead of the id.
+
+    ``as_text``: ``kept`` is a string, without the bytes that a cut has left of a letter.
+    """
     bound_batches(docs.sparkSession)
     cols = [c for c in keep or [id_col] if c not in ("spans", "kept", "n_bytes")]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -392,7 +395,7 @@ def deduplicate(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text
     n = spans_.agg(F.sum(F.size("spans")).alias("n")).first().n or 0
     spans_ = spans_.select(F.col("rid").alias("__rid"), F.col("spans").alias("__spans"))
     joined = source.join(F.broadcast(spans_) if n <= BROADCAST_ROWS else spans_, "__rid", "left").select(*cols, "__text", "__spans")
-    schema = docs.select(*cols).schema.add("spans", T.ArrayType(T.StructType().add("start", "long").add("stop", "long"))).add("kept", "binary").add("n_bytes", "long")
+    schema = docs.select(*cols).schema.add("spans", T.ArrayType(T.StructType().add("start", "long").add("stop", "long"))).add("kept", "string" if as_text else "binary").add("n_bytes", "long")
 
     def run(batches):
         for batch in batches:
@@ -403,8 +406,8 @@ def deduplicate(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text
                 if x:
                     edges = [0, *(e for s in x for e in (s["start"], s["stop"])), len(d)]
                     d = np.concatenate([d[a:b] for a, b in zip(edges[::2], edges[1::2])])
-                kept.append(d.tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(cols)], batch.column(len(cols) + 1), pa.array(kept, pa.binary()), pa.array(np.diff(at))], names=[*cols, "spans", "kept", "n_bytes"])
+                kept.append(d.tobytes().decode("utf-8", "ignore") if as_text else d.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(cols)], batch.column(len(cols) + 1), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(np.diff(at))], names=[*cols, "spans", "kept", "n_bytes"])
 
     return joined.mapInArrow(run, schema)
 
