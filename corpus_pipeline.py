@@ -6,11 +6,9 @@ settled as the operators' docstrings say.
 
 from __future__ import annotations
 
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from canongraph.llm import decontam, ngramjoin, packing, suffixdedup, toxicity
 from canongraph.llm.common import remainder, small, stored
@@ -41,14 +39,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     All rows stay, those whose text is gone too; a null text becomes an empty one. Repeated rows lose what they share.
     """
-    out = suffixdedup.deduplicate(docs, keep=list(COLUMNS)).drop("text", "n_chars")
-    return out.withColumn("text", _valid("kept")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-
-
-@F.pandas_udf(T.StringType())
-def _valid(kept: pd.Series) -> pd.Series:
-    """UTF-8 text of bytes, without bytes that a cut has left of a letter."""
-    return kept.map(lambda x: bytes(x).decode("utf-8", "ignore"))
+    out = suffixdedup.deduplicate(docs, keep=list(COLUMNS), as_text=True).drop("text", "n_chars")
+    return out.withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
