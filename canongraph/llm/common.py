@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,8 +25,8 @@ def bound_batches(spark: SparkSession) -> None:
     Spark counts rows by default (and 64 MB): with texts of megabytes that is more than a worker should hold.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int((spark.conf.get(key, None) or "0").rstrip("bB") or 0)
-    if not 0 < now <= BATCH_BYTES:
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", (spark.conf.get(key, None) or "0").lower()).groups()
+    if not 0 < int(number) << 10 * " kmgtp".index(unit or " ") <= BATCH_BYTES:
         spark.conf.set(key, BATCH_BYTES)
 
 

@@ -26,9 +26,11 @@ than a range should hold (a bounded number of them) are counted before and never
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canongraph.llm.common import blocks, bound_batches, cut, mix, raw_bytes, shingles_of, shuffle_partitions, small, stored, words_of
@@ -37,9 +39,11 @@ from canongraph.llm.components import components
 #: Fragments that verification cuts the order into; share of the order that makes the first one.
 FRAGMENTS, FIRST = 4, 3 / 8
 #: Shingles of a range that a task holds, about; shingles that a task gathers before it sends them.
-PER_RANGE, FLUSH = 1 << 18, 1 << 20
+PER_RANGE, FLUSH = 1 << 18, 1 << 19
 #: Rounds in which a bucket's nodes are compared with one leader, before all that are still apart are compared.
 LEADERS = 3
+#: Buckets up to which a row for each is broadcast, so that a bucket of very many nodes need not meet in one task.
+BUCKETS = 200_000
 #: Shingles known to every task at most (those of most sets: the count that makes one rises with the input), and the least such count.
 FREQUENT, OFTEN = 1 << 20, 1000
 
@@ -265,15 +269,15 @@ def frequent_shingles(sets: DataFrame, bits: int, least: int) -> tuple[np.ndarra
 
 
 def buckets(sets: DataFrame, bits: int, num: int, den: int) -> DataFrame:
-    """(bucket, node, n, place, w, b0 to b3): the first shingles of each set that other sets hold too.
+    """(bucket, node, n, place, k, w): the first shingles of each set that other sets hold too.
 
-    ``place`` is the shingle's number in the set's order, ``w`` how many such rows the node has.
+    ``place`` is the shingle's number in the set's order, ``k`` the row's number among the node's ``w`` rows.
     """
     total = sets.agg(F.sum("n")).first()[0] or 0
     shared = sets.sparkSession.sparkContext.broadcast(frequent_shingles(sets, bits, max(OFTEN, -(-total // FREQUENT))))
     groups = max(8, int(np.ceil(np.log2(max(1, total / PER_RANGE)))))  # ranges of nodes, in bits
     types = {"range": pa.int64(), "kind": pa.int32(), "x": pa.binary(), "y": pa.binary(), "z": pa.binary()}
-    HEAD, ENTRY = 0, 1  # within a range of nodes: their sizes and bitmaps; their shared shingles with frequencies
+    HEAD, ENTRY = 0, 1  # within a range of nodes: their sizes; their shared shingles with frequencies
 
     def by_node(node, *more):
         """Rows for ranges of nodes."""
@@ -299,15 +303,15 @@ def buckets(sets: DataFrame, bits: int, num: int, den: int) -> DataFrame:
             return _columns(rows, types)
 
         for batch in batches:
-            for *head, parts in zip(*(c.to_pylist() for c in batch.columns)):
+            for node, n, parts in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "parts"))):
                 u = _hashes(parts)
-                heads.append(head)
+                heads.append((node, n))
                 if len(known):
                     k = np.minimum(np.searchsorted(known, u), len(known) - 1)
                     often = known[k] == u
-                    hot.append((np.full(int(often.sum()), head[0], np.int64), u[often], count[k[often]]))
+                    hot.append((np.full(int(often.sum()), node, np.int64), u[often], count[k[often]]))
                     u = u[~often]
-                held.append((u, np.full(len(u), head[0], np.int64)))
+                held.append((u, np.full(len(u), node, np.int64)))
                 size += len(u) + 8
                 if size > FLUSH:
                     yield out()
@@ -353,8 +357,8 @@ def buckets(sets: DataFrame, bits: int, num: int, den: int) -> DataFrame:
         first = place <= free(head[:, 1], num, den)[at]
         at, place = at[first], place[first]
         w = np.bincount(at, minlength=len(head))[at]
-        columns = [h[first].view(np.int64), *head[at, :2].T, place, w, *head[at, 2:].T]
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(np.int64)) for c in columns], names=["bucket", "node", "n", "place", "w", "b0", "b1", "b2", "b3"])
+        columns = [h[first].view(np.int64), *head[at].T, place, place - lone[at], w]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(np.int64)) for c in columns], names=["bucket", "node", "n", "place", "k", "w"])
 
     def prefix(batches):
         """Rows sorted by range and kind."""
@@ -371,7 +375,7 @@ def buckets(sets: DataFrame, bits: int, num: int, den: int) -> DataFrame:
                         yield out()
                     now, head, entries = g, [], []
                 if kind == HEAD:
-                    head.append(np.frombuffer(y, np.int64).reshape(-1, 6))
+                    head.append(np.frombuffer(y, np.int64).reshape(-1, 2))
                 else:
                     entries.append((np.frombuffer(x, np.int64), np.frombuffer(y, np.uint64), np.frombuffer(z, np.int64)))
         if head:
@@ -381,7 +385,7 @@ def buckets(sets: DataFrame, bits: int, num: int, den: int) -> DataFrame:
     rows = "range long, kind int, x binary, y binary, z binary"
     dealt = sets.mapInArrow(deal, rows).repartition(n, "range").sortWithinPartitions("kind", "range")
     back = dealt.mapInArrow(gather, rows).repartition(n, "range").sortWithinPartitions("range", "kind")
-    return back.mapInArrow(prefix, "bucket long, node long, n long, place long, w long, b0 long, b1 long, b2 long, b3 long")
+    return back.mapInArrow(prefix, "bucket long, node long, n long, place long, k long, w long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -402,55 +406,81 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def links_of(sets: DataFrame, bits: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between the nodes of ``sets`` that connect all that a link connects."""
-    open_ = stored(buckets(sets, bits, num, den), "buckets")
-    several = open_.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket")
-    open_ = stored(open_.join(several, "bucket", "left_semi").withColumn("c", F.col("node")).withColumn("led", F.lit(False)), "open")
+    """Links (a, b) between the nodes of ``sets`` that connect all that a link connects.
+
+    Rounds of leaders look at a few buckets of each node, the rarest and the commonest of its first shingles: they only save
+    work. What they leave apart is compared in all buckets.
+    """
+    rows = stored(buckets(sets, bits, num, den), "buckets")
+    bitmaps = sets.select("node", *(f"b{i}" for i in range(4)))
 
-    def may(x: str, y: str):
-        """Exact bounds: a pair that fails one has too small an overlap."""
+    def sized(n, m):
+        return F.least(n, m) * den >= num * F.greatest(n, m)
+
+    def needed(n, m):
+        """The overlap that sets of such sizes need."""
+        return F.ceil(num * (n + m) / (num + den) - 1e-9)
+
+    def near(x: str, y: str):
+        """Whether the parity bitmaps leave the overlap that is needed: they differ in no more places than the sets do."""
         n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-        need = F.ceil(num * (n + m) / (num + den) - 1e-9)
-        differ = sum((F.bit_count(F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}"))) for i in range(1, 4)), F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))))
-        return (F.col(f"{x}.c") != F.col(f"{y}.c")) & (F.least(n, m) * den >= num * F.greatest(n, m)) & (differ <= n + m - 2 * need)
+        differ = reduce(Column.__add__, (F.bit_count(F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}"))) for i in range(4)))
+        return differ <= n + m - 2 * needed(n, m)
+
+    def with_bitmap(pairs: DataFrame, side: str) -> DataFrame:
+        return pairs.join(small(bitmaps, BUCKETS).withColumnRenamed("node", f"{side}_node"), F.col(f"{side}.node") == F.col(f"{side}_node")).withColumn(side, F.struct(f"{side}.*", *(f"b{i}" for i in range(4)))).drop(f"{side}_node", *(f"b{i}" for i in range(4)))
+
+    def distinct_pairs(met: DataFrame) -> DataFrame:
+        return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+    def labelled(some: DataFrame, label: DataFrame) -> DataFrame:
+        """``some`` with the component ``c`` of each node."""
+        return some.join(small(label, BUCKETS), "node", "left").withColumn("c", F.coalesce("component_id", "node")).drop("component_id")
+
+    def spanning(some: DataFrame) -> DataFrame:
+        """The rows of buckets that span several components."""
+        span = cut(some.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("bucket"))
+        return some.join(small(span, BUCKETS), "bucket", "left_semi")
 
     tested = links = None
-    for turn in range(LEADERS + 1):
-        if turn < LEADERS:
-            # an original shares most first shingles: it leads its copies
-            side = F.struct("node", "n", "c", *(f"b{i}" for i in range(4)))
-            lead = open_.filter("not led").groupBy("bucket").agg(F.max_by(side, F.struct("w", "node")).alias("y"))
-            met = open_.select("bucket", F.struct("node", "n", "c", *(f"b{i}" for i in range(4))).alias("x")).join(lead, "bucket").filter(may("x", "y"))
-        else:
-            # x is the larger set (or as large). It is enough to meet at the first common shingle: all of the overlap lies from
-            # there on in both sets, which leaves few sizes to meet; sizes are joined by classes
-            n, class_of = F.col("n"), lambda size: F.floor(F.log(size) / float(np.log(1.04))).cast("int")
-            least_, most = F.ceil(num * n / den - 1e-9), F.least(n, F.floor((n - F.col("place")) * (num + den) / num + 1e-9) - n)
-            x = open_.filter(most >= least_).withColumn("size", F.explode(F.sequence(class_of(least_), class_of(most)))).alias("x")
-            y = open_.filter((n - F.col("place")) * (num + den) >= 2 * num * n).withColumn("size", class_of(n)).alias("y")
-            n, m = F.col("x.n"), F.col("y.n")
-            need = F.ceil(num * (n + m) / (num + den) - 1e-9)
-            first = (n - F.col("x.place") >= need) & (m - F.col("y.place") >= need)
-            larger = (n > m) | (n == m) & (F.col("x.node") < F.col("y.node"))
-            met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.size") == F.col("y.size")) & larger & first & may("x", "y"))
-        pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    open_ = stored(spanning(rows.filter("k < 2 or k >= w - 2").select("bucket", "node", "n", "w", F.col("node").alias("c"), F.lit(False).alias("led"))), "open")
+    for turn in range(LEADERS):
+        # an original shares most first shingles: it leads its copies
+        side = F.struct("node", "n", "c")
+        lead = cut(open_.filter("not led").groupBy("bucket").agg(F.max_by(side, F.struct("w", "node")).alias("y")))
+        met = open_.select("bucket", side.alias("x")).join(small(lead, BUCKETS), "bucket").filter((F.col("x.c") != F.col("y.c")) & sized(F.col("x.n"), F.col("y.n")))
+        met = with_bitmap(with_bitmap(met.select("x", "y").distinct(), "x"), "y").filter(near("x", "y"))
+        pairs = distinct_pairs(met)
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         new = stored(verify(pairs, sets, num, den), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
-        if turn == LEADERS:
-            break
+        label = cut(components(links))
         # only buckets that still span several components, and have a node that no leader is linked with, go on
-        label = components(links)
-        placed = open_.drop("c").join(label, "node", "left").withColumn("c", F.coalesce("component_id", "node")).drop("component_id")
-        led = lead.select("bucket", F.col("y.node").alias("node"))
-        led = led.join(label, "node", "left").select("bucket", F.coalesce("component_id", "node").alias("lead_c"))
-        placed = placed.join(led, "bucket", "left").withColumn("led", F.col("led") | F.coalesce(F.col("c") == F.col("lead_c"), F.lit(False))).drop("lead_c")
-        span = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("bucket")
-        open_ = stored(placed.join(span, "bucket", "left_semi"), "open")
+        led = lead.select("bucket", F.col("y.node").alias("node")).join(small(label, BUCKETS), "node", "left").select("bucket", F.coalesce("component_id", "node").alias("lead_c"))
+        placed = labelled(open_.drop("c"), label).join(small(cut(led), BUCKETS), "bucket", "left")
+        placed = stored(placed.withColumn("led", F.col("led") | F.coalesce(F.col("c") == F.col("lead_c"), F.lit(False))).drop("lead_c"), "placed")
+        open_ = stored(spanning(placed), "open")
         if not open_.limit(1).count():
             break
-    return links
+
+    # x is the larger set (or as large). It is enough to meet at the first common shingle: all of the overlap lies from there on
+    # in both sets, which leaves few sizes to meet; sizes are joined by classes
+    every = labelled(rows, label) if links is not None else rows.withColumn("c", F.col("node"))
+    open_ = stored(spanning(every.select("bucket", "node", "n", "place", "c")), "open")
+    open_ = open_.join(small(bitmaps, BUCKETS), "node")
+    n, class_of = F.col("n"), lambda size: F.floor(F.log(size) / float(np.log(1.04))).cast("int")
+    least_, most = F.ceil(num * n / den - 1e-9), F.least(n, F.floor((n - F.col("place")) * (num + den) / num + 1e-9) - n)
+    x = open_.filter(most >= least_).withColumn("size", F.explode(F.sequence(class_of(least_), class_of(most)))).alias("x")
+    y = open_.filter((n - F.col("place")) * (num + den) >= 2 * num * n).withColumn("size", class_of(n)).alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    first = (n - F.col("x.place") >= needed(n, m)) & (m - F.col("y.place") >= needed(n, m))
+    larger = (n > m) | (n == m) & (F.col("x.node") < F.col("y.node"))
+    apart = (F.col("x.c") != F.col("y.c")) & sized(n, m) & near("x", "y")
+    pairs = distinct_pairs(x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.size") == F.col("y.size")) & larger & first & apart))
+    pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    new = verify(pairs, sets, num, den)
+    return stored(new, "links") if links is None else links.unionByName(stored(new, "links"))
 
 
 def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:

@@ -35,7 +35,7 @@ from canongraph.llm.common import BASE, blocks, bound_batches, cut, mix, prefix_
 #: Windows looked at together (positions must fit PLACE bits).
 SEGMENT, PLACE = 1 << 19, 22
 #: Spans or windows a task gathers before it settles its own repeats and sends the rest.
-FLUSH = 600_000
+FLUSH = 300_000
 #: Bytes of text a range of anchors stands for, about; suffixes in a bucket, about.
 PER_RANGE, PER_BUCKET = 1 << 20, 1 << 18
 #: Rows of requests or spans up to which they are broadcast (a few dozen bytes each); more go by a shuffle join.
