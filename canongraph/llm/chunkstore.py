@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from canongraph.llm.common import BASE, bound_batches, cut, mix, shuffle_partitions, small
+from canongraph.llm.common import BASE, bound_batches, cut, mix, shuffle_partitions, small, tidy
 from canongraph.llm.tokens import encoder
 
 #: Ids under the rolling hash; least, usual and most ids of a chunk.
@@ -146,10 +146,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
     spark = docs.sparkSession
     bound_batches(spark)
     types = "kind string, address binary, n int, ids binary, doc_id long, n_tokens long, addresses array<binary>"
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_split(tokenizer, end_id), types)
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidy(_split(tokenizer, end_id)), types)
     n = shuffle_partitions(spark)
     # SHA-256 does not compress: lz4 costs less than zstd here
-    rows.repartition(n, "address").sortWithinPartitions("kind", "address").mapInArrow(_once, types).write.option("compression", "lz4").partitionBy("kind").parquet(f"{path}/objects")
+    rows.repartition(n, "address").sortWithinPartitions("kind", "address").mapInArrow(tidy(_once), types).write.option("compression", "lz4").partitionBy("kind").parquet(f"{path}/objects")
 
     recipes = _objects(spark, path, "recipe").select("doc_id", "n_tokens", "addresses")
 
@@ -158,7 +158,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
             r = [merkle(x) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r, pa.binary())], names=[*b.schema.names, "root"])
 
-    ranged = recipes.mapInArrow(roots, "doc_id long, n_tokens long, addresses array<binary>, root binary").repartitionByRange(n, "doc_id", "n_tokens", "root").sortWithinPartitions("doc_id", "n_tokens", "root").withColumn("part", F.spark_partition_id())
+    ranged = recipes.mapInArrow(tidy(roots), "doc_id long, n_tokens long, addresses array<binary>, root binary").repartitionByRange(n, "doc_id", "n_tokens", "root").sortWithinPartitions("doc_id", "n_tokens", "root").withColumn("part", F.spark_partition_id())
     ranged.write.option("compression", "lz4").parquet(f"{path}/ranges")
     ranged = spark.read.schema(ranged.schema).parquet(f"{path}/ranges")
     # starts and positions: sums of whole ranges (a row each), then running sums within a range
@@ -198,7 +198,7 @@ def manifest(roots: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["level", "number", "n_docs", "n_tokens", "root"])
 
-        return cut(own.mapInArrow(run, _NODES))
+        return cut(own.mapInArrow(tidy(run), _NODES))
 
     now = up(roots.select(F.col("position").alias("number"), F.lit(1).cast("long").alias("n_docs"), "n_tokens", "root"), 0)
     out, level = now, 0
@@ -238,7 +238,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             whole = [_read(x, k) for x, k in zip(ids, n)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in whole], pa.int32()), pa.array([zlib.crc32(x) for x in whole], pa.int64()), pa.array(ok)], names=["address", "n", "crc", "ok"])
 
-    chunks = _objects(spark, path, "chunk").select("address", "n", "ids").mapInArrow(sums, "address binary, n int, crc long, ok boolean")
+    chunks = _objects(spark, path, "chunk").select("address", "n", "ids").mapInArrow(tidy(sums), "address binary, n int, crc long, ok boolean")
     read = cut(_per_document(_recipes(spark, path), chunks, ["crc", "ok"], _digest, "doc_id long, start long, n_tokens long, position long, ids_crc32 long, good boolean, root binary"))
     blocks = good_blocks(_stored_manifest(spark, path), manifest(read)).select(F.col("number").alias("block"), F.lit(True).alias("sound"))
     out = read.withColumn("block", F.floor(F.col("position") / FANOUT)).join(small(blocks), "block", "left")
@@ -254,7 +254,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def _per_document(recipes: DataFrame, chunks: DataFrame, values: list[str], make, schema: str) -> DataFrame:
     asked = recipes.select("doc_id", "start", "n_tokens", "position", "root", F.posexplode("addresses").alias("at", "address"))
     joined = asked.join(chunks, "address", "left").groupBy("position", "start", "doc_id", "n_tokens", "root").agg(F.sort_array(F.collect_list(F.struct("at", "address", "n", *values))).alias("parts"))
-    return joined.mapInArrow(make, schema)
+    return joined.mapInArrow(tidy(make), schema)
 
 
 def _digest(batches):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
+import sys
 import tempfile
 import uuid
 
@@ -57,6 +60,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(run):
+    """``run``, a function over a task's batches, with what the task has freed given back to the system at its end.
+
+    Python workers live on from task to task beside the executor's JVM, and keep what one task needed at its peak otherwise.
+    """
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canongraph.llm.common import cut
+from canongraph.llm.common import cut, tidy
 
 #: Links a task thins at a time; bounds its memory.
 THIN = 500_000
@@ -70,7 +70,7 @@ def components(links: DataFrame, thin: int = THIN) -> DataFrame:
     """
     first, second = links.columns
     edges = links.select(F.col(first).cast("long").alias("a"), F.col(second).cast("long").alias("b")).filter("a <> b")
-    edges = cut(edges.mapInArrow(_thin, "a long, b long"))
+    edges = cut(edges.mapInArrow(tidy(_thin), "a long, b long"))
     while edges.count() > thin:
         low = edges.groupBy("a").agg(F.min("b").alias("low"))
         star = edges.join(low, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b")).distinct()
@@ -83,6 +83,6 @@ def components(links: DataFrame, thin: int = THIN) -> DataFrame:
             break
         edges = new
     else:
-        edges = cut(edges.repartition(1).mapInArrow(_thin, "a long, b long"))
+        edges = cut(edges.repartition(1).mapInArrow(tidy(_thin), "a long, b long"))
     roots = edges.select(F.col("b").alias("node")).distinct().withColumn("component_id", F.col("node"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component_id")).unionByName(roots)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canongraph.llm.common import BASE, PUNCTUATION, blocks, bound_batches, mix, raw_bytes, words_of
+from canongraph.llm.common import BASE, PUNCTUATION, blocks, bound_batches, mix, raw_bytes, tidy, words_of
 
 #: Items in a slice, and bytes of their texts, at most: bounds what is broadcast.
 SLICE, SLICE_BYTES = 100_000, 1 << 25
@@ -170,7 +170,7 @@ def rare_seeds(docs: DataFrame, items: Items):
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(n[at])], names=["gram", "n"])
 
     n = np.zeros(len(known), np.int64)
-    for r in docs.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    for r in docs.mapInArrow(tidy(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         n[r.gram] = r.n
     return items.seeds(known, n)
 
@@ -241,4 +241,4 @@ def _search(docs: DataFrame, items: Items, least: float) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["doc_id", "item_id", "score", "matched_end"])
 
-    return docs.mapInArrow(search, "doc_id long, item_id long, score double, matched_end long")
+    return docs.mapInArrow(tidy(search), "doc_id long, item_id long, score double, matched_end long")

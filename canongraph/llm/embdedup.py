@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canongraph.llm.common import bound_batches, cut, stored
+from canongraph.llm.common import bound_batches, cut, stored, tidy
 from canongraph.llm.components import components, forest
 
 #: Vectors in a block, about; rows of a tile that are multiplied at once.
@@ -152,7 +152,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
             q, scale, error = zip(*packed) if packed else ((), (), ())
             yield pd.DataFrame({"node": f["node"], "m": f["m"], "cell": cell, "angle": angle, "q": q, "scale": scale, "error": error})
 
-    placed = stored(nodes.select("node", "m", "v").mapInPandas(assign, "node long, m long, cell long, angle double, q binary, scale double, error double"), "placed")
+    placed = stored(nodes.select("node", "m", "v").mapInPandas(tidy(assign), "node long, m long, cell long, angle double, q binary, scale double, error double"), "placed")
     cells = cut(placed.groupBy("cell").agg(F.count("*").alias("n"), F.sum("m").alias("m"), F.max("angle").alias("radius"), F.min("node").alias("first")).withColumn("parts", F.ceil(F.col("n") / BLOCK)))
     known = {r.cell: r.radius for r in cells.select("cell", "radius").collect()}  # two for each pivot and vector length
     radii = spark.sparkContext.broadcast((np.array(sorted(known), np.int64), np.array([known[c] for c in sorted(known)])))
@@ -173,7 +173,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
                 whole = apart + r + radius[some] <= far - EPS
                 yield pd.DataFrame({"a": c, "b": all_[some[near]], "whole": whole[near]})
 
-    met = cut(cells.repartition("cell").select("cell", "radius").mapInPandas(meet, "a long, b long, whole boolean"))
+    met = cut(cells.repartition("cell").select("cell", "radius").mapInPandas(tidy(meet), "a long, b long, whole boolean"))
     # cells that link whole: every vector gets the other cell's weight, and one link joins what is joined
     side = cells.select(F.col("cell").alias("b"), F.col("m").alias("mb"), F.col("first").alias("fb"))
     whole = met.filter("whole").join(side, "b").join(cells.select(F.col("cell").alias("a"), F.col("m").alias("ma"), F.col("first").alias("fa")), "a")
@@ -248,7 +248,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
         x, y = own[0], own[-1]
         return _frame(_rows(x[0], x[1], y[0], y[1], *full_links(x[2], None if len(own) == 1 else y[2], least)))
 
-    decided = pairs.mapInPandas(decide, _FOUND)
+    decided = pairs.mapInPandas(tidy(decide), _FOUND)
     if again.limit(1).count():
         members = numbered.select("block", "node", "m").join(asked, "block", "left_semi").join(full.select("node", "v"), "node")
         full_blocks = members.groupBy("block").applyInPandas(pack_full, "block long, width int, node binary, m binary, x binary")

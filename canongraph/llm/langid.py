@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canongraph.llm.common import bound_batches, letter_codes
+from canongraph.llm.common import bound_batches, letter_codes, tidy
 from canongraph.llm.tokens import text_groups
 
 DIMS = 4096
@@ -57,7 +57,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int,
                 n += int((letters > 0).sum())
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIMS)), pa.array(np.r_[n, df])], names=["dim", "n"])
 
-    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(tidy(count), "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(DIMS + 1, np.int64)
     for r in rows:
         out[r.dim + 1] = r.n
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, clusters: int = 4, per_language: int = 500, id_col: str
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["lang", "dims", "counts"])
 
     by_lang: dict[str, list] = {}
-    for r in sample.select("text", "lang").mapInArrow(sparse, "lang string, dims binary, counts binary").collect():
+    for r in sample.select("text", "lang").mapInArrow(tidy(sparse), "lang string, dims binary, counts binary").collect():
         by_lang.setdefault(r.lang, []).append(r)
     centers, langs, least = [], [], []
     for lang in sorted(by_lang):
@@ -154,4 +154,4 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 rejected += (none | (top < m.least[best])).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, rejected boolean")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canongraph.llm.common import bound_batches
+from canongraph.llm.common import bound_batches, tidy
 from canongraph.llm.decontam import Items, passages, rare_seeds
 
 _WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
@@ -139,4 +139,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
                 rows = [(ids[doc], names[item], *v) for (doc, item), v in best.items()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "license", "coverage", "first_word", "last_word"])
 
-    return docs.mapInArrow(run, "doc_id long, license string, coverage double, first_word long, last_word long")
+    return docs.mapInArrow(tidy(run), "doc_id long, license string, coverage double, first_word long, last_word long")

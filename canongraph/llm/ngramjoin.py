@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canongraph.llm.common import blocks, bound_batches, cut, mix, raw_bytes, shingles_of, shuffle_partitions, small, stored, words_of
+from canongraph.llm.common import blocks, bound_batches, cut, mix, raw_bytes, shingles_of, shuffle_partitions, small, stored, tidy, words_of
 from canongraph.llm.components import components
 
 #: Fragments that verification cuts the order into; share of the order that makes the first one.
@@ -178,8 +178,8 @@ def first_fragment(docs: DataFrame, k: int, bits: int) -> DataFrame:
             yield out()
 
     types = "range long, kind int, low binary, nodes binary, doc_id long, n long, node long, h long"
-    dealt = docs.mapInArrow(deal, types).repartition(shuffle_partitions(docs.sparkSession), "range").sortWithinPartitions("kind", "range")
-    return dealt.mapInArrow(gather, "kind int, doc_id long, n long, node long, h long, range long, nodes binary, counts binary")
+    dealt = docs.mapInArrow(tidy(deal), types).repartition(shuffle_partitions(docs.sparkSession), "range").sortWithinPartitions("kind", "range")
+    return dealt.mapInArrow(tidy(gather), "kind int, doc_id long, n long, node long, h long, range long, nodes binary, counts binary")
 
 
 def alone(found: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def alone(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.bincount(at, n, len(node)).astype(np.int64))], names=["node", "alone"])
 
     rows = found.filter("kind = 1").select("range", "kind", "nodes", "counts")
-    return rows.repartition(shuffle_partitions(found.sparkSession), "range").sortWithinPartitions("kind", "range").mapInArrow(add, "node long, alone long")
+    return rows.repartition(shuffle_partitions(found.sparkSession), "range").sortWithinPartitions("kind", "range").mapInArrow(tidy(add), "node long, alone long")
 
 
 def whole_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -223,7 +223,7 @@ def whole_sets(docs: DataFrame, k: int) -> DataFrame:
             yield batch.filter(pa.array(new))
 
     schema = "node long, n long, b0 long, b1 long, b2 long, b3 long, parts array<binary>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema).repartition(shuffle_partitions(docs.sparkSession), "node").sortWithinPartitions("node").mapInArrow(once, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema).repartition(shuffle_partitions(docs.sparkSession), "node").sortWithinPartitions("node").mapInArrow(tidy(once), schema)
 
 
 def _hashes(parts) -> np.ndarray:
@@ -261,8 +261,8 @@ def frequent_shingles(sets: DataFrame, bits: int, least: int) -> tuple[np.ndarra
             if hot.any():
                 yield pa.RecordBatch.from_arrays([pa.array(h[start[hot]].view(np.int64)), pa.array(total[hot])], names=["h", "n"])
 
-    dealt = sets.select("parts").mapInArrow(deal, "range long, kind int, h binary, n binary").repartition(shuffle_partitions(sets.sparkSession), "range").sortWithinPartitions("range")
-    found = dealt.mapInArrow(count, "h long, n long").toPandas()  # FREQUENT rows at most
+    dealt = sets.select("parts").mapInArrow(tidy(deal), "range long, kind int, h binary, n binary").repartition(shuffle_partitions(sets.sparkSession), "range").sortWithinPartitions("range")
+    found = dealt.mapInArrow(tidy(count), "h long, n long").toPandas()  # FREQUENT rows at most
     h, n = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
     order = np.argsort(h)
     return h[order], n[order]
@@ -383,9 +383,9 @@ def buckets(sets: DataFrame, bits: int, num: int, den: int) -> DataFrame:
 
     n = shuffle_partitions(sets.sparkSession)
     rows = "range long, kind int, x binary, y binary, z binary"
-    dealt = sets.mapInArrow(deal, rows).repartition(n, "range").sortWithinPartitions("kind", "range")
-    back = dealt.mapInArrow(gather, rows).repartition(n, "range").sortWithinPartitions("range", "kind")
-    return back.mapInArrow(prefix, "bucket long, node long, n long, place long, k long, w long")
+    dealt = sets.mapInArrow(tidy(deal), rows).repartition(n, "range").sortWithinPartitions("kind", "range")
+    back = dealt.mapInArrow(tidy(gather), rows).repartition(n, "range").sortWithinPartitions("range", "kind")
+    return back.mapInArrow(tidy(prefix), "bucket long, node long, n long, place long, k long, w long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -401,7 +401,7 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     left = fragments.select(F.col("node").alias("a"), "fragment", F.col("n").alias("na"), F.col("part").alias("pa"))
     right = fragments.select(F.col("node").alias("b"), "fragment", F.col("n").alias("nb"), F.col("part").alias("pb"))
     joined = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "pa", "pb", (F.col("na") + F.col("nb")).alias("both"))
-    sums = joined.mapInArrow(overlap, "a long, b long, both long, n long").groupBy("a", "b").agg(F.first("both").alias("both"), F.sum("n").alias("n"))
+    sums = joined.mapInArrow(tidy(overlap), "a long, b long, both long, n long").groupBy("a", "b").agg(F.first("both").alias("both"), F.sum("n").alias("n"))
     return sums.filter(F.col("n") * den >= num * (F.col("both") - F.col("n"))).select("a", "b")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canongraph.llm.common import bound_batches, cut
+from canongraph.llm.common import bound_batches, cut, tidy
 from canongraph.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -54,7 +54,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: in
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array([bytes(x) for x in parts], pa.binary())] if with_ids else []), schema=arrow)
         enc.forget()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 # -- one shard: plain Python on a bounded list of lengths ------------------------------------------------------------
@@ -182,7 +182,7 @@ def _evolve_islands(shards: DataFrame, capacity: int, islands: int, rounds: int,
 
     now = shards.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)]))).withColumn("guests", F.array().cast("array<binary>"))
     for turn in range(rounds):
-        done = now.select("shard", "island", "sizes", "guests", F.lit(turn).alias("turn")).mapInPandas(evolve, schema)
+        done = now.select("shard", "island", "sizes", "guests", F.lit(turn).alias("turn")).mapInPandas(tidy(evolve), schema)
         # the elite of island i also joins island i + 1; each island keeps its own population
         elite = F.when(F.col("rank") == 0, F.array("island", (F.col("island") + 1) % islands)).otherwise(F.array("island"))
         if turn + 1 < rounds:
@@ -218,7 +218,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, shard_size: int = 4096, island
                     of = np.frombuffer(raw, "<i4")
                     yield pd.DataFrame({"shard": shard, "place": np.arange(len(of)), "bin": of})
 
-        where = packed.mapInPandas(spread, "shard long, place int, bin int")
+        where = packed.mapInPandas(tidy(spread), "shard long, place int, bin int")
         flat = shards.select("shard", F.posexplode("members").alias("place", "m")).join(where, ["shard", "place"])
         return cut(flat.groupBy("shard", "bin").agg(F.sum("m.length").alias("fill"), F.sort_array(F.collect_list("m")).alias("members")))
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canongraph.llm.common import BASE, blocks, bound_batches, cut, mix, prefix_hash, raw_bytes, shuffle_partitions, stored
+from canongraph.llm.common import BASE, blocks, bound_batches, cut, mix, prefix_hash, raw_bytes, shuffle_partitions, stored, tidy
 
 #: Windows looked at together (positions must fit PLACE bits).
 SEGMENT, PLACE = 1 << 19, 22
@@ -210,8 +210,8 @@ def find_spans(docs: DataFrame, length: int, bits: int) -> DataFrame:
             ask = mixed & (~full | rep)
             yield _found(1, rid[ask], p0[ask], p0[ask] + n[ask])
 
-    dealt = docs.mapInArrow(deal, _DEALT).repartition(shuffle_partitions(docs.sparkSession), "range").sortWithinPartitions("range")
-    return dealt.mapInArrow(gather, _FOUND)
+    dealt = docs.mapInArrow(tidy(deal), _DEALT).repartition(shuffle_partitions(docs.sparkSession), "range").sortWithinPartitions("range")
+    return dealt.mapInArrow(tidy(gather), _FOUND)
 
 
 def compare_suffixes(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
@@ -244,7 +244,7 @@ def compare_suffixes(docs: DataFrame, asked: DataFrame, length: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(x[::64].view(np.int64)) for x in (lead, print_)], names=["lead", "print"])
 
     # a sample for the splitters: balance depends on it, results do not
-    part = texts.filter(F.pmod(F.xxhash64("rid"), F.lit(16)) == 0).mapInArrow(sampled, "lead long, print long").limit(50_000).toPandas()
+    part = texts.filter(F.pmod(F.xxhash64("rid"), F.lit(16)) == 0).mapInArrow(tidy(sampled), "lead long, print long").limit(50_000).toPandas()
     split, split_print = (part[c].to_numpy(np.int64).view(np.uint64) for c in ("lead", "print"))
     order = np.lexsort((split_print, split))
     order = order[np.unique(np.linspace(0, len(order) - 1, n_buckets + 1).astype(int)[1:-1])] if len(order) else order
@@ -300,8 +300,8 @@ def compare_suffixes(docs: DataFrame, asked: DataFrame, length: int) -> DataFram
             start, stop, own = merged(p[many], p[many] + length, rid[many])
             yield _found(0, own, start, stop)
 
-    dealt = texts.mapInArrow(deal, _DEALT).repartition(n_buckets, "range").sortWithinPartitions("range")
-    return dealt.mapInArrow(gather, _FOUND)
+    dealt = texts.mapInArrow(tidy(deal), _DEALT).repartition(n_buckets, "range").sortWithinPartitions("range")
+    return dealt.mapInArrow(tidy(gather), _FOUND)
 
 
 def leading(d: np.ndarray, p: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -364,7 +364,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
             runs = pa.StructArray.from_arrays([pa.array(s), pa.array(e)], names=["start", "stop"])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), runs)], names=["rid", "spans"])
 
-    return stored(both.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("x")).mapInArrow(join, "rid long, spans array<struct<start: long, stop: long>>"), "merged")
+    return stored(both.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("x")).mapInArrow(tidy(join), "rid long, spans array<struct<start: long, stop: long>>"), "merged")
 
 
 def _row_ids(source: DataFrame, id_col: str) -> DataFrame:
@@ -409,7 +409,7 @@ def deduplicate(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text
                 kept.append(d.tobytes().decode("utf-8", "ignore") if as_text else d.tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(cols)], batch.column(len(cols) + 1), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(np.diff(at))], names=[*cols, "spans", "kept", "n_bytes"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
 
 
 def digests(docs: DataFrame, length: int = 200, **how) -> DataFrame:

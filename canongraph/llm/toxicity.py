@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canongraph.llm.common import bound_batches, cut, letter_codes
+from canongraph.llm.common import bound_batches, cut, letter_codes, tidy
 from canongraph.llm.tokens import text_groups
 
 #: What a written character may stand for.
@@ -116,7 +116,7 @@ def char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(held)], names=["key", "n"])
 
-    sums = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
+    sums = docs.select(F.col(text_col).cast("string")).mapInArrow(tidy(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
     return CharModel(sums["key"].to_numpy(np.int64), sums["n"].to_numpy(np.int64))
 
 
@@ -298,7 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, chars: C
         if sums:
             yield out()
 
-    table = cut(texts.mapInArrow(count, "part string, b0 long, a0 long, b1 long, a1 long").groupBy("part").agg(*[F.sum(c).alias(c) for c in ("b0", "a0", "b1", "a1")]))
+    table = cut(texts.mapInArrow(tidy(count), "part string, b0 long, a0 long, b1 long, a1 long").groupBy("part").agg(*[F.sum(c).alias(c) for c in ("b0", "a0", "b1", "a1")]))
     sums = table.filter(F.col("part").endswith("$")).agg(*[F.sum(c).alias(c) for c in ("b0", "a0", "b1", "a1")]).first().asDict()
     models = {"0": ("a0", "b0"), "1": ("a1", "b1"), "all": ("a0 + a1", "b0 + b1")}
     rates = {"0": sums["a0"] / max(1, sums["a0"] + sums["b0"]), "1": sums["a1"] / max(1, sums["a1"] + sums["b1"]), "all": (sums["a0"] + sums["a1"]) / max(1, sum(sums.values()))}
@@ -312,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, chars: C
             keep = [any(p in roots.value for p in (*(f[:k] for k in range(3, len(f) + 1)),)) for f in batch.column(0).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    counts = table.mapInArrow(under, table.schema).toPandas()
+    counts = table.mapInArrow(tidy(under), table.schema).toPandas()
     pick = {"0": (counts.a0, counts.b0), "1": (counts.a1, counts.b1), "all": (counts.a0 + counts.a1, counts.b0 + counts.b1)}
     evidence = {k: Evidence(dict(zip(counts.part, zip(a.tolist(), b.tolist()))), rates[k]) for k, (a, b) in pick.items()}
     halves = spark.sparkContext.broadcast((evidence["0"], evidence["1"]))
@@ -324,7 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, chars: C
             x = [features(*readers[half](text.as_py())) for text, half in zip(batch.column(0), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    seen = texts.mapInArrow(look, "x array<double>, y int").toPandas()
+    seen = texts.mapInArrow(tidy(look), "x array<double>, y int").toPandas()
     weights = logistic(np.stack(seen["x"].to_numpy()), (seen["y"].to_numpy() > 0).astype(float))
     return Model(chars, evidence["all"], weights, share)
 
@@ -348,4 +348,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 s = 1 / (1 + np.exp(-np.clip(x @ m.weights, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64())], names=[*cols, "score"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
