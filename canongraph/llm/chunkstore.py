@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from canongraph.llm.common import BASE, bound_batches, cut, mix, shuffle_partitions, small, tidy
 from canongraph.llm.tokens import encoder
 
-#: Ids under the rolling hash; least, usual and most ids of a chunk.
+#: Ids under the rolling hash (a power of two); least, usual and most ids of a chunk.
 WINDOW, LEAST, USUAL, MOST = 16, 64, 512, 4096
 #: Documents, or nodes of the level below, under a node of the manifest.
 FANOUT = 1024
@@ -43,12 +43,14 @@ def chunk_edges(ids: np.ndarray, edges: np.ndarray) -> list[list[int]]:
     """
     cuts = np.zeros(0, np.int64)
     if len(ids) >= WINDOW:
-        values = mix(ids.astype(np.uint64) + np.uint64(BASE))
-        h = np.zeros(len(ids) - WINDOW + 1, np.uint64)
-        for i in range(WINDOW):
-            h *= np.uint64(BASE)
-            h += values[i : i + len(h)]
-        cuts = np.flatnonzero((mix(h) & np.uint64(USUAL - 1)) == 0)
+        # the polynomial hash of WINDOW ids, from those of half as many
+        h, wide = mix(ids.astype(np.uint64) + np.uint64(BASE)), 1
+        while wide < WINDOW:
+            ahead = h[wide:]
+            h = h[:-wide] * np.uint64(pow(BASE, wide, 1 << 64))
+            h += ahead
+            wide *= 2
+        cuts = np.flatnonzero(h < np.uint64((1 << 64) // USUAL))
         row = np.searchsorted(edges, cuts, "right") - 1
         cuts = cuts[cuts + WINDOW <= edges[row + 1]] + WINDOW  # the window lies in one stream
     bounds = np.searchsorted(cuts, edges, "right").tolist()
@@ -88,8 +90,13 @@ def crc_joined(parts: list[tuple[int, int]]) -> int:
 _ROW = pa.schema([("kind", pa.string()), ("address", pa.binary()), ("n", pa.int32()), ("ids", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("addresses", pa.list_(pa.binary()))])
 
 
-def _written(ids: np.ndarray) -> bytes:
-    return ids.astype("<u2" if len(ids) and ids.max() < 1 << 16 else "<u4").tobytes()
+def _written(ids: np.ndarray):
+    """A function that gives ids[a:b] as they are stored."""
+    wide = ids.astype("<u4")
+    if not len(ids) or ids.max() < 1 << 16:
+        raw = memoryview(ids.astype("<u2").tobytes())
+        return lambda a, b: bytes(raw[2 * a : 2 * b])
+    return lambda a, b: wide[a:b].astype("<u2" if wide[a:b].max(initial=0) < 1 << 16 else "<u4").tobytes()
 
 
 def _read(raw: bytes, n: int) -> bytes:
@@ -103,11 +110,11 @@ def _split(tokenizer: str, end_id: int):
         for batch in batches:
             docs = batch.column(0).to_pylist()
             for (a, _), ids, edges in enc.encode_column(batch.column(1), end_id):
-                chunks, recipes = [], []
+                chunks, recipes, written = [], [], _written(ids)
                 for doc, first, stop, ends in zip(docs[a:], edges.tolist(), edges[1:].tolist(), chunk_edges(ids, edges)):
                     addresses, last = [], first
                     for e in ends:
-                        part = _written(ids[last : first + e])
+                        part = written(last, first + e)
                         address = hashlib.sha256(part).digest()
                         addresses.append(address)
                         if address not in seen:  # a task sends each of its chunks once; others may send it too

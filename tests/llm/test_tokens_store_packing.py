@@ -47,6 +47,17 @@ def test_chunks_depend_on_the_document_alone():
         assert own[-1] == len(x) and sizes.max() <= chunkstore.MOST and (sizes[:-1] >= chunkstore.LEAST).all()
 
 
+def test_chunks_are_stored_in_two_or_four_bytes():
+    ids = np.array([1, 2, 65535, 65536, 3, 4], np.uint32)
+    for some in (ids, ids[:3], ids[4:], ids[:0]):
+        written = chunkstore._written(some)
+        for a in range(len(some) + 1):
+            for b in range(a, len(some) + 1):
+                raw = written(a, b)
+                assert len(raw) == (b - a) * (4 if 65536 in some[a:b] else 2)
+                assert chunkstore._read(raw, b - a) == some[a:b].astype("<u4").tobytes()
+
+
 def test_damage_is_found(spark, docs, monkeypatch):
     path = fresh_dir(spark, "store")
     monkeypatch.setattr(chunkstore, "FANOUT", 4)
