@@ -40,8 +40,9 @@ from canongraph.llm.components import components
 FRAGMENTS, FIRST = 4, 3 / 8
 #: Shingles of a range that a task holds, about; shingles that a task gathers before it sends them.
 PER_RANGE, FLUSH = 1 << 18, 1 << 19
-#: Rounds in which a bucket's nodes are compared with one leader, before all that are still apart are compared.
-LEADERS = 3
+#: Rounds in which a bucket's nodes are compared with one leader, before all that are still apart are compared; one bucket in
+#: so many takes part.
+LEADERS, SOME = 3, 4
 #: Buckets up to which a row for each is broadcast, so that a bucket of very many nodes need not meet in one task.
 BUCKETS = 200_000
 #: Shingles known to every task at most (those of most sets: the count that makes one rises with the input), and the least such count.
@@ -269,9 +270,9 @@ def frequent_shingles(sets: DataFrame, bits: int, least: int) -> tuple[np.ndarra
 
 
 def buckets(sets: DataFrame, bits: int, num: int, den: int) -> DataFrame:
-    """(bucket, node, n, place, k, w): the first shingles of each set that other sets hold too.
+    """(bucket, node, n, place, w): the first shingles of each set that other sets hold too.
 
-    ``place`` is the shingle's number in the set's order, ``k`` the row's number among the node's ``w`` rows.
+    ``place`` is the shingle's number in the set's order, ``w`` how many such rows the node has.
     """
     total = sets.agg(F.sum("n")).first()[0] or 0
     shared = sets.sparkSession.sparkContext.broadcast(frequent_shingles(sets, bits, max(OFTEN, -(-total // FREQUENT))))
@@ -357,8 +358,8 @@ def buckets(sets: DataFrame, bits: int, num: int, den: int) -> DataFrame:
         first = place <= free(head[:, 1], num, den)[at]
         at, place = at[first], place[first]
         w = np.bincount(at, minlength=len(head))[at]
-        columns = [h[first].view(np.int64), *head[at].T, place, place - lone[at], w]
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(np.int64)) for c in columns], names=["bucket", "node", "n", "place", "k", "w"])
+        columns = [h[first].view(np.int64), *head[at].T, place, w]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(np.int64)) for c in columns], names=["bucket", "node", "n", "place", "w"])
 
     def prefix(batches):
         """Rows sorted by range and kind."""
@@ -385,7 +386,7 @@ def buckets(sets: DataFrame, bits: int, num: int, den: int) -> DataFrame:
     rows = "range long, kind int, x binary, y binary, z binary"
     dealt = sets.mapInArrow(tidy(deal), rows).repartition(n, "range").sortWithinPartitions("kind", "range")
     back = dealt.mapInArrow(tidy(gather), rows).repartition(n, "range").sortWithinPartitions("range", "kind")
-    return back.mapInArrow(tidy(prefix), "bucket long, node long, n long, place long, k long, w long")
+    return back.mapInArrow(tidy(prefix), "bucket long, node long, n long, place long, w long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -408,8 +409,8 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 def links_of(sets: DataFrame, bits: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between the nodes of ``sets`` that connect all that a link connects.
 
-    Rounds of leaders look at a few buckets of each node, the rarest and the commonest of its first shingles: they only save
-    work. What they leave apart is compared in all buckets.
+    Rounds of leaders look at one bucket in SOME (at all, for nodes in few buckets): they only save work. What they leave apart
+    is compared in all buckets.
     """
     rows = stored(buckets(sets, bits, num, den), "buckets")
     bitmaps = sets.select("node", *(f"b{i}" for i in range(4)))
@@ -443,7 +444,7 @@ def links_of(sets: DataFrame, bits: int, num: int, den: int) -> DataFrame:
         return some.join(small(span, BUCKETS), "bucket", "left_semi")
 
     tested = links = None
-    open_ = stored(spanning(rows.filter("k < 2 or k >= w - 2").select("bucket", "node", "n", "w", F.col("node").alias("c"), F.lit(False).alias("led"))), "open")
+    open_ = stored(spanning(rows.filter(f"w < {4 * SOME} or pmod(bucket, {SOME}) = 0").select("bucket", "node", "n", "w", F.col("node").alias("c"), F.lit(False).alias("led"))), "open")
     for turn in range(LEADERS):
         # an original shares most first shingles: it leads its copies
         side = F.struct("node", "n", "c")
