@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canongraph.llm import annsearch, chunkstore, decontam, embdedup, extract, langid, licenses, ngramjoin, packing, suffixdedup, toxicity
+from canongraph.llm import annsearch, chunkstore, decontam, embdedup, extract, langid, lexsearch, licenses, ngramjoin, packing, suffixdedup, toxicity
 from canongraph.llm.common import fresh_dir, remainder
 
 
@@ -62,6 +62,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | Non
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexsearch.search(lexsearch.build(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annsearch.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -78,6 +82,7 @@ def queries():
         "op8_decontamination": op8_decontamination,
         "op9_token_store": op9_token_store,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_lexical_search": op11_lexical_search,
         "op12_nearest_neighbours": op12_nearest_neighbours,
     }
 
@@ -96,6 +101,16 @@ links AS (SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc
 walk AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT walk.a, links.b FROM walk JOIN links ON walk.b = links.a)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM w JOIN (SELECT a, min(b) AS component_id FROM walk GROUP BY a) c ON c.a = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id"""
 
+_OP11 = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+p AS (SELECT r, doc_id, len(words) AS n, unnest(words) AS term FROM d),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM p GROUP BY r, doc_id, n, term),
+g AS (SELECT count(DISTINCT r) AS c, count(*) AS l FROM p),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, r, doc_id, CAST(sum(CAST(floor(1000 * ln((2 * c + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * c) // l)))) AS BIGINT) AS score
+  FROM i JOIN tf USING (term) JOIN df USING (term), g GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20"""
+
 _OP12 = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) AS score FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
@@ -103,4 +118,4 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, ro
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express on whole tables; the others are tested against plain versions."""
-    return {"op1_embedding_dedup": _OP1, "op3_ngram_jaccard": _OP3, "op12_nearest_neighbours": _OP12}
+    return {"op1_embedding_dedup": _OP1, "op3_ngram_jaccard": _OP3, "op11_lexical_search": _OP11, "op12_nearest_neighbours": _OP12}
