@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canongraph.llm import annsearch, chunkstore, decontam, embdedup, extract, langid, lexsearch, licenses, ngramjoin, packing, suffixdedup, toxicity
+from canongraph.llm import annsearch, chunkstore, decontam, embdedup, extract, langid, lexsearch, licenses, ngramjoin, packing, prefixtrie, suffixdedup, toxicity
 from canongraph.llm.common import fresh_dir, remainder
 
 
@@ -70,6 +70,10 @@ def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annsearch.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries():
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
@@ -84,6 +88,7 @@ def queries():
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_lexical_search": op11_lexical_search,
         "op12_nearest_neighbours": op12_nearest_neighbours,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -115,7 +120,22 @@ _OP12 = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embed
 s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) AS score FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
 
+#: The hash of h is worked out bit by bit, as DuckDB has no crc32.
+_OP13 = """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS p FROM conversations WHERE conv_id IS NOT NULL),
+w AS (SELECT conv_id, list({'p': p, 'w': len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))} ORDER BY turn NULLS FIRST, p) AS l FROM t GROUP BY conv_id),
+h AS (SELECT *, xor(4294967295, list_reduce(list_concat([4294967295], flatten([[(ord(x) >> i) & 1 for i in range(8)] for x in string_split(CAST(conv_id AS VARCHAR), '')])),
+  lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) % 4 AS h FROM w),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.l, [])[1:h], h.l[h + 1:]) AS l FROM h LEFT JOIN w b ON b.conv_id = h.conv_id - h.conv_id % 20),
+x AS (SELECT conv_id, unnest(range(0, len(l) + 1)) AS depth, l FROM r),
+k AS (SELECT conv_id, depth, sha256(array_to_string([y.p for y in l[1:depth]], ',')) AS k, CASE WHEN depth > 0 THEN sha256(array_to_string([y.p for y in l[1:depth - 1]], ',')) END AS up, CASE WHEN depth > 0 THEN l[depth].w ELSE 0 END AS w, depth = len(l) AS done FROM x),
+n AS (SELECT k, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w, sha256(coalesce(string_agg(CASE WHEN done THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends FROM k GROUP BY k, depth),
+c AS (SELECT up, depth - 1 AS depth, count(*) AS n FROM n WHERE up IS NOT NULL GROUP BY up, depth),
+f AS (SELECT n.*, coalesce(c.n, 0) AS kids FROM n LEFT JOIN c ON c.up = n.k AND c.depth = n.depth),
+s AS (SELECT a.k, a.depth, sum(CASE WHEN f.kids = 0 THEN 1 ELSE 0 END) AS leaves, sum((f.n_convs - 1) * f.w) AS saved FROM f JOIN k b ON b.k = f.k AND b.depth = f.depth AND b.conv_id = f.conv_id JOIN k a ON a.conv_id = b.conv_id AND a.depth <= b.depth GROUP BY a.k, a.depth)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.kids AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+FROM f JOIN s USING (k, depth) LEFT JOIN n p ON p.k = f.up AND p.depth = f.depth - 1"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express on whole tables; the others are tested against plain versions."""
-    return {"op1_embedding_dedup": _OP1, "op3_ngram_jaccard": _OP3, "op11_lexical_search": _OP11, "op12_nearest_neighbours": _OP12}
+    return {"op1_embedding_dedup": _OP1, "op3_ngram_jaccard": _OP3, "op11_lexical_search": _OP11, "op12_nearest_neighbours": _OP12, "op13_prefix_trie": _OP13}
