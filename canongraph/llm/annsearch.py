@@ -45,8 +45,10 @@ LEAST_BITS = 512
 WIDTH = 3.0
 #: Cells whose first blocks give a query its first score to beat.
 PROBES = 4
-#: Numbers of a gathered array when candidates are scored.
-GATHER = 1 << 21
+#: Candidates that are scored at once.
+GATHER = 1 << 18
+#: Blocks that the first of the rounds scans, about; each further one scans three times as many as all before it.
+ROUND = 8
 
 
 def code_bits(length: int) -> int:
@@ -61,14 +63,9 @@ def rotation(length: int) -> np.ndarray:
 
 
 def centres(sample: np.ndarray, cells: int = CELLS, rounds: int = 8) -> np.ndarray:
-    """Centres of the cells of a sample by rounds of k-means, from rows far from each other."""
+    """Centres of the cells of a sample by rounds of k-means, from rows drawn at random."""
     x = sample.astype(np.float64)
-    chosen = [x.mean(0)]
-    far = ((x - chosen[0]) ** 2).sum(1)
-    while len(chosen) < min(cells, len(x)) and far.max() > 0:
-        chosen.append(x[int(far.argmax())])
-        far = np.minimum(far, ((x - chosen[-1]) ** 2).sum(1))
-    c = np.array(chosen)
+    c = np.unique(x[np.random.default_rng(12).permutation(len(x))[:cells]], axis=0)
     for _ in range(rounds):
         near = ((c**2).sum(1) - 2 * x @ c.T).argmin(1)
         for i in np.unique(near):
@@ -103,15 +100,13 @@ def estimate(q: np.ndarray, codes: np.ndarray, norm: np.ndarray, cosine: np.ndar
 
 def exact(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray) -> np.ndarray:
     """Inner products of pairs of rows in double precision, components added in their order."""
-    out = np.empty(len(qi))
-    step = max(1, GATHER // q.shape[1])
+    out = np.zeros(len(qi))
+    u, v = np.ascontiguousarray(q.T), np.ascontiguousarray(x.astype(np.float64).T)
     with np.errstate(all="ignore"):
-        for a in range(0, len(qi), step):
-            u, v = q[qi[a : a + step]].T, x[xi[a : a + step]].astype(np.float64).T
-            total = np.zeros(u.shape[1])
-            for j in range(u.shape[0]):
-                total += u[j] * v[j]
-            out[a : a + step] = total
+        for a in range(0, len(qi), GATHER):
+            i, j = qi[a : a + GATHER], xi[a : a + GATHER]
+            for component, other in zip(u, v):
+                out[a : a + GATHER] += component[i] * other[j]
     return out
 
 
@@ -288,15 +283,34 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     none = asked.withColumn("tau", F.lit(None).cast("array<struct<place: int, value: double>>"))
     first = cut(blocks.groupBy("dim", "cell").agg(F.min("block").alias("block")))
     tried = _needed(none, cells, fitted, wide, PROBES).join(first, ["dim", "cell"]).select("qblock", "block")
-    found = _tiles(tried, none, blocks, fitted, wide, k, width).filter("not isnan(score)")
-    beat = found.groupBy("qblock", "place").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("value"))
-    tau = beat.filter("value is not null").groupBy("qblock").agg(F.collect_list(F.struct("place", "value")).alias("tau"))
-    ready = stored(asked.join(tau, "qblock", "left"), "ann-beat")
-    # all tiles that the bound leaves; blocks of a large cell are met by slots, so no task lists them all
+    ready = _with_tau(asked, _tiles(tried, none, blocks, fitted, wide, k, width), k)
+    # then all blocks in rounds, so a query meets most of them with a score to beat that few rows reach
+    rounds = 1
+    while ROUND * 4**rounds <= blocks.select("block").count():
+        rounds += 1
+    drawn = F.pmod(F.xxhash64("block"), F.lit(1 << 30))
+    number = F.lit(rounds - 1)
+    for i in range(1, rounds):
+        number = F.when(drawn < (1 << 30) >> 2 * i, rounds - 1 - i).otherwise(number)
+    # blocks of a large cell are met by slots, so no task lists them all
     spread = shuffle_partitions(spark)
-    listed = blocks.select("dim", "cell", "block", F.pmod(F.xxhash64("block"), F.lit(spread)).cast("int").alias("slot"))
-    wanted = _needed(ready, cells, fitted, wide, None).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    tiles = wanted.join(listed, ["dim", "cell", "slot"]).select("qblock", "block")
-    got = _tiles(tiles, ready, blocks, fitted, wide, k, width)
+    listed = blocks.select("dim", "cell", "block", F.pmod(F.xxhash64("block"), F.lit(spread)).cast("int").alias("slot"), number.alias("round"))
     order = Window.partitionBy("qrow").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
-    return got.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    kept = None
+    for i in range(rounds):
+        wanted = _needed(ready, cells, fitted, wide, None).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+        tiles = wanted.join(listed.filter(F.col("round") == i), ["dim", "cell", "slot"]).select("qblock", "block")
+        got = _tiles(tiles, ready, blocks, fitted, wide, k, width)
+        kept = (got if kept is None else kept.unionByName(got)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        if i + 1 < rounds:
+            kept = stored(kept.drop("rank"), "ann-kept")
+            ready = _with_tau(asked, kept, k)
+    return kept.select("query_id", "rank", "vec_id", "score")
+
+
+def _with_tau(asked: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """Query blocks with the score of the k-th vector found so far, for queries that have as many."""
+    kth = F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1))
+    beat = found.filter("not isnan(score)").groupBy("qblock", "place").agg(kth.alias("value")).filter("value is not null")
+    tau = beat.groupBy("qblock").agg(F.collect_list(F.struct("place", "value")).alias("tau"))
+    return stored(asked.join(tau, "qblock", "left"), "ann-beat")
