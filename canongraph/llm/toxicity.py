@@ -32,8 +32,9 @@ from canongraph.llm.tokens import text_groups
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c", "<": "c", "¡": "i", "£": "l", "§": "s"}
 GAPS = " .-_*·"
 _WORD = re.compile(r"[^\W\d_]+")
-_MIXED = re.compile(r"[^\W_@]*(?:[0-9@$!|+€(<¡£§]+[^\W\d_]|[^\W\d_][0-9@$€£§]+)[^\s,;:\"?]*")
-_RUN = re.compile(r"([^\W\d_])\1\1")
+_SWITCH = re.compile(r"[0-9@$!|+€(<¡£§](?=[^\W\d_])|[^\W\d_](?=[0-9@$€£§])")
+_SIGNS, _PARTS = "0123456789@$!|+€(<¡£§", re.compile(r"[\s,;:\"?]")
+_RUN, _RUNS = re.compile(r"([^\W\d_])\1\1"), re.compile(r"([^\W\d_])\1{16,}")
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*·][\w@$!|+€]){3,}(?!\w)")
 
 
@@ -135,11 +136,50 @@ def ways_of(x: str, last: str) -> list[tuple[str, float]]:
     return ways
 
 
+def mixed(token: str) -> list[str]:
+    """Parts of a token in which letters and signs take turns: from the letters and digits before the first such place to the
+    next mark that parts words. One pass over the token."""
+    out, at = [], 0
+    while found := _SWITCH.search(token, at):
+        first = found.start()
+        while first > at and token[found.start()] in _SIGNS and token[first - 1] in _SIGNS:
+            first -= 1
+        while first > at and token[first - 1].isalnum():
+            first -= 1
+        end = _PARTS.search(token, found.end())
+        at = end.start() if end else len(token)
+        out.append(token[first:at])
+    return out
+
+
 def restore(token: str, model) -> str:
-    """The likeliest reading of a written token (Viterbi over its lattice); may hold spaces where gaps part words."""
+    """The likeliest reading of a written token (Viterbi over its lattice); may hold spaces where gaps part words.
+
+    After two letters that can only stand for themselves one state is left. So the stretches between such pairs are decoded by
+    themselves, and what lies outside is taken as it is. Copies of a letter that are likelier dropped than kept count up to 16.
+    """
+    token = _RUNS.sub(lambda m: m[0] if model(*[ord(m[1])] * 3) > -0.28 else m[1] * 16, token)
+    sure = [x.isalpha() and x not in LEET and x != last for x, last in zip(token, " " + token)]
+    out, at, n = [], 0, len(token)
+    while at < n:
+        if sure[at]:
+            nearest = sure.index(False, at) if False in sure[at : at + 64] else next((i for i in range(at, n) if not sure[i]), n)
+            out.append(token[at:nearest])
+            at = nearest
+            continue
+        end = at + 1
+        while end < n and not (sure[end - 1] and sure[end - 2] and end - at > 2):
+            end += 1
+        before = (ord(token[at - 2]) if at > 1 else 0, ord(token[at - 1]) if at else 0)
+        out.append(_decode(token[at:end], token[at - 1] if at else "", before, end == n, model))
+        at = end
+    return "".join(out).strip()
+
+
+def _decode(token: str, last: str, before: tuple[int, int], ends: bool, model) -> str:
+    """A stretch of a token after the character ``last``, read after the two characters ``before``."""
     # state: last two characters; value: log probability, and the characters read as (last, (one before, ...))
-    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    last = ""
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {before: (0.0, None)}
     for x in token:
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for c, q in ways_of(x, last):
@@ -155,19 +195,19 @@ def restore(token: str, model) -> str:
                 if key not in new or new[key][0] < p:
                     new[key] = p, read
         states, last = new, x
-    read = max(((p + (model(a, b, 0) if b else 0.0), i, read) for i, ((a, b), (p, read)) in enumerate(states.items())), key=lambda x: (x[0], -x[1]))[2]
+    read = max(((p + (model(a, b, 0) if b and ends else 0.0), i, read) for i, ((a, b), (p, read)) in enumerate(states.items())), key=lambda x: (x[0], -x[1]))[2]
     out = []
     while read is not None:
         out.append(read[0])
         read = read[1]
-    return "".join(out[::-1]).strip()
+    return "".join(out[::-1])
 
 
 def words_of_token(token: str, model: CharModel) -> set[str]:
     """Plain words of a lower-case token and, if it looks obfuscated, the restored ones."""
     out = set(_WORD.findall(token))
     if not token.isalpha():
-        for m in _MIXED.findall(token):
+        for m in mixed(token):
             m = m.strip("!|+().*-_'#%&$" if not m.startswith(("$", "!", "|", "(")) else ")*-_'#%&")
             if sum(c.isalpha() for c in m) >= 2 and any(c in LEET for c in m):
                 out.update(restore(m, model).split())

@@ -375,3 +375,35 @@ def test_edited_licenses(spark):
     short = licenses.TEMPLATES["Apache-2.0"].split()
     edited = [(0, " ".join(short[:3] + ["a"] + short[4:])), (1, " so ".join(licenses.TEMPLATES["MIT"].split())), (2, " ".join(short))]
     assert {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(edited, "doc_id long, text string")).collect()} == {(0, "Apache-2.0"), (1, "MIT"), (2, "Apache-2.0")}
+
+
+def test_tokens_of_any_length_take_time_in_proportion():
+    import time
+
+    model = lambda a, b, c: -3.0
+    for token in ("a" * 1_000_000 + ".", "qwxz" * 250_000 + ".", "1" * 1_000_000, "a" * 1_000_000 + "1b"):
+        began = time.time()
+        toxicity.words_of_token(token, model)
+        assert time.time() - began < 5  # a quarter of a second to one here; a quadratic reading took a day
+
+
+def test_mixed_parts_equal_the_pattern():
+    import random
+    import re
+
+    pattern = re.compile(r"[^\W_@]*(?:[0-9@$!|+€(<¡£§]+[^\W\d_]|[^\W\d_][0-9@$€£§]+)[^\s,;:\"?]*")
+    rng = random.Random(3)
+    for _ in range(5000):
+        token = "".join(rng.choice('aabbcdefghé1013457@$!|+(<._-*_,;:?"x²½٣€') for _ in range(rng.randint(1, 14)))
+        assert toxicity.mixed(token) == pattern.findall(token), token
+
+
+def test_rows_without_id_lie_in_no_fold(spark, tmp_path):
+    rows = [(None, "some words here", "en"), (1, "some words here", "en"), (2, "andere Wörter hier", "de"), (None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (2, 1), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    from canongraph.llm import queries
+
+    for name in ("op4_toxicity", "op5_language_id"):
+        got = queries.queries()[name](spark, str(tmp_path)).collect()
+        assert len(got) == 4 and all(r.held_out is False for r in got if r.doc_id is None) and all(r.held_out is not None for r in got)
