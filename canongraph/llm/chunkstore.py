@@ -24,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,7 +107,7 @@ def _read(raw: bytes, n: int) -> bytes:
 
 def _split(tokenizer: str, end_id: int):
     def run(batches):
-        enc, seen = encoder(tokenizer), set()
+        enc, seen, task, number = encoder(tokenizer), set(), TaskContext.get().partitionId(), 0
         for batch in batches:
             docs = batch.column(0).to_pylist()
             for (a, _), ids, edges in enc.encode_column(batch.column(1), end_id):
@@ -123,7 +124,9 @@ def _split(tokenizer: str, end_id: int):
                             seen.add(address)
                             chunks.append(("chunk", address, first + e - last, part, None, None, None))
                         last = first + e
-                    recipes.append(("recipe", hashlib.sha256(b"recipe %d" % (doc or 0)).digest(), None, None, doc, stop - first, addresses))
+                    # dealt out by place, so that rows that repeat an id or have none do not meet in one task
+                    number += 1
+                    recipes.append(("recipe", hashlib.sha256(b"recipe %d %d" % (task, number)).digest(), None, None, doc, stop - first, addresses))
                 yield _rows(chunks + recipes)
         enc.forget()
 
