@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canongraph.llm.common import bound_batches, cut, tidy
+from canongraph.llm.common import bound_batches, cut, stored, tidy
 from canongraph.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -191,19 +191,21 @@ def _evolve_islands(shards: DataFrame, capacity: int, islands: int, rounds: int,
     return done.groupBy("shard").agg(best.alias("packing"))
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, shard_size: int = 4096, islands: int = 2, rounds: int = 2, generations: int = 3, population: int = 4, seed: int = 7) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces (as cut_pieces returns them); further columns are left out.
+def pack(pieces: DataFrame, capacity: int = 1024, shard_size: int = 4096, islands: int = 2, rounds: int = 2, generations: int = 3, population: int = 4, seed: int = 7, row_col: str | None = None) -> DataFrame:
+    """Adds ``sequence_id`` and ``offset`` to pieces (as cut_pieces returns them); further columns are left out but ``row_col``,
+    numbers that tell rows apart where ids are null or repeat.
 
     ``shard_size``: pieces a shard holds on average; it bounds what one task sees. Full pieces make sequences of their
     own; all others are packed. The sequences with most room left in each shard (one in 50, one at least) are opened
     and packed again together with those of other shards.
     """
-    pieces = cut(pieces.select("doc_id", "piece", "start", "length", "ids_crc32").withColumn("row_id", F.monotonically_increasing_id()))
+    pieces = cut(pieces.select("doc_id", "piece", "start", "length", "ids_crc32").withColumn("row_id", F.monotonically_increasing_id())) if row_col is None else pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.col(row_col).alias("row_id"))
+    shown = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ([] if row_col is None else ["row_id"])
     full = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.col("row_id")).withColumn("offset", F.lit(0).cast("long"))
     loose = pieces.filter(F.col("length") < capacity)
     n = loose.count()
     if not n:
-        return full.drop("row_id")
+        return full.select(*shown)
 
     def solve(items: DataFrame, n_shards: int, salt: int) -> DataFrame:
         """items: pieces with row_id. Returns (shard, bin, fill, members)."""
@@ -242,8 +244,8 @@ def pack(pieces: DataFrame, capacity: int = 1024, shard_size: int = 4096, island
     number = F.col("level") * F.lit(1 << 56) + F.col("shard") * F.lit(1 << 20) + F.col("bin")
     placed = result.select(number.alias("sequence_id"), F.posexplode("members").alias("at", "m"), "members")
     offset = F.aggregate(F.slice("members", F.lit(1), F.col("at")), F.lit(0).cast("long"), lambda s, x: s + x["length"])
-    placed = placed.select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", offset.alias("offset"))
-    return placed.unionByName(full.drop("row_id"))
+    placed = placed.select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "m.row_id", "sequence_id", offset.alias("offset"))
+    return placed.select(*shown).unionByName(full.select(*shown))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, **how) -> DataFrame:
@@ -252,9 +254,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
 
 
 def sequences(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, **how) -> DataFrame:
-    """The packed sequences themselves: (sequence_id, n_tokens, ids as little-endian uint32 bytes, parts)."""
-    placed = pack_documents(docs, tokenizer, capacity, end_id, **how)
-    contents = cut_pieces(docs, tokenizer, capacity, end_id, with_ids=True).select("doc_id", "piece", "ids").dropDuplicates(["doc_id", "piece"])
-    rows = placed.join(contents, ["doc_id", "piece"]).groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "piece", "length", "ids"))).alias("parts"))
+    """The packed sequences themselves: (sequence_id, n_tokens, ids as little-endian uint32 bytes, parts).
+
+    Rows whose ids are null or repeat are packed each with its own text.
+    """
+    pieces = stored(cut_pieces(docs, tokenizer, capacity, end_id, with_ids=True).withColumn("row_id", F.monotonically_increasing_id()), "pieces")
+    placed = pack(pieces, capacity, row_col="row_id", **how)
+    rows = placed.join(pieces.select("row_id", "ids"), "row_id").groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "piece", "length", "ids"))).alias("parts"))
     joined = F.aggregate("parts", F.lit(b""), lambda s, x: F.concat(s, x["ids"]))
     return rows.select("sequence_id", F.aggregate("parts", F.lit(0).cast("long"), lambda s, x: s + x["length"]).alias("n_tokens"), joined.alias("ids"), F.transform("parts", lambda x: x.dropFields("ids")).alias("parts"))

@@ -14,6 +14,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _is(fold, number: int):
+    """Whether a row lies in a fold; one without an id lies in none."""
+    return F.coalesce(fold == number, F.lit(False))
+
+
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -30,14 +35,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").filter(remainder("doc_id", 3) != 1).select("doc_id", "toxic")
     scored = toxicity.score(docs, toxicity.fit(docs, labels))
-    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", _is(remainder("doc_id", 3), 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(remainder("doc_id", 4) != 2))
     found = langid.predict(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", _is(remainder("doc_id", 4), 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,3 +142,17 @@ def test_packing_is_whole_and_tight(spark, docs):
 def test_sequences_hold_the_ids(spark, docs):
     rows = packing.sequences(docs, BYTE).collect()
     assert sum(len(r.ids) for r in rows) == 4 * sum(map(len, whole(BYTE, TEXTS)))
+
+
+def test_sequences_of_null_and_repeated_ids(spark):
+    rows = [(None, "one text"), (None, "another, longer text"), (4, "first of four"), (4, "second of four, not the first"), (5, None), (5, None), (6, "word " * 3000)]
+    got = packing.sequences(spark.createDataFrame(rows, "doc_id long, text string"), BYTE).collect()
+    enc = Tokenizer.from_file(BYTE)
+    want = [np.array(enc.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes() for _, t in rows]
+    found: dict = {}
+    for r in got:
+        assert len(r.ids) == 4 * r.n_tokens == 4 * sum(p.length for p in r.parts)
+        for p in r.parts:
+            found.setdefault((p.doc_id, p.length if p.doc_id != 6 else 0), []).append((p.piece, bytes(r.ids)[4 * p.offset : 4 * (p.offset + p.length)]))
+    whole = [b"".join(x for _, x in sorted(found.pop((6, 0))))] + [x for parts in found.values() for _, x in parts]
+    assert sorted(whole) == sorted(want)
