@@ -33,3 +33,23 @@ def parse_id(name: Column, least: int = 1) -> Column:
     ok = name.rlike(r"\A\+?[0-9]+\z") & (F.length(digits) <= 20)
     value = F.when(ok, digits).try_cast("decimal(20,0)")
     return F.when((value >= least) & (value <= F.lit(str(MAX_ID)).cast("decimal(20,0)")), value)
+
+
+def parse_long(name: Column, least: int = 1) -> Column:
+    """parse_id() as a long: null also for numbers beyond 2**63 - 1."""
+    ok = name.rlike(r"\A\+?[0-9]+\z")
+    value = F.when(ok, name).try_cast("bigint")
+    return F.when(value >= least, value)
+
+
+def shown(name: Column) -> Column:
+    """A name as messages print it: bytes that are no UTF-8 become U+FFFD."""
+    return F.make_valid_utf8(name.cast("string"))
+
+
+def id_error(name: Column, least: int) -> Column:
+    """What is wrong with an integer identifier; null if nothing is."""
+    digits = F.regexp_replace(name, r"\A\+", "")
+    why = F.when(name == "", "cannot parse integer from empty string").when(~digits.rlike(r"\A[0-9]+\z"), "invalid digit found in string").otherwise("number too large to fit in target type")
+    text = F.concat(F.lit("Error parsing node name "), shown(name), F.lit(": "), why)
+    return F.when(parse_id(name, 0).isNull(), text).when((parse_id(name, 0) == 0) & F.lit(least > 0), F.lit("Node identifier 0 is reserved for technical purposes"))

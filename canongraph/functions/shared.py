@@ -1,23 +1,73 @@
-"""The folder that the driver and all executors share, and lineage cuts in it."""
+"""The folder that the driver and all executors share: lineage cuts and tables in it, and their removal."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Folders that stored() has made for the sessions of this driver.
+_MADE: dict[str, SparkSession] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Only a local session without one gets a temporary folder."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-shared-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir() if not spark.conf.get("spark.checkpoint.dir", None) else folder
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the checkpoint folder, so that lost executors lose nothing.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session without one gets a temporary folder.
+    Sessions with ``spark.cleaner.referenceTracking.cleanCheckpoints`` drop these files when the DataFrame is forgotten.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-shared-")
-        context.setCheckpointDir(folder)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as compressed Parquet to the shared folder and read from there, until release() or the end of the driver."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE[path] = spark
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path for it: local, HDFS, object store or any other that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def release(spark: SparkSession | None = None) -> int:
+    """Removes what stored() has kept, of one session or all; DataFrames that still read it can no longer be used."""
+    gone = [p for p, s in _MADE.items() if spark is None or s is spark]
+    for path in gone:
+        fs, where = file_system(_MADE.pop(path), path)
+        fs.delete(where, True)
+    return len(gone)
+
+
+@atexit.register
+def _at_end() -> None:
+    try:
+        release()
+    except Exception:  # the session has ended before
+        _MADE.clear()
+
+
+def few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` of narrow rows, broadcast if it has at most ``most`` of them and left to a shuffle otherwise."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= most else df

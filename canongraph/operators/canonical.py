@@ -71,6 +71,55 @@ def lines(segments: DataFrame, edges: DataFrame) -> DataFrame:
 ORDER = ["node", "kind", "src_rev", "dst", "dst_rev"]
 
 
+def cells(segments: DataFrame, links: DataFrame) -> DataFrame:
+    """What a graph consists of, in one shuffle: (graph_id, node, kind, src_rev, dst, dst_rev, least, most, odd).
+
+    Kind 0 is a node with the least and the greatest sequence given for it, kind 1 a canonical edge at its source, kind 2 a node
+    that an edge ends at. Names that could not be read are null; ``odd`` marks rows that say so (a column of the inputs).
+    """
+    key = segments.schema["name"].dataType
+    none, zero = F.lit(None).cast(key), F.lit(0)
+    odd = lambda t: F.col("odd") if "odd" in t.columns else F.lit(False)
+    sequence = F.coalesce(F.col("sequence").cast("string"), F.lit(""))
+    s = segments.select("graph_id", F.col("name").alias("node"), F.lit(0).alias("kind"), zero.alias("src_rev"), none.alias("dst"), zero.alias("dst_rev"), sequence.alias("sequence"), odd(segments).alias("odd"))
+    ok = is_canonical(*(F.col(c) for c in EDGE[1:]))
+    turned = F.when(ok, F.struct("src", "src_rev", "dst", "dst_rev")).otherwise(F.struct(F.col("dst").alias("src"), flip(F.col("dst_rev")).alias("src_rev"), F.col("src").alias("dst"), flip(F.col("src_rev")).alias("dst_rev")))
+    edge = F.struct(F.col("t.src").alias("node"), F.lit(1).alias("kind"), F.col("t.src_rev").alias("src_rev"), F.col("t.dst").alias("dst"), F.col("t.dst_rev").alias("dst_rev"))
+    end = F.struct(F.col("t.dst").alias("node"), F.lit(2).alias("kind"), zero.alias("src_rev"), none.alias("dst"), zero.alias("dst_rev"))
+    e = links.select("graph_id", turned.alias("t"), odd(links).alias("odd")).select("graph_id", F.explode(F.array(edge, end)).alias("x"), "odd").select("graph_id", "x.*", F.lit(None).cast("string").alias("sequence"), "odd")
+    keys = ["graph_id", *ORDER]
+    return s.unionByName(e).groupBy(*keys).agg(F.min("sequence").alias("least"), F.max("sequence").alias("most"), F.max("odd").alias("odd"))
+
+
+def cell_lines(rows: DataFrame) -> DataFrame:
+    """Canonical text of cells(), as lines() gives it."""
+    text = lambda c: F.col(c).cast("string")
+    line = F.when(F.col("kind") == 0, F.concat(F.lit("S\t"), text("node"), F.lit("\t"), "least", F.lit("\n"))).otherwise(F.concat(F.lit("L\t"), text("node"), F.lit("\t"), sign(F.col("src_rev")), F.lit("\t"), text("dst"), F.lit("\t"), sign(F.col("dst_rev")), F.lit("\n")))
+    return rows.filter("kind < 2").select("graph_id", *ORDER, line.alias("line"))
+
+
+def verdicts(rows: DataFrame) -> DataFrame:
+    """One row for each graph of cells(): what is wrong with it, and its statistics.
+
+    (graph_id, unread, odd, conflicts, first_conflict, missing, nodes, edges, seq_len, text_bytes): nodes with a null name (as 0 or
+    1), conflicting nodes and the least of them, nodes that edges need and segments lack, bytes of canonical text.
+    """
+    size = lambda c: F.octet_length(F.col(c).cast("string"))
+    bytes_ = F.when(F.col("kind") == 0, size("node") + F.octet_length("least") + 4).when(F.col("kind") == 1, size("node") + size("dst") + 8).otherwise(0)
+    is_ = lambda k: (F.col("kind") == k).cast("long")
+    unread = F.col("node").isNull() | ((F.col("kind") == 1) & F.col("dst").isNull())
+    per_node = rows.groupBy("graph_id", "node").agg(
+        F.max(unread.cast("int")).alias("unread"), F.max("odd").alias("odd"), F.max((F.col("kind") == 0).cast("int")).alias("there"), F.max((F.col("least") != F.col("most")).cast("int")).alias("unlike"),
+        F.sum(is_(1)).alias("edges"), F.max(F.when(F.col("kind") == 0, F.octet_length("least"))).alias("seq_len"), F.sum(bytes_.cast("long")).alias("text_bytes"),
+    )
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    unlike = F.coalesce(F.col("unlike"), F.lit(0)) == 1
+    return per_node.groupBy("graph_id").agg(
+        F.max("unread").alias("unread"), F.max("odd").alias("odd"), count(unlike).alias("conflicts"), F.min(F.when(unlike, F.col("node"))).alias("first_conflict"), count((F.col("there") == 0) & F.col("node").isNotNull()).alias("missing"),
+        count(F.col("there")).alias("nodes"), count(F.col("edges")).alias("edges"), count(F.col("seq_len")).alias("seq_len"), F.sum(F.coalesce("text_bytes", F.lit(0))).alias("text_bytes"),
+    )
+
+
 def is_subgraph(segments_a: DataFrame, links_a: DataFrame, segments_b: DataFrame, links_b: DataFrame) -> bool:
     """Extension: whether all nodes (with sequences) and edges of one graph are in another, checked on the content."""
     nodes = segments_a.select("name", "sequence").distinct().join(segments_b.select("name", "sequence"), ["name", "sequence"], "left_anti").limit(1).count()

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canongraph.functions.shared import cut
+from canongraph.functions.shared import cut, few, stored
 from canongraph.operators.canonical import ORDER
 
 #: Name here, name in hashlib, bits for Spark's sha2 (None: hashlib only).
@@ -78,17 +78,24 @@ def _batch(rows, kind):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (kind, pa.string(), pa.string()))], names=["graph_id", "algorithm", "digest"])
 
 
-def digests(lines: DataFrame, algorithms: list[str] | None = None, stream_from: int = STREAM_FROM) -> DataFrame:
-    """(graph_id, algorithm, digest) of each graph, by its size. The lines are computed once and kept in the checkpoint folder."""
-    lines = cut(lines)
+def digests(lines: DataFrame, algorithms: list[str] | None = None, stream_from: int = STREAM_FROM, large: DataFrame | None = None) -> DataFrame:
+    """(graph_id, algorithm, digest) of each graph, by its size.
+
+    ``large``: the graphs (graph_id) of ``stream_from`` bytes of text or more, if the caller knows them. Otherwise the lines are
+    computed once, kept as compressed Parquet in the shared folder, and measured.
+    """
     algorithms = algorithms or ["sha256"]
     plain = [a for a in algorithms if ALGORITHMS[a][1]]
     other = [a for a in algorithms if not ALGORITHMS[a][1]]
-    large = cut(lines.groupBy("graph_id").agg(F.sum(F.octet_length("line")).alias("n")).filter(F.col("n") >= stream_from).select("graph_id"))
+    if large is None:
+        lines = stored(lines, "lines")
+        large = lines.groupBy("graph_id").agg(F.sum(F.octet_length("line")).alias("n")).filter(F.col("n") >= stream_from).select("graph_id")
+    large = cut(large)
     if not large.limit(1).count():
         out = [digest_small(lines, plain)] if plain else []
         out += [digest_stream(lines, other)] if other else []
     else:
+        large = few(large)
         out = [digest_stream(lines.join(large, "graph_id", "left_semi"), algorithms)]
         rest = lines.join(large, "graph_id", "left_anti")
         out += [digest_small(rest, plain)] if plain else []

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from canongraph.functions.shared import shared_dir
 from canongraph.operators import canonical as C
 from canongraph.operators import digest as D
+from canongraph.operators import ordered
 from canongraph.operators import relations as R
 from canongraph.plans import fixtures as X
 from canongraph.plans import naming
-from canongraph.sources import adjacency, gfa, headers
+from canongraph.sources import adjacency, gfa, headers, tagstore
 
 # -- the same fixtures in SQL ---------------------------------------------------------------------------------------
 
@@ -72,13 +76,21 @@ def _lines(spark, sf, key, whole=False):
 
 
 def _placed(key):
-    from pyspark.sql import Window
+    return lambda spark, sf: ordered.placed(_lines(spark, sf, key)).select("graph_id", "line", "place")
 
-    def run(spark, sf):
-        w = Window.partitionBy("graph_id").orderBy(*C.ORDER)
-        return _lines(spark, sf, key).select("graph_id", "line", F.row_number().over(w).cast("long").alias("place"))
 
-    return run
+def _whole_placed(spark, sf):
+    """One giant graph: its lines are placed without a task that sees them all."""
+    return ordered.placed(_lines(spark, sf, "bigint", True)).select("line", "place")
+
+
+def _written(spark, sf):
+    """One giant graph written as text, read back in the order of the files, and hashed by that order."""
+    path = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
+    ordered.write_text(_lines(spark, sf, "bigint", True), path)
+    back = ordered.read_graph(spark, path)
+    lines = back.select("graph_id", F.lit(0).alias("node"), F.lit(0).alias("kind"), F.lit(0).alias("src_rev"), F.col("place").alias("dst"), F.lit(0).alias("dst_rev"), "line")
+    return D.digests(lines)
 
 
 def _names(key, whole=False, algorithms=None):
@@ -167,6 +179,18 @@ def _from_tags(spark, sf):
     return headers.from_tags(headers.to_tags(*_objects(spark, sf)))[1]
 
 
+def _written_back(spark, sf):
+    """Tags of all suppliers in a store; the names and relations of every third one are written back anew, twice."""
+    path = f"{shared_dir(spark)}/tags-{uuid.uuid4().hex}"
+    names, rel = _objects(spark, sf)
+    extra = X.table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("obj_id"), F.lit("phone").alias("key"), F.col("s_name").alias("value"))
+    tagstore.write_tags(spark, path, headers.to_tags(names, rel).unionByName(extra), 8)
+    third = names.filter("name is null").select("obj_id", F.concat(F.lit("new-"), "obj_id").alias("name"))
+    for _ in range(2):
+        tagstore.write_back(spark, path, third, rel.filter("kind = 0"))
+    return tagstore.read_tags(spark, path)
+
+
 def _header(form):
     return lambda spark, sf: headers.to_header_lines(*_objects(spark, sf), form).select("obj_id", "line")
 
@@ -182,6 +206,28 @@ def _paths(spark, sf):
     return p.select("source", "node", F.size("steps").cast("long").alias("depth"), steps.alias("steps"))
 
 
+def _known(spark, sf):
+    """Objects: suppliers as in _objects, and regions named by themselves with what leaves them; pairs of a supplier and a region."""
+    names, rel = _objects(spark, sf)
+    region = X.table(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("obj_id"))
+    more = region.join(X.relations(spark, sf), F.col("obj_id") == F.col("src")).select("obj_id", "kind", "src", "dst")
+    pairs = X.table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("a"), F.concat(F.lit("r"), (F.col("s_suppkey") % 5).cast("string")).alias("b"))
+    return names.unionByName(region.withColumn("name", F.col("obj_id"))), rel.unionByName(more), pairs
+
+
+def _twins(spark, sf):
+    """Objects that share all, some or none of name and relations: each supplier, a copy of it, and one under its nation's name."""
+    names, rel = _objects(spark, sf)
+    nat = X.table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("obj_id"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("name"))
+    under = lambda t, p: t.withColumn("obj_id", F.concat(F.lit(p), "obj_id"))
+    all_names = names.unionByName(under(names, "copy-")).unionByName(under(nat, "nat-"))
+    all_rel = rel.unionByName(under(rel, "copy-")).unionByName(under(rel.filter("src not like 's%'"), "nat-"))
+    one = names.select("obj_id", (F.regexp_extract("obj_id", "[0-9]+", 0).cast("long") + 1).alias("next"))
+    pairs = one.select(F.col("obj_id").alias("a"), F.explode(F.array(F.concat(F.lit("copy-"), "obj_id"), F.concat(F.lit("nat-"), "obj_id"), F.concat(F.lit("s"), F.col("next").cast("string")))).alias("b"))
+    nats = names.select(F.concat(F.lit("nat-"), "obj_id").alias("a"), F.concat(F.lit("nat-s"), (F.regexp_extract("obj_id", "[0-9]+", 0).cast("long") + 1).cast("string")).alias("b"))
+    return all_names, all_rel, pairs.unionByName(nats)
+
+
 QUERIES = {
     "edges_raw": lambda s, d: X.order_links(s, d),
     "edges_canonical_int": _canonical("bigint"),
@@ -193,6 +239,8 @@ QUERIES = {
     "graph_statistics": lambda s, d: C.statistics(X.order_segments(s, d), X.order_links(s, d)),
     "canonical_lines_int": _placed("bigint"),
     "canonical_lines_str": _placed("string"),
+    "canonical_lines_whole": _whole_placed,
+    "text_written": _written,
     "stable_name_int": _names("bigint"),
     "stable_name_str": _names("string"),
     "stable_name_whole": _names("bigint", True),
@@ -203,6 +251,7 @@ QUERIES = {
     "gfa_roundtrip": _gfa,
     "relations_to_tags": lambda s, d: headers.to_tags(*_objects(s, d)),
     "relations_from_tags": _from_tags,
+    "tags_written_back": _written_back,
     "headers_gfa": _header("gfa"),
     "headers_gaf": _header("gaf"),
     "headers_parse": _parsed,
@@ -218,8 +267,31 @@ QUERIES = {
     "headers_errors": lambda s, d: _odd_headers(s, d)[2],
     "headers_last_name": lambda s, d: _odd_headers(s, d)[0],
     "relate_to_parent": _related,
+    "objects_subgraph": lambda s, d: R.objects_reachable(*_known(s, d), (0,)),
+    "objects_translate": lambda s, d: R.objects_reachable(*_known(s, d)),
+    "objects_described": lambda s, d: R.describe_objects(*_known(s, d), "first", "second"),
+    "objects_translation_of": lambda s, d: R.relate_objects(*_known(s, d), 1),
+    "objects_same_name": lambda s, d: R.same_names(_twins(s, d)[0], _twins(s, d)[2]),
+    "objects_equal": lambda s, d: R.equal_objects(*_twins(s, d)),
 }
 
+_KNOWN = f"""{_OBJ}, kn AS (SELECT obj_id, name FROM obj UNION ALL SELECT 'r' || r_regionkey, 'r' || r_regionkey FROM region),
+kr AS (SELECT DISTINCT * FROM (SELECT * FROM orel UNION ALL SELECT src, kind, src, dst FROM rel WHERE src LIKE 'r%')), kp AS (SELECT 's' || s_suppkey AS a, 'r' || (s_suppkey % 5) AS b FROM supplier)"""
+_TWINS = f"""{_OBJ}, tn AS (SELECT obj_id, name FROM obj UNION ALL SELECT 'copy-' || obj_id, name FROM obj UNION ALL SELECT 'nat-' || obj_id, nat FROM obj),
+tr AS (SELECT DISTINCT * FROM (SELECT * FROM orel UNION ALL SELECT 'copy-' || obj_id, kind, src, dst FROM orel UNION ALL SELECT 'nat-' || obj_id, kind, src, dst FROM orel WHERE src NOT LIKE 's%')),
+tp AS (SELECT obj_id AS a, unnest(['copy-' || obj_id, 'nat-' || obj_id, 's' || (CAST(obj_id[2:] AS BIGINT) + 1)]) AS b FROM obj UNION ALL SELECT 'nat-' || obj_id, 'nat-s' || (CAST(obj_id[2:] AS BIGINT) + 1) FROM obj)"""
+
+
+def _known_walk(kinds: str) -> str:
+    """Walks of each pair over the relations of its two objects, both ways round."""
+    return f"""turned AS (SELECT a, b FROM kp UNION SELECT b, a FROM kp), named AS (SELECT a, b, x.name AS s, y.name AS t FROM turned LEFT JOIN kn x ON x.obj_id = a LEFT JOIN kn y ON y.obj_id = b),
+step AS (SELECT DISTINCT a, b, kind, src, dst FROM turned JOIN kr ON kr.obj_id IN (a, b) WHERE kind IN ({kinds})),
+walk AS (SELECT a, b, s AS node, '' AS steps, 0 AS depth FROM named WHERE s IS NOT NULL AND t IS NOT NULL UNION
+  SELECT a, b, dst, min(steps || kind || dst || ' '), depth + 1 FROM walk JOIN step USING (a, b) WHERE step.src = walk.node AND depth < 9 GROUP BY a, b, dst, depth),
+hit AS (SELECT a, b, depth, min(steps) AS steps FROM walk JOIN named USING (a, b) WHERE node = t GROUP BY a, b, depth),
+way AS (SELECT a, b, min(depth) AS n, min_by(steps, depth) AS steps FROM hit GROUP BY a, b)"""
+
+
 _EDGES = "SELECT graph_id, src, src_rev, dst, dst_rev FROM "
 _RELATIONS = f"WITH {_OBJ} SELECT DISTINCT obj_id, kind, src, dst FROM orel"
 
@@ -233,15 +305,20 @@ def _headers(head: str) -> str:
     return f"WITH {_OBJ} {head}"
 
 
+def _said() -> str:
+    """The report of a row with the names a and b, the numbers of steps n and the steps l between them."""
+    node = "substr(l[i], 2)"
+    return f"""'Name 1 is for ' || one || chr(10) || CASE WHEN n IS NULL THEN 'Name 2 is for ' || two || chr(10) || 'With graph names:' || chr(10) || '1' || chr(9) || a || chr(10) || '2' || chr(9) || b || chr(10)
+  ELSE array_to_string(list_transform(range(1, n + 1), lambda i: 'Graph ' || i || CASE l[i][1] WHEN '1' THEN ' translates to' ELSE ' is a subgraph of' END || ' graph ' || (i + 1) || chr(10)), '') || 'Name ' || (n + 1) || ' is for ' || two || chr(10)
+  || 'With graph names:' || chr(10) || '1' || chr(9) || a || chr(10) || array_to_string(list_transform(range(1, n + 1), lambda i: (i + 1) || chr(9) || {node} || chr(10)), '') END"""
+
+
 def _report() -> str:
     """The reports of all pairs: forward paths first, then backward ones."""
-    node = "substr(l[i], 2)"
     return f"""{_PATHS}, found AS (SELECT w.source, w.node, w.depth AS n, string_split(trim(min(w.steps)), ' ') AS l FROM walk w JOIN best b ON w.source = b.source AND w.node = b.node AND w.depth = b.depth GROUP BY w.source, w.node, w.depth),
 pairs AS ({_PAIRS}), x AS (SELECT p.src, p.dst, f.n IS NOT NULL AS forward, coalesce(f.n, g.n) AS n, coalesce(f.l, g.l) AS l FROM pairs p LEFT JOIN found f ON f.source = p.src AND f.node = p.dst LEFT JOIN found g ON g.source = p.dst AND g.node = p.src),
 y AS (SELECT *, CASE WHEN forward THEN src ELSE dst END AS a, CASE WHEN forward THEN dst ELSE src END AS b, CASE WHEN forward THEN 'first' ELSE 'second' END AS one, CASE WHEN forward THEN 'second' ELSE 'first' END AS two FROM x)
-SELECT src, dst, 'Name 1 is for ' || one || chr(10) || CASE WHEN n IS NULL THEN 'Name 2 is for ' || two || chr(10) || 'With graph names:' || chr(10) || '1' || chr(9) || a || chr(10) || '2' || chr(9) || b || chr(10)
-  ELSE array_to_string(list_transform(range(1, n + 1), lambda i: 'Graph ' || i || CASE l[i][1] WHEN '1' THEN ' translates to' ELSE ' is a subgraph of' END || ' graph ' || (i + 1) || chr(10)), '') || 'Name ' || (n + 1) || ' is for ' || two || chr(10)
-  || 'With graph names:' || chr(10) || '1' || chr(9) || a || chr(10) || array_to_string(list_transform(range(1, n + 1), lambda i: (i + 1) || chr(9) || {node} || chr(10)), '') END AS report FROM y"""
+SELECT src, dst, {_said()} AS report FROM y"""
 
 
 _ODD = "(SELECT 's' || s_suppkey AS obj_id, s_suppkey % 4 AS m FROM supplier)"
@@ -255,6 +332,16 @@ ORACLES = {
     "headers_errors": f"SELECT obj_id, CASE m WHEN 1 THEN 'Invalid GFA typed field: bad' WHEN 2 THEN 'Error parsing header line 3: unknown first field X' ELSE 'Invalid GAF subgraph header line: @SG' || chr(9) || 'only' END AS message FROM {_ODD} WHERE m <> 0",
     "headers_last_name": f"SELECT obj_id, CASE m WHEN 0 THEN 'last' ELSE 'second' END AS name FROM {_ODD}",
     "relate_to_parent": f"WITH {_REL} SELECT kind, src, dst FROM rel WHERE src IN ('r0', 'r1') UNION SELECT 0, 'r0', 'r1'",
+    "objects_subgraph": f"WITH RECURSIVE {_KNOWN}, {_known_walk('0')} SELECT a, b, EXISTS (SELECT 1 FROM way w WHERE w.a = kp.a AND w.b = kp.b) AS answer FROM kp",
+    "objects_translate": f"WITH RECURSIVE {_KNOWN}, {_known_walk('0, 1')} SELECT a, b, EXISTS (SELECT 1 FROM way w WHERE w.a = kp.a AND w.b = kp.b) AS answer FROM kp",
+    "objects_described": f"""WITH RECURSIVE {_KNOWN}, {_known_walk('0, 1')}, x AS (SELECT kp.a AS oa, kp.b AS ob, e.s AS src, e.t AS dst, f.n IS NOT NULL AS forward, coalesce(f.n, g.n) AS n, string_split(trim(coalesce(f.steps, g.steps)), ' ') AS l
+  FROM kp JOIN named e ON e.a = kp.a AND e.b = kp.b LEFT JOIN way f ON f.a = kp.a AND f.b = kp.b LEFT JOIN way g ON g.a = kp.b AND g.b = kp.a),
+y AS (SELECT *, coalesce(CASE WHEN forward THEN src ELSE dst END, '(no name)') AS a, coalesce(CASE WHEN forward THEN dst ELSE src END, '(no name)') AS b, CASE WHEN forward THEN 'first' ELSE 'second' END AS one, CASE WHEN forward THEN 'second' ELSE 'first' END AS two FROM x)
+SELECT oa AS a, ob AS b, {_said()} AS report FROM y""",
+    "objects_translation_of": f"WITH {_KNOWN}, ok AS (SELECT a, b, x.name AS s, y.name AS t FROM kp JOIN kn x ON x.obj_id = a JOIN kn y ON y.obj_id = b WHERE x.name IS NOT NULL) SELECT obj_id, kind, src, dst FROM kr UNION SELECT a, 1, s, t FROM ok UNION SELECT a, kind, src, dst FROM ok JOIN kr ON kr.obj_id = b",
+    "objects_same_name": f"WITH {_TWINS} SELECT a, b, coalesce(x.name = y.name, false) AS answer FROM tp LEFT JOIN tn x ON x.obj_id = a LEFT JOIN tn y ON y.obj_id = b",
+    "objects_equal": f"""WITH {_TWINS}, td AS (SELECT obj_id, string_agg(kind || src || '>' || dst, ';' ORDER BY kind, src, dst) AS all_ FROM tr GROUP BY obj_id)
+SELECT a, b, x.name IS NOT DISTINCT FROM y.name AND coalesce(u.all_, '') = coalesce(v.all_, '') AS answer FROM tp LEFT JOIN tn x ON x.obj_id = a LEFT JOIN tn y ON y.obj_id = b LEFT JOIN td u ON u.obj_id = a LEFT JOIN td v ON v.obj_id = b""",
     "edges_raw": _base() + _EDGES + "links",
     "edges_canonical_int": _base() + _EDGES + "can",
     "edges_canonical_str": _base("VARCHAR") + _EDGES + "can",
@@ -265,6 +352,8 @@ ORACLES = {
     "graph_statistics": _base() + "SELECT n.graph_id, n.nodes, coalesce(e.edges, 0) AS edges, n.seq_len FROM (SELECT graph_id, count(*) AS nodes, CAST(sum(strlen(sequence)) AS BIGINT) AS seq_len FROM seg GROUP BY graph_id) n LEFT JOIN (SELECT graph_id, count(*) AS edges FROM can GROUP BY graph_id) e ON n.graph_id = e.graph_id",
     "canonical_lines_int": _base() + _LINES,
     "canonical_lines_str": _base("VARCHAR") + _LINES,
+    "canonical_lines_whole": _base(whole=True) + f"SELECT line, place FROM ({_LINES})",
+    "text_written": _base(whole=True) + _NAME,
     "stable_name_int": _base() + _NAME,
     "stable_name_str": _base("VARCHAR") + _NAME,
     "stable_name_whole": _base(whole=True) + _NAME,
@@ -274,6 +363,9 @@ ORACLES = {
     "gfa_roundtrip": _base("VARCHAR") + _EDGES + "can",
     "relations_to_tags": "WITH " + _TAGS,
     "relations_from_tags": _RELATIONS,
+    "tags_written_back": f"""WITH {_OBJ} SELECT obj_id, 'name' AS key, coalesce(name, 'new-' || obj_id) AS value FROM obj UNION ALL
+SELECT orel.obj_id, CASE kind WHEN 0 THEN 'subgraph' ELSE 'translation' END, string_agg(src || ',' || dst, ';' ORDER BY src, dst) FROM orel JOIN obj USING (obj_id) WHERE kind = 0 OR name IS NOT NULL GROUP BY orel.obj_id, kind
+UNION ALL SELECT 's' || s_suppkey, 'phone', s_name FROM supplier""",
     "headers_gfa": _headers("SELECT obj_id, 'H' || chr(9) || 'NM:Z:' || name AS line FROM obj WHERE name IS NOT NULL UNION ALL SELECT DISTINCT obj_id, 'H' || chr(9) || CASE kind WHEN 0 THEN 'SG' ELSE 'TL' END || ':Z:' || src || ',' || dst FROM orel"),
     "headers_gaf": _headers("SELECT obj_id, '@RN' || chr(9) || name AS line FROM obj WHERE name IS NOT NULL UNION ALL SELECT DISTINCT obj_id, '@' || CASE kind WHEN 0 THEN 'SG' ELSE 'TL' END || chr(9) || src || chr(9) || dst FROM orel"),
     "headers_parse": _RELATIONS,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from canongraph.functions.keys import parse_id, parse_sign
+from canongraph.functions.shared import few, stored
+from canongraph.functions.keys import id_error, parse_id, parse_sign, shown
 
 
 def read_lines(spark: SparkSession, path: str | list[str], numbered: bool = True) -> DataFrame:
@@ -23,6 +24,21 @@ def read_lines(spark: SparkSession, path: str | list[str], numbered: bool = True
     return raw.withColumn("inside", inside).join(blocks, ["graph_id", "block"]).select("graph_id", (F.col("before") + F.col("inside")).alias("line_no"), "value")
 
 
+def read_offsets(spark: SparkSession, path: str, block_size: int | None = None) -> DataFrame:
+    """(graph_id, offset, value) of GFA files by ranges of bytes (see sources.lines); no line is numbered or shuffled."""
+    from canongraph.sources.lines import BLOCK, GfaLines
+
+    spark.dataSource.register(GfaLines)
+    return spark.read.format("gfa_lines").option("blockSize", block_size or BLOCK).load(path).withColumn("value", F.col("value").cast("string"))
+
+
+def line_numbers(lines: DataFrame, at: DataFrame) -> DataFrame:
+    """at: (graph_id, offset), a row for each graph. Adds ``line_no``: how many of the graph's lines start up to there."""
+    wanted = few(at.select("graph_id", F.col("offset").alias("until")))
+    counted = lines.select("graph_id", "offset").join(wanted, "graph_id").filter("offset <= until").groupBy("graph_id").agg(F.count("*").alias("line_no"))
+    return at.join(counted, "graph_id", "left")
+
+
 def field(k: int):
     """Field k (from 1) of a tab-separated value, without decoding it."""
     return F.substring_index(F.substring_index("value", "\t", k), "\t", -1)
@@ -38,7 +54,8 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     s, e = _records(lines)
     segments = s.filter("fields >= 3").select("graph_id", "name", "sequence")
     links = e.filter("fields >= 5 and src_rev is not null and dst_rev is not null").select("graph_id", "src", "src_rev", "dst", "dst_rev")
-    return segments, links, _parse_errors(s, e).select("graph_id", "line_no", "message")
+    said = _said(F.col("rank"), F.col("line_no"), F.col("message")).alias("message")
+    return segments, links, _parse_errors(s, e).select("graph_id", "line_no", said)
 
 
 def _records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,33 +70,30 @@ def _records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _parse_errors(s: DataFrame, e: DataFrame) -> DataFrame:
-    """(graph_id, line_no, rank, message); rank orders the errors of one line."""
-    at = F.concat(F.lit("Error parsing GFA line "), F.coalesce(F.col("line_no").cast("string"), F.lit("?")), F.lit(": "))
-    short = lambda x, n, what: x.filter(f"fields < {n}").select("graph_id", "line_no", F.lit(0).alias("rank"), F.concat(at, F.lit(f"not enough fields for a {what}")).alias("message"))
-    wrong = e.filter("fields >= 5 and (src_rev is null or dst_rev is null)").select("graph_id", "line_no", F.lit(1).alias("rank"), F.concat(at, F.lit("Invalid orientation: "), F.when(F.col("src_rev").isNull(), F.col("a")).otherwise(F.col("b"))).alias("message"))
+    """(graph_id, line_no, rank, message); rank orders the errors of one line, those below 2 say at which line they are."""
+    short = lambda x, n, what: x.filter(f"fields < {n}").select("graph_id", "line_no", F.lit(0).alias("rank"), F.lit(f"not enough fields for a {what}").alias("message"))
+    wrong = e.filter("fields >= 5 and (src_rev is null or dst_rev is null)").select("graph_id", "line_no", F.lit(1).alias("rank"), F.concat(F.lit("Invalid orientation: "), shown(F.when(F.col("src_rev").isNull(), F.col("a")).otherwise(F.col("b")))).alias("message"))
     return short(s, 3, "segment").unionByName(short(e, 5, "link")).unionByName(wrong)
 
 
-def _id_error(name, least: int):
-    """What is wrong with an integer identifier; null if nothing is."""
-    digits = F.regexp_replace(name, r"\A\+", "")
-    why = F.when(name == "", "cannot parse integer from empty string").when(~digits.rlike(r"\A[0-9]+\z"), "invalid digit found in string").otherwise("number too large to fit in target type")
-    text = F.concat(F.lit("Error parsing node name "), name, F.lit(": "), why)
-    return F.when(parse_id(name, 0).isNull(), text).when((parse_id(name, 0) == 0) & F.lit(least > 0), F.lit("Node identifier 0 is reserved for technical purposes"))
+def _said(rank, number, message):
+    """A message with its line, if it is one that names it."""
+    return F.when(rank < 2, F.concat(F.lit("Error parsing GFA line "), F.coalesce(number.cast("string"), F.lit("?")), F.lit(": "), message)).otherwise(message)
 
 
 def first_errors(lines: DataFrame, integer: bool = False) -> DataFrame:
-    """(graph_id, message): the first error of each text of numbered lines (graph_id, line_no, value) that has one.
+    """(graph_id, message): the first error of each text that has one. Lines are (graph_id, line_no or offset, value).
 
     Errors count in the order of lines; within a line too few fields come before orientations, source and target identifiers
     (``integer``), and a segment that differs from an earlier one of its node. Missing nodes are counted if there is no other error.
     """
-    s, e = _records(lines)
+    by_offset = "line_no" not in lines.columns
+    s, e = _records(lines.withColumn("line_no", F.col("offset")) if by_offset else lines)
     found = _parse_errors(s, e)
     s, e = s.filter("fields >= 3"), e.filter("fields >= 5 and src_rev is not null and dst_rev is not null")
     nodes, ends = s.withColumn("key", F.col("name")), e.select("graph_id", F.explode(F.array("src", "dst")).alias("key"))
     if integer:
-        wrong = lambda x, name, least, rank: x.withColumn("message", _id_error(F.col(name), least)).filter("message is not null").select("graph_id", "line_no", F.lit(rank).alias("rank"), "message")
+        wrong = lambda x, name, least, rank: x.withColumn("message", id_error(F.col(name), least)).filter("message is not null").select("graph_id", "line_no", F.lit(rank).alias("rank"), "message")
         found = found.unionByName(wrong(s, "name", 0, 2)).unionByName(wrong(e, "src", 1, 2)).unionByName(wrong(e, "dst", 1, 3))
         nodes = nodes.withColumn("key", parse_id(F.col("name"), 0)).filter("key is not null")
         ends = ends.withColumn("key", parse_id(F.col("key"))).filter("key is not null")
@@ -87,8 +101,12 @@ def first_errors(lines: DataFrame, integer: bool = False) -> DataFrame:
     first = nodes.groupBy("graph_id", "key", "sequence").agg(F.min(F.struct("line_no", "name")).alias("at"))
     of_node = Window.partitionBy("graph_id", "key").orderBy("at")
     second = first.withColumn("k", F.row_number().over(of_node)).filter("k = 2")
-    found = found.unionByName(second.select("graph_id", F.col("at.line_no").alias("line_no"), F.lit(4).alias("rank"), F.concat(F.lit("Node "), "at.name", F.lit(" already exists with a different sequence")).alias("message")))
+    found = found.unionByName(second.select("graph_id", F.col("at.line_no").alias("line_no"), F.lit(4).alias("rank"), F.concat(F.lit("Node "), shown(F.col("at.name")), F.lit(" already exists with a different sequence")).alias("message")))
     lost = ends.distinct().join(nodes.select("graph_id", "key"), ["graph_id", "key"], "left_anti").groupBy("graph_id").agg(F.count("*").alias("n"))
     lost = lost.select("graph_id", F.lit(None).cast("long").alias("line_no"), F.lit(5).alias("rank"), F.concat(F.col("n").cast("string"), F.lit(" nodes required by the edges are missing")).alias("message"))
     place = F.struct(F.col("line_no").isNull(), "line_no", "rank")
-    return found.withColumn("line_no", F.col("line_no").cast("long")).unionByName(lost).groupBy("graph_id").agg(F.min_by("message", place).alias("message"))
+    first = found.withColumn("line_no", F.col("line_no").cast("long")).unionByName(lost).groupBy("graph_id").agg(F.min_by(F.struct("line_no", "rank", "message"), place).alias("x")).select("graph_id", "x.*")
+    if by_offset:  # only the lines before a first error are counted
+        first = stored(first, "first-errors")
+        first = line_numbers(lines, first.withColumnRenamed("line_no", "offset"))
+    return first.select("graph_id", _said(F.col("rank"), F.col("line_no"), F.col("message")).alias("message"))
