@@ -12,8 +12,8 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from canongraph.operators.canonical import canonical_edges, lines, statistics
-from canongraph.operators.digest import ALGORITHMS, digests
+from canongraph.operators.canonical import cell_lines
+from canongraph.operators.digest import ALGORITHMS, STREAM_FROM, digests
 from canongraph.plans import naming
 from canongraph.sources import gfa
 
@@ -41,15 +41,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if wrong:
             return _fail(spark, name, mode)
         if args.benchmark:
-            segments, links = segments.cache(), links.cache()
-            s = statistics(segments, links).first()
+            found = naming.readable(segments, links, mode)
+            if found is None:
+                return _fail(spark, name, mode)
+            rows, s = found[0], found[1].first()
             print(f"{name}: {time.time() - began:.3f} s; {s.nodes if s else 0} nodes, {s.edges if s else 0} edges, {s.seq_len if s else 0} bp", file=sys.stderr)
-            integer = mode != "string" and not naming.integer_failures(segments, links).limit(1).count()
-            a, b = naming.with_integer_ids(segments, links) if integer else (segments, links)
-            text = lines(a, canonical_edges(b)).cache()
+            text, large = cell_lines(rows), found[1].filter(f"text_bytes >= {STREAM_FROM}").select("graph_id")
             for algorithm in ALGORITHMS:
                 began = time.time()
-                digests(text, [algorithm]).collect()
+                digests(text, [algorithm], large=large).collect()
                 print(f"{algorithm}: {time.time() - began:.3f} s", file=sys.stderr)
             continue
         got = naming.stable_names(segments, links, mode).select("digest").collect()

@@ -148,6 +148,15 @@ def outcomes(segments: DataFrame, links: DataFrame, node_ids: str = "auto", algo
     return reduce(DataFrame.unionByName, out)
 
 
+def readable(segments: DataFrame, links: DataFrame, node_ids: str = "auto") -> tuple[DataFrame, DataFrame] | None:
+    """Cells and verdicts under the first kind of keys that suits all graphs; None if there is none."""
+    for key in {"string": [TEXT], "integer": [LONG, LARGE], "auto": [LONG, LARGE, TEXT]}[node_ids]:
+        rows, found = _judged(segments, links, key)
+        if not found.filter("not right").limit(1).count():
+            return rows, found
+    return None
+
+
 def stable_names(segments: DataFrame, links: DataFrame, node_ids: str = "auto", algorithms: list[str] | None = None) -> DataFrame:
     """(graph_id, algorithm, digest) of each valid graph; outcomes() has the others too."""
     return outcomes(segments, links, node_ids, algorithms).filter("message is null").drop("message")
