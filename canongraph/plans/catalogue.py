@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from canongraph.functions.shared import shared_dir
 from canongraph.operators import canonical as C
+from canongraph.operators import containment
 from canongraph.operators import digest as D
 from canongraph.operators import ordered
 from canongraph.operators import relations as R
@@ -228,6 +230,55 @@ def _twins(spark, sf):
     return all_names, all_rel, pairs.unionByName(nats)
 
 
+def _faulty_items(spark, sf):
+    """Order lines with names that are words, zeros and numbers with leading zeros, as tax and quantity have it."""
+    li = X.table(spark, sf, "lineitem")
+    part, tax = (F.col("l_partkey") + 1).cast("string"), F.round(F.col("l_tax") * 100).cast("int")
+    name = F.when(tax == 8, F.concat(F.lit("p"), part)).when(F.col("l_quantity") == 50, "0").when(tax == 7, F.concat(F.lit("00"), part)).otherwise(part)
+    w = Window.partitionBy("graph_id").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    li = li.select(F.col("l_orderkey").alias("graph_id"), name.alias("nm"), X.sequence(F.col("l_partkey")).alias("sequence"), (F.col("l_returnflag") != "N").cast("int").alias("src_rev"), (F.col("l_linestatus") != "O").cast("int").alias("dst_rev"), F.col("l_quantity").cast("int").alias("q"), F.round(F.col("l_discount") * 100).cast("int").alias("d"), "l_returnflag", "l_linenumber", "l_partkey", "l_suppkey")
+    return li.withColumn("rn", F.row_number().over(w)).withColumn("next", F.lead("nm").over(w))
+
+
+def _faulty(spark, sf):
+    """Graphs of which some lack nodes or give one twice; all orders are graphs, with lines or without."""
+    li = _faulty_items(spark, sf)
+    segments = li.filter("q <> 1").select("graph_id", F.col("nm").alias("name"), "sequence").unionByName(li.filter("d = 10").select("graph_id", F.col("nm").alias("name"), F.lit("GATTACA").alias("sequence")))
+    links = li.filter("next is not null").select("graph_id", F.col("nm").alias("src"), "src_rev", F.col("next").alias("dst"), "dst_rev")
+    return segments, links, X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("graph_id"))
+
+
+def _outcomes(mode):
+    def run(spark, sf):
+        segments, links, graphs = _faulty(spark, sf)
+        return naming.outcomes(segments, links, mode, graphs=graphs).select("graph_id", "digest", "message")
+
+    return run
+
+
+def _faulty_text(spark, sf):
+    """First errors of texts whose lines lack fields, hold flags for signs, or name no numbers, as the order lines have it."""
+    li = _faulty_items(spark, sf)
+    sign = lambda c: F.when(F.col(c) == 0, "+").otherwise("-")
+    a = F.when(F.col("q") == 1, F.concat_ws("\t", F.lit("P"), "nm", "sequence")).when(F.col("q") == 2, F.concat_ws("\t", F.lit("S"), "nm")).otherwise(F.concat_ws("\t", F.lit("S"), "nm", "sequence"))
+    b = F.when(F.col("q") == 3, F.concat_ws("\t", F.lit("L"), "nm", F.lit("+"), "next")).otherwise(F.concat_ws("\t", F.lit("L"), "nm", F.when(F.col("d") == 10, F.col("l_returnflag")).otherwise(sign("src_rev")), "next", sign("dst_rev"), F.lit("0M")))
+    lines = li.select("graph_id", F.posexplode(F.array(a, F.when(F.col("next").isNotNull(), b))).alias("at", "value"), "rn").select("graph_id", (F.col("rn") * 2 - 1 + F.col("at")).alias("line_no"), F.coalesce("value", F.lit("")).alias("value"))
+    return gfa.first_errors(lines, integer=True)
+
+
+def _faulty_tags(spark, sf):
+    """Tags of suppliers: one relation for each nation of their region, of which some have lost their comma."""
+    s, n = X.table(spark, sf, "supplier"), X.table(spark, sf, "nation")
+    near = s.join(n.select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey"), "s_nationkey").join(n, "n_regionkey")
+    piece = F.concat("s_name", F.when((F.col("s_suppkey") + F.col("n_nationkey")) % 17 == 3, "").otherwise(","), "n_name")
+    value = near.groupBy("s_suppkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", piece.alias("p")))).alias("l"))
+    return value.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("obj_id"), F.lit("subgraph").alias("key"), F.array_join(F.col("l.p"), ";").alias("value"))
+
+
+def _contained(which):
+    return lambda spark, sf: containment.contained(X.order_segments(spark, sf), X.order_links(spark, sf))[which]
+
+
 QUERIES = {
     "edges_raw": lambda s, d: X.order_links(s, d),
     "edges_canonical_int": _canonical("bigint"),
@@ -262,6 +313,14 @@ QUERIES = {
     "describe_pairs": lambda s, d: R.describe(X.relations(s, d), _pairs(s, d), "first", "second"),
     "stable_name_fallback": _fallback,
     "first_errors_integer": _first_errors,
+    "first_errors_table": _faulty_text,
+    "outcomes_auto": _outcomes("auto"),
+    "outcomes_string": _outcomes("string"),
+    "graphs_contained": _contained(0),
+    "graph_classes": _contained(1),
+    "digest_family_sha256": lambda s, d: D.digests(_lines(s, d, "bigint"), list(D.ALGORITHMS)).filter("algorithm = 'sha256'"),
+    "tags_errors_table": lambda s, d: headers.from_tags(_faulty_tags(s, d))[2],
+    "tags_lenient_table": lambda s, d: headers.from_tags(_faulty_tags(s, d), lenient=True)[1],
     "tags_errors": lambda s, d: headers.from_tags(_odd_tags(s, d))[2],
     "tags_lenient": lambda s, d: headers.from_tags(_odd_tags(s, d), lenient=True)[1],
     "headers_errors": lambda s, d: _odd_headers(s, d)[2],
@@ -323,7 +382,56 @@ SELECT src, dst, {_said()} AS report FROM y"""
 
 _ODD = "(SELECT 's' || s_suppkey AS obj_id, s_suppkey % 4 AS m FROM supplier)"
 
+_ITEMS = """WITH li AS (SELECT l_orderkey AS g, CASE WHEN CAST(round(l_tax * 100) AS INT) = 8 THEN 'p' || (l_partkey + 1) WHEN l_quantity = 50 THEN '0' WHEN CAST(round(l_tax * 100) AS INT) = 7 THEN '00' || (l_partkey + 1) ELSE CAST(l_partkey + 1 AS VARCHAR) END AS nm,
+  translate(substr(sha256(CAST(l_partkey AS VARCHAR)), 1, 12), '0123456789abcdef', 'ACGTACGTACGTACGT') AS sq, CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END AS sr, CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END AS dr,
+  CAST(l_quantity AS INT) AS q, CAST(round(l_discount * 100) AS INT) AS d, l_returnflag AS flag, row_number() OVER w AS rn FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+lk AS (SELECT a.g, a.rn, a.nm AS src, a.sr, b.nm AS dst, a.dr, a.q, a.d, a.flag FROM li a JOIN li b ON a.g = b.g AND b.rn = a.rn + 1)"""
+
+
+def _graph_text(key: str, name: str) -> str:
+    """CTEs of canonical lines of the faulty graphs under one kind of key: nd, cn and (g, digest) as ``name``."""
+    ok = "(s < t OR (s = t AND (sr = 0 OR dr = 0)))"
+    n, c = f"{name}_nodes", f"{name}_edges"
+    return f"""{n} AS (SELECT DISTINCT g, TRY_CAST(nm AS {key}) AS k, sq FROM sg), {name}_raw AS (SELECT g, TRY_CAST(src AS {key}) AS s, sr, TRY_CAST(dst AS {key}) AS t, dr FROM lk),
+{c} AS (SELECT DISTINCT g, CASE WHEN {ok} THEN s ELSE t END AS s, CASE WHEN {ok} THEN sr ELSE 1 - dr END AS sr, CASE WHEN {ok} THEN t ELSE s END AS t, CASE WHEN {ok} THEN dr ELSE 1 - sr END AS dr FROM {name}_raw),
+{name}_lines AS (SELECT g, k, 0 AS kind, 0 AS sr, CAST(NULL AS {key}) AS t, 0 AS dr, 'S' || chr(9) || k || chr(9) || sq || chr(10) AS line FROM {n} UNION ALL SELECT g, s, 1, sr, t, dr, 'L' || chr(9) || s || chr(9) || CASE sr WHEN 0 THEN '+' ELSE '-' END || chr(9) || t || chr(9) || CASE dr WHEN 0 THEN '+' ELSE '-' END || chr(10) FROM {c}),
+{name} AS (SELECT g, sha256(string_agg(line, '' ORDER BY k, kind, sr, t, dr)) AS digest FROM {name}_lines GROUP BY g),
+{name}_ends AS (SELECT g, s AS k FROM {name}_raw UNION SELECT g, t FROM {name}_raw),
+{name}_twice AS (SELECT g, k FROM {n} GROUP BY g, k HAVING min(sq) <> max(sq)), {name}_lost AS (SELECT g, k FROM {name}_ends WHERE (g, k) NOT IN (SELECT (g, k) FROM {n} WHERE k IS NOT NULL))"""
+
+
+def _outcome_sql(auto: bool) -> str:
+    wrong = """SELECT g FROM whole_nodes WHERE k IS NULL UNION SELECT g FROM whole_ends WHERE k IS NULL OR k = 0 UNION SELECT g FROM whole_twice UNION SELECT g FROM whole_lost""" if auto else "SELECT o_orderkey AS g FROM orders"
+    return f"""{_ITEMS}, sg AS (SELECT g, nm, sq FROM li WHERE q <> 1 UNION SELECT g, nm, 'GATTACA' FROM li WHERE d = 10),
+{_graph_text('BIGINT', 'whole')}, {_graph_text('VARCHAR', 'words')}, wrong AS ({wrong}),
+said AS (SELECT g, 0 AS rank, 'Node ' || min(k) || ' already exists with a different sequence' AS message FROM words_twice GROUP BY g UNION ALL SELECT g, 1, count(*) || ' nodes required by the edges are missing' FROM words_lost GROUP BY g),
+first AS (SELECT g, min_by(message, rank) AS message FROM said GROUP BY g),
+x AS (SELECT o_orderkey AS graph_id, CASE WHEN w.g IS NULL THEN coalesce(i.digest, sha256('')) WHEN f.g IS NULL THEN coalesce(t.digest, sha256('')) END AS digest, CASE WHEN w.g IS NOT NULL THEN f.message END AS message
+  FROM orders LEFT JOIN (SELECT DISTINCT g FROM wrong) w ON w.g = o_orderkey LEFT JOIN first f ON f.g = o_orderkey LEFT JOIN whole i ON i.g = o_orderkey LEFT JOIN words t ON t.g = o_orderkey) SELECT * FROM x"""
+
+
+_FIRST = f"""{_ITEMS}, s AS (SELECT g, 2 * rn - 1 AS line, nm, sq, q FROM li WHERE q <> 1), e AS (SELECT g, 2 * rn AS line, src, dst, q, d, flag FROM lk),
+sok AS (SELECT *, CASE WHEN nm NOT LIKE 'p%' THEN CAST(nm AS BIGINT) END AS k FROM s WHERE q <> 2), eok AS (SELECT * FROM e WHERE q <> 3 AND d <> 10),
+ids AS (SELECT g, line, 2 AS rank, src AS nm FROM eok UNION ALL SELECT g, line, 3, dst FROM eok),
+firsts AS (SELECT g, k, sq, min(line) AS line, arg_min(nm, line) AS nm FROM sok WHERE k IS NOT NULL GROUP BY g, k, sq), second AS (SELECT g, line, nm, row_number() OVER (PARTITION BY g, k ORDER BY line) AS place FROM firsts),
+found AS (SELECT g, line, 0 AS rank, 'Error parsing GFA line ' || line || ': not enough fields for a segment' AS message FROM s WHERE q = 2
+  UNION ALL SELECT g, line, 0, 'Error parsing GFA line ' || line || ': not enough fields for a link' FROM e WHERE q = 3 UNION ALL SELECT g, line, 1, 'Error parsing GFA line ' || line || ': Invalid orientation: ' || flag FROM e WHERE q <> 3 AND d = 10
+  UNION ALL SELECT g, line, 2, 'Error parsing node name ' || nm || ': invalid digit found in string' FROM sok WHERE k IS NULL UNION ALL SELECT g, line, rank, CASE WHEN nm = '0' THEN 'Node identifier 0 is reserved for technical purposes' ELSE 'Error parsing node name ' || nm || ': invalid digit found in string' END FROM ids WHERE nm = '0' OR nm LIKE 'p%'
+  UNION ALL SELECT g, line, 4, 'Node ' || nm || ' already exists with a different sequence' FROM second WHERE place = 2),
+lost AS (SELECT g, count(DISTINCT CAST(nm AS BIGINT)) AS n FROM ids WHERE nm NOT LIKE 'p%' AND nm <> '0' AND (g, CAST(nm AS BIGINT)) NOT IN (SELECT (g, k) FROM sok WHERE k IS NOT NULL) GROUP BY g)
+SELECT g AS graph_id, arg_min(message, line * 10 + rank) AS message FROM (SELECT * FROM found UNION ALL SELECT g, 1000000, 5, n || ' nodes required by the edges are missing' FROM lost) GROUP BY g"""
+_CONTAINED = _base() + """, sig AS (SELECT graph_id, string_agg(line, '' ORDER BY line) AS c, count(*) AS n FROM lines GROUP BY graph_id), cls AS (SELECT graph_id, min(graph_id) OVER (PARTITION BY c) AS class_id, n FROM sig)"""
+_PIECES = """p AS (SELECT 's' || s_suppkey AS obj_id, s_name, b.n_nationkey AS place, b.n_name, (s_suppkey + b.n_nationkey) % 17 = 3 AS bad FROM supplier JOIN nation a ON a.n_nationkey = s_nationkey JOIN nation b ON b.n_regionkey = a.n_regionkey)"""
+
 ORACLES = {
+    "first_errors_table": _FIRST,
+    "outcomes_auto": _outcome_sql(True),
+    "outcomes_string": _outcome_sql(False),
+    "graphs_contained": _CONTAINED + ", r AS (SELECT lines.graph_id, line, n FROM lines JOIN cls USING (graph_id) WHERE lines.graph_id = class_id) SELECT a.graph_id, b.graph_id AS within FROM r a JOIN r b ON a.line = b.line AND a.n < b.n GROUP BY a.graph_id, b.graph_id, a.n HAVING count(*) = a.n",
+    "graph_classes": _CONTAINED + " SELECT graph_id, class_id FROM cls",
+    "digest_family_sha256": _base() + _NAME,
+    "tags_errors_table": f"WITH {_PIECES} SELECT obj_id, 'Invalid subgraph relationship: ' || arg_min(s_name || n_name, place) AS message FROM p WHERE bad GROUP BY obj_id",
+    "tags_lenient_table": f"WITH {_PIECES} SELECT DISTINCT obj_id, 0 AS kind, s_name AS src, n_name AS dst FROM p WHERE obj_id NOT IN (SELECT obj_id FROM p WHERE bad)",
     "describe_pairs": _report(),
     "stable_name_fallback": f"SELECT * FROM ({_base()}{_NAME}) WHERE graph_id % 5 <> 0 UNION ALL SELECT * FROM ({_base('VARCHAR', prefix='x')}{_NAME}) WHERE graph_id % 5 = 0",
     "first_errors_integer": "SELECT o_orderkey AS graph_id, CASE o_orderkey % 8 " + " ".join(f"WHEN {i} THEN '{m}'" for i, (_, m) in enumerate(_FAULTS) if m) + " END AS message FROM orders WHERE o_orderkey % 8 <> 0",
