@@ -4,7 +4,7 @@ Method: the standard library's streaming parser turns a page into lines (blocks
 ratio: its characters outside links over the tags in it. A Gaussian smooths the ratios along the page, and clustering
 them in two groups gives the threshold above which a line belongs to a content region; a region takes in the few short lines
 between its lines and the headings right before them. What the markup itself says goes in as evidence before clustering:
-lines inside ``article`` or ``main`` gain by the share of the text there, lines of menus, headers, footers, sidebars,
+lines inside ``article`` or ``main`` gain by the share of the text there (as much as a ratio of 20 at most), lines of menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments are out.
 
 Null or empty html gives an empty text, and an empty table an empty result. Repeated rows and page_ids give a row each, and a
@@ -42,7 +42,7 @@ _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "
 _CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 #: Weights of the evidence, in units of the natural log of the ratio.
-INSIDE, WIDTH = 12.0, 1.0
+INSIDE, WIDTH = 3.0, 1.0
 #: Short lines in a row that a region takes in.
 GAP = 3
 
@@ -72,6 +72,7 @@ class _Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = self.linked = 0
         self.stack: list[tuple[str, str, bool, bool]] = []  # tag, what put it out, inside, link
+        self.open: dict[str, int] = {}  # how often each tag is on the stack
         self.out, self.inside, self.link = "", False, False
 
     def flush(self):
@@ -87,6 +88,7 @@ class _Lines(HTMLParser):
         stack = self.stack
         while stack:
             top, self.out, self.inside, self.link = stack.pop()
+            self.open[top] -= 1
             if top == tag:
                 return
 
@@ -98,12 +100,14 @@ class _Lines(HTMLParser):
         if tag in BLOCKS:
             self.flush()
             stack = self.stack
-            if tag in _CLOSE_P:
+            if tag in _CLOSE_P and self.open.get("p"):
                 for i in range(len(stack) - 1, -1, -1):
                     t = stack[i][0]
                     if t == "p":
                         # formatting left open in the paragraph ends with it
                         del_from = stack[i]
+                        for gone in stack[i:]:
+                            self.open[gone[0]] -= 1
                         del stack[i:]
                         _, self.out, self.inside, self.link = del_from
                         break
@@ -111,11 +115,13 @@ class _Lines(HTMLParser):
                         break
             elif tag in _CLOSES:
                 if stack and stack[-1][0] in _CLOSES[tag]:
-                    _, self.out, self.inside, self.link = stack.pop()
+                    gone, self.out, self.inside, self.link = stack.pop()
+                    self.open[gone] -= 1
         self.tags += 1
         if tag in VOID:
             return
         self.stack.append((tag, self.out, self.inside, self.link))
+        self.open[tag] = self.open.get(tag, 0) + 1
         if tag == "article" or tag == "main":
             self.inside = True
             if self.out in LEFT_OPEN:
@@ -134,6 +140,8 @@ class _Lines(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
+        if not self.open.get(tag):
+            return  # closes nothing
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 self.pop_to(tag)
@@ -202,8 +210,8 @@ def filled(chosen: list[bool], lines) -> list[bool]:
     return out
 
 
-def main_text(html: str | None, smoothed: bool = True) -> str:
-    """``smoothed``: False leaves the Gaussian out, to see what it does."""
+def main_text(html: str | None, smoothed: bool = True, inside: float = INSIDE) -> str:
+    """``smoothed``: False leaves the Gaussian out; ``inside``: the weight of the markup's own word. To see what they do."""
     lines = lines_of(html or "")
     if not lines:
         return ""
@@ -212,7 +220,7 @@ def main_text(html: str | None, smoothed: bool = True) -> str:
     own = [max(0, len(t) - linked) for t, _, linked, _, _ in lines]
     within = sum(n for n, line in zip(own, lines) if line[3])
     # the markup counts by the share of the text that it names
-    gain = INSIDE * within / max(1, sum(own))
+    gain = inside * within / max(1, sum(own))
     score = [r + (gain if line[3] else 0.0) for r, line in zip(ratio, lines)]
     # where it names some, an empty line stands for what is outside: short lines of an article alone are not the other cluster
     at = threshold([*score, 0.0] if within else score)
