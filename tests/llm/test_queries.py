@@ -24,6 +24,9 @@ COLUMNS = {
     "op8": "doc_id bigint, item_id bigint, score double",
     "op9": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
     "op10": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    "op11": "item_id bigint, rank int, doc_id bigint, score bigint",
+    "op12": "query_id bigint, rank int, vec_id bigint, score double",
+    "op13": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
 }
 
 

@@ -170,3 +170,11 @@ def test_evolution_beats_best_fit_where_pieces_come_in_threes():
         found = packing._Shard(sizes, 1024, 1).evolve([], generations, population)[0]
         assert len(found) < plain  # 111 and 110 to 113 when this was written; 100 is the bound
         assert sorted(x for _, c in found for x in c) == list(range(len(sizes))) and all(sum(sizes[x] for x in c) == f <= 1024 for f, c in found)
+
+
+def test_shards_need_no_more_sequences_than_the_whole(spark):
+    pieces = packing.cut_pieces(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), BYTE).cache()
+    sizes = [r.length for r in pieces.filter("length < 1024").select("length").collect()]
+    whole = len(packing._Shard(sizes, 1024, 1).start(False)) + pieces.filter("length = 1024").count()
+    assert packing.pack(pieces).select("sequence_id").distinct().count() <= whole
+    pieces.unpersist()
