@@ -46,7 +46,7 @@ def test_a_long_chain_takes_few_jobs(spark):
 
 def test_random_relations_equal_a_queue(spark):
     rng = random.Random(5)
-    for names, many in ((12, 16), (40, 44), (30, 60)):
+    for names, many in ((12, 16), (40, 44)):
         rows = [(rng.randrange(2), f"x{rng.randrange(names)}", f"x{rng.randrange(names)}") for _ in range(many)]
         table = spark.createDataFrame(rows, REL)
         asked = [(f"x{rng.randrange(names)}", f"x{rng.randrange(names)}") for _ in range(25)]
@@ -73,7 +73,7 @@ def test_objects_know_only_their_own(spark):
         assert got == want
     reports = {(r.a, r.b): r.report for r in R.describe_objects(names, table, pairs, "A", "B").collect()}
     assert set(reports) == set(asked)
-    for a, b in asked[:12]:
+    for a, b in asked[:4]:
         both = spark.createDataFrame(own[a] + own[b], REL)
         one = R.describe(both, spark.createDataFrame([(name[a], name[b])], "src string, dst string"), "A", "B").first().report
         assert reports[a, b] == one
