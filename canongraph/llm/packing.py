@@ -191,12 +191,12 @@ def _evolve_islands(shards: DataFrame, capacity: int, islands: int, rounds: int,
     return done.groupBy("shard").agg(best.alias("packing"))
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, shard_size: int = 4096, islands: int = 2, rounds: int = 2, generations: int = 3, population: int = 4, seed: int = 7, row_col: str | None = None) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, shard_size: int = 4096, islands: int = 2, rounds: int = 2, generations: int = 3, population: int = 4, seed: int = 7, reopen: int = 4, row_col: str | None = None) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces (as cut_pieces returns them); further columns are left out but ``row_col``,
     numbers that tell rows apart where ids are null or repeat.
 
     ``shard_size``: pieces a shard holds on average; it bounds what one task sees. Full pieces make sequences of their
-    own; all others are packed. The sequences with most room left in each shard (one in 50, one at least) are opened
+    own; all others are packed. The sequences with most room left in each shard (one in ``reopen``, one at least) are opened
     and packed again together with those of other shards.
     """
     pieces = cut(pieces.select("doc_id", "piece", "start", "length", "ids_crc32").withColumn("row_id", F.monotonically_increasing_id())) if row_col is None else pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.col(row_col).alias("row_id"))
@@ -230,7 +230,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, shard_size: int = 4096, island
     result = None
     while True:
         ranked = bins.withColumn("rank", F.row_number().over(Window.partitionBy("shard").orderBy("fill", "bin"))).withColumn("of", F.count("*").over(Window.partitionBy("shard")))
-        again = (F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("of") / 50))) if n_shards > 1 else F.lit(False)
+        again = (F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("of") / reopen))) if n_shards > 1 else F.lit(False)
         ranked = cut(ranked.withColumn("again", again).withColumn("level", F.lit(level).cast("long")).drop("rank", "of"))
         kept = ranked.filter(~F.col("again")).drop("again")
         result = kept if result is None else result.unionByName(kept)
