@@ -46,6 +46,49 @@ def grams(word: np.ndarray, row: np.ndarray, n: int):
     return mix(h), at
 
 
+class Among:
+    """Finds hashes in a sorted array of distinct ones; a table of low bits turns most others away before they are searched."""
+
+    def __init__(self, known: np.ndarray):
+        self.known, self.mask = known, np.uint64((1 << min(22, max(12, (16 * len(known)).bit_length()))) - 1)
+        self.table = np.zeros(int(self.mask) + 1, bool)
+        self.table[(known & self.mask).astype(np.int64)] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where ``h`` holds a known hash, and its number."""
+        if not len(self.known):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.flatnonzero(self.table[(h & self.mask).astype(np.int64)])
+        k = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
+        same = self.known[k] == h[at]
+        return at[same], k[same]
+
+
+class Seeds:
+    """Hashes of seeds, and the items and places of each."""
+
+    def __init__(self, gram: np.ndarray, item: np.ndarray, place: np.ndarray):
+        order = np.argsort(gram, kind="stable")
+        self.item, self.place = item[order], place[order]
+        known, first = np.unique(gram[order], return_index=True)
+        self.among, self.edges = Among(known), np.r_[first, len(gram)]
+
+    def __len__(self) -> int:
+        return len(self.item)
+
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index in ``h``, item, place) of all seeds."""
+        at, k = self.among.find(h)
+        lo, n = self.edges[k], self.edges[k + 1] - self.edges[k]
+        which = ranges(lo, n)
+        return np.repeat(at, n), self.item[which], self.place[which]
+
+
+def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] of them), then those of start[1], and so on."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 class Items:
     """Word hashes of items, of whose words a share of ``least`` or more must match."""
 
@@ -56,7 +99,10 @@ class Items:
         self.ids, self.words = list(ids), [word[a:b] for a, b in zip(edges, edges[1:])]
         self.lengths = np.diff(edges)
         self.needed = np.array([math.ceil(least * n - 1e-9) for n in self.lengths.tolist()], np.int64)
-        self.bags = [np.unique(w, return_counts=True) for w in self.words]
+        # every item's distinct words, under one sorted list of (word, item) keys, and how often it has each
+        self.vocabulary = Among(np.unique(word))
+        key, times = np.unique(self._keys(np.searchsorted(self.vocabulary.known, word), row), return_counts=True)
+        self.bag, self.times = Among(key), times
         lengths = self.lengths.tolist()
         self.least = np.array([max(1, min(SEEDS, m)) if n > SHORT else 1 for n, m in zip(lengths, self.needed.tolist())], np.int64)
         self.rarest = [min(n, n - m + k) if n > SHORT else 0 for n, m, k in zip(lengths, self.needed.tolist(), self.least.tolist())]
@@ -67,8 +113,7 @@ class Items:
         some = [w for w, n in zip(self.words, self.rarest) if n]
         return np.unique(grams(np.concatenate(some), np.zeros(sum(map(len, some)), np.int64), 1)[0]) if some else np.zeros(0, np.uint64)
 
-    def seeds(self, known: np.ndarray, count: np.ndarray):
-        """(hash, item, place), sorted by hash."""
+    def seeds(self, known: np.ndarray, count: np.ndarray) -> Seeds:
         gram, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, w in enumerate(self.words):
             row = np.zeros(len(w), np.int64)
@@ -81,15 +126,31 @@ class Items:
             gram.append(h)
             item.append(np.full(len(h), i))
             place.append(a)
-        gram, item, place = (np.concatenate(x) for x in (gram, item, place))
-        order = np.argsort(gram, kind="stable")
-        return gram[order], item[order], place[order]
-
-    def may_hold(self, i: int, passage: np.ndarray) -> bool:
-        """Whether a passage has as many words of an item as it takes, each as often as the item at most."""
-        word, times = self.bags[i]
-        k = np.minimum(np.searchsorted(word, passage), len(word) - 1)
-        return np.minimum(np.bincount(k[word[k] == passage], minlength=len(word)), times).sum() >= self.needed[i]
+        return Seeds(*(np.concatenate(x) for x in (gram, item, place)))
+
+    def _keys(self, code: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """One number for a word of the vocabulary and an item, mixed without collisions."""
+        return mix(item.astype(np.uint64) * np.uint64(max(1, len(self.vocabulary.known))) + code.astype(np.uint64))
+
+    def may_hold(self, item: np.ndarray, start: np.ndarray, stop: np.ndarray, at: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Which passages start:stop have as many words of their item as it takes, each as often as the item at most.
+
+        ``at`` and ``code``: places of all words that any item has, and their numbers in the vocabulary.
+        """
+        lo, hi = np.searchsorted(at, start), np.searchsorted(at, stop)
+        out = hi - lo >= self.needed[item]
+        some, first = np.flatnonzero(out), 0
+        sums = np.cumsum((hi - lo)[some])
+        while first < len(some):  # so many words at a time
+            last = max(first + 1, int(np.searchsorted(sums, (sums[first - 1] if first else 0) + CELLS, "right")))
+            part = some[first:last]
+            n = (hi - lo)[part]
+            where, k = self.bag.find(self._keys(code[ranges(lo[part], n)], np.repeat(item[part], n)))
+            both, times = np.unique(np.repeat(np.arange(len(part)), n)[where] * len(self.times) + k, return_counts=True)
+            found = np.bincount(both // len(self.times), np.minimum(times, self.times[both % len(self.times)]), len(part))
+            out[part] = found >= self.needed[item[part]]
+            first = last
+        return out
 
 
 def _document_words(column: pa.Array):
@@ -110,24 +171,30 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]):
         some = order[x : x + max(1, min(TOGETHER, CELLS // max(1, wide)))]
         x += len(some)
         tall = max(len(pairs[i][0]) for i in some)
-        passage, item = np.zeros((len(some), wide), np.uint64), np.full((len(some), tall), 1, np.uint64)
+        # pairs lie side by side, so that every step runs along memory
+        passage, item = np.zeros((wide, len(some)), np.uint64), np.full((tall, len(some)), 1, np.uint64)
         for k, i in enumerate(some):
-            item[k, : len(pairs[i][0])] = pairs[i][0]
-            passage[k, : len(pairs[i][1])] = pairs[i][1]
-        before = np.zeros((len(some), wide + 1), np.int32)
-        slope = np.arange(wide + 1, dtype=np.int32)
-        best, at = np.zeros(len(some), np.int32), np.zeros(len(some), np.int64)
+            item[: len(pairs[i][0]), k] = pairs[i][0]
+            passage[: len(pairs[i][1]), k] = pairs[i][1]
+        kind = np.int16 if wide + 2 * tall < 1 << 15 else np.int32
+        before, now, same = np.zeros((wide + 1, len(some)), kind), np.zeros((wide + 1, len(some)), kind), np.zeros((wide, len(some)), kind)
+        slope = np.arange(wide + 1, dtype=kind)[:, None]
+        best, at = np.zeros(len(some), kind), np.zeros(len(some), np.int64)
         for j in range(tall):
-            same = np.where(passage == item[:, j : j + 1], 2, -1).astype(np.int32)
-            now = np.zeros_like(before)
-            np.maximum(before[:, :-1] + same, before[:, 1:] - 1, out=now[:, 1:])
+            np.multiply(passage == item[j], kind(3), out=same)
+            same -= kind(1)
+            same += before[:-1]
+            np.subtract(before[1:], kind(1), out=now[1:])
+            np.maximum(now[1:], same, out=now[1:])
+            now[0] = 0
             np.maximum(now, 0, out=now)
-            now = np.maximum.accumulate(now + slope, axis=1) - slope  # gaps along the passage
-            before = now
-            top = now.argmax(1)
-            value = now[np.arange(len(some)), top]
-            better = value > best
-            best, at = np.where(better, value, best), np.where(better, top, at)
+            now += slope
+            np.maximum.accumulate(now, axis=0, out=now)  # gaps along the passage
+            now -= slope
+            value = now.max(axis=0)
+            better = np.flatnonzero(value > best)
+            best[better], at[better] = value[better], now[:, better].argmax(axis=0)
+            before, now = now, before
         score[some], end[some] = best, at
     return score, end
 
@@ -159,13 +226,11 @@ def rare_seeds(docs: DataFrame, items: Items):
     shared = spark.sparkContext.broadcast(known)  # words of one slice of items
 
     def count(batches):
-        known = shared.value
-        n = np.zeros(len(known), np.int64)
+        among = Among(shared.value)
+        n = np.zeros(len(among.known), np.int64)
         for batch in batches:
             for _, word, row in _document_words(batch.column(1)):
-                h, _ = grams(word, row, 1)
-                k = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                n += np.bincount(k[known[k] == h], minlength=len(known))
+                n += np.bincount(among.find(grams(word, row, 1)[0])[1], minlength=len(n))
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(n[at])], names=["gram", "n"])
 
@@ -175,26 +240,20 @@ def rare_seeds(docs: DataFrame, items: Items):
     return items.seeds(known, n)
 
 
-def passages(column: pa.Array, items: Items, seeds, reach: np.ndarray):
+def passages(column: pa.Array, items: Items, seeds: Seeds, reach: np.ndarray):
     """For blocks of rows: lists of (row, item, place of the passage in the row's words) and of the passages' words.
 
     Passages go ``reach`` words, given for each item, beyond where its seeds place it.
     """
-    seed, of, place = seeds
     for first, word, row in _document_words(column):
-        if not len(row) or not len(seed):
+        if not len(row) or not len(seeds):
             continue
         edges = np.searchsorted(row, np.arange(int(row[-1]) + 2))
         hits = []
         for n in items.sizes:
             h, at = grams(word, row, n)
-            k = np.minimum(np.searchsorted(seed, h), len(seed) - 1)
-            some = np.flatnonzero(seed[k] == h)
-            at, lo = at[some], k[some]
-            k = np.searchsorted(seed, h[some], "right") - lo
-            which = np.repeat(lo, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            at = np.repeat(at, k)
-            hits.append((row[at], of[which], at - place[which]))
+            k, of, place = seeds.hits(h)
+            hits.append((row[at[k]], of, at[k] - place))
         d, i, diagonal = (np.concatenate(c) for c in zip(*hits))
         if not len(d):
             continue
@@ -206,18 +265,20 @@ def passages(column: pa.Array, items: Items, seeds, reach: np.ndarray):
         stop = np.r_[start[1:], len(d)] - 1
         enough = stop - start + 1 >= items.least[i[start]]
         start, stop = start[enough], stop[enough]
-        where, words = [], []
-        for a, b in zip(start, stop):
-            doc, item, s = int(d[a]), int(i[a]), int(slack[a])
-            x = max(int(edges[doc]), int(diagonal[a]) - s)
-            y = min(int(edges[doc + 1]), int(diagonal[b]) + int(items.lengths[item]) + s)
-            # seeds close together make one passage; a long one is read in windows that overlap by what an item takes
-            step = int(items.lengths[item]) + 2 * s
-            for z in range(x, max(x + 1, y - step), step):
-                part = word[z : min(z + 2 * step, y)]
-                if items.may_hold(item, part):
-                    where.append((first + doc, item, z - int(edges[doc])))
-                    words.append(part)
+        doc, item = d[start], i[start]
+        s, n = slack[start], items.lengths[item]
+        x = np.maximum(edges[doc], diagonal[start] - s)
+        y = np.minimum(edges[doc + 1], diagonal[stop] + n + s)
+        # seeds close together make one passage; a long one is read in windows that overlap by what an item takes
+        step = n + 2 * s
+        windows = np.maximum(1, -((x - y) // step) - 1)
+        of = np.repeat(np.arange(len(x)), windows)
+        z = x[of] + ranges(np.zeros(len(x), np.int64), windows) * step[of]
+        last = np.minimum(z + 2 * step[of], y[of])
+        held = np.flatnonzero(items.may_hold(item[of], z, last, *items.vocabulary.find(word)))
+        of, z, last = of[held], z[held], last[held]
+        where = list(zip((first + doc[of]).tolist(), item[of].tolist(), (z - edges[doc[of]]).tolist()))
+        words = [word[a:b] for a, b in zip(z.tolist(), last.tolist())]
         yield where, words
 
 

@@ -1,7 +1,10 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from canongraph.llm import decontam, extract, langid, licenses, toxicity
 from canongraph.llm.common import remainder
@@ -458,3 +461,22 @@ def test_rows_without_id_lie_in_no_fold(spark, tmp_path):
     for name in ("op4_toxicity", "op5_language_id"):
         got = queries.queries()[name](spark, str(tmp_path)).collect()
         assert len(got) == 4 and all(r.held_out is False for r in got if r.doc_id is None) and all(r.held_out is not None for r in got)
+
+
+def test_passages_that_may_hold_an_item():
+    """Equals counting an item's words in each window, each as often as the item has it at most."""
+    rng = random.Random(9)
+    items = decontam.Items(list(range(30)), [" ".join(rng.choices([f"w{i}" for i in range(25)], k=rng.randrange(1, 20))) for _ in range(28)] + ["", None], 0.5)
+    _, word, _ = next(decontam._document_words(pa.array([" ".join(rng.choices([f"w{i}" for i in range(40)], k=3000))])))
+    start = np.array([rng.randrange(3000) for _ in range(500)])
+    stop = np.minimum(3000, start + np.array([rng.randrange(60) for _ in start]))
+    item = np.array([rng.randrange(28) for _ in start])
+    want = []
+    for i, a, b in zip(item, start, stop):
+        had, has = Counter(word[a:b].tolist()), Counter(items.words[i].tolist())
+        want.append(sum(min(had[w], n) for w, n in has.items()) >= items.needed[i])
+    for cells in (decontam.CELLS, 7):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(decontam, "CELLS", cells)
+            assert items.may_hold(item, start, stop, *items.vocabulary.find(word)).tolist() == want
+    assert 50 < sum(want) < 450
