@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders that stored() has made for the sessions of this driver.
+#: Folders that stored() and cut() have made for the sessions of this driver.
 _MADE: dict[str, SparkSession] = {}
+#: For each thread, what its open scopes have made.
+_OPEN = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,17 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the checkpoint folder, so that lost executors lose nothing.
 
-    Sessions with ``spark.cleaner.referenceTracking.cleanCheckpoints`` drop these files when the DataFrame is forgotten.
+    They stay until release(), the end of the scope they are made in, or the end of the driver.
     """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        _note(df.sparkSession, file.get())
+    return out
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as compressed Parquet to the shared folder and read from there, until release() or the end of the driver."""
+    """``df`` written as compressed Parquet to the shared folder and read from there. It stays as long as what cut() keeps."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _MADE[path] = spark
+    _note(spark, path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -49,15 +57,45 @@ def file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def _note(spark: SparkSession, path: str) -> None:
+    _MADE[path] = spark
+    for made in getattr(_OPEN, "scopes", ()):
+        made.append(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared folder, if it is there."""
+    _MADE.pop(path, None)
+    fs, where = file_system(spark, path)
+    fs.delete(where, True)
+
+
 def release(spark: SparkSession | None = None) -> int:
-    """Removes what stored() has kept, of one session or all; DataFrames that still read it can no longer be used."""
-    gone = [p for p, s in _MADE.items() if spark is None or s is spark]
-    for path in gone:
-        fs, where = file_system(_MADE.pop(path), path)
-        fs.delete(where, True)
+    """Removes what stored() and cut() have kept, of one session or all; DataFrames that still read it can no longer be used."""
+    gone = [(s, p) for p, s in list(_MADE.items()) if spark is None or s is spark]
+    for s, path in gone:
+        remove(s, path)
     return len(gone)
 
 
+@contextmanager
+def scope():
+    """Removes at its end what stored() and cut() have made within, in this thread; other threads' tables are left alone.
+
+    What is to be read later has to be written to a folder of its own before that.
+    """
+    scopes = _OPEN.scopes = getattr(_OPEN, "scopes", [])
+    made: list[str] = []
+    scopes.append(made)
+    try:
+        yield
+    finally:
+        scopes.pop()
+        for path in made:
+            if path in _MADE:
+                remove(_MADE[path], path)
+
+
 @atexit.register
 def _at_end() -> None:
     try:

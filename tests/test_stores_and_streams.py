@@ -3,6 +3,8 @@
 import hashlib
 import os
 import random
+from pathlib import Path
+from threading import Thread
 
 import pytest
 from pyspark.sql import functions as F
@@ -252,3 +254,28 @@ def test_pieces_are_given_up_in_time(spark, tmp_path):
     finally:
         query.stop()
     assert got == {"half": (None, "Graph is incomplete: 1 of 3 lines"), "whole": (hashlib.sha256(b"S\t1\tA\n").hexdigest(), None)}
+
+
+def test_scopes_remove_what_is_made_in_them(spark, tmp_path):
+    def there(df):
+        return [f for f in df.inputFiles() if Path(f.removeprefix("file://")).exists()]
+
+    before, made = shared.stored(spark.range(5), "before"), set(shared._MADE)
+    with shared.scope():
+        a, b = shared.stored(spark.range(7), "inner"), shared.cut(spark.range(9).repartition(2))
+        checkpoints = [p for p in shared._MADE if "rdd-" in p and p not in made]
+        assert there(a) and b.count() == 9 and len(checkpoints) == 1 and Path(checkpoints[0].removeprefix("file:")).exists()
+        with shared.scope():
+            c = shared.stored(spark.range(3), "innermost")
+        assert not there(c) and there(a)
+        other = []
+        t = Thread(target=lambda: other.append(shared.stored(spark.range(2), "thread")))
+        t.start()
+        t.join()
+        b.write.parquet(str(tmp_path / "kept"))
+    assert not there(a) and not Path(checkpoints[0].removeprefix("file:")).exists()
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 9 and before.count() == 5 and other[0].count() == 2
+    with pytest.raises(ZeroDivisionError), shared.scope():
+        d = shared.stored(spark.range(3), "failed")
+        1 / 0
+    assert not there(d)
