@@ -6,7 +6,6 @@ import ctypes
 import functools
 import re
 import sys
-import tempfile
 import uuid
 
 import numpy as np
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canongraph.functions.shared import cut, shared_dir, stored  # noqa: F401 - operators take them from here
+
 #: Odd multiplier of the polynomial hashes (mod 2**64); any odd number with mixed bits will do.
 BASE = 0x9E3779B97F4A7C15
 #: Bytes of text that are hashed at once; a longer single text makes a block of its own.
@@ -33,33 +34,11 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only where that setting is absent (a local session, as in tests) a temporary folder is made.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(top)
-    return top
-
-
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read again from the shared folder: survives the loss of executors."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def tidy(run):
     """``run``, a function over a task's batches, with what the task has freed given back to the system at its end.
 
@@ -228,13 +207,6 @@ def letter_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], row[keep]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a Parquet table to the shared folder, and read from there."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, most: int = 2_000_000) -> DataFrame:
     """``df`` of narrow rows (an id or two), broadcast if it has at most ``most`` of them and left to a shuffle otherwise."""
     return F.broadcast(df) if df.count() <= most else df
