@@ -10,8 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canongraph.functions.shared import remove, scope
 from canongraph.llm import decontam, ngramjoin, packing, suffixdedup, toxicity
-from canongraph.llm.common import remainder, small, stored
+from canongraph.llm.common import fresh_dir, remainder, small, stored
 
 #: Columns of documents, as every stage but the last returns them.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -71,7 +72,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. A stage's own tables go when its result is written, and that goes when the next one's is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        path = fresh_dir(spark, name)
+        with scope():
+            out = stage(spark, docs, sf_dir)
+            out.write.option("compression", "zstd").parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(path), path
     return docs
