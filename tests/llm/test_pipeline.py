@@ -1,9 +1,11 @@
+import os
 import zlib
 
 import corpus_pipeline
 import public_tokenizers
 
 from canongraph.llm import decontam, toxicity
+from canongraph.llm.common import shared_dir
 from tests.llm import brute
 from tests.llm.test_tokens_store_packing import BYTE, check_packing, whole
 
@@ -86,3 +88,12 @@ def test_toxicity_is_the_operators(spark):
     scores = toxicity.score(docs, toxicity.fit(docs.select("doc_id", "text"), learned)).collect()
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, sf).collect()}
     assert kept == {r.doc_id for r in scores if r.score < 0.7} and 0 < len(kept) < len(scores)
+
+
+def test_run_leaves_its_result_only(spark):
+    top = shared_dir(spark)
+    before = {d: set(os.listdir(d)) for d in (top, spark.sparkContext.getCheckpointDir().removeprefix("file:"))}
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() >= 60
+    new = [x for d, names in before.items() for x in set(os.listdir(d)) - names if not x.startswith(".")]
+    assert len(new) == 1 and new[0].startswith("packing-")
