@@ -138,17 +138,10 @@ def _rows(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ROW.types)], schema=_ROW)
 
 
-def _once(batches):
-    """Drops chunks that repeat; rows come sorted by kind and address."""
-    last = None
-    for batch in batches:
-        kind, address = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        keep = []
-        for k, x in zip(kind, address):
-            keep.append(k != "chunk" or x != last)
-            if k == "chunk":
-                last = x
-        yield batch.filter(pa.array(keep))
+def _once(rows: DataFrame) -> DataFrame:
+    """Drops chunks that repeat: a task holds all rows of an address, and one sort serves this and the folders by kind."""
+    place = F.row_number().over(Window.partitionBy("kind", "address").orderBy("n"))
+    return rows.repartition(shuffle_partitions(rows.sparkSession), "address").withColumn("place", place).filter("place = 1").drop("place")
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -159,7 +152,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidy(_split(tokenizer, end_id)), types)
     n = shuffle_partitions(spark)
     # SHA-256 does not compress: lz4 costs less than zstd here
-    rows.repartition(n, "address").sortWithinPartitions("kind", "address").mapInArrow(tidy(_once), types).write.option("compression", "lz4").partitionBy("kind").parquet(f"{path}/objects")
+    _once(rows).write.option("compression", "lz4").partitionBy("kind").parquet(f"{path}/objects")
 
     recipes = _objects(spark, path, "recipe").select("doc_id", "n_tokens", "addresses")
 
