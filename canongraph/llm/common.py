@@ -10,8 +10,9 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canongraph.functions.shared import cut, shared_dir, stored  # noqa: F401 - operators take them from here
 
@@ -207,6 +208,23 @@ def letter_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], row[keep]
 
 
-def small(df: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """``df`` of narrow rows (an id or two), broadcast if it has at most ``most`` of them and left to a shuffle otherwise."""
-    return F.broadcast(df) if df.count() <= most else df
+#: Bytes that small() broadcasts at most, as a hashed table takes them in memory; what a row takes besides its values.
+BROADCAST, ROW = 64 << 20, 40
+
+
+def _bytes(value: Column, kind: T.DataType) -> Column | int:
+    """What a value takes in a row."""
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind.fields), 16)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(value.alias("v")))), F.lit(0)) + 32
+    return 8
+
+
+def small(df: DataFrame, most: int = 2_000_000, size: int = BROADCAST) -> DataFrame:
+    """``df``, broadcast if it has at most ``most`` rows and takes at most ``size`` bytes, and left to a shuffle otherwise."""
+    width = sum((_bytes(df[f"`{f.name}`"], f.dataType) for f in df.schema.fields), F.lit(ROW))
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and total <= size else df
