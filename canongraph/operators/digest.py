@@ -1,7 +1,7 @@
 """Digests over canonical text: the stable names of graphs.
 
 SHA-2 cannot be put together from partial digests. Many small graphs are aggregated in Catalyst (``listagg`` and
-``sha2``). The text of graphs that is longer than ``stream_from`` bytes is sorted by range, so one giant graph is sorted by
+``sha2``), without a shuffle if a graph's lines lie in one partition. The text of graphs that is longer than ``stream_from`` bytes is sorted by range, so one giant graph is sorted by
 all tasks; its sorted text then goes to one task a graph in chunks, which streams them through the hashers.
 """
 
@@ -11,7 +11,7 @@ import hashlib
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canongraph.functions.shared import cut, few, stored
@@ -25,11 +25,26 @@ STREAM_FROM = 64 << 20
 CHUNK = 1 << 20
 
 
+def of_text(text: Column, algorithms: list[str]) -> Column:
+    """(algorithm, digest) structs of a text. The two kinds that Spark lacks are hashed in Python, as bytes."""
+
+    def one(a):
+        name, bits = ALGORITHMS[a]
+        if bits:
+            return F.sha2(text, bits)
+        return F.pandas_udf(lambda s: s.map(lambda t: t if t is None else hashlib.new(name, t).hexdigest()), "string")(text.cast("binary"))
+
+    return F.array(*[F.struct(F.lit(a).alias("algorithm"), one(a).alias("digest")) for a in algorithms])
+
+
+def texts(lines: DataFrame) -> DataFrame:
+    """(graph_id, text): whole canonical texts, each of which must fit one value."""
+    return lines.select("graph_id", "line", *[F.col(c) for c in ORDER]).groupBy("graph_id").agg(F.expr(f"listagg(line, '') within group (order by {', '.join(ORDER)})").alias("text"))
+
+
 def digest_small(lines: DataFrame, algorithms: list[str]) -> DataFrame:
-    """(graph_id, algorithm, digest), all in Catalyst: a graph's text must fit one value."""
-    listed = lines.select("graph_id", "line", *[F.col(c) for c in ORDER]).groupBy("graph_id").agg(F.expr(f"listagg(line, '') within group (order by {', '.join(ORDER)})").alias("text"))
-    digests = F.array(*[F.struct(F.lit(a).alias("algorithm"), F.sha2("text", ALGORITHMS[a][1]).alias("digest")) for a in algorithms])
-    return listed.select("graph_id", F.explode(digests).alias("x")).select("graph_id", "x.algorithm", "x.digest")
+    """(graph_id, algorithm, digest): a graph's text must fit one value."""
+    return texts(lines).select("graph_id", F.explode(of_text(F.col("text"), algorithms)).alias("x")).select("graph_id", "x.algorithm", "x.digest")
 
 
 def digest_stream(lines: DataFrame, algorithms: list[str]) -> DataFrame:
@@ -81,26 +96,16 @@ def _batch(rows, kind):
 def digests(lines: DataFrame, algorithms: list[str] | None = None, stream_from: int = STREAM_FROM, large: DataFrame | None = None) -> DataFrame:
     """(graph_id, algorithm, digest) of each graph, by its size.
 
-    ``large``: the graphs (graph_id) of ``stream_from`` bytes of text or more, if the caller knows them. Otherwise the lines are
+    ``large``: the graphs (graph_id) of ``stream_from`` bytes of text or more, if the caller knows them: then the lines are read
+    once, and those that lie together by graph_id are not shuffled. Otherwise the lines are
     computed once, kept as compressed Parquet in the shared folder, and measured.
     """
     algorithms = algorithms or ["sha256"]
-    plain = [a for a in algorithms if ALGORITHMS[a][1]]
-    other = [a for a in algorithms if not ALGORITHMS[a][1]]
     if large is None:
         lines = stored(lines, "lines")
         large = lines.groupBy("graph_id").agg(F.sum(F.octet_length("line")).alias("n")).filter(F.col("n") >= stream_from).select("graph_id")
     large = cut(large)
     if not large.limit(1).count():
-        out = [digest_small(lines, plain)] if plain else []
-        out += [digest_stream(lines, other)] if other else []
-    else:
-        large = few(large)
-        out = [digest_stream(lines.join(large, "graph_id", "left_semi"), algorithms)]
-        rest = lines.join(large, "graph_id", "left_anti")
-        out += [digest_small(rest, plain)] if plain else []
-        out += [digest_stream(rest, other)] if other else []
-    got = out[0]
-    for x in out[1:]:
-        got = got.unionByName(x)
-    return got
+        return digest_small(lines, algorithms)
+    large = few(large)
+    return digest_stream(lines.join(large, "graph_id", "left_semi"), algorithms).unionByName(digest_small(lines.join(large, "graph_id", "left_anti"), algorithms))
