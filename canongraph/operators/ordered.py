@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from canongraph.functions.shared import few, stored
+from canongraph.functions.shared import cut, few, stored
 from canongraph.operators.canonical import ORDER
 
 #: Bytes by which lines of a file find the piece of the index they lie in.
@@ -31,8 +31,19 @@ def _held(ranged: DataFrame) -> DataFrame:
     return sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("bytes_before", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)))
 
 
-def placed(lines: DataFrame, parts: int | None = None) -> DataFrame:
-    """Adds ``place``, from 1 in each graph, to the lines of any number of graphs of any size."""
+def placed(lines: DataFrame, parts: int | None = None, large: DataFrame | None = None) -> DataFrame:
+    """Adds ``place``, from 1 in each graph, to the lines of any number of graphs of any size.
+
+    ``large`` (graph_id): the graphs that are too long for one task, if the caller knows them. The others are numbered graph by
+    graph then, and lines that lie together by graph_id are not shuffled.
+    """
+    if large is not None:
+        large = cut(large)
+        numbered = lambda x: x.withColumn("place", F.row_number().over(Window.partitionBy("graph_id").orderBy(*ORDER)).cast("long"))
+        if not large.limit(1).count():
+            return numbered(lines)
+        large = few(large)
+        return numbered(lines.join(large, "graph_id", "left_anti")).unionByName(placed(lines.join(large, "graph_id", "left_semi"), parts))
     ranged = stored(_ranged(lines, parts), "ranged")
     held = stored(_held(ranged), "ranges").select("graph_id", "part", "first", "before")
     return ranged.join(held, ["graph_id", "part"]).withColumn("place", F.col("before") + F.col("at") - F.col("first") + 1).drop("part", "at", "first", "before")
