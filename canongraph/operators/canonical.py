@@ -93,13 +93,17 @@ def cells(segments: DataFrame, links: DataFrame) -> DataFrame:
 
 def cell_lines(rows: DataFrame) -> DataFrame:
     """Canonical text of cells(), as lines() gives it."""
+    return rows.filter("kind < 2").select("graph_id", *ORDER, _line().alias("line"))
+
+
+def _line():
     text = lambda c: F.col(c).cast("string")
-    line = F.when(F.col("kind") == 0, F.concat(F.lit("S\t"), text("node"), F.lit("\t"), "least", F.lit("\n"))).otherwise(F.concat(F.lit("L\t"), text("node"), F.lit("\t"), sign(F.col("src_rev")), F.lit("\t"), text("dst"), F.lit("\t"), sign(F.col("dst_rev")), F.lit("\n")))
-    return rows.filter("kind < 2").select("graph_id", *ORDER, line.alias("line"))
+    return F.when(F.col("kind") == 0, F.concat(F.lit("S\t"), text("node"), F.lit("\t"), "least", F.lit("\n"))).otherwise(F.concat(F.lit("L\t"), text("node"), F.lit("\t"), sign(F.col("src_rev")), F.lit("\t"), text("dst"), F.lit("\t"), sign(F.col("dst_rev")), F.lit("\n")))
 
 
-def verdicts(rows: DataFrame) -> DataFrame:
-    """One row for each graph of cells(): what is wrong with it, and its statistics.
+def verdicts(rows: DataFrame, shown: str | None = None) -> DataFrame:
+    """One row for each graph of cells(): what is wrong with it, and its statistics. ``shown``: a condition on rows whose canonical
+    text is returned too, as ``text``; it must fit one value for each graph.
 
     (graph_id, unread, odd, conflicts, first_conflict, missing, nodes, edges, seq_len, text_bytes): nodes with a null name (as 0 or
     1), conflicting nodes and the least of them, nodes that edges need and segments lack, bytes of canonical text.
@@ -108,15 +112,20 @@ def verdicts(rows: DataFrame) -> DataFrame:
     bytes_ = F.when(F.col("kind") == 0, size("node") + F.octet_length("least") + 4).when(F.col("kind") == 1, size("node") + size("dst") + 8).otherwise(0)
     is_ = lambda k: (F.col("kind") == k).cast("long")
     unread = F.col("node").isNull() | ((F.col("kind") == 1) & F.col("dst").isNull())
+    listed = lambda c, order: F.expr(f"listagg({c}, '') within group (order by {order})").alias("text")
+    if shown:
+        rows = rows.withColumn("line", F.when((F.col("kind") < 2) & F.expr(shown), _line()))
     per_node = rows.groupBy("graph_id", "node").agg(
         F.max(unread.cast("int")).alias("unread"), F.max("odd").alias("odd"), F.max((F.col("kind") == 0).cast("int")).alias("there"), F.max((F.col("least") != F.col("most")).cast("int")).alias("unlike"),
         F.sum(is_(1)).alias("edges"), F.max(F.when(F.col("kind") == 0, F.octet_length("least"))).alias("seq_len"), F.sum(bytes_.cast("long")).alias("text_bytes"),
+        *([listed("line", "kind, src_rev, dst, dst_rev")] if shown else []),
     )
     count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     unlike = F.coalesce(F.col("unlike"), F.lit(0)) == 1
     return per_node.groupBy("graph_id").agg(
         F.max("unread").alias("unread"), F.max("odd").alias("odd"), count(unlike).alias("conflicts"), F.min(F.when(unlike, F.col("node"))).alias("first_conflict"), count((F.col("there") == 0) & F.col("node").isNotNull()).alias("missing"),
         count(F.col("there")).alias("nodes"), count(F.col("edges")).alias("edges"), count(F.col("seq_len")).alias("seq_len"), F.sum(F.coalesce("text_bytes", F.lit(0))).alias("text_bytes"),
+        *([listed("text", "node")] if shown else []),
     )
 
 

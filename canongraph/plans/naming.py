@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canongraph.functions.keys import id_error, parse_id, parse_long, shown
-from canongraph.functions.shared import few, stored
+from canongraph.functions.shared import cut, few, stored
 from canongraph.operators import canonical
-from canongraph.operators.digest import STREAM_FROM, digests
+from canongraph.operators.digest import STREAM_FROM, digest_stream, digests, of_text
 
 #: Digits of the SHA-2 kinds of an empty text are computed, not kept: see _empty().
 LONG, LARGE, TEXT = "bigint", "decimal(20,0)", "string"
@@ -55,6 +55,24 @@ def _named(rows: DataFrame, found: DataFrame, algorithms: list[str] | None) -> D
     return digests(canonical.cell_lines(rows), algorithms, large=large)
 
 
+def _named_at_once(segments: DataFrame, links: DataFrame, key: str, algorithms: list[str] | None, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Digests of the graphs that are right, and verdicts on all: one aggregation by graph gives both but for the ``large`` ones.
+
+    Only a row for each graph is kept. Nothing is shuffled if a graph's rows lie in one partition.
+    """
+    rows, algorithms = canonical.cells(*_keyed(segments, links, key)), algorithms or ["sha256"]
+    any_large = bool(large.limit(1).count())
+    short = rows.join(few(large.withColumn("large", F.lit(True))), "graph_id", "left") if any_large else rows.withColumn("large", F.lit(None).cast("boolean"))
+    right = (F.col("unread") == 0) & (F.col("conflicts") == 0) & (F.col("missing") == 0)
+    found = canonical.verdicts(short, "large is null").withColumn("right", right)
+    found = stored(found.withColumn("names", F.when(F.col("right") & F.col("text").isNotNull(), of_text(F.col("text"), algorithms))).drop("text"), "verdicts")
+    named = found.filter("right").select("graph_id", F.explode("names").alias("x")).select("graph_id", "x.algorithm", "x.digest")
+    if any_large:
+        long_ = found.filter("right and names is null").select("graph_id")
+        named = named.unionByName(digest_stream(canonical.cell_lines(rows.join(few(long_), "graph_id", "left_semi")), algorithms))
+    return named, found
+
+
 def _of(table: DataFrame, graphs: DataFrame) -> DataFrame:
     return table.join(few(graphs), "graph_id", "left_semi")
 
@@ -106,15 +124,17 @@ def _empty(algorithms: list[str] | None):
     return F.array(*[F.struct(F.lit(a).alias("algorithm"), F.lit(hashlib.new(ALGORITHMS[a][0]).hexdigest()).alias("digest")) for a in algorithms or ["sha256"]])
 
 
-def outcomes(segments: DataFrame, links: DataFrame, node_ids: str = "auto", algorithms: list[str] | None = None, graphs: DataFrame | None = None) -> DataFrame:
+def outcomes(segments: DataFrame, links: DataFrame, node_ids: str = "auto", algorithms: list[str] | None = None, graphs: DataFrame | None = None, large: DataFrame | None = None) -> DataFrame:
     """(graph_id, algorithm, digest, message): the names of all graphs, and for each that has none the reason.
 
     node_ids: integer, string, or auto (integer where it works; the message is that of strings then). ``graphs`` (graph_id): all
-    graphs there are; those without segments and links get the name of the empty text.
+    graphs there are; those without segments and links get the name of the empty text. ``large`` (graph_id): the graphs whose text
+    may have STREAM_FROM bytes or more, if the caller knows them; the others are read once then.
     """
     if node_ids not in ("auto", "integer", "string"):
         raise ValueError(f"node_ids: {node_ids}")
     named, failed, seen = [], [], []
+    large = None if large is None else cut(large)
     left = None  # graphs that still need a reading; None: all
     for key in {"string": [TEXT], "integer": [LONG, LARGE], "auto": [LONG, LARGE, TEXT]}[node_ids]:
         s, e = (segments, links) if left is None else (_of(segments, left), _of(links, left))
@@ -123,8 +143,12 @@ def outcomes(segments: DataFrame, links: DataFrame, node_ids: str = "auto", algo
             if not larger.limit(1).count():
                 continue
             s, e = _of(segments, larger), _of(links, larger)
-        rows, found = _judged(s, e, key)
-        named.append(_named(rows, found, algorithms))
+        if large is None:
+            rows, found = _judged(s, e, key)
+            named.append(_named(rows, found, algorithms))
+        else:
+            names, found = _named_at_once(s, e, key, algorithms, large)
+            named.append(names)
         seen.append(found)
         if key == TEXT:
             failed.append(_string_messages(found))
@@ -157,6 +181,6 @@ def readable(segments: DataFrame, links: DataFrame, node_ids: str = "auto") -> t
     return None
 
 
-def stable_names(segments: DataFrame, links: DataFrame, node_ids: str = "auto", algorithms: list[str] | None = None) -> DataFrame:
+def stable_names(segments: DataFrame, links: DataFrame, node_ids: str = "auto", algorithms: list[str] | None = None, large: DataFrame | None = None) -> DataFrame:
     """(graph_id, algorithm, digest) of each valid graph; outcomes() has the others too."""
-    return outcomes(segments, links, node_ids, algorithms).filter("message is null").drop("message")
+    return outcomes(segments, links, node_ids, algorithms, large=large).filter("message is null").drop("message")
