@@ -10,27 +10,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canongraph.functions.shared import stored
+from canongraph.functions.shared import cut, few, stored
 from canongraph.operators.canonical import cell_lines, cells
-from canongraph.operators.digest import digests
+from canongraph.operators.digest import STREAM_FROM, digest_stream, texts
 
 
-def contained(segments: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _elements(segments: DataFrame, links: DataFrame, large: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """(graph_id, digest, text) of each graph, kept once, and the lines of the ``large`` ones, whose text is null (None: there are none)."""
+    lines = cell_lines(cells(segments, links))
+    if large is None:
+        lines = stored(lines, "elements")
+        large = lines.groupBy("graph_id").agg(F.sum(F.octet_length("line")).alias("n")).filter(F.col("n") >= STREAM_FROM).select("graph_id")
+    large, long_ = cut(large), None
+    if large.limit(1).count():
+        large = few(large)
+        long_, lines = stored(lines.join(large, "graph_id", "left_semi"), "long"), lines.join(large, "graph_id", "left_anti")
+    out = texts(lines).select("graph_id", F.unhex(F.sha2("text", 256)).alias("digest"), "text")
+    if long_ is not None:
+        out = out.unionByName(digest_stream(long_, ["sha256"]).select("graph_id", F.unhex("digest").alias("digest"), F.lit(None).cast("string").alias("text")))
+    return stored(out, "texts"), long_
+
+
+def _members(names: DataFrame) -> DataFrame:
+    """(graph_id, class_id): only classes of several graphs are looked up."""
+    several = stored(names.groupBy("digest").agg(F.min("graph_id").alias("first"), F.count("*").alias("k")).filter("k > 1").drop("k"), "copies")
+    return names.join(few(several), "digest", "left").select("graph_id", F.coalesce("first", "graph_id").alias("class_id"))
+
+
+def classes(segments: DataFrame, links: DataFrame, large: DataFrame | None = None) -> DataFrame:
+    """(graph_id, class_id): the smallest id of the graphs with the same content. ``large``: see contained()."""
+    return _members(_elements(segments, links, large)[0].select("graph_id", "digest"))
+
+
+def contained(segments: DataFrame, links: DataFrame, large: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(graph_id, within) for classes of graphs, and (graph_id, class_id) for all graphs.
 
-    A class is no part of itself; graphs without any line are none of this. Copies add no pairs.
+    A class is no part of itself; graphs without any line are none of this. Copies add no pairs. ``large`` (graph_id): the graphs
+    whose text may have STREAM_FROM bytes or more, if the caller knows them. The texts of the others are kept a row each.
     """
-    lines = stored(cell_lines(cells(segments, links)), "elements")
-    names = digests(lines).select("graph_id", "digest")
-    smallest = names.groupBy("digest").agg(F.min("graph_id").alias("class_id"))
-    members = stored(names.join(smallest, "digest").select("graph_id", "class_id"), "classes")
-    first = members.filter("graph_id = class_id").select("graph_id")
-    own = stored(lines.select("graph_id", "line").join(first, "graph_id", "left_semi"), "class-elements")
-    df = own.groupBy("line").agg(F.count("*").alias("df"))
-    least = own.join(df, "line").groupBy("graph_id").agg(F.min_by("line", F.struct("df", "line")).alias("line"), F.count("*").alias("n"))
-    least = stored(least, "rarest")
-    sizes = least.select(F.col("graph_id").alias("within"), F.col("n").alias("m"))
-    held = own.select(F.col("graph_id").alias("within"), "line")
-    maybe = least.join(held, "line").filter("graph_id <> within").join(sizes, "within").filter("n < m").select("graph_id", "within", "n")
-    shared = maybe.join(own, "graph_id").join(held, ["within", "line"]).groupBy("graph_id", "within", "n").agg(F.count("*").alias("shared"))
-    return shared.filter("shared = n").select("graph_id", "within"), members
+    texts_, long_ = _elements(segments, links, large)
+    members = stored(_members(texts_.select("graph_id", "digest")), "classes")
+    copies = members.filter("graph_id <> class_id").select("graph_id")
+    first = texts_.join(few(copies), "graph_id", "left_anti")
+    line = F.filter(F.split("text", "\n"), lambda x: x != "")
+    own = first.filter("text is not null").select("graph_id", F.size(line).cast("long").alias("n"), F.explode(line).alias("line"))
+    if long_ is not None:
+        held = long_.join(few(first.filter("text is null").select("graph_id")), "graph_id", "left_semi")
+        n = held.groupBy("graph_id").agg(F.count("*").alias("n"))
+        own = own.unionByName(held.join(few(n), "graph_id").select("graph_id", "n", F.expr("substring(line, 1, length(line) - 1)").alias("line")))
+    # a line that only one graph holds says that this one lies in no other; lines are counted by their hashes, so too often at worst
+    counted = own.select("graph_id", F.xxhash64("line").alias("h")).groupBy("h").agg(F.count("*").alias("df"), F.min("graph_id").alias("graph_id"))
+    counted = stored(counted.select("df", F.when(F.col("df") > 1, F.col("h")).alias("h"), F.when(F.col("df") == 1, F.col("graph_id")).alias("graph_id")), "line-counts")
+    alone, df = counted.filter("df = 1").select("graph_id").distinct(), counted.filter("df > 1").select("h", "df")
+    maybe = stored(first.select("graph_id").join(alone, "graph_id", "left_anti"), "maybe")
+    asked = stored(own.join(few(maybe), "graph_id", "left_semi").withColumn("h", F.xxhash64("line")), "asked")
+    least = asked.join(few(df), "h").groupBy("graph_id").agg(F.min_by(F.struct("line", "n"), F.struct("df", "line")).alias("x")).select("graph_id", "x.*")
+    held = own.select(F.col("graph_id").alias("within"), "line", F.col("n").alias("m"))
+    pairs = least.join(held, "line").filter("n < m and graph_id <> within").select("graph_id", "within", "n")
+    if not asked.filter("n > 1").limit(1).count():
+        return pairs.select("graph_id", "within"), members
+    pairs = stored(pairs, "pairs")
+    # a graph of one line is settled by it
+    more = pairs.filter("n > 1").join(asked.select("graph_id", "line"), "graph_id").join(held.drop("m"), ["within", "line"])
+    whole = more.groupBy("graph_id", "within", "n").agg(F.count("*").alias("shared")).filter("shared = n")
+    return pairs.filter("n = 1").unionByName(whole.drop("shared")).select("graph_id", "within"), members
