@@ -81,6 +81,40 @@ def _said(rank, number, message):
     return F.when(rank < 2, F.concat(F.lit("Error parsing GFA line "), F.coalesce(number.cast("string"), F.lit("?")), F.lit(": "), message)).otherwise(message)
 
 
+def _events(lines: DataFrame, integer: bool) -> DataFrame:
+    """(graph_id, line_no, kind, key, name, sequence, rank, message): what the lines say, each read once.
+
+    Kind 0 is a node with its sequence, kind 1 an end of an edge, kind 2 the first error of a line (under a key of its own, so that
+    they do not all meet in one place).
+    """
+    tabs = F.octet_length("value") - F.octet_length(F.replace(F.col("value"), F.lit("\t"), F.lit("")))
+    letter = F.substring(F.col("value").cast("binary"), 1, 1)
+    kind = F.when(letter == F.lit("S").cast("binary"), "S").when(letter == F.lit("L").cast("binary"), "L")
+    rows = lines.filter(F.octet_length("value") > 0).select("graph_id", F.col("line_no").cast("long").alias("line_no"), kind.alias("type"), (tabs + 1).alias("fields"), field(2).alias("a"), field(3).alias("b"), field(4).alias("c"), field(5).alias("d")).filter("type is not null")
+    rows = rows.withColumn("src_rev", parse_sign(F.col("b"))).withColumn("dst_rev", parse_sign(F.col("d")))
+    s, e = F.col("type") == "S", F.col("type") == "L"
+    signs = F.col("src_rev").isNotNull() & F.col("dst_rev").isNotNull()
+    whole = (s & (F.col("fields") >= 3)) | (e & (F.col("fields") >= 5) & signs)
+    said = lambda rank, message: F.struct(F.lit(rank).alias("rank"), message.alias("message"))
+    error = F.when(s & (F.col("fields") < 3), said(0, F.lit("not enough fields for a segment"))).when(e & (F.col("fields") < 5), said(0, F.lit("not enough fields for a link")))
+    error = error.when(e & ~signs, said(1, F.concat(F.lit("Invalid orientation: "), shown(F.when(F.col("src_rev").isNull(), F.col("b")).otherwise(F.col("d"))))))
+    a, c, keys = F.col("a"), F.col("c"), ("a", "c")
+    if integer:  # names are looked at where they are read, messages made for the wrong ones only
+        rows = rows.withColumn("ka", parse_id(a, 0)).withColumn("kc", F.when(e, parse_id(c, 0)))
+        bad = lambda k, least: F.col(k).isNull() | ((F.col(k) == 0) & F.lit(least > 0))
+        error = error.when(s & bad("ka", 0), said(2, id_error(a, 0))).when(e & bad("ka", 1), said(2, id_error(a, 1))).when(e & bad("kc", 1), said(3, id_error(c, 1)))
+        keys = ("ka", "kc")
+    key = lambda k, least: F.when(F.col(k) >= least, F.col(k)) if integer else F.col(k)
+    none = F.lit(None).cast("string")
+    row = lambda kind, k, name=none, sequence=none, rank=F.lit(None).cast("int"), message=none: F.struct(F.lit(kind).alias("kind"), k.alias("key"), name.alias("name"), sequence.alias("sequence"), rank.alias("rank"), message.alias("message"))
+    node = F.when(whole & s & key(keys[0], 0).isNotNull(), row(0, key(keys[0], 0), a, F.col("b")))
+    ends = [F.when(whole & e & key(k, 1).isNotNull(), row(1, key(k, 1))) for k in keys]
+    own = F.col("line_no").cast("decimal(20,0)" if integer else "string")
+    wrong = F.when(F.col("error").isNotNull(), row(2, own, rank=F.col("error.rank"), message=F.col("error.message")))
+    rows = rows.withColumn("error", error)
+    return rows.select("graph_id", "line_no", F.explode(F.array(node, *ends, wrong)).alias("x")).filter("x is not null").select("graph_id", "line_no", "x.*")
+
+
 def first_errors(lines: DataFrame, integer: bool = False) -> DataFrame:
     """(graph_id, message): the first error of each text that has one. Lines are (graph_id, line_no or offset, value).
 
@@ -88,24 +122,18 @@ def first_errors(lines: DataFrame, integer: bool = False) -> DataFrame:
     (``integer``), and a segment that differs from an earlier one of its node. Missing nodes are counted if there is no other error.
     """
     by_offset = "line_no" not in lines.columns
-    s, e = _records(lines.withColumn("line_no", F.col("offset")) if by_offset else lines)
-    found = _parse_errors(s, e)
-    s, e = s.filter("fields >= 3"), e.filter("fields >= 5 and src_rev is not null and dst_rev is not null")
-    nodes, ends = s.withColumn("key", F.col("name")), e.select("graph_id", F.explode(F.array("src", "dst")).alias("key"))
-    if integer:
-        wrong = lambda x, name, least, rank: x.withColumn("message", id_error(F.col(name), least)).filter("message is not null").select("graph_id", "line_no", F.lit(rank).alias("rank"), "message")
-        found = found.unionByName(wrong(s, "name", 0, 2)).unionByName(wrong(e, "src", 1, 2)).unionByName(wrong(e, "dst", 1, 3))
-        nodes = nodes.withColumn("key", parse_id(F.col("name"), 0)).filter("key is not null")
-        ends = ends.withColumn("key", parse_id(F.col("key"))).filter("key is not null")
-    # each distinct sequence of a node by its first line: the second of them is the conflict
-    first = nodes.groupBy("graph_id", "key", "sequence").agg(F.min(F.struct("line_no", "name")).alias("at"))
-    of_node = Window.partitionBy("graph_id", "key").orderBy("at")
-    second = first.withColumn("k", F.row_number().over(of_node)).filter("k = 2")
-    found = found.unionByName(second.select("graph_id", F.col("at.line_no").alias("line_no"), F.lit(4).alias("rank"), F.concat(F.lit("Node "), shown(F.col("at.name")), F.lit(" already exists with a different sequence")).alias("message")))
-    lost = ends.distinct().join(nodes.select("graph_id", "key"), ["graph_id", "key"], "left_anti").groupBy("graph_id").agg(F.count("*").alias("n"))
-    lost = lost.select("graph_id", F.lit(None).cast("long").alias("line_no"), F.lit(5).alias("rank"), F.concat(F.col("n").cast("string"), F.lit(" nodes required by the edges are missing")).alias("message"))
-    place = F.struct(F.col("line_no").isNull(), "line_no", "rank")
-    first = found.withColumn("line_no", F.col("line_no").cast("long")).unionByName(lost).groupBy("graph_id").agg(F.min_by(F.struct("line_no", "rank", "message"), place).alias("x")).select("graph_id", "x.*")
+    events = _events(lines.withColumn("line_no", F.col("offset")) if by_offset else lines, integer)
+    # a node's rows meet by graph and key: its segments by line, then the ends of edges, so one pass finds second sequences and lost nodes
+    of_node = Window.partitionBy("graph_id", "key").orderBy("kind", "line_no", "name")
+    seen = events.withColumn("first", F.first(F.struct("kind", "sequence")).over(of_node)).withColumn("k", F.row_number().over(of_node))
+    twice = (F.col("kind") == 0) & (F.col("sequence") != F.col("first.sequence"))
+    error = F.when(F.col("kind") == 2, F.struct("rank", "message")).when(twice, F.struct(F.lit(4).alias("rank"), F.concat(F.lit("Node "), shown(F.col("name")), F.lit(" already exists with a different sequence")).alias("message")))
+    lost = ((F.col("kind") == 1) & (F.col("k") == 1)).cast("long")
+    bad = seen.select("graph_id", "line_no", error.alias("x"), lost.alias("lost")).filter("x is not null or lost = 1")
+    place = F.when(F.col("x").isNotNull(), F.struct(F.col("line_no").isNull().alias("none"), "line_no", "x.rank", "x.message"))
+    first = bad.groupBy("graph_id").agg(F.min(place).alias("x"), F.sum("lost").alias("n"))
+    missing = F.struct(F.lit(None).cast("long").alias("line_no"), F.lit(5).alias("rank"), F.concat(F.col("n").cast("string"), F.lit(" nodes required by the edges are missing")).alias("message"))
+    first = first.select("graph_id", F.when(F.col("x").isNotNull(), F.struct("x.line_no", "x.rank", "x.message")).otherwise(missing).alias("x")).select("graph_id", "x.*")
     if by_offset:  # only the lines before a first error are counted
         first = stored(first, "first-errors")
         first = line_numbers(lines, first.withColumnRenamed("line_no", "offset"))
