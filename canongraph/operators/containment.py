@@ -28,7 +28,7 @@ def _elements(segments: DataFrame, links: DataFrame, large: DataFrame | None) ->
     out = texts(lines).select("graph_id", F.unhex(F.sha2("text", 256)).alias("digest"), "text")
     if long_ is not None:
         out = out.unionByName(digest_stream(long_, ["sha256"]).select("graph_id", F.unhex("digest").alias("digest"), F.lit(None).cast("string").alias("text")))
-    return stored(out, "texts"), long_
+    return out, long_
 
 
 def _members(names: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def _members(names: DataFrame) -> DataFrame:
 
 def classes(segments: DataFrame, links: DataFrame, large: DataFrame | None = None) -> DataFrame:
     """(graph_id, class_id): the smallest id of the graphs with the same content. ``large``: see contained()."""
-    return _members(_elements(segments, links, large)[0].select("graph_id", "digest"))
+    return _members(stored(_elements(segments, links, large)[0].select("graph_id", "digest"), "names"))
 
 
 def contained(segments: DataFrame, links: DataFrame, large: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -49,22 +49,31 @@ def contained(segments: DataFrame, links: DataFrame, large: DataFrame | None = N
     whose text may have STREAM_FROM bytes or more, if the caller knows them. The texts of the others are kept a row each.
     """
     texts_, long_ = _elements(segments, links, large)
+    texts_ = stored(texts_, "texts")
     members = stored(_members(texts_.select("graph_id", "digest")), "classes")
     copies = members.filter("graph_id <> class_id").select("graph_id")
     first = texts_.join(few(copies), "graph_id", "left_anti")
     line = F.filter(F.split("text", "\n"), lambda x: x != "")
-    own = first.filter("text is not null").select("graph_id", F.size(line).cast("long").alias("n"), F.explode(line).alias("line"))
+    split = lambda t: t.filter("text is not null").select("graph_id", F.size(line).cast("long").alias("n"), F.explode(line).alias("line"))
+    own, long_own = split(first), None
     if long_ is not None:
         held = long_.join(few(first.filter("text is null").select("graph_id")), "graph_id", "left_semi")
         n = held.groupBy("graph_id").agg(F.count("*").alias("n"))
-        own = own.unionByName(held.join(few(n), "graph_id").select("graph_id", "n", F.expr("substring(line, 1, length(line) - 1)").alias("line")))
-    # a line that only one graph holds says that this one lies in no other; lines are counted by their hashes, so too often at worst
-    counted = own.select("graph_id", F.xxhash64("line").alias("h")).groupBy("h").agg(F.count("*").alias("df"), F.min("graph_id").alias("graph_id"))
+        long_own = held.join(few(n), "graph_id").select("graph_id", "n", F.expr("substring(line, 1, length(line) - 1)").alias("line"))
+        own = own.unionByName(long_own)
+    # a line that only one graph holds says that this one lies in no other; lines are counted by their hashes, so too often at worst.
+    # Edges do for graphs that have any, and graphs of one line have no choice; segments are counted if other graphs need them
+    edge = F.col("line").startswith("L\t")
+    need = long_ is not None or first.filter((F.size(line) > 1) & ~F.concat(F.lit("\n"), "text").contains("\nL\t")).limit(1).count()
+    counted = (own if need else own.filter(edge)).select("graph_id", F.xxhash64("line").alias("h")).groupBy("h").agg(F.count("*").alias("df"), F.min("graph_id").alias("graph_id"))
     counted = stored(counted.select("df", F.when(F.col("df") > 1, F.col("h")).alias("h"), F.when(F.col("df") == 1, F.col("graph_id")).alias("graph_id")), "line-counts")
     alone, df = counted.filter("df = 1").select("graph_id").distinct(), counted.filter("df > 1").select("h", "df")
     maybe = stored(first.select("graph_id").join(alone, "graph_id", "left_anti"), "maybe")
-    asked = stored(own.join(few(maybe), "graph_id", "left_semi").withColumn("h", F.xxhash64("line")), "asked")
-    least = asked.join(few(df), "h").groupBy("graph_id").agg(F.min_by(F.struct("line", "n"), F.struct("df", "line")).alias("x")).select("graph_id", "x.*")
+    asked = split(first.join(few(maybe), "graph_id", "left_semi"))  # whole texts meet the graphs asked for, not their lines
+    if long_own is not None:
+        asked = asked.unionByName(long_own.join(few(maybe), "graph_id", "left_semi"))
+    asked = stored(asked.withColumn("h", F.xxhash64("line")), "asked")
+    least = asked.join(few(df), "h", "left").groupBy("graph_id").agg(F.min_by(F.struct("line", "n"), F.struct(F.col("df").isNull(), "df", "line")).alias("x")).select("graph_id", "x.*")
     held = own.select(F.col("graph_id").alias("within"), "line", F.col("n").alias("m"))
     pairs = least.join(held, "line").filter("n < m and graph_id <> within").select("graph_id", "within", "n")
     if not asked.filter("n > 1").limit(1).count():
